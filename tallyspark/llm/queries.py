@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, mixing, rpforest, simhash
+from . import kdtree, mixing, rpforest, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,20 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+#: (verdict, domain, start of the path)
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -30,6 +44,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_topk": op5_topk,
+    "op6_urls": op6_urls,
     "op7_ann": op7_ann,
     "op8_mixing": op8_mixing,
     "op10_simhash": op10_simhash,
@@ -49,4 +64,68 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
-ORACLES: dict[str, str] = {"op5_topk": OP5_SQL}
+#: The models of op6 are grouped sums, so SQL gives the same verdicts.
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url FROM pages
+), h AS (
+  SELECT page_id, url, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM p
+), r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM h
+), u AS (
+  SELECT url, any_value(rule) AS rule, count(*) AS n,
+    CASE any_value(rule) WHEN 'org/' THEN 'allow' WHEN 'com/fr/' THEN 'allow' WHEN 'com/de/' THEN 'block' WHEN 'example.org/es/' THEN 'block' WHEN 'example.org/en/1' THEN 'block' END AS by_rule,
+    translate(lower(url), '123456789', '000000000') AS folded
+  FROM r GROUP BY url
+), c AS (
+  SELECT url, n, by_rule, i, CASE WHEN i < 1 OR i > length(folded) THEN 0
+    ELSE coalesce(nullif(strpos('abcdefghijklmnopqrstuvwxyz0/.-_?=&#:%~+', substr(folded, CAST(i AS INTEGER), 1)), 0), 40) END AS k
+  FROM u, generate_series(-1, length(folded) + 1) AS t(i)
+), g AS (
+  SELECT url, n, by_rule, k AS k3, k2, k1 FROM (
+    SELECT *, lag(k, 1) OVER w AS k2, lag(k, 2) OVER w AS k1 FROM c WINDOW w AS (PARTITION BY url ORDER BY i)
+  ) WHERE i >= 1
+), n3 AS (
+  SELECT k1, k2, k3, CAST(sum(CASE WHEN by_rule = 'allow' THEN n ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN by_rule = 'block' THEN n ELSE 0 END) AS DOUBLE) AS b
+  FROM g GROUP BY ALL
+), n2 AS (SELECT k2, k3, sum(a) AS a, sum(b) AS b FROM n3 GROUP BY ALL
+), n1 AS (SELECT k3, sum(a) AS a, sum(b) AS b FROM n3 GROUP BY ALL
+), t3 AS (SELECT k1, k2, sum(a) AS a, sum(b) AS b, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM n3 GROUP BY ALL
+), t2 AS (SELECT k2, sum(a) AS a, sum(b) AS b, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM n2 GROUP BY ALL
+), t1 AS (SELECT sum(a) AS a, sum(b) AS b, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM n1
+), q1 AS (
+  SELECT k3, CASE WHEN t1.a > 0 THEN (n1.a + ta / 41.0) / (t1.a + ta) ELSE 1 / 41.0 END AS pa,
+    CASE WHEN t1.b > 0 THEN (n1.b + tb / 41.0) / (t1.b + tb) ELSE 1 / 41.0 END AS pb
+  FROM n1, t1
+), q2 AS (
+  SELECT k2, k3, CASE WHEN t2.a > 0 THEN (n2.a + ta * pa) / (t2.a + ta) ELSE pa END AS pa,
+    CASE WHEN t2.b > 0 THEN (n2.b + tb * pb) / (t2.b + tb) ELSE pb END AS pb
+  FROM n2 JOIN t2 USING (k2) JOIN q1 USING (k3)
+), q3 AS (
+  SELECT k1, k2, k3, CASE WHEN t3.a > 0 THEN (n3.a + ta * pa) / (t3.a + ta) ELSE pa END AS pa,
+    CASE WHEN t3.b > 0 THEN (n3.b + tb * pb) / (t3.b + tb) ELSE pb END AS pb
+  FROM n3 JOIN t3 USING (k1, k2) JOIN q2 USING (k2, k3)
+), s AS (
+  SELECT url, avg(ln(pa) - ln(pb)) AS score FROM g JOIN q3 USING (k1, k2, k3) GROUP BY url
+), m AS (
+  SELECT sum(n) FILTER (by_rule = 'allow') AS na, sum(n) FILTER (by_rule = 'block') AS nb,
+    sum(n * score) FILTER (by_rule = 'allow') AS sa, sum(n * score) FILTER (by_rule = 'block') AS sb,
+    sum(n * score * score) FILTER (by_rule = 'allow') AS qa, sum(n * score * score) FILTER (by_rule = 'block') AS qb
+  FROM s JOIN u USING (url)
+), d AS (
+  SELECT na, nb, sa / na AS ma, sb / nb AS mb, sqrt(greatest(qa / na - (sa / na) ** 2, 1e-12)) AS da, sqrt(greatest(qb / nb - (sb / nb) ** 2, 1e-12)) AS db
+  FROM m
+)
+SELECT page_id, host, path, r.rule AS rule, coalesce(by_rule, CASE WHEN nb IS NULL THEN 'allow' WHEN na IS NULL THEN 'block'
+  WHEN score < (ma * db + mb * da) / (da + db) THEN 'block' ELSE 'allow' END) AS verdict
+FROM r JOIN u USING (url) JOIN s USING (url), d
+"""
+ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op6_urls": OP6_SQL}
