@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, kdtree, langid, mixing, pii, rpforest, simhash, urls
+from . import htmltext, kdtree, langid, mixing, pii, quality, rpforest, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "quality_score", "quality_keep")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_htmltext": op1_htmltext,
+    "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op5_topk": op5_topk,
     "op6_urls": op6_urls,
