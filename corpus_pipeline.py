@@ -1,11 +1,80 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: rejected and near-duplicate documents go, personal data is masked, sources are mixed, texts become piece ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and
+read again as the next one's docs. All but the last return the columns of
+``documents``. Stages work on all rows of their own input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import mixing, pii, quality, sentencepieces, simhash
+from tallyspark.llm.shared import materialise
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def with_sizes(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.classify(docs).filter("quality_keep").select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id; one row, if rows repeat that id.
+
+    Of groups in which no document has an id, one for each fingerprint stays.
+    """
+    groups = materialise(simhash.near_duplicates(docs), "groups")
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(materialise(first, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    alone = groups.filter("component_id IS NULL").select("fingerprint").distinct()
+    bare = docs.filter("doc_id IS NULL").withColumn("fingerprint", simhash.fingerprint_hex(F.col("text")))
+    return kept.union(bare.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(*COLUMNS))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_sizes(pii.sanitise(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mixed_rows(docs).select(*COLUMNS)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether they decode to it."""
+    encoded = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"))
+    both = sentencepieces.decode(encoded)
+    return both.select(
+        "doc_id",
+        "lang",
+        "source",
+        "ids",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", keep_one_of_each_group),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+    ("pieces", to_pieces),
+]
+
+#: Trained scorers, seeded hashes and Viterbi paths have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, kdtree, langid, mixing, pii, quality, rpforest, simhash, urls
+from . import htmltext, kdtree, langid, mixing, pii, quality, rpforest, sentencepieces, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,18 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids' number and hash, and whether they decode to the text again."""
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = sentencepieces.decode(encoded)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -63,6 +75,7 @@ QUERIES = {
     "op1_htmltext": op1_htmltext,
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_topk": op5_topk,
     "op6_urls": op6_urls,
     "op7_ann": op7_ann,

@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,14 +108,26 @@ def _forest(fps: np.ndarray, new: np.ndarray, radius: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(id, fp)`` for every row, duplicates of an id included."""
-
+def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
     @F.pandas_udf(T.LongType())
     def fp(texts):
         return texts.map(lambda t: fingerprint(t, shingle), na_action=None).astype("int64")
 
-    return docs.select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"))
+    return fp(text)
+
+
+def as_hex(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def fingerprint_hex(text: Column, shingle: int = SHINGLE) -> Column:
+    """The fingerprint as 16 hex digits."""
+    return as_hex(fingerprint_of(text, shingle))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``(id, fp)`` for every row, duplicates of an id included."""
+    return docs.select(F.col(id_col).alias("id"), fingerprint_of(F.col(text_col), shingle).alias("fp"))
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -178,5 +190,5 @@ def near_duplicates(
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = materialise(named.join(least, "label").select("fp", "component_id"), "components")
     return fps.join(known, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), as_hex(F.col("fp")).alias("fingerprint"), "component_id"
     )
