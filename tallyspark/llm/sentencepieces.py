@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +30,11 @@ BASE = 0x9E3779B97F4A7C15
 #: The cost of a piece of a BPE model is this and the logarithm of its rank.
 PIECE_COST = 6.0
 #: Distinct words that a task remembers from one batch to the next.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: Characters of words of one length that advance together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 18
+#: Characters of texts that a task cuts into words at a time, but for one longer text.
+AT_A_TIME = 1 << 20
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -230,6 +233,16 @@ def words_of(text: str) -> list[str]:
     return [*out, spaces + parts[-1]]
 
 
+def runs(sizes: list[int | None]) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts of about AT_A_TIME bytes in all."""
+    start = total = 0
+    for n, size in enumerate(sizes):
+        total += size or 0
+        if total >= AT_A_TIME or n == len(sizes) - 1:
+            yield start, n + 1 - start
+            start, total = n + 1, 0
+
+
 class Decoder:
     """Ids to text; any encoder's ids of a model, not only the best segmentation's."""
 
@@ -263,7 +276,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
     rest = [c for c in docs.columns if c != ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, n) for b in batches for at, n in runs(pc.binary_length(b.column(text_col)).to_pylist())):
             texts = batch.column(text_col).to_pylist()
             values, sizes = encoder.value.encode(texts)
             offsets = pa.array(np.concatenate(([0], sizes.cumsum())), pa.int32())
