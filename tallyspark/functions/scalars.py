@@ -55,6 +55,11 @@ STAGES = {"fetching": (0, 5), "reading": (5, 60), "analyzing": (60, 92), "reconc
 EMBEDDED_MIN = 200
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end, non-breaking spaces included."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -130,22 +135,26 @@ def is_uuid(text: Column) -> Column:
 
 def parse_amount(raw: Column) -> Column:
     """Money as a double: the last separator says which locale; brackets, a minus or a trailing dr make it negative."""
-    s = trimmed(raw)
-    bracketed = s.rlike(r"(?s)^\(.*\)$")
-    s = F.when(bracketed, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
-    bare = F.regexp_replace(s, r"(?U)[$€£₹৳¥\s]", "")
-    negative = bracketed | bare.rlike("^[-−]|[-−]$") | s.rlike(r"(?i)(?<![A-Za-z0-9_])(?:dr|debit)\.?\s*$")
-    kept = F.regexp_replace(s, "[^0-9.,]", "")
-    size = F.length(kept)
-    last_dot = F.when(F.instr(kept, ".") == 0, -1).otherwise(size - F.instr(F.reverse(kept), "."))
-    last_comma = F.when(F.instr(kept, ",") == 0, -1).otherwise(size - F.instr(F.reverse(kept), ","))
-    decimals = size - last_comma - 1
-    european = (last_comma > last_dot) & decimals.between(1, 2)
-    number = F.when(european, F.regexp_replace(F.regexp_replace(kept, r"\.", ""), "^([^,]*),", "$1.")).otherwise(
-        F.regexp_replace(kept, ",", "")
-    )
-    value = F.when(kept.rlike("[0-9]"), number.try_cast("double"))
-    return F.when(negative, -F.abs(value)).otherwise(value)
+
+    def number(kept: Column) -> Column:
+        size = F.length(kept)
+        last_dot = F.when(F.instr(kept, ".") == 0, -1).otherwise(size - F.instr(F.reverse(kept), "."))
+        last_comma = F.when(F.instr(kept, ",") == 0, -1).otherwise(size - F.instr(F.reverse(kept), ","))
+        european = (last_comma > last_dot) & (size - last_comma - 1).between(1, 2)
+        turned = F.when(european, F.regexp_replace(F.translate(kept, ".", ""), "^([^,]*),", "$1.")).otherwise(F.translate(kept, ",", ""))
+        return F.when(kept.rlike("[0-9]"), turned.try_cast("double"))
+
+    def value(s: Column) -> Column:
+        bare = F.regexp_replace(s, r"(?U)[$€£₹৳¥\s]", "")
+        negative = s.rlike(r"(?s)^\(.*\)$") | bare.rlike(r"^\(?[-−]|[-−]\)?$") | s.rlike(r"(?i)(?<![A-Za-z0-9_])(?:dr|debit)\.?\s*\)?$")
+        return let(
+            number_of(s, number), lambda n: F.when(negative, -F.abs(n)).otherwise(n)
+        )
+
+    def number_of(s: Column, then) -> Column:
+        return let(F.regexp_replace(s, "[^0-9.,]", ""), then)
+
+    return let(trimmed(raw), value)
 
 
 def cents_of(value: Column) -> Column:
@@ -200,15 +209,16 @@ def money_tokens(text: Column) -> Column:
     start = F.struct(text.alias("left"), F.array().cast("array<struct<raw:string,value:double,rest:int>>").alias("out"))
 
     def step(state: Column, raw: Column) -> Column:
-        at = F.instr(state["left"], raw)
-        keep = is_money_like(raw) & parse_amount(raw).isNotNull()
-        token = F.struct(
-            raw.alias("raw"), parse_amount(raw).alias("value"), (F.length(state["left"]) - at + 1).cast("int").alias("rest")
-        )
-        return F.struct(
-            F.substring(state["left"], at + F.length(raw), F.length(state["left"])).alias("left"),
-            F.when(keep, F.concat(state["out"], F.array(token))).otherwise(state["out"]).alias("out"),
-        )
+        def on(at: Column) -> Column:
+            rest = (F.length(state["left"]) - at + 1).cast("int")
+            token = lambda v: F.struct(raw.alias("raw"), v.alias("value"), rest.alias("rest"))
+            kept = F.when(is_money_like(raw), let(parse_amount(raw), lambda v: F.when(v.isNotNull(), F.array(token(v)))))
+            return F.struct(
+                F.substring(state["left"], at + F.length(raw), F.length(state["left"])).alias("left"),
+                F.concat(state["out"], F.coalesce(kept, F.slice(state["out"], 1, 0))).alias("out"),
+            )
+
+        return let(F.instr(state["left"], raw), on)
 
     return F.aggregate(found, start, step, lambda s: s["out"])
 
@@ -227,54 +237,55 @@ def date_parts(raw: Column, order: Column | str = "DMY") -> Column:
     All-number dates are read day first or, with order MDY, month first, and the
     other way round where only that gives a month.
     """
-    s = trimmed(F.regexp_replace(raw, r"(?U)\s+", " "))
     mdy = (F.lit(order) if isinstance(order, str) else order) == "MDY"
-
-    def got(pattern: str, n: int) -> Column:
-        return F.regexp_extract(s, pattern, n)
-
-    def number(pattern: str, n: int) -> Column:
-        return got(pattern, n).try_cast("int")
-
-    def year(pattern: str, n: int) -> Column:
-        y = number(pattern, n)
-        return F.when(F.length(got(pattern, n)) == 2, y + 2000).otherwise(y)
-
-    def parts(y: Column, m: Column, d: Column, swap: bool = False) -> Column:
-        turned = (m > 12) & (d <= 12) if swap else F.lit(False)
-        mm, dd = F.when(turned, d).otherwise(m), F.when(turned, m).otherwise(d)
-        fine = mm.between(1, 12) & dd.between(1, 31) & (y.isNull() | y.between(1900, 2200))
-        return F.when(fine, F.struct(y.alias("year"), mm.alias("month"), dd.alias("day")))
-
-    none = F.lit(None).cast("int")
-    iso = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
-    full = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
-    day_name = r"^(\d{1,2})[\s\-.]?([A-Za-z]{3,9})[\s\-.,]?\s?(\d{4}|\d{2})$"
-    name_day = r"^([A-Za-z]{3,9})[\s\-.]?(\d{1,2})(?:st|nd|rd|th)?[\s,.]+(\d{4}|\d{2})$"
-    name_only = r"^([A-Za-z]{3,9})[\s.]+(\d{1,2})$"
-    day_only = r"^(\d{1,2})[\s.]+([A-Za-z]{3,9})$"
-    short = r"^(\d{1,2})[/-](\d{1,2})$"
-
-    def numeric(pattern: str, y: Column) -> Column:
-        a, b = number(pattern, 1), number(pattern, 2)
-        return parts(y, F.when(mdy, a).otherwise(b), F.when(mdy, b).otherwise(a), swap=True)
-
-    return (
-        F.when(s.rlike(iso), parts(number(iso, 1), number(iso, 2), number(iso, 3)))
-        .when(s.rlike(full), numeric(full, year(full, 3)))
-        .when(s.rlike(day_name), parts(year(day_name, 3), month_of(got(day_name, 2)), number(day_name, 1)))
-        .when(s.rlike(name_day), parts(year(name_day, 3), month_of(got(name_day, 1)), number(name_day, 2)))
-        .when(s.rlike(name_only), parts(none, month_of(got(name_only, 1)), number(name_only, 2)))
-        .when(s.rlike(day_only), parts(none, month_of(got(day_only, 2)), number(day_only, 1)))
-        .when(s.rlike(short), numeric(short, none))
+    # (pattern, groups of year, month and day; 0 where there is none); all-number days and months may be the other way round
+    spellings = (
+        (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", 1, 2, 3, "fixed"),
+        (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", 3, 2, 1, "numbers"),
+        (r"^(\d{1,2})[\s\-.]?([A-Za-z]{3,9})[\s\-.,]?\s?(\d{4}|\d{2})$", 3, 2, 1, "name"),
+        (r"^([A-Za-z]{3,9})[\s\-.]?(\d{1,2})(?:st|nd|rd|th)?[\s,.]+(\d{4}|\d{2})$", 3, 1, 2, "name"),
+        (r"^([A-Za-z]{3,9})[\s.]+(\d{1,2})$", 0, 1, 2, "name"),
+        (r"^(\d{1,2})[\s.]+([A-Za-z]{3,9})$", 0, 2, 1, "name"),
+        (r"^(\d{1,2})[/-](\d{1,2})$", 0, 2, 1, "numbers"),
     )
 
+    def spelt(s: Column) -> Column:
+        out = F.lit(None)
+        for pattern, y, m, d, kind in reversed(spellings):
+            got = lambda n, p=pattern: F.regexp_extract(s, p, n) if n else F.lit("")
+            found = F.struct(got(y).alias("y"), got(m).alias("m"), got(d).alias("d"), F.lit(kind).alias("kind"))
+            out = F.when(s.rlike(pattern), found).otherwise(out)
+        return let(out, lambda f: F.when(f.isNotNull(), let(numbers(f), checked)))
+
+    def numbers(f: Column) -> Column:
+        year = F.nullif(f["y"], F.lit("")).try_cast("int")
+        month = F.when(f["kind"] == "name", month_of(f["m"])).otherwise(f["m"].try_cast("int"))
+        day = f["d"].try_cast("int")
+        free, turned = f["kind"] == "numbers", (f["kind"] == "numbers") & mdy
+        return F.struct(
+            F.when(F.length(f["y"]) == 2, year + 2000).otherwise(year).alias("year"),
+            F.when(turned, day).otherwise(month).alias("month"),
+            F.when(turned, month).otherwise(day).alias("day"),
+            free.alias("free"),
+        )
+
+    def checked(p: Column) -> Column:
+        swap = p["free"] & (p["month"] > 12) & (p["day"] <= 12)
+        month, day = F.when(swap, p["day"]).otherwise(p["month"]), F.when(swap, p["month"]).otherwise(p["day"])
+        fine = month.between(1, 12) & day.between(1, 31) & (p["year"].isNull() | p["year"].between(1900, 2200))
+        return F.when(fine, F.struct(p["year"].alias("year"), month.alias("month"), day.alias("day")))
+
+    return let(trimmed(F.regexp_replace(raw, r"(?U)\s+", " ")), spelt)
+
 
 def normalize_date(raw: Column, year_hint: Column | None = None, order: Column | str = "DMY") -> Column:
     """``YYYY-MM-DD`` text; impossible days up to 31 pass, as printed."""
-    p = date_parts(raw, order)
-    year = p["year"] if year_hint is None else F.coalesce(p["year"], year_hint)
-    return F.when(p.isNotNull() & year.isNotNull(), F.format_string("%d-%02d-%02d", year, p["month"], p["day"]))
+
+    def shown(p: Column) -> Column:
+        year = p["year"] if year_hint is None else F.coalesce(p["year"], year_hint)
+        return F.when(p.isNotNull() & year.isNotNull(), F.format_string("%d-%02d-%02d", year, p["month"], p["day"]))
+
+    return let(date_parts(raw, order), shown)
 
 
 def date_token(text: Column) -> Column:
