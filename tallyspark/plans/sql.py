@@ -95,7 +95,7 @@ totals AS (
 )"""
 EVENTS = """
 log AS (
-  SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS type, ts AS at, value, event_id FROM events
+  SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS type, ts AS sent_at, value, event_id FROM events
 ), sent AS (
-  SELECT job, seq, type, at, value FROM log UNION ALL SELECT job, seq, type, at, value FROM log WHERE event_id % 10 = 0
+  SELECT job, seq, type, sent_at, value FROM log UNION ALL SELECT job, seq, type, sent_at, value FROM log WHERE event_id % 10 = 0
 )"""
