@@ -222,7 +222,8 @@ def document_hints(pages: DataFrame) -> DataFrame:
     docs = pages.groupBy("doc").agg(pieces.alias("pieces"))
     text = F.array_join(F.transform("pieces", lambda p: F.coalesce(p["text"], F.lit(""))), "\n\n")
     docs = docs.select("doc", text.alias("text"), F.coalesce(F.col("pieces")[0]["text"], F.lit("")).alias("first_page"))
-    return docs.withColumns({"year_hint": year_hint(F.col("text")), "date_order": date_order(F.col("text"))})
+    found = F.struct(year_hint(F.col("text")).alias("year_hint"), date_order(F.col("text")).alias("date_order"))
+    return docs.select("*", F.explode(F.array(found)).alias("h")).select(*docs.columns, "h.year_hint", "h.date_order")
 
 
 def document_metadata(hints: DataFrame) -> DataFrame:

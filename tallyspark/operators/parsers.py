@@ -51,6 +51,11 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return pages.select("doc", "page", "year_hint", "date_order", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` for a dear value: as a generated row it is not worked out again where filters and later columns use it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -63,15 +68,15 @@ def from_lines(pages: DataFrame) -> DataFrame:
     and words.
     """
     lines = page_lines(pages).withColumn("line", F.regexp_replace(trimmed(F.col("line")), r"(?U)\s{2,}", " "))
-    lines = lines.filter(F.length("line") >= 8).withColumn("token", date_token(F.col("line")))
+    lines = once(lines.filter(F.length("line") >= 8), "token", date_token(F.col("line")))
     at = F.instr("line", F.col("token"))
     led = F.coalesce((at <= 3) & date_parts(F.col("token")).isNotNull(), F.lit(False))
-    lines = lines.withColumn("led", led)
+    lines = once(lines, "led", led)
     upto = Window.partitionBy("doc", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("date", F.last(F.when(F.col("led"), F.col("token")), ignorenulls=True).over(upto))
     rest = F.when(F.col("led"), trimmed(F.substring(F.col("line"), at + F.length("token"), F.length("line")))).otherwise(F.col("line"))
     lines = lines.filter("date IS NOT NULL").withColumn("rest", rest).filter(~is_non_transaction(F.col("rest")))
-    lines = lines.withColumn("money", money_tokens(F.col("rest"))).withColumn("n", F.size("money"))
+    lines = once(lines, "money", money_tokens(F.col("rest"))).withColumn("n", F.size("money"))
     pick = F.when(F.col("n") >= 2, F.element_at("money", -2)).when(F.col("n") == 1, F.element_at("money", 1))
     lines = lines.withColumn("pick", pick)
     before = squeezed(F.substring(F.col("rest"), F.lit(1), F.length("rest") - F.col("pick")["rest"]))
@@ -102,7 +107,7 @@ def from_cells_per_line(pages: DataFrame) -> DataFrame:
     lines = page_lines(pages).withColumn("line", trimmed(F.col("line"))).filter("line <> ''")
     dated = (F.length("line") <= 14) & F.col("line").rlike(f"^(?:{DATE_TOKEN})$")
     dated = F.coalesce(dated & date_parts(F.col("line"), F.col("date_order")).isNotNull(), F.lit(False))
-    lines = lines.withColumns({"dated": dated, "money": is_pure_money(F.col("line"))})
+    lines = once(lines, "dated", dated).withColumn("money", is_pure_money(F.col("line")))
     upto = Window.partitionBy("doc", "page").orderBy("line_no")
     lines = lines.withColumn("record", F.sum(F.col("dated").cast("int")).over(upto)).filter("record > 0")
     before = Window.partitionBy("doc", "page", "record").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -201,7 +206,7 @@ def from_tables(pages: DataFrame) -> DataFrame:
     date, said = trimmed(F.col("date")), trimmed(F.col("description"))
     rows = rows.filter(~is_non_transaction(said) & ~is_non_transaction(date) & is_date_like(date))
     credit, debit, generic = (parse_amount(F.col(c)) for c in ("credit", "debit", "amount"))
-    rows = rows.withColumns({"c": credit, "d": debit, "g": generic})
+    rows = once(rows, "m", F.struct(credit.alias("c"), debit.alias("d"), generic.alias("g"))).withColumns({k: F.col(f"m.{k}") for k in "cdg"})
     credited = (F.col("c") != 0) & (F.col("d").isNull() | (F.col("d") == 0))
     debited = F.col("d") != 0
     kind = F.lower("type")

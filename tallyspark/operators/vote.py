@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import account_key, row_key, row_key_loose, text_key
+from ..functions.scalars import account_key, let, row_key, row_key_loose, text_key
 
 #: How a field's values are compared; others compare as they are.
 COMPARE = {
@@ -39,23 +39,27 @@ def vote(values: Column, compare=lambda v: v, quorum: Column | int = 2) -> Colum
     some value is no agreement.
     """
     quorum = F.lit(quorum) if isinstance(quorum, int) else quorum
-    keys = F.transform(values, compare)
-    counts = F.transform(keys, lambda k: F.size(F.filter(keys, lambda x: x.eqNullSafe(k))))
-    votes = F.coalesce(F.array_max(counts), F.lit(0))
-    top = F.try_element_at(values, F.array_position(counts, votes).cast("int"))
-    # a candidate that is not null is one whose first value is not null
-    others = F.exists(
-        F.sequence(F.lit(1), F.size(values)),
-        lambda i: F.element_at(values, i).isNotNull() & (F.array_position(F.transform(keys, lambda k: F.coalesce(k.eqNullSafe(F.element_at(keys, i)), F.lit(False))), True) == i),
-    )
-    reached = votes >= quorum
-    return F.struct(
-        F.when(reached, top).alias("value"),
-        (reached & ~(top.isNull() & others)).alias("agreed"),
-        votes.alias("votes"),
-        F.size(values).alias("of"),
-        ((F.size(values) > 1) & (votes == F.size(values))).alias("unanimous"),
-    )
+
+    def counted(keys: Column) -> Column:
+        counts = F.transform(keys, lambda k: F.size(F.filter(keys, lambda x: x.eqNullSafe(k))))
+        # of each candidate the place at which it was first said
+        first = F.transform(keys, lambda k, i: F.size(F.filter(F.slice(keys, 1, i), lambda x: x.eqNullSafe(k))) == 0)
+        return let(F.struct(counts.alias("counts"), first.alias("first")), decided)
+
+    def decided(c: Column) -> Column:
+        votes = F.coalesce(F.array_max(c["counts"]), F.lit(0))
+        top = F.try_element_at(values, F.array_position(c["counts"], votes).cast("int"))
+        some = F.exists(F.zip_with(values, c["first"], lambda v, new: v.isNotNull() & new), lambda x: x)
+        reached = votes >= quorum
+        return F.struct(
+            F.when(reached, top).alias("value"),
+            (reached & ~(top.isNull() & some)).alias("agreed"),
+            votes.alias("votes"),
+            F.size(values).alias("of"),
+            ((F.size(values) > 1) & (votes == F.size(values))).alias("unanimous"),
+        )
+
+    return let(F.transform(values, compare), counted)
 
 
 def votes_of(fields: tuple[str, ...], said: Column, quorum: Column | int = 2) -> dict[str, Column]:
@@ -108,20 +112,36 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"key": row_key(*money, F.col("description")), "loose": row_key_loose(*money)})
 
 
-def quorum_counts(rows: DataFrame, readers: DataFrame, quorum: int = 2, key: str = "key") -> DataFrame:
-    """``(doc, key, agreed, seen_by)``: the smallest count that ``quorum`` readers share, a count of zero included; null if there is none."""
-    each = rows.groupBy("doc", key, "reader", "reader_ord").agg(F.count(F.lit(1)).alias("n"))
-    counts = each.groupBy("doc", key).agg(
-        F.collect_list("n").alias("counts"), in_reader_order().alias("seen")
-    )
-    voters = readers.groupBy("doc").agg(F.count(F.lit(1)).alias("voters"))
-    whole = F.concat("counts", F.array_repeat(F.lit(0).cast("bigint"), (F.col("voters") - F.size("counts")).cast("int")))
-    shared = F.filter(F.array_distinct("whole"), lambda n: F.size(F.filter("whole", lambda x: x == n)) >= quorum)
-    return (
-        counts.join(voters, "doc")
-        .withColumn("whole", whole)
-        .select("doc", key, F.array_min(shared).alias("agreed"), F.transform("seen", lambda s: s["reader"]).alias("seen_by"))
-    )
+def with_quorum(rows: DataFrame, key: str, order: list[str], quorum: int = 2) -> DataFrame:
+    """Adds ``occurrence``, ``agreed`` and ``seen_by`` to rows that carry ``voters``, how many read the document.
+
+    ``occurrence`` numbers a reader's rows of one key. ``agreed`` is the smallest
+    count of the key that ``quorum`` readers share, readers without it counting
+    zero; null if there is none. All windows partition by the document first, so
+    rows dealt out by document move no more.
+    """
+    place = Window.partitionBy("doc", key, "reader").orderBy(*order)
+    count = F.count(F.lit(1)).over(Window.partitionBy("doc", key, "reader"))
+    out = rows.withColumns({"occurrence": F.row_number().over(place), "n": count})
+    one = F.when(F.col("occurrence") == 1, F.struct("reader_ord", "reader", "n"))
+    out = out.withColumn("seen", F.array_sort(F.collect_list(one).over(Window.partitionBy("doc", key))))
+
+    def smallest(counts: Column) -> Column:
+        return F.array_min(F.filter(counts, lambda n: F.size(F.filter(counts, lambda x: x == n)) >= quorum))
+
+    missing = F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.col("voters") - F.size("seen")).cast("int"))
+    agreed = let(F.concat(F.transform("seen", lambda s: s["n"]), missing), smallest)
+    return out.withColumns({"agreed": agreed, "seen_by": F.transform("seen", lambda s: s["reader"])}).drop("n", "seen")
+
+
+def with_voters(rows: DataFrame, readers: DataFrame) -> DataFrame:
+    return rows.join(readers.groupBy("doc").agg(F.count(F.lit(1)).alias("voters")), "doc")
+
+
+def quorum_counts(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> DataFrame:
+    """``(doc, key, agreed, seen_by)`` of the rows' strict keys; see :func:`with_quorum`."""
+    out = with_quorum(with_voters(keyed(rows), readers), "key", ["idx"], quorum)
+    return out.groupBy("doc", "key").agg(F.first("agreed").alias("agreed"), F.first("seen_by").alias("seen_by"))
 
 
 def _accept(rows: DataFrame, key: str, matched_by: str, quorum: int) -> DataFrame:
@@ -154,19 +174,14 @@ def vote_rows(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> tuple[Dat
     ``unmatched_row``, and an accepted row whose descriptions differ a
     ``row_description``. Surplus of the second pass goes without a dispute.
     """
-    strict = keyed(rows)
-    strict = strict.join(quorum_counts(strict, readers, quorum), ["doc", "key"])
-    place = Window.partitionBy("doc", "key", "reader").orderBy("idx")
-    strict = strict.withColumn("occurrence", F.row_number().over(place))
+    strict = with_quorum(with_voters(keyed(rows), readers), "key", ["idx"], quorum)
     agreed = F.coalesce(F.col("agreed"), F.lit(0))
     exact = _accept(strict.filter(F.col("occurrence") <= agreed), "key", "exact", quorum)
     doubles = strict.filter((agreed > 0) & (F.col("occurrence") > agreed))
 
     first = F.min(F.struct("reader_ord", "idx")).over(Window.partitionBy("doc", "key"))
     left = strict.filter(agreed == 0).withColumn("first", first).drop("agreed", "seen_by", "occurrence")
-    left = left.join(quorum_counts(left, readers, quorum, "loose"), ["doc", "loose"])
-    place = Window.partitionBy("doc", "loose", "reader").orderBy("first", "idx")
-    left = left.withColumn("occurrence", F.row_number().over(place))
+    left = with_quorum(left, "loose", ["first", "idx"], quorum)
     loose = _accept(left.filter(F.col("occurrence") <= agreed), "loose", "amount+date", quorum)
     alone = left.filter(agreed == 0)
 
@@ -189,10 +204,10 @@ def vote_rows(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> tuple[Dat
 
 def in_printed_order(accepted: DataFrame, rows: DataFrame) -> DataFrame:
     """Adds ``position``: accepted rows by page, then by their first place in the read with most rows, then by key."""
-    keys = keyed(rows)
-    fullest = keys.groupBy("doc", "reader", "reader_ord").agg(F.count(F.lit(1)).alias("n"))
-    fullest = fullest.groupBy("doc").agg(F.max_by("reader", F.struct("n", -F.col("reader_ord"))).alias("reader"))
-    first = keys.join(fullest, ["doc", "reader"]).groupBy("doc", "key").agg(F.min("idx").alias("at"))
+    own = Window.partitionBy("doc", "reader")
+    keys = keyed(rows).withColumn("n", F.count(F.lit(1)).over(own))
+    fullest = F.max_by("reader", F.struct("n", -F.col("reader_ord"))).over(Window.partitionBy("doc"))
+    first = keys.withColumn("fullest", fullest).filter("reader = fullest").groupBy("doc", "key").agg(F.min("idx").alias("at"))
     order = Window.partitionBy("doc").orderBy(
         F.coalesce("page", F.lit(0)), F.coalesce("at", F.lit(2**31 - 1)), F.collate("key", "UNICODE"), "occurrence"
     )

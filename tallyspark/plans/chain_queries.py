@@ -75,7 +75,7 @@ def reads_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def quorum_count(spark, sf_dir):
     reads, readers = reads_of(spark, sf_dir)
-    out = vote.quorum_counts(vote.keyed(reads), readers)
+    out = vote.quorum_counts(reads, readers)
     return out.select("doc", "key", F.coalesce("agreed", F.lit(0)).cast("bigint").alias("agreed"), F.size("seen_by").cast("bigint").alias("seen_by"))
 
 
