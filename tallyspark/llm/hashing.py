@@ -7,6 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+SPREAD = 0xD6E8FEB86659FD93
 PART = 1 << 20
 
 
@@ -20,19 +21,39 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+@lru_cache(maxsize=1)
+def shapes() -> np.ndarray:
+    """What each code point counts as by its kind: A and a for letters by case, 0 for digits, others as themselves."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    out[letters()] = ord("a")
+    out[np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000)] = ord("A")
+    out[ord("0") : ord("9") + 1] = ord("0")
+    return out
+
+
+@lru_cache(maxsize=1)
+def cased() -> np.ndarray:
+    """Whether each code point is a letter that has case."""
+    return np.fromiter((chr(i).isupper() or chr(i).islower() for i in range(0x110000)), bool, 0x110000)
+
+
 def gram_counts(symbols: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """How often each bucket of 2**bits is hit by the n-grams of ``symbols``; long texts go in parts that overlap."""
+    """How often each bucket of 2**bits is hit by the n-grams of ``symbols``; long texts go in parts that overlap.
+
+    The hash of an n-gram goes on from that of its first n-1 symbols.
+    """
     out = np.zeros(1 << bits, np.int64)
-    reach = max(orders) - 1
+    longest = max(orders)
     for at in range(0, max(1, len(symbols)), PART):
-        part = symbols[at : at + PART + reach].astype(np.uint64)
+        part = symbols[at : at + PART + longest - 1].astype(np.uint64)
         own = min(PART, len(symbols) - at)
-        for n in orders:
-            size = min(own, len(part) - n + 1)
-            if size > 0:
-                h = np.full(size, n * 0x632BE59BD9B4E019 % (1 << 64), np.uint64)
-                for k in range(n):
-                    h = (h ^ part[k : k + size]) * np.uint64(MULTIPLIERS[k])
-                    h ^= h >> np.uint64(29)
-                out += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        h = np.zeros(own, np.uint64)
+        for k in range(longest):
+            size = min(own, len(part) - k)
+            if size <= 0:
+                break
+            h = (h[:size] ^ part[k : k + size]) * np.uint64(MULTIPLIERS[k])
+            h ^= h >> np.uint64(29)
+            if k + 1 in orders:
+                out += np.bincount((h * np.uint64(SPREAD) >> np.uint64(64 - bits)).view(np.int64), minlength=1 << bits)
     return out

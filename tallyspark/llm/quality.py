@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import code_points, gram_counts, letters
+from .hashing import cased, code_points, gram_counts, letters, shapes
 from .shared import materialise
 
 #: About how many texts the scorer is fitted on; the driver holds their hashed counts.
 SAMPLE = 4000
 BITS = 12
 ORDERS = (1, 2, 3, 4)
-#: Words and marks that end a sentence or clause.
+#: Mixes the words of a run.
+RUN_BASE = 0x9E3779B97F4A7C1
+#: Marks that end a sentence or clause.
 STOPS = frozenset(".,;:!?…。、！？")
 
 #: What measures() gives, in its order.
@@ -41,29 +43,39 @@ def measures(text: str) -> list[float] | None:
     words = text.split()
     if not words:
         return None
+    n = len(words)
     points = code_points(text)
-    is_letter = letters()[points]
-    low, high = text.lower(), text.upper()
+    has_case = int(cased()[points].sum())
+    upper = int((shapes()[points] == ord("A")).sum())
     blank = sum(map(text.count, " \n\t\r"))
-    digits = sum(map(text.count, "0123456789"))
-    plain = int(is_letter.sum()) + blank + digits + sum(map(text.count, ".,;:?'’-\"()"))
-    if len(low) == len(text) == len(high):
-        upper, cased = (code_points(low) != points).sum(), (code_points(low) != code_points(high)).sum()
-    else:
-        upper, cased = sum(map(str.isupper, text)), is_letter.sum()
-    n = len(words)
-    common = Counter(words).most_common(3) if n >= 20 else []
-    runs = set(zip(*(words[k:] for k in range(8)))) if n >= 64 else set()
+    plain = int(letters()[points].sum()) + blank + sum(map(text.count, "0123456789.,;:?'’-\"()"))
+    counts = Counter(words)
+    bars = shouts = worded = stops = 0
+    for w, c in counts.items():
+        last = w[-1]
+        if last in STOPS:
+            stops += c
+            shouts += c * (last == "!")
+            w = w[:-1]
+        if w.isalpha():
+            worded += c
+        elif len(w) < 4 and not any(map(str.isalnum, w)):
+            bars += c
+    ids = np.fromiter(map(hash, words), np.int64, n)
+    run = np.zeros(max(0, n - 7), np.int64)
+    if n >= 64:
+        for k in range(8):
+            run = (run * RUN_BASE) ^ ids[k : n - 7 + k]
     return [
         max(0, len(text) - plain) / max(1, len(text) - blank),  # marks other than common ones, of all characters but white space
-        float(max(0, upper - 1) / max(1, cased)),  # upper case but for one, of letters that have case
-        max(0, sum(map(str.__eq__, words, words[1:])) - 1) / n,  # words equal to the word before, but for one
-        max(0, sum(not any(map(str.isalnum, w)) for w in words if len(w) < 4) - 1) / n,  # words without letter or digit, but for one
-        sum(w[-1] == "!" for w in words) / n,  # words that end in an exclamation mark
-        1 - len(runs) / (n - 7) if runs else 0.0,  # runs of eight words seen before in the text
-        sum(c for _, c in common) / n,  # the three commonest words
-        min(n, sum((w if w[-1] not in STOPS else w[:-1]).isalpha() for w in words) + 4) / n,  # words of letters and a last mark, and four
-        sum(w[-1] in STOPS for w in words) / n,  # words that end in a sentence mark
+        max(0, upper - 1) / max(1, has_case),  # upper case but for one, of letters that have case
+        max(0, int((ids[1:] == ids[:-1]).sum()) - 1) / n,  # words equal to the word before, but for one
+        max(0, bars - 1) / n,  # words without letter or digit, but for one
+        shouts / n,  # words that end in an exclamation mark
+        1 - len(np.unique(run)) / (n - 7) if n >= 64 else 0.0,  # runs of eight words seen before in the text
+        sum(c for _, c in counts.most_common(3)) / n if n >= 20 else 0.0,  # the three commonest words
+        min(n, worded + 4) / n,  # words of letters and a last mark, and four
+        stops / n,  # words that end in a sentence mark
     ]
 
 
@@ -122,14 +134,7 @@ def features(text: str, found: list[float] | None) -> np.ndarray:
 
     Letters are two classes by case, digits one; other characters stand for themselves.
     """
-    points = code_points(text)
-    is_letter = letters()[points]
-    classes = np.where(is_letter, 97, points)
-    low = text.lower()
-    if len(low) == len(text):
-        classes = np.where(is_letter & (code_points(low) != points), 65, classes)
-    classes = np.where((points >= 48) & (points <= 57), 48, classes)
-    counts = gram_counts(classes, ORDERS, BITS)
+    counts = gram_counts(shapes()[code_points(text)], ORDERS, BITS)
     x = np.sqrt(counts / max(1, counts.sum()))
     for k, value in enumerate(found or []):
         step = int(np.searchsorted((0.01, 0.02, 0.04, 0.08, 0.15, 0.3, 0.5, 0.75), value))
