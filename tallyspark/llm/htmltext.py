@@ -23,11 +23,13 @@ FENCE = set("ul ol dl table article section div main body nav aside form menu".s
 ASIDE = set("nav aside footer form menu dialog button search".split())
 ASIDE_ROLE = re.compile(r"\brole\s*=\s*[\"']?(navigation|banner|contentinfo|complementary|search|form|dialog|menu|alert)\b", re.I)
 ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|foot(?:er)?|masthead|site-?header"
-    r"|page-?header|topbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|respond|disqus|replies|related"
-    r"|recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|search|widget|pagination|pager|tags?-?list|skip-?link|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?:ads?|adsense|adsby\w*|ad-?(?:box|slot|unit)|advert\w*|sponsor\w*|promo\w*|banner"
+    r"|nav\w*|menu\w*|breadcrumbs?|side-?bar|rail|foot(?:er)?|masthead|(?:site|page|top)-?(?:header|bar)|toolbar|cookies?|consent|gdpr"
+    r"|notices?|notification|alert|popup|modal|overlay|comment\w*|respond|disqus|replies|related|recommend\w*|shar(?:e|ing)|social"
+    r"|newsletter|subscri\w*|signup|log-?in|search|widgets?|pagination|pager|tags?-?list|skip-?link|hidden)(?:$|[\s_-])",
     re.I,
 )
+HEADER_NAME = re.compile(r"(?:^|\s)(?:header|copyright)(?:$|\s)", re.I)
 NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 TOKEN = re.compile(
@@ -108,9 +110,11 @@ class Page:
             return False
         if ASIDE_ROLE.search(attrs) or HIDDEN.search(attrs):
             return True
-        return tag not in ("article", "main", "p", "a", "b", "i", "em", "strong") and any(
-            ASIDE_NAME.search("".join(x)) for x in NAMES.findall(attrs)
-        )
+        if tag in ("article", "main", "p", "a", "b", "i", "em", "strong"):
+            return False
+        inside = open_.get("article") or open_.get("main")
+        names = ["".join(x) for x in NAMES.findall(attrs)]
+        return any(ASIDE_NAME.search(x) or not inside and HEADER_NAME.search(x) for x in names)
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio: float) -> float:
@@ -140,6 +144,10 @@ def main_text(html: str | None) -> str:
 
 def _select(page: Page, aside: list[bool]) -> str:
     n = len(page.tag)
+    holds = [t in ("article", "main") for t in page.tag]  # what holds the article is no notice, whatever its name
+    for e in range(n - 1, 0, -1):
+        holds[page.parent[e]] |= holds[e]
+    aside = [a and not h for a, h in zip(aside, holds, strict=True)]
     out, link = [False] * n, [False] * n
     for e in range(1, n):
         p = page.parent[e]

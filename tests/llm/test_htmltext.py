@@ -21,6 +21,8 @@ EXTRA = {
     "script": "<script>var t=\"</p><p>no\"; if (a<b) go();</script><style>p{margin:0}</style>",
     "comments": "<section id='comments'><h3>Comments</h3><p>I think that this is a very good story, thanks.</p></section>",
     "sidebar": "<div class=\"left sidebar\"><ul><li>One thing</li><li>Other thing</li></ul></div>",
+    "header name": "<div id='header'><p>The name of the site and its many words of welcome to everyone.</p></div>",
+    "comment list": "<ol class='commentlist'><li>A reader says many things about this story here.</li></ol>",
     "comment": "<!-- <p>not shown</p> -->",
 }
 
@@ -32,6 +34,11 @@ def test_leaves_out(name, shell):
     assert main_text(f"<!DOCTYPE html><html><head><title>T</title></head><body>{x}{shell.format(BODY)}{x}</body></html>") == CLEAN
 
 
+def test_names_of_wrappers():
+    assert main_text(f"<body><div class='has-sidebar'>{BODY}</div>{EXTRA['sidebar']}") == CLEAN
+    assert main_text(f"<body><div class='banner page'><article>{BODY}</article></div>{EXTRA['footer']}") == CLEAN
+
+
 def test_inside_the_article():
     inside = BODY + EXTRA["ad"] + EXTRA["comments"] + EXTRA["form"]
     assert main_text(f"<body>{EXTRA['nav']}<article>{inside}</article>") == CLEAN
