@@ -76,27 +76,26 @@ def walk_balances(rows: DataFrame) -> DataFrame:
     )
 
 
-def balance_chain(rows: DataFrame, shown: int = 20) -> DataFrame:
-    """``(doc, ok, checked, severed, break_count, breaks)``; ok is null where nothing could be checked, as with fewer than two printed balances."""
-    walked = walk_balances(rows)
-    broken = F.struct("seq", "expected", "printed")
-    out = walked.groupBy("doc").agg(
-        F.count("printed").alias("printed"),
-        F.count_if("checked").alias("checked"),
-        F.count_if("severed").alias("severed"),
-        F.count_if("broken").alias("break_count"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("broken"), broken))), 1, shown).alias("breaks"),
-    )
+def chain_counts() -> list[Column]:
+    """Aggregates over walked rows: printed, checked, severed and break_count."""
+    return [F.count("printed").alias("printed"), *[F.count_if(c).alias(n) for c, n in (("checked", "checked"), ("severed", "severed"), ("broken", "break_count"))]]
+
+
+def chain_verdict(prefix: str = "") -> list[Column]:
+    """What chain_counts say: ok, null where nothing could be checked, as with fewer than two printed balances; and the counts, zero then."""
     enough = F.col("printed") >= 2
     none = F.lit(0).cast("bigint")
-    return out.select(
-        "doc",
-        F.when(enough & (F.col("checked") > 0), F.col("break_count") == 0).alias("ok"),
-        F.when(enough, F.col("checked")).otherwise(none).alias("checked"),
-        F.when(enough, F.col("severed")).otherwise(none).alias("severed"),
-        F.when(enough, F.col("break_count")).otherwise(none).alias("break_count"),
-        F.when(enough, F.col("breaks")).alias("breaks"),
+    ok = F.when(enough & (F.col("checked") > 0), F.col("break_count") == 0).alias(f"{prefix}ok")
+    return [ok, *[F.when(enough, F.col(c)).otherwise(none).alias(f"{prefix}{c}") for c in ("checked", "severed", "break_count")]]
+
+
+def balance_chain(rows: DataFrame, shown: int = 20) -> DataFrame:
+    """``(doc, ok, checked, severed, break_count, breaks)``, the first ``shown`` breaks as structs (seq, expected, printed)."""
+    broken = F.when(F.col("broken"), F.struct("seq", "expected", F.col("printed").alias("printed")))
+    out = walk_balances(rows).groupBy("doc").agg(
+        *chain_counts(), F.slice(F.array_sort(F.collect_list(broken)), 1, shown).alias("breaks")
     )
+    return out.select("doc", *chain_verdict(), F.when(F.col("printed") >= 2, F.col("breaks")).alias("breaks"))
 
 
 def opening_net_closing(opening: Column, net: Column, closing: Column) -> Column:

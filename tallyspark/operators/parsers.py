@@ -195,9 +195,9 @@ def is_transaction_header(roles: Column) -> Column:
 def from_tables(pages: DataFrame) -> DataFrame:
     """Tables under a heading with a date and money: the credit column counts before debit, and both before a single amount."""
     both = pipe_tables(pages).withColumn("kind", F.lit(0)).unionByName(html_tables(pages).withColumn("kind", F.lit(1)))
-    heads = both.filter("row_no = 1").select("doc", "page", "kind", "table_no", header_roles(F.col("cells")).alias("roles"))
-    heads = heads.filter(is_transaction_header(F.col("roles")))
-    rows = both.filter("row_no > 1").join(heads, ["doc", "page", "kind", "table_no"])
+    head = F.when(F.col("row_no") == 1, header_roles(F.col("cells")))
+    roles = F.max(head).over(Window.partitionBy("doc", "page", "kind", "table_no"))
+    rows = both.withColumn("roles", roles).filter((F.col("row_no") > 1) & is_transaction_header(F.col("roles")))
 
     def cell(name: str) -> Column:
         return F.coalesce(F.get("cells", F.get("roles", F.lit(ROLES.index(name)))), F.lit(""))
@@ -239,9 +239,10 @@ def best_layout(pages: DataFrame) -> DataFrame:
     modes = {"tables": from_tables, "lines": from_lines, "cells": from_cells_per_line}
     each = [f(pages).withColumns({"mode": F.lit(name), "place": F.lit(k)}) for k, (name, f) in enumerate(modes.items())]
     rows = reduce(DataFrame.unionByName, each)
-    counts = rows.groupBy("doc", "page", "mode", "place").agg(F.count_if(~F.col("desc_only")).alias("n"))
-    best = counts.groupBy("doc", "page").agg(F.max_by("mode", F.struct("n", -F.col("place"))).alias("mode"))
-    return rows.drop("place").join(best, ["doc", "page", "mode"])
+    n = F.count_if(~F.col("desc_only")).over(Window.partitionBy("doc", "page", "mode"))
+    rows = rows.withColumn("rank", F.struct(n.alias("n"), (-F.col("place")).alias("place")))
+    best = F.max("rank").over(Window.partitionBy("doc", "page"))
+    return rows.withColumn("best", best).filter("rank = best").drop("place", "rank", "best")
 
 
 def parse_documents(pages: DataFrame) -> DataFrame:

@@ -214,9 +214,14 @@ def in_printed_order(accepted: DataFrame, rows: DataFrame) -> DataFrame:
     return accepted.join(first, ["doc", "key"], "left").withColumn("position", F.row_number().over(order)).drop("at")
 
 
+def most_rows(rows: DataFrame) -> DataFrame:
+    """``(doc, most)``: how many rows a document's fullest read has."""
+    return rows.groupBy("doc", "reader").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.max("n").alias("most"))
+
+
 def agreement(accepted: DataFrame, rows: DataFrame, readers: DataFrame) -> DataFrame:
     """``(doc, accepted, most, ratio)``: accepted rows against the fullest read; 1 if nobody proposed a row."""
-    most = rows.groupBy("doc", "reader").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.max("n").alias("most"))
+    most = most_rows(rows)
     counts = accepted.groupBy("doc").agg(F.count(F.lit(1)).alias("accepted"))
     zero = F.lit(0).cast("bigint")
     out = readers.select("doc").distinct().join(most, "doc", "left").join(counts, "doc", "left")

@@ -137,7 +137,7 @@ def outcome(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     accepted, disputes = vote.vote_rows(reads, readers)
     scalars = vote.vote_scalars(scalar_reads_of(spark, sf_dir))
     placed = vote.in_printed_order(accepted, reads)
-    return result.results(placed, scalars, vote.agreement(accepted, reads, readers)), disputes, scalars
+    return result.results(placed, scalars, reads), disputes, scalars
 
 
 def verdict(spark, sf_dir):
