@@ -63,7 +63,7 @@ def leaf_priorities(nodes, leaves, queries: np.ndarray) -> np.ndarray:
 
 
 def search_forest(ids, points, q_ids, queries, k: int, trees: int = TREES, leaf: int = LEAF, part: float = PART, seed: int = 7):
-    """Leaves of all trees are popped from one queue by priority until they hold ``part`` of the rows; their union is scored exactly."""
+    """Leaves of all trees are popped from one queue by priority until they hold ``part`` of the rows, or 20 k of them; their union is scored exactly."""
     rng = np.random.default_rng(seed)
     length = (points**2).sum(1)
     lifted = np.column_stack((points, np.sqrt(np.maximum(0, length.max() - length))))
@@ -78,7 +78,7 @@ def search_forest(ids, points, q_ids, queries, k: int, trees: int = TREES, leaf:
             sizes.append(len(own))
         first += len(leaves)
     sizes = np.array(sizes)
-    want = max(part * len(points), min(len(points), 4 * k)) * trees ** 0.5
+    want = max(part * len(points), min(len(points), 20 * k)) * trees**0.5  # rows that trees share count once each
     top = TopK(len(queries), k)
     for at in range(0, len(queries), 512):
         q = slice(at, at + 512)
