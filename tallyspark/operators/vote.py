@@ -10,18 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import account_key, let, row_key, row_key_loose, text_key
+from ..functions.scalars import let, row_key, row_key_loose
 
-#: How a field's values are compared; others compare as they are.
+TEXT_KEY = "nullif(trim(regexp_replace(upper(x), '[^A-Z0-9]+', ' ')), '')"
+DIGITS = "regexp_replace(x, '[^0-9]', '')"
+ACCOUNT_KEY = f"CASE WHEN length({DIGITS}) >= 4 THEN {DIGITS} ELSE {TEXT_KEY} END"
+#: How a field's values x are compared, in SQL; others compare as they are.
 COMPARE = {
-    "company_name": text_key,
-    "account_name": text_key,
-    "account_number": account_key,
-    "account_type": text_key,
-    "branch": text_key,
-    "currency": F.upper,
-    "description": text_key,
-    "reference": text_key,
+    "company_name": TEXT_KEY,
+    "account_name": TEXT_KEY,
+    "account_number": ACCOUNT_KEY,
+    "account_type": TEXT_KEY,
+    "branch": TEXT_KEY,
+    "currency": "upper(x)",
+    "description": TEXT_KEY,
+    "reference": TEXT_KEY,
 }
 SCALARS = (
     "document_type", "company_name", "account_name", "account_number", "account_type", "branch", "currency", "period_from",
@@ -31,40 +34,31 @@ CRITICAL = ("account_number", "period_from", "period_to", "opening_cents", "clos
 ROW_FIELDS = ("page", "date_iso", "date_raw", "description", "reference", "credit", "debit", "amount", "balance")
 
 
-def vote(values: Column, compare=lambda v: v, quorum: Column | int = 2) -> Column:
+def vote(values: str, compare: str = "x", quorum: str = "2") -> Column:
     """struct(value, agreed, votes, of, unanimous) of an array of what each reader said, in reader order.
 
     Values of one comparison key are one candidate, shown as first said; the most
     votes win, ties to what was said first. Null is a vote. A null that wins over
-    some value is no agreement.
+    some candidate's first value is no agreement. The arguments are SQL, for one
+    expression of this size takes seconds to put together call by call; ``get`` of a
+    one-element ``transform`` names what is used more than once.
     """
-    quorum = F.lit(quorum) if isinstance(quorum, int) else quorum
-
-    def counted(keys: Column) -> Column:
-        counts = F.transform(keys, lambda k: F.size(F.filter(keys, lambda x: x.eqNullSafe(k))))
-        # of each candidate the place at which it was first said
-        first = F.transform(keys, lambda k, i: F.size(F.filter(F.slice(keys, 1, i), lambda x: x.eqNullSafe(k))) == 0)
-        return let(F.struct(counts.alias("counts"), first.alias("first")), decided)
-
-    def decided(c: Column) -> Column:
-        votes = F.coalesce(F.array_max(c["counts"]), F.lit(0))
-        top = F.try_element_at(values, F.array_position(c["counts"], votes).cast("int"))
-        some = F.exists(F.zip_with(values, c["first"], lambda v, new: v.isNotNull() & new), lambda x: x)
-        reached = votes >= quorum
-        return F.struct(
-            F.when(reached, top).alias("value"),
-            (reached & ~(top.isNull() & some)).alias("agreed"),
-            votes.alias("votes"),
-            F.size(values).alias("of"),
-            ((F.size(values) > 1) & (votes == F.size(values))).alias("unanimous"),
-        )
-
-    return let(F.transform(values, compare), counted)
-
-
-def votes_of(fields: tuple[str, ...], said: Column, quorum: Column | int = 2) -> dict[str, Column]:
+    top = f"try_element_at({values}, CAST(array_position(c.counts, n) AS INT))"
+    some = f"exists(zip_with({values}, c.first, (v, new) -> v IS NOT NULL AND new), z -> z)"
+    decided = (
+        f"named_struct('value', if(n >= {quorum}, {top}, NULL), 'agreed', n >= {quorum} AND NOT ({top} IS NULL AND {some}),"
+        f" 'votes', n, 'of', size({values}), 'unanimous', size({values}) > 1 AND n = size({values}))"
+    )
+    counts = "transform(keys, k -> size(filter(keys, y -> y <=> k)))"
+    first = "transform(keys, (k, i) -> size(filter(slice(keys, 1, i), y -> y <=> k)) = 0)"
+    most = f"get(transform(array(coalesce(array_max(c.counts), 0)), n -> {decided}), 0)"
+    counted = f"get(transform(array(named_struct('counts', {counts}, 'first', {first})), c -> {most}), 0)"
+    return F.expr(f"get(transform(array(transform({values}, x -> {compare})), keys -> {counted}), 0)")
+
+
+def votes_of(fields: tuple[str, ...], said: str, quorum: str = "2") -> dict[str, Column]:
     """A vote for each field of an array of structs."""
-    return {f: vote(said[f], COMPARE.get(f, lambda v: v), quorum) for f in fields}
+    return {f: vote(f"{said}.{f}", COMPARE.get(f, "x"), quorum) for f in fields}
 
 
 def in_reader_order(*columns: str) -> Column:
@@ -75,7 +69,7 @@ def in_reader_order(*columns: str) -> Column:
 def vote_scalars(reads: DataFrame, quorum: int = 2) -> DataFrame:
     """One row per document with a vote struct for each of SCALARS."""
     said = reads.groupBy("doc").agg(in_reader_order(*SCALARS).alias("said"))
-    return said.select("doc", *[v.alias(f) for f, v in votes_of(SCALARS, F.col("said"), quorum).items()])
+    return said.select("doc", *[v.alias(f) for f, v in votes_of(SCALARS, "said", str(quorum)).items()])
 
 
 def vote_entries(entries: DataFrame, by: list[str], quorum: int = 2) -> DataFrame:
@@ -149,8 +143,7 @@ def _accept(rows: DataFrame, key: str, matched_by: str, quorum: int) -> DataFram
     groups = rows.groupBy("doc", F.col(key).alias("key"), "occurrence").agg(
         in_reader_order(*ROW_FIELDS).alias("said"), F.first("seen_by").alias("seen_by")
     )
-    local = F.least(F.lit(quorum), F.size("said"))
-    voted = votes_of(ROW_FIELDS, F.col("said"), local)
+    voted = votes_of(ROW_FIELDS, "said", f"least({quorum}, size(said))")
     out = groups.withColumns({f"v_{f}": v for f, v in voted.items()})
     return out.select(
         "doc",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import from_cents
+from ..functions.scalars import account_key, from_cents
 from ..operators import chain, repair, result, vote
 from . import ledger as L
 from .sql import DAMAGED, LEDGER, READS, TOTALS, VOTE, WALK
@@ -126,7 +126,7 @@ def scalar_vote(spark, sf_dir):
 def field_vote(spark, sf_dir):
     """The same vote on long rows, for one field, with its candidates."""
     entries = scalar_reads_of(spark, sf_dir).select(
-        "doc", F.lit("account_number").alias("field"), "reader", "reader_ord", F.col("account_number").alias("value"), vote.COMPARE["account_number"](F.col("account_number")).alias("key")
+        "doc", F.lit("account_number").alias("field"), "reader", "reader_ord", F.col("account_number").alias("value"), account_key(F.col("account_number")).alias("key")
     )
     out = vote.vote_entries(entries, ["doc", "field"])
     return out.select("doc", "field", "value", "agreed", "votes", "of", "unanimous", F.array_join("readers", ",").alias("readers"), F.size("candidates").cast("bigint").alias("candidates"))
