@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import mixing, pii, quality, sentencepieces, simhash
+from tallyspark.llm import mixing, nearcopies, pii, quality, sentencepieces
 from tallyspark.llm.shared import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,16 +26,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id; one row, if rows repeat that id.
-
-    Of groups in which no document has an id, one for each fingerprint stays.
-    """
-    groups = materialise(simhash.near_duplicates(docs), "groups")
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(materialise(first, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    alone = groups.filter("component_id IS NULL").select("fingerprint").distinct()
-    bare = docs.filter("doc_id IS NULL").withColumn("fingerprint", simhash.fingerprint_hex(F.col("text")))
-    return kept.union(bare.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(*COLUMNS))
+    """Of each group of near copies (see :mod:`nearcopies`) one row: that of the smallest id, then of the smallest text hash."""
+    h, own = nearcopies.text_hash(F.col("text")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    labels = nearcopies.components(docs)
+    rows = docs.select(F.col("doc_id").isNull().alias("bare"), "doc_id", h.alias("h"), own.alias("own"))
+    first = (
+        rows.join(labels, "h", "left")
+        .groupBy(F.coalesce("label", "h").alias("label"))
+        .agg(F.min(F.struct("bare", "doc_id", "h", "own")).alias("first"))
+    )
+    kept = materialise(first.select("first.h", "first.own"), "kept")
+    named = docs.withColumn("h", h).withColumn("own", own)
+    return named.join(kept, ["h", "own"], "left_semi").dropDuplicates(["h", "own"]).select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

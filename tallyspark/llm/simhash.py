@@ -28,19 +28,25 @@ RADIUS = 4
 BLOCK = 4096
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of one whole text; zero for null, empty or blank texts."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words of a whole text, of all its words if there are no more; none for blank texts."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        slices = map(joined.__getitem__, map(slice, starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist()))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(42)), np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    slices = map(joined.__getitem__, map(slice, starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist()))
+    return np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(42)), np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of one whole text; zero for null, empty or blank texts."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
