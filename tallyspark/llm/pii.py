@@ -1,8 +1,9 @@
 """Personal data: pattern spans, and terms that disclose them by information-theoretic sanitisation.
 
-A protected entity is one value of a pattern kind. For a term near its mentions,
-the corpus gives the pointwise mutual information of term and entity; divided by
-the entity's own information it says how much of the entity the term gives away.
+A protected entity is one value of a pattern kind. For a term in documents that
+hold it, the corpus gives the pointwise mutual information of term and entity;
+divided by the entity's own information it says how much of the entity the term
+gives away.
 """
 
 from __future__ import annotations
@@ -32,11 +33,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
 
-#: Code points on either side of a mention within which terms are looked at.
-WINDOW = 64
-#: Bits of the set of candidate terms that every task gets: 512 KB whatever the corpus.
+#: Bits of a set of candidates that every task gets: 512 KB whatever the corpus.
 BITS = 1 << 22
-#: Distinct terms that a task counts before it passes the counts on.
+#: Distinct terms or pairs that a task counts before it passes the counts on.
 FLUSH = 500_000
 
 
@@ -76,51 +75,42 @@ def digits_of(text: str) -> str:
     return re.sub(r"[^0-9]+", "", text)
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, list[tuple[str, int, int]]]]:
-    """Of each span its entity, as a 64-bit hash, and the terms (word, start, end) in its window outside all spans."""
-    for start, kind, end in spans:
-        value = text[start:end].lower() if kind < 2 else digits_of(text[start:end])
-        entity = xxhash.xxh64_intdigest(f"{kind}:{value}".encode("utf-8", "surrogatepass")) - (1 << 63)
-        low, high = max(0, start - WINDOW), end + WINDOW
-        terms = []
-        for m in WORD.finditer(text, low, min(high, len(text))):
-            a, b = m.span()
-            cut = a == low and a > 0 and text[a - 1].isalpha() or b == high and b < len(text) and text[b].isalpha()
-            if not cut and not any(a < e and s < b for s, _, e in spans):
-                terms.append((m[0].lower(), a, b))
-        yield entity, terms
+def entity_of(text: str, span: tuple[int, int, int]) -> int:
+    """The entity that a span mentions, as a 64-bit hash."""
+    start, kind, end = span
+    value = text[start:end].lower() if kind < 2 else digits_of(text[start:end])
+    return xxhash.xxh64_intdigest(f"{kind}:{value}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """All terms (word, start, end) of a text that touch no span."""
+    at, last = 0, 0
+    for m in WORD.finditer(text):
+        a, b = m.span()
+        while at < len(spans) and spans[at][0] < b:
+            last = max(last, spans[at][2])
+            at += 1
+        if a >= last:
+            yield m[0].lower(), a, b
 
 
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-CONTEXT = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_())])
-FOUND = "spans array<struct<start:int,kind:int,end:int>>, entities array<bigint>, context array<struct<entity:bigint,term:string,start:int,end:int,first:boolean>>"
+SPOT = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+FOUND = "spans array<struct<start:int,kind:int,end:int>>, entities array<bigint>"
+SPOTS = "tkey long, spots array<struct<entity:bigint,term:string,start:int,end:int>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans, entities, context = [], [], []
+        spans, entities = [], []
         for text in batch.column("text"):
             text = text.as_py() or ""
             own = base_spans(text)
-            seen, ents, ctx = set(), {}, []
-            if own:
-                for entity, terms in mentions(text, own):
-                    ents[entity] = True
-                    for w, a, b in terms:
-                        ctx.append({"entity": entity, "term": w, "start": a, "end": b, "first": (entity, w) not in seen})
-                        seen.add((entity, w))
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e in own])
-            entities.append(list(ents))
-            context.append(ctx)
+            entities.append(list(dict.fromkeys(entity_of(text, x) for x in own)))
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                batch.column("tkey"),
-                pa.array(spans, pa.list_(SPAN)),
-                pa.array(entities, pa.list_(pa.int64())),
-                pa.array(context, pa.list_(CONTEXT)),
-            ],
-            names=["id", "tkey", "spans", "entities", "context"],
+            [batch.column("id"), batch.column("tkey"), pa.array(spans, pa.list_(SPAN)), pa.array(entities, pa.list_(pa.int64()))],
+            names=["id", "tkey", "spans", "entities"],
         )
 
 
@@ -135,15 +125,10 @@ def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return kept.mapInArrow(_find, f"id {kind}, tkey long, {FOUND}")
 
 
-def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """``(term, n)``: in how many documents each of ``terms`` stands; the counts of other terms may come along.
-
-    Tasks get the terms as a bit set of fixed size and count what hits it, so a
-    full set costs time and no counts.
-    """
-    bit = F.crc32("term").bitwiseAND(F.lit(BITS - 1))
+def bit_set(rows: DataFrame, bit):
+    """The broadcast set of the values of ``bit``, below BITS, of all rows; its size is fixed."""
     parts = (
-        terms.groupBy(F.shiftright(bit, 15).alias("part"))
+        rows.groupBy(F.shiftright(bit, 15).alias("part"))
         .agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
         .collect()
     )
@@ -151,7 +136,83 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
     bits = bytearray(BITS // 8)
     for r in parts:
         bits[r["part"] * size : (r["part"] + 1) * size] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(bits))
+    return rows.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
+def pair_counts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFrame:
+    """``(entity, term, both)``: in how many whole documents a term stands with each of ``entities``; pairs of others may come along."""
+    shared = bit_set(entities, F.col("entity").bitwiseAND(F.lit(BITS - 1)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, counts = shared.value, Counter()
+
+        def out() -> pa.RecordBatch:
+            e, t = zip(*counts, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(e, pa.int64()), pa.array(t, pa.string()), pa.array(list(counts.values()), pa.int64())],
+                names=["entity", "term", "both"],
+            )
+
+        for batch in batches:
+            for text in batch.column(0):
+                text = text.as_py() or ""
+                spans = base_spans(text)
+                own = {e for x in spans if have[((e := entity_of(text, x)) & (BITS - 1)) >> 3] >> (e & 7) & 1}
+                terms = {w for w, _, _ in terms_of(text, spans)} if own else ()
+                for e in own:
+                    counts.update((e, w) for w in terms)
+                    if len(counts) >= FLUSH:
+                        yield out()
+                        counts.clear()
+        if counts:
+            yield out()
+
+    found = docs.select(text_col).mapInArrow(count, "entity long, term string, both long")
+    return found.groupBy("entity", "term").agg(F.sum("both").alias("both"))
+
+
+def term_spots(docs: DataFrame, text_col: str, flagged: DataFrame) -> DataFrame:
+    """``(tkey, spots)``: every occurrence of a flagged term in the texts that hold its entity; other spots may come along."""
+    pair = F.concat_ws(":", F.col("entity").cast("string"), "term")
+    shared = bit_set(flagged, F.crc32(pair).bitwiseAND(F.lit(BITS - 1)))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zlib import crc32
+
+        have = shared.value
+
+        def wanted(entity: int, word: str) -> bool:
+            at = crc32(f"{entity}:{word}".encode("utf-8", "surrogatepass")) & (BITS - 1)
+            return bool(have[at >> 3] >> (at & 7) & 1)
+
+        for batch in batches:
+            keys, spots = [], []
+            for key, text in zip(batch.column("tkey"), batch.column("text"), strict=True):
+                text = text.as_py() or ""
+                spans = base_spans(text)
+                if not spans:
+                    continue
+                own, where = {entity_of(text, x) for x in spans}, {}
+                for w, a, b in terms_of(text, spans):
+                    where.setdefault(w, []).append((a, b))
+                hits = [
+                    {"entity": e, "term": w, "start": a, "end": b} for w, at in where.items() for e in own if wanted(e, w) for a, b in at
+                ]
+                if hits:
+                    keys.append(key.as_py())
+                    spots.append(hits)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spots, pa.list_(SPOT))], names=["tkey", "spots"])
+
+    return docs.select(text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")).mapInArrow(look, SPOTS)
+
+
+def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
+    """``(term, n)``: in how many documents each of ``terms`` stands; the counts of other terms may come along.
+
+    Tasks get the terms as a bit set of fixed size and count what hits it, so a
+    full set costs time and no counts.
+    """
+    shared = bit_set(terms, F.crc32("term").bitwiseAND(F.lit(BITS - 1)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
@@ -195,20 +256,15 @@ def disclosing_spans(
     A term discloses an entity if they stand together in at least
     ``min_documents`` documents and their mutual information
     log(N n(t,e) / (n(t) n(e))) is at least ``disclosure`` times the entity's
-    information log(N / n(e)). N and all n count documents, over the whole table.
+    information log(N / n(e)). N and all n count whole documents, over the whole
+    table, and every occurrence in a text that holds the entity is a span.
     An entity that stands everywhere has no information to give away.
     """
     rows = found.count()
-    pairs = (
-        found.select(F.explode("context").alias("c"))
-        .filter("c.first")
-        .groupBy(F.col("c.entity").alias("entity"), F.col("c.term").alias("term"))
-        .agg(F.count(F.lit(1)).alias("both"))
-        .filter(F.col("both") >= min_documents)
-    )
-    pairs = materialise(pairs, "term-pairs")
-    terms = term_counts(docs, text_col, pairs.select("term").distinct()).withColumnRenamed("n", "n_term")
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    entities = materialise(entities.filter(F.col("n_entity") >= min_documents), "entities")  # no other has such a term
+    pairs = materialise(pair_counts(docs, text_col, entities).filter(F.col("both") >= min_documents), "term-pairs")
+    terms = term_counts(docs, text_col, pairs.select("term").distinct()).withColumnRenamed("n", "n_term")
     whole = F.lit(float(rows))
     told = F.log(whole * F.col("both") / (F.col("n_term") * F.col("n_entity")))
     own = F.log(whole / F.col("n_entity"))
@@ -216,10 +272,8 @@ def disclosing_spans(
         pairs.join(terms, "term").join(entities, "entity").filter((own > 0) & (told >= disclosure * own)).select("entity", "term"),
         "disclosing",
     )
-    texts = found.filter(F.size("context") > 0).groupBy("tkey").agg(F.first("context").alias("context"))
-    spots = texts.select("tkey", F.explode("context").alias("c")).select(
-        "tkey", F.col("c.entity").alias("entity"), F.col("c.term").alias("term"), F.col("c.start").alias("start"), F.col("c.end").alias("end")
-    )
+    texts = term_spots(docs, text_col, flagged).groupBy("tkey").agg(F.first("spots").alias("spots"))
+    spots = texts.select("tkey", F.explode("spots").alias("c")).select("tkey", "c.*")
     span = F.struct("start", F.lit(TERM).alias("kind"), "end")
     return materialise(
         spots.join(flagged, ["entity", "term"]).groupBy("tkey").agg(F.array_sort(F.collect_set(span)).alias("terms")),
