@@ -21,17 +21,23 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
 #: Elements that the end tags implied by CLOSES never reach past.
 FENCE = set("ul ol dl table article section div main body nav aside form menu".split())
 ASIDE = set("nav aside footer form menu dialog button search".split())
-ASIDE_ROLE = re.compile(r"\brole\s*=\s*[\"']?(navigation|banner|contentinfo|complementary|search|form|dialog|menu|alert)\b", re.I)
-ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?:ads?|adsense|adsby\w*|ad-?(?:box|slot|unit)|advert\w*|sponsor\w*|promo\w*|banner"
-    r"|nav\w*|menu\w*|breadcrumbs?|side-?bar|rail|foot(?:er)?|masthead|(?:site|page|top)-?(?:header|bar)|toolbar|cookies?|consent|gdpr"
-    r"|notices?|notification|alert|popup|modal|overlay|comment\w*|respond|disqus|replies|related|recommend\w*|shar(?:e|ing)|social"
-    r"|newsletter|subscri\w*|signup|log-?in|search|widgets?|pagination|pager|tags?-?list|skip-?link|hidden)(?:$|[\s_-])",
-    re.I,
+ASIDE_ROLE = set("navigation banner contentinfo complementary search form dialog menu alert".split())
+_NAME = (
+    r"(?:ads?|adsense|adsby\w*|ad-?(?:box|slot|unit)|adverts?|advertis\w+|sponsor(?:s|ed)?|promos?|promotions?|banner"
+    r"|nav|navbar|navigation|menu|menubar|breadcrumbs?|side-?bar|rail|foot(?:er)?|masthead|(?:site|page|top)-?(?:header|bar)|toolbar|cookies?|consent|gdpr"
+    r"|notices?|notification|alert|popup|modal|overlay|related|recommend(?:ed|ations?)|shar(?:e|ing)|social"
+    r"|newsletter|subscri(?:be|ption)|signup|log-?in|search|widgets?|pagination|pager|tags?-?list|skip-?link|hidden|{})"
 )
-HEADER_NAME = re.compile(r"(?:^|\s)(?:header|copyright)(?:$|\s)", re.I)
-NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_COMMENT = r"comment-?list|comments|respond|disqus|replies"
+_WHOLE = r"(?:(?:site|page|main|top|bottom|global|primary|secondary|post|entry)[-_])?{0}(?:[-_]{0})*(?:[-_](?:box|bar|list|links?|buttons?|wrap|wrapper|container|form|area|section|block|posts|inner))?"
+#: Whole names (of class or id) of what is no article, and those of them that hold prose as dense as one.
+ASIDE_NAME = re.compile(_WHOLE.format(_NAME.format(_COMMENT)), re.I)
+COMMENT_NAME = re.compile(_WHOLE.format(f"(?:{_COMMENT})"), re.I)
+HEADER_NAME = set("header copyright".split())
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+#: Why an element is set aside: its tag, role or being hidden; its name; the name of a list of comments.
+HARD, NAMED, COMMENTS = 1, 2, 3
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>(?:.*?</(?P=raw)\s*+>|(?=.))"
@@ -46,7 +52,7 @@ class Page:
     """The element tree as parallel lists; element 0 is the root, and parents come before their children."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.aside = ["#root"], [-1], [False]
+        self.tag, self.parent, self.aside = ["#root"], [-1], [0]
         self.content: list[tuple[int, str | None]] = []  # (element, text), or (element, None) at a block's edge
         self.until = [0]
         stack, open_, at = [0], {}, 0
@@ -103,18 +109,24 @@ class Page:
                 return
 
     @staticmethod
-    def _is_aside(tag, attrs, open_) -> bool:
+    def _is_aside(tag, attrs, open_) -> int:
         if tag in ASIDE or tag == "header" and not (open_.get("article") or open_.get("main")):
-            return True
+            return HARD
         if not attrs or tag in ("html", "body"):
-            return False
-        if ASIDE_ROLE.search(attrs) or HIDDEN.search(attrs):
-            return True
+            return 0
+        have: dict[str, str] = {}
+        for name, *value in ATTR.findall(attrs):
+            have.setdefault(name.lower(), "".join(value))
+        role = have.get("role", "").lower().split()
+        if role and role[0] in ASIDE_ROLE or "hidden" in have or have.get("aria-hidden", "").strip().lower() == "true" or UNSEEN.search(have.get("style", "")):
+            return HARD
         if tag in ("article", "main", "p", "a", "b", "i", "em", "strong"):
-            return False
+            return 0
         inside = open_.get("article") or open_.get("main")
-        names = ["".join(x) for x in NAMES.findall(attrs)]
-        return any(ASIDE_NAME.search(x) or not inside and HEADER_NAME.search(x) for x in names)
+        names = [x for key in ("class", "id") for x in have.get(key, "").split()]
+        if any(map(COMMENT_NAME.fullmatch, names)):
+            return COMMENTS
+        return NAMED if any(ASIDE_NAME.fullmatch(x) or not inside and x.lower() in HEADER_NAME for x in names) else 0
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio: float) -> float:
@@ -130,24 +142,38 @@ def main_text(html: str | None) -> str:
     """The article's text, one line for each block; empty for null, blank or textless pages.
 
     Elements that are menus, forms, notices and the like by tag, role or name are
-    set aside with all they hold. Of the rest the element whose children's
-    densities sum highest is the centre. An enclosing article or main element is
-    taken whole; else the centre, and along its path to the body the headings and
-    siblings that are at least as dense as the thinnest element of that path. If
-    nothing remains, nothing is set aside.
+    set aside with all they hold, unless they hold the centre that density finds
+    when names (but for those of comments) do not count. Of the rest the element
+    whose children's densities sum highest is the centre. An enclosing article or
+    main element is taken whole; else the centre, and along its path to the body
+    the headings and siblings that are at least as dense as the thinnest element
+    of that path. If nothing remains, nothing is set aside.
     """
     if not html or html.isspace():
         return ""
     page = Page(html)
-    return _select(page, page.aside) or _select(page, [False] * len(page.aside))
+    return _select(page, _set_aside(page)) or _select(page, [False] * len(page.aside))
 
 
-def _select(page: Page, aside: list[bool]) -> str:
+def _set_aside(page: Page) -> list[bool]:
+    """What is set aside: all that :class:`Page` names, but for what holds the centre of the page."""
     n = len(page.tag)
-    holds = [t in ("article", "main") for t in page.tag]  # what holds the article is no notice, whatever its name
+    holds = [t in ("article", "main") for t in page.tag]
     for e in range(n - 1, 0, -1):
         holds[page.parent[e]] |= holds[e]
-    aside = [a and not h for a, h in zip(aside, holds, strict=True)]
+    trial = [a == COMMENTS or a == HARD and not h for a, h in zip(page.aside, holds, strict=True)]
+    aside = [a > 0 for a in page.aside]
+    if trial != aside and (found := _densities(page, trial)):
+        e = found[0]
+        while e > 0:
+            aside[e] = trial[e]
+            e = page.parent[e]
+    return aside
+
+
+def _densities(page: Page, aside: list[bool]) -> tuple[int, list[float], list[bool]] | None:
+    """The centre, the density of every element and whether it is left out; None if no text remains."""
+    n = len(page.tag)
     out, link = [False] * n, [False] * n
     for e in range(1, n):
         p = page.parent[e]
@@ -165,7 +191,7 @@ def _select(page: Page, aside: list[bool]) -> str:
             tags[p] += tags[e] + 1
             link_tags[p] += link_tags[e] + (page.tag[e] == "a")
     if not chars[0]:
-        return ""
+        return None
     ratio = links[0] / chars[0]
     dense = [density(*x, ratio) for x in zip(chars, tags, links, link_tags, strict=True)]
     sums = [0.0] * n
@@ -173,6 +199,15 @@ def _select(page: Page, aside: list[bool]) -> str:
         if not out[e]:
             sums[page.parent[e]] += dense[e]
     centre = max(range(n), key=lambda e: (sums[e], dense[e], -e))
+    return centre, dense, out
+
+
+def _select(page: Page, aside: list[bool]) -> str:
+    found = _densities(page, aside)
+    if not found:
+        return ""
+    n = len(page.tag)
+    centre, dense, out = found
     path = [centre]
     while path[-1]:
         path.append(page.parent[path[-1]])

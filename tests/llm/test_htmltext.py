@@ -84,3 +84,20 @@ def test_edges(spark):
     assert htmltext.extract(spark.createDataFrame([], kind)).count() == 0
     got = htmltext.extract(spark.createDataFrame([(1, None, None, "x", 1), (1, "u", "<p>é😀</p>", "x", 1)], kind)).collect()
     assert sorted(map(tuple, got), key=str) == [(1, "u", "é😀", 2), (1, None, "", 0)]
+
+
+@pytest.mark.parametrize(
+    "name", ["post overflow-hidden", "article-body left-sidebar", "navy-text", "job-search-guide", "social-history", "data-widget content", "commentary", "widget"]
+)
+def test_names_that_hold_the_article(name):
+    inner = f"<h1>A title</h1><div class='{name}'>{BODY.removeprefix('<h1>A title</h1>')}</div>"
+    assert main_text(f"<body>{EXTRA['nav']}<article>{inner}{EXTRA['ad']}</article>{EXTRA['footer']}") == CLEAN
+
+
+def test_hidden_is_an_attribute():
+    assert main_text("<article><p title='the hidden cost'>One two.</p><p hidden>No.</p><p data-x=hidden>Three.</p></article>") == "One two.\nThree."
+
+
+def test_comments_that_are_articles():
+    comments = "<section class='comments'>" + "<article class='comment'><p>I think that this is a good story.</p></article>" * 3 + "</section>"
+    assert main_text(f"<body><article>{BODY}{comments}</article>{EXTRA['footer']}") == CLEAN
