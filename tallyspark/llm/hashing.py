@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -21,11 +22,43 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+#: Marks of other scripts and what each stands for.
+STANDS_FOR = {c: ord(to) for to, marks in {".": "。．｡।॥۔።។။།", ",": "，、､،፣", "!": "！", "?": "？؟", ";": "；؛", ":": "："}.items() for c in marks}
+#: Marks of typography, not of sentences, though Unicode has them among punctuation.
+ODD_MARKS = frozenset("§¶†‡•‣※⁂⁎⁑")
+
+
+@lru_cache(maxsize=1)
+def categories() -> np.ndarray:
+    """The first letter of each code point's Unicode category."""
+    return np.fromiter((ord(unicodedata.category(chr(i))[0]) for i in range(0x110000)), np.uint8, 0x110000)
+
+
+@lru_cache(maxsize=1)
+def written() -> np.ndarray:
+    """Whether a code point is a letter, a mark upon letters, a joiner of them or, beyond ASCII, a digit or a mark of sentences."""
+    out = np.isin(categories(), [ord("L"), ord("M")]) | letters()
+    out[128:] |= categories()[128:] == ord("P")
+    out[[i for i in range(128, 0x110000) if chr(i).isdecimal()]] = True
+    out[[0x200C, 0x200D]] = True
+    out[[ord(c) for c in ODD_MARKS]] = False
+    out[ord("’")] = False  # counted with the ASCII ones
+    return out
+
+
+@lru_cache(maxsize=1)
+def upon_letters() -> dict[int, None]:
+    """Marks upon letters and their joiners, as a table that str.translate deletes."""
+    return dict.fromkeys([*np.flatnonzero(categories() == ord("M")).tolist(), 0x200C, 0x200D])
+
+
 @lru_cache(maxsize=1)
 def shapes() -> np.ndarray:
-    """What each code point counts as by its kind: A and a for letters by case, 0 for digits, others as themselves."""
+    """What each code point counts as by its kind: A and a for letters by case, 0 for digits, stops as ASCII has them, others as themselves."""
     out = np.arange(0x110000, dtype=np.uint32)
-    out[letters()] = ord("a")
+    out[letters() | (categories() == ord("M"))] = ord("a")
+    out[[i for i in range(128, 0x110000) if chr(i).isdecimal()]] = ord("0")
+    out[[ord(c) for c in STANDS_FOR]] = list(STANDS_FOR.values())
     out[np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000)] = ord("A")
     out[ord("0") : ord("9") + 1] = ord("0")
     return out

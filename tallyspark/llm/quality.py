@@ -9,6 +9,7 @@ character classes, and that scorer judges.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import cased, code_points, gram_counts, letters, shapes
+from .hashing import STANDS_FOR, cased, code_points, gram_counts, shapes, upon_letters, written
 from .shared import materialise
 
 #: About how many texts the scorer is fitted on; the driver holds their hashed counts.
@@ -29,7 +30,23 @@ ORDERS = (1, 2, 3, 4)
 #: Mixes the words of a run.
 RUN_BASE = 0x9E3779B97F4A7C1
 #: Marks that end a sentence or clause.
-STOPS = frozenset(".,;:!?…。、！？")
+STOPS = frozenset(".,;:!?…") | frozenset(STANDS_FOR)
+#: Letters of scripts that put no spaces between words (Thai, Lao, Burmese, Khmer, Tibetan, kana, Han), which come without them here.
+_UNSPACED = "\u0e01-\u0e30\u0e32\u0e33\u0e40-\u0e46\u0e81-\u0eb0\u0ebd-\u0ec6\u0f40-\u0f6c\u1000-\u102a\u1780-\u17b3\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+UNSPACED = re.compile(f"[{_UNSPACED}]")
+#: Where a letter begins that counts as a word.
+UNSPACED_EDGE = re.compile(f"(?=[{_UNSPACED}])")
+
+
+def words_of(text: str) -> list[str]:
+    """Words by white space; letters of scripts without it are words of their own, with the marks behind them."""
+    return (UNSPACED_EDGE.sub(" ", text) if not text.isascii() and UNSPACED.search(text) else text).split()
+
+
+def of_letters(word: str) -> bool:
+    """Whether a word is letters and marks upon them."""
+    return word.isalpha() or not word.isascii() and word.translate(upon_letters()).isalpha()
+
 
 #: What measures() gives, in its order.
 MEASURES = ("symbols", "capitals", "repeats", "bars", "shouts", "cycles", "spread", "plain", "stops")
@@ -40,7 +57,7 @@ LABELLERS = (*BAD_FROM, "prose", "sentences")
 
 def measures(text: str) -> list[float] | None:
     """The labellers' measures of a whole text; None if it has no words."""
-    words = text.split()
+    words = words_of(text)
     if not words:
         return None
     n = len(words)
@@ -48,16 +65,16 @@ def measures(text: str) -> list[float] | None:
     has_case = int(cased()[points].sum())
     upper = int((shapes()[points] == ord("A")).sum())
     blank = sum(map(text.count, " \n\t\r"))
-    plain = int(letters()[points].sum()) + blank + sum(map(text.count, "0123456789.,;:?'’-\"()"))
+    plain = int(written()[points].sum()) + blank + sum(map(text.count, "0123456789.,;:?'’-\"()"))
     counts = Counter(words)
     bars = shouts = worded = stops = 0
     for w, c in counts.items():
         last = w[-1]
         if last in STOPS:
             stops += c
-            shouts += c * (last == "!")
+            shouts += c * (last in "!！")
             w = w[:-1]
-        if w.isalpha():
+        if of_letters(w):
             worded += c
         elif len(w) < 4 and not any(map(str.isalnum, w)):
             bars += c
@@ -132,7 +149,7 @@ def fit_labels(patterns: dict[int, int], rounds: int = 100) -> LabelModel:
 def features(text: str, found: list[float] | None) -> np.ndarray:
     """Hashed features of a whole text: square roots of the shares of its n-grams of character classes, and its measures in steps.
 
-    Letters are two classes by case, digits one; other characters stand for themselves.
+    Letters are two classes by case, digits one, stops of all scripts the ASCII ones; other characters stand for themselves.
     """
     counts = gram_counts(shapes()[code_points(text)], ORDERS, BITS)
     x = np.sqrt(counts / max(1, counts.sum()))

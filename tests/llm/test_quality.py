@@ -59,3 +59,19 @@ def test_edges(spark):
     assert len(got) == len(rows)
     assert all(r.quality_keep == (r.doc_id is None or r.doc_id < 200) for r in got)
     assert [r.quality_score for r in got if r.doc_id == 300] == [0.0]
+
+
+def test_clean_texts_of_other_scripts(spark):
+    hindi = "भारत एक विशाल देश है और यहाँ अनेक भाषाएँ बोली जाती हैं। लोग सुबह जल्दी उठते हैं, फिर अपने काम पर जाते हैं। बच्चे विद्यालय में पढ़ते हैं और शाम को खेलते हैं।".split()
+    chinese = "今天天气很好，我们一起去公园散步。孩子们在草地上玩耍，老人坐在树下聊天。晚上回家以后，大家做饭、看书、休息。第二天早上又要去学校上课！"
+    thai = "วันนี้อากาศดีมากเราจึงไปเดินเล่นที่สวนสาธารณะด้วยกัน เด็กๆเล่นอยู่บนสนามหญ้าส่วนผู้สูงอายุนั่งคุยกันใต้ต้นไม้ ตอนเย็นทุกคนกลับบ้านทำอาหารและอ่านหนังสือ"
+    rng = random.Random(3)
+    texts = [" ".join(rng.sample(hindi, len(hindi))) for _ in range(5)] + [chinese, thai]
+    for text in texts:
+        m = dict(zip(quality.MEASURES, quality.measures(text), strict=True))
+        assert m["symbols"] < 0.02 and m["plain"] >= 0.9, (text, m)
+    prose = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    own = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], prose.schema)
+    got = quality.classify(prose.union(own)).filter("doc_id >= 1000000").collect()
+    assert all(r.quality_keep for r in got), [(r.doc_id, r.quality_score) for r in got]
+    assert quality.votes(quality.measures("¶¶§ ••• ‡‡‡ §§§ " * 20)) % 3 == 1
