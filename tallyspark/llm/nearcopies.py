@@ -25,6 +25,8 @@ SAME, OF = 4, 5
 ROWS, BANDS = 6, 30
 #: Shingles whose minima are taken at once.
 PART = 2048
+#: Sets that leave a task's Python at once.
+SLICE = 512
 _rng = np.random.default_rng(10)
 _TIMES = _rng.integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64)
@@ -65,19 +67,11 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sets, pa.list_(pa.int64()))], names=["h", "set"])
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-            a, b = a.values.to_numpy(), b.values.to_numpy()
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(OF * both >= SAME * (len(a) + len(b) - both))
-        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sets, pa.list_(pa.int64()))], names=["h", "set"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -85,7 +79,8 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(sets.select(F.col("h").alias("u"), F.col("set").alias("a")), "u").join(
         sets.select(F.col("h").alias("v"), F.col("set").alias("b")), "v"
     )
-    return both.select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long")
+    same = F.size(F.array_intersect("a", "b"))
+    return both.filter(same * OF >= (F.size("a") + F.size("b") - same) * SAME).select("u", "v")
 
 
 def components(docs: DataFrame, text_col: str = "text") -> DataFrame:
