@@ -1,8 +1,10 @@
 import random
 import struct
+import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -84,7 +86,7 @@ CASES = ["a", " ", "  ", " a", "a ", "a  b", "   a   b   ", "▁", "a▁b", "x\n
 @pytest.mark.parametrize("text", CASES)
 def test_against_brute_force_and_round_trip(text):
     assert one(text) == slow(text)
-    assert DECODER.decode(one(text)) == text
+    assert DECODER.decode(pa.array([one(text)], pa.list_(pa.int32()))).to_pylist() == [text]
 
 
 def test_texts_against_brute_force():
@@ -110,7 +112,7 @@ def test_same_as_the_library_as_unigram():
 def test_memory_limit_changes_nothing(monkeypatch):
     texts = words(3, 60)
     whole = [one(t) for t in texts]
-    monkeypatch.setattr(sentencepieces, "REMEMBER", 50)
+    monkeypatch.setattr(sentencepieces, "REMEMBER", 5000)
     monkeypatch.setattr(sentencepieces, "TOGETHER", 64)
     fresh = Encoder(PIECES)
     for at in range(0, 60, 7):
@@ -127,3 +129,29 @@ def test_frames(spark):
     assert sentencepieces.encode(docs.limit(0)).count() == 0
     odd = spark.createDataFrame([([300, None, -1, 99999, 1, 0],), (None,)], "ids array<int>")
     assert [r.decoded for r in sentencepieces.decode(odd).collect()] == [PIECES.texts[300].replace("▁", " ").removeprefix(" ") + " ⁇ ", None]
+
+
+def test_long_words_against_brute_force(monkeypatch):
+    """Words without spaces, of scripts and repetitions that tie, cut into chunks and spans of chunks."""
+    rng = random.Random(4)
+    prose = "".join(words(5, 20)).replace(" ", "")
+    texts = ["a" * 700, "ab" * 333, prose, "".join(rng.choice("日本語、テキスト。ab") for _ in range(900)), " " * 400, "é😀" * 200 + "the" * 200]
+    whole = [slow(t) for t in texts]
+    assert [one(t) for t in texts] == whole
+    monkeypatch.setattr(sentencepieces, "TOGETHER", 256)
+    fresh = Encoder(PIECES)
+    assert [fresh.encode([t])[0].tolist() for t in texts] == whole
+
+
+def test_a_long_word_takes_time_in_proportion():
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz日本語") for _ in range(300_000))
+    start = time.time()
+    ids = pa.array([Encoder(PIECES).encode([text])[0]], pa.list_(pa.int32()))
+    assert DECODER.decode(ids).to_pylist() == [text]
+    assert time.time() - start < 20
+
+
+def test_check_of_the_round_trip(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", *CASES])], "doc_id long, text string")
+    assert all(r.ok for r in sentencepieces.encode(docs, check_col="ok").collect())
