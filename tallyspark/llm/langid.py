@@ -6,16 +6,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import code_points, gram_counts, letters
+from .shared import of_text, slices
 
 BITS = 14
 ORDERS = (1, 2, 3)
-#: About how many labelled texts the classifier is fitted on; the driver holds their n-gram counts.
+#: About how many different labelled texts the classifier is fitted on; the driver holds their n-gram counts.
 SAMPLE = 3000
 
 
@@ -107,7 +107,7 @@ def held_out(id_: Column) -> Column:
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, texts = np.zeros(1 << BITS, np.int64), 0
-    for batch in batches:
+    for batch in slices(batches, "text"):
         for text in batch.column(0):
             counts = counts_of(text.as_py())
             if counts is not None:
@@ -118,7 +118,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text"):
         labels, ats, values = [], [], []
         for text, label in zip(batch.column("text"), batch.column("label"), strict=True):
             counts = counts_of(text.as_py())
@@ -134,18 +134,22 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model:
-    """Document frequencies come from all rows of ``labelled``; weights and temperature from about ``sample`` of them, by a hash of the id.
+    """Document frequencies come from all rows of ``labelled``; weights and temperature from about ``sample`` of them, by a hash of id, text and label.
 
-    A fifth of the sample sets the temperature only.
+    Rows equal in these three count as one in the sample, so that its size is bounded
+    whatever repeats. A fifth of the sample sets the temperature only.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    rows = labelled.select(
+        F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(id_col, text_col, label_col, F.lit(91)).alias("row")
+    )
+    different = rows.agg(F.approx_count_distinct("row")).first()[0]
     df = {r["gram"]: r["n"] for r in rows.select("text").mapInArrow(_document_frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
     texts = df.pop(-1, 0)
     idf = np.zeros(1 << BITS)
     for gram, n in df.items():
         idf[gram] = np.log((1 + texts) / (1 + n)) + 1
-    share = F.pmod(F.xxhash64("id", F.lit(91)), F.lit(1_000_003)) < F.lit(1_000_003 * sample / max(1, texts))
-    got = rows.filter(share).select("text", "label").mapInArrow(_sample_counts, "label string, at array<short>, n array<short>").toArrow()
+    share = F.pmod("row", F.lit(1_000_003)) < F.lit(1_000_003 * sample / max(1, different))
+    got = rows.filter(share).dropDuplicates(["row"]).select("text", "label").mapInArrow(_sample_counts, "label string, at array<short>, n array<short>").toArrow()
     labels = got.column("label").to_pylist()
     classes = sorted(set(labels))
     if not classes:
@@ -176,9 +180,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     labelled = docs.filter(~held_out(F.col(id_col)) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     model = docs.sparkSession.sparkContext.broadcast(train(labelled, id_col, text_col, label_col, sample))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
-    found = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), predict(F.col(text_col)).alias("found"))
+    def predict(text: str | None) -> dict:
+        return dict(zip(("lang_pred", "score"), model.value.predict(text), strict=True))
+
+    told = of_text("lang_pred string, score double", kind, predict, F.col(text_col))
+    found = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), told.alias("found"))
     return found.select(id_col, "held_out", "found.lang_pred", "found.score")

@@ -1,9 +1,12 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands propose pairs, exact sets decide.
-
-Texts share a band of ROWS minima with probability J**ROWS. Of pairs with J = 0.8
-one in 9,000 shares none of the BANDS bands, of more similar ones fewer still.
-Whatever shares a band is compared by its whole shingle set, unless links found
-before connect it already.
+"""Near copies: op10's operator with five-word shingles proposes what its radius covers, MinHash bands the rest, exact sets decide.
+
+Covering tables bring together every pair of texts whose SimHash fingerprints differ
+in RADIUS bits at most. Of texts with Jaccard similarity 0.8 most differ in more
+bits (10 of 64 on average), and covering those would take thousands of tables, so
+MinHash bands are searched as well: texts share a band of ROWS minima with
+probability J**ROWS, and of pairs with J = 0.8 one in 9,000 shares none of the BANDS
+bands, of more similar ones fewer still. Whatever meets by either way is compared
+by its whole shingle set, unless links found before connect it already.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise
-from .simhash import shingle_hashes
+from .shared import forget, materialise, slices
+from .simhash import fingerprint_links, of_hashes, shingle_hashes
 
 SHINGLE = 5
 #: The least similarity of near copies is SAME / OF.
@@ -25,17 +28,15 @@ SAME, OF = 4, 5
 ROWS, BANDS = 6, 30
 #: Shingles whose minima are taken at once.
 PART = 2048
-#: Sets that leave a task's Python at once.
-SLICE = 512
 _rng = np.random.default_rng(10)
 _TIMES = _rng.integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def distinct_of(hashes: np.ndarray) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text; a text without words has one of its own."""
-    found = np.unique(shingle_hashes(text, SHINGLE))
+    found = np.unique(hashes)
     return found if len(found) else np.zeros(1, np.uint64)
 
 
@@ -54,24 +55,30 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, keys = [], []
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        sizes, prints, keys = [], [], []
         for text in batch.column("text"):
-            own = shingle_set(text.as_py())
+            hashes = shingle_hashes(text.as_py(), SHINGLE)
+            own = distinct_of(hashes)
             sizes.append(len(own))
+            prints.append(of_hashes(hashes))
             keys.append(band_keys(own))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("h"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["h", "n", "bands"]
-        )
+        columns = [batch.column("h"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "n", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(at, SLICE)
-            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sets, pa.list_(pa.int64()))], names=["h", "set"])
+    for batch in slices(batches, "text"):
+        sets = [distinct_of(shingle_hashes(t.as_py(), SHINGLE)).view(np.int64) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sets, pa.list_(pa.int64()))], names=["h", "set"])
+
+
+def covered(prints: DataFrame) -> DataFrame:
+    """``(u, v)``: the texts that stand for two of the fingerprints ``prints(fp, rep)``, for links that connect all within the radius."""
+    links = fingerprint_links(prints.select("fp"))
+    first = prints.select(F.col("fp").alias("u"), F.col("rep").alias("first"))
+    return links.join(first, "u").join(prints.withColumnRenamed("fp", "v"), "v").select(F.col("first").alias("u"), F.col("rep").alias("v"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -84,17 +91,27 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(h, label)`` for the :func:`text_hash` of every text that has near copies other than itself."""
+    """``(h, label)`` for the :func:`text_hash` of every text that has near copies other than itself.
+
+    Null and empty texts are one text. Texts of fewer than five words are one
+    shingle, texts without words are alike. An empty table gives no rows; ids and other
+    columns take no part.
+    """
     texts = docs.select(text_hash(F.col(text_col)).alias("h"), F.coalesce(text_col, F.lit("")).alias("text"))
-    marks = materialise(texts.mapInArrow(_bands, "h long, n long, bands array<bigint>").dropDuplicates(["h"]), "bands")
+    marks = materialise(texts.mapInArrow(_marks, "h long, n long, fp long, bands array<bigint>").dropDuplicates(["h"]), "marks")
+    prints = materialise(marks.groupBy("fp").agg(F.min("h").alias("rep")), "distinct-fingerprints")
     rows = marks.select("h", "n", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("h").alias("rep"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = materialise(rows.join(materialise(buckets.select("band", "rep"), "buckets"), "band"), "bucket-members")
-    named = members.select("h").distinct()
-    sets = materialise(texts.join(materialise(named, "named"), "h", "left_semi").dropDuplicates(["h"]).mapInArrow(_sets, "h long, set array<bigint>"), "shingle-sets")
-    star = materialise(members.filter("h <> rep").select(F.col("rep").alias("u"), F.col("h").alias("v")).distinct(), "pairs")
+    buckets = materialise(buckets.select("band", "rep"), "buckets")
+    members = materialise(rows.join(buckets, "band"), "bucket-members")
+    star = members.select(F.col("rep").alias("u"), F.col("h").alias("v"))
+    star = star.union(marks.join(prints, "fp").select("rep", "h")).union(covered(prints)).filter("u <> v")
+    star = materialise(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    named = materialise(members.select("h").union(star.select("u")).union(star.select("v")).distinct(), "named")
+    sets = texts.join(named, "h", "left_semi").dropDuplicates(["h"]).mapInArrow(_sets, "h long, set array<bigint>")
+    sets = materialise(sets, "shingle-sets")
     links = materialise(similar(star, sets), "links")
-    # What the pairs with each bucket's least member leave apart is compared pair by pair.
+    # What these pairs leave apart in a bucket is compared pair by pair.
     labels = connected_components(links).withColumnRenamed("node", "h")
     apart = members.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
     mixed = apart.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
@@ -102,6 +119,8 @@ def components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     a, b = apart.alias("a"), apart.alias("b")
     near = (F.col("a.n") * OF >= F.col("b.n") * SAME) & (F.col("b.n") * OF >= F.col("a.n") * SAME)
     on = (F.col("a.band") == F.col("b.band")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & near
-    rest = a.join(b, on).select(F.col("a.h").alias("u"), F.col("b.h").alias("v")).distinct()
-    more = materialise(similar(materialise(rest, "pairs"), sets), "links")
-    return connected_components(links.union(more)).withColumnRenamed("node", "h")
+    rest = materialise(a.join(b, on).select(F.col("a.h").alias("u"), F.col("b.h").alias("v")).distinct(), "pairs")
+    more = materialise(links.union(similar(rest, sets)), "links")
+    found = connected_components(more).withColumnRenamed("node", "h")
+    forget(marks, prints, buckets, members, star, named, sets, links, apart, rest, more)
+    return found

@@ -16,9 +16,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import materialise
+from .shared import materialise, of_text, slices
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
@@ -101,7 +100,7 @@ SPOTS = "tkey long, spots array<struct<entity:bigint,term:string,start:int,end:i
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text"):
         spans, entities = [], []
         for text in batch.column("text"):
             text = text.as_py() or ""
@@ -153,7 +152,7 @@ def pair_counts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFram
                 names=["entity", "term", "both"],
             )
 
-        for batch in batches:
+        for batch in slices(batches, text_col):
             for text in batch.column(0):
                 text = text.as_py() or ""
                 spans = base_spans(text)
@@ -185,7 +184,7 @@ def term_spots(docs: DataFrame, text_col: str, flagged: DataFrame) -> DataFrame:
             at = crc32(f"{entity}:{word}".encode("utf-8", "surrogatepass")) & (BITS - 1)
             return bool(have[at >> 3] >> (at & 7) & 1)
 
-        for batch in batches:
+        for batch in slices(batches, "text"):
             keys, spots = [], []
             for key, text in zip(batch.column("tkey"), batch.column("text"), strict=True):
                 text = text.as_py() or ""
@@ -229,7 +228,7 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
             )
 
-        for batch in batches:
+        for batch in slices(batches, text_col):
             for text in batch.column(0):
                 for w in set(WORD.findall((text.as_py() or "").lower())):
                     ok = known.get(w)
@@ -342,13 +341,9 @@ def sanitise(
     found = materialise(find(docs, id_col, text_col), "pii")
     terms = disclosing_spans(docs, found, text_col, disclosure, min_documents)
 
-    @F.pandas_udf(T.StringType())
-    def cleaned(texts, terms):
-        return texts.combine(terms, clean)
-
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     both = docs.select(row, text_key(docs[text_col]).alias("tkey")).join(terms, "tkey", "left")
     columns = [
-        cleaned(F.col(f"row.{c}"), F.col("terms")).alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns
+        of_text("string", pa.string(), clean, F.col(f"row.{c}"), F.col("terms")).alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns
     ]
     return both.select(*columns)

@@ -15,15 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import STANDS_FOR, cased, code_points, gram_counts, shapes, upon_letters, written
-from .shared import materialise
+from .shared import forget, materialise, of_text, slices
 
-#: About how many texts the scorer is fitted on; the driver holds their hashed counts.
+#: About how many different texts the scorer is fitted on; the driver holds their hashed counts.
 SAMPLE = 4000
 BITS = 12
 ORDERS = (1, 2, 3, 4)
@@ -178,7 +177,7 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.5
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text"):
         pattern, at, value = [], [], []
         for text in batch.column("text"):
             text = text.as_py() or ""
@@ -209,19 +208,23 @@ class Scorer:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> Scorer:
-    """Vote patterns are counted over all texts; the scorer is fitted on about ``sample`` of them, by a hash of the id."""
+    """Vote patterns are counted over all texts; the scorer is fitted on about ``sample`` of them, by a hash of id and text.
 
-    @F.pandas_udf("int")
-    def pattern(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: votes(measures(t or "")), na_action=None).astype("int32")
-
-    counted = materialise(docs.select(pattern(F.col(text_col)).alias("pattern")).groupBy("pattern").count(), "votes")
-    patterns = {r["pattern"]: r["count"] for r in counted.collect()}  # at most 3**9
-    labels = fit_labels(dict(sorted(patterns.items())))
-    share = F.pmod(F.xxhash64(id_col, F.lit(92)), F.lit(1_000_003)) < F.lit(1_000_003 * sample / max(1, sum(patterns.values())))
+    Rows equal in id and text count as one in the sample, so that its size is bounded
+    whatever repeats; how many differ is estimated in the pass that counts the votes.
+    """
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col, F.lit(92)).alias("row"))
+    pattern = of_text("int", pa.int32(), lambda t: votes(measures(t or "")), F.col("text"))
+    counted = texts.select(pattern.alias("pattern"), "row").groupBy("pattern")
+    counted = materialise(counted.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("row").alias("rows")), "votes")
+    found = counted.collect()  # at most 3**9
+    forget(counted)
+    labels = fit_labels({r["pattern"]: r["n"] for r in sorted(found)})
+    share = F.pmod("row", F.lit(1_000_003)) < F.lit(1_000_003 * sample / max(1, sum(r["rows"] for r in found)))
     got = (
-        docs.filter(share)
-        .select(F.col(text_col).alias("text"))
+        texts.filter(share)
+        .dropDuplicates(["row"])
+        .select("text")
         .mapInArrow(_sampled, "pattern int, at array<short>, value array<float>")
         .toArrow()
     )
@@ -245,9 +248,5 @@ def classify(
     """
     scorer = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, sample))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: scorer.value.score(t), na_action=None).astype("float64")
-
-    scored = docs.withColumn("quality_score", score(F.col(text_col)))
+    scored = docs.withColumn("quality_score", of_text("double", pa.float64(), lambda t: scorer.value.score(t), F.col(text_col)))
     return scored.withColumn("quality_keep", F.col("quality_score") >= threshold)

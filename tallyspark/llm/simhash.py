@@ -17,10 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import materialise
+from .shared import forget, materialise, of_text
 
 SHINGLE = 4
 RADIUS = 4
@@ -44,7 +43,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Signed 64-bit SimHash of one whole text; zero for null, empty or blank texts."""
-    hashes = shingle_hashes(text, shingle)
+    return of_hashes(shingle_hashes(text, shingle))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of all shingle hashes of a text, as a signed 64-bit number."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -115,11 +118,7 @@ def _forest(fps: np.ndarray, new: np.ndarray, radius: int) -> Iterator[pa.Record
 
 
 def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
-    @F.pandas_udf(T.LongType())
-    def fp(texts):
-        return texts.map(lambda t: fingerprint(t, shingle), na_action=None).astype("int64")
-
-    return fp(text)
+    return of_text("long", pa.int64(), lambda t: fingerprint(t, shingle), text)
 
 
 def as_hex(fp: Column) -> Column:
