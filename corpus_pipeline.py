@@ -29,15 +29,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of each group of near copies (see :mod:`nearcopies`) one row: that of the smallest id, then of the smallest text hash."""
     h, own = nearcopies.text_hash(F.col("text")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     labels = nearcopies.components(docs)
-    rows = docs.select(F.col("doc_id").isNull().alias("bare"), "doc_id", h.alias("h"), own.alias("own"))
+    names = docs.select(F.col("doc_id").isNull().alias("bare"), "doc_id", h.alias("h"), own.alias("own"))
+    names = names.groupBy("bare", "doc_id", "h", "own").agg(F.count(F.lit(1)).alias("n"))
     first = (
-        rows.join(labels, "h", "left")
+        names.join(labels, "h", "left")
         .groupBy(F.coalesce("label", "h").alias("label"))
-        .agg(F.min(F.struct("bare", "doc_id", "h", "own")).alias("first"))
+        .agg(F.min(F.struct("bare", "doc_id", "h", "own", "n")).alias("first"))
     )
-    kept = materialise(first.select("first.h", "first.own"), "kept")
-    named = docs.withColumn("h", h).withColumn("own", own)
-    return named.join(kept, ["h", "own"], "left_semi").dropDuplicates(["h", "own"]).select(*COLUMNS)
+    kept = materialise(first.select("first.h", "first.own", "first.n"), "kept")
+    named = docs.select(*COLUMNS, h.alias("h"), own.alias("own"))
+    alone, more = (named.join(kept.filter(c).drop("n"), ["h", "own"], "left_semi") for c in ("n = 1", "n > 1"))
+    if not kept.filter("n > 1").isEmpty():  # rows equal in id and text, the only ones whose texts are grouped
+        alone = alone.union(more.dropDuplicates(["h", "own"]))
+    return alone.select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,17 +54,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, and whether they decode to it."""
-    encoded = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"))
-    both = sentencepieces.decode(encoded)
-    return both.select(
-        "doc_id",
-        "lang",
-        "source",
-        "ids",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
-    )
+    """Piece ids of every text, and whether they decode to it; a null text has null ids, n_tokens null, and round_trip true."""
+    encoded = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"), check_col="round_trip")
+    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [
