@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from html import unescape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import of_text
+
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title iframe svg math object select head".split()
+RAW = set("script style noscript template textarea title iframe svg select head".split())
 BLOCK = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody"
@@ -20,7 +24,7 @@ BLOCK = set(
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements that the end tags implied by CLOSES never reach past.
 FENCE = set("ul ol dl table article section div main body nav aside form menu".split())
-ASIDE = set("nav aside footer form menu dialog button search".split())
+ASIDE = set("nav aside footer menu dialog button search".split())
 ASIDE_ROLE = set("navigation banner contentinfo complementary search form dialog menu alert".split())
 _NAME = (
     r"(?:ads?|adsense|adsby\w*|ad-?(?:box|slot|unit)|adverts?|advertis\w+|sponsor(?:s|ed)?|promos?|promotions?|banner"
@@ -36,34 +40,70 @@ COMMENT_NAME = re.compile(_WHOLE.format(f"(?:{_COMMENT})"), re.I)
 HEADER_NAME = set("header copyright".split())
 ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 UNSEEN = re.compile(r"display\s*:\s*none", re.I)
-#: Why an element is set aside: its tag, role or being hidden; its name; the name of a list of comments.
-HARD, NAMED, COMMENTS = 1, 2, 3
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>(?:.*?</(?P=raw)\s*+>|(?=.))"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+#: Why an element is marked: its tag, role or being hidden; a form; its name; the name of a list of comments.
+HARD, FORM, NAMED, COMMENTS = 1, 2, 3, 4
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: A start tag that closes another looks for it among so many open elements.
+REACH = 256
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: The same where quotes do not pair.
+PLAIN = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+OTHER = re.compile(r"<[!?/][^>]*+>")
+RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
+
+
+def tags_of(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether an end tag, tag, attributes) of all markup in order; the tag is empty for comments and what else shows nothing.
+
+    Raw elements are one such piece up to their end tag, or their start tag alone if
+    none follows. Time is in proportion to the page: what was sought in vain, an
+    end tag or the end of a quoted value, is not sought again.
+    """
+    at, last, quoted, endless = 0, html.rfind(">"), True, set()
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4) + 3
+            end = len(html) if end < 3 else end
+            yield at, end, False, "", ""
+            at = end
+            continue
+        if at > last:
+            return
+        m = TAG.match(html, at) if quoted else None
+        if not m and (m := PLAIN.match(html, at)):
+            quoted = False
+        if not m:
+            end = m.end() if (m := OTHER.match(html, at)) else 0
+            if end:
+                yield at, end, False, "", ""
+            at = end or at + 1
+            continue
+        tag, end = m[2].lower(), m.end()
+        if tag in RAW and not m[1]:
+            after = None if tag in endless else RAW_END[tag].search(html, end)
+            if not after:
+                endless.add(tag)
+            yield at, after.end() if after else end, False, "", ""
+            at = after.end() if after else end
+            continue
+        yield at, end, bool(m[1]), tag, m[3]
+        at = end
 
 
 class Page:
     """The element tree as parallel lists; element 0 is the root, and parents come before their children."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.aside = ["#root"], [-1], [0]
+        self.tag, self.parent, self.mark = ["#root"], [-1], [0]
         self.content: list[tuple[int, str | None]] = []  # (element, text), or (element, None) at a block's edge
-        self.until = [0]
         stack, open_, at = [0], {}, 0
-        for m in TOKEN.finditer(html):
-            if m.start() > at:
-                self.content.append((stack[-1], html[at : m.start()]))
-            at = m.end()
-            tag = (m["tag"] or m["tag2"] or "").lower()
+        for start, end, closing, tag, attrs in tags_of(html):
+            if start > at:
+                self.content.append((stack[-1], html[at:start]))
+            at = end
             if not tag:
                 continue
-            if m["end"] or m["end2"]:
+            if closing:
                 if open_.get(tag):
                     self._close(stack, open_, tag)
                 elif tag in BLOCK:
@@ -75,13 +115,11 @@ class Page:
                 self._close_within(stack, open_, CLOSES[tag], tag)
             if tag in ("body", "html") and open_.get(tag):
                 continue
-            attrs = m["attrs"] or m["attrs2"] or ""
             if tag in BLOCK:
                 self.content.append((stack[-1], None))
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.until.append(len(self.content))
-            self.aside.append(self._is_aside(tag, attrs, open_))
+            self.mark.append(self._mark(tag, attrs, open_))
             if tag not in VOID and not attrs.endswith("/"):
                 stack.append(len(self.tag) - 1)
                 open_[tag] = open_.get(tag, 0) + 1
@@ -100,7 +138,7 @@ class Page:
     def _close_within(self, stack, open_, tags, tag) -> None:
         if not any(open_.get(t) for t in tags) or (tag == "br"):
             return
-        for e in reversed(stack):
+        for e in stack[: -REACH - 1 : -1]:
             name = self.tag[e]
             if name in tags:
                 self._close(stack, open_, name)
@@ -109,7 +147,9 @@ class Page:
                 return
 
     @staticmethod
-    def _is_aside(tag, attrs, open_) -> int:
+    def _mark(tag, attrs, open_) -> int:
+        if tag == "form":
+            return FORM
         if tag in ASIDE or tag == "header" and not (open_.get("article") or open_.get("main")):
             return HARD
         if not attrs or tag in ("html", "body"):
@@ -138,100 +178,114 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio:
     return chars / tags * max(0.0, math.log(max(1e-9, chars / lc * tags / lt)) / math.log(base)) if base > 1 else chars / tags
 
 
+class Densities:
+    """Text, tags and densities of every element, and the sums of children's densities.
+
+    What ``marked`` elements hold counts as link text under link tags, which makes their
+    density zero and lowers that of the elements around them.
+    """
+
+    def __init__(self, page: Page, marked: list[bool]):
+        n = len(page.tag)
+        self.out = marked[:]
+        link = [False] * n
+        for e in range(1, n):
+            p = page.parent[e]
+            self.out[e] = self.out[e] or self.out[p]
+            link[e] = self.out[e] or link[p] or page.tag[e] == "a"
+        self.chars, self.links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        for e, text in page.content:
+            if text and (size := len(text.strip())):
+                self.chars[e] += size
+                self.links[e] += size * link[e]
+        for e in range(n - 1, 0, -1):
+            p = page.parent[e]
+            self.chars[p] += self.chars[e]
+            self.links[p] += self.links[e]
+            tags[p] += tags[e] + 1
+            link_tags[p] += link_tags[e] + (self.out[e] or page.tag[e] == "a")
+        ratio = self.links[0] / max(1, self.chars[0])
+        each = zip(self.chars, tags, self.links, link_tags, self.out, strict=True)
+        self.dense = [0.0 if out else density(c, t, lc, lt, ratio) for c, t, lc, lt, out in each]
+        self.sums = [0.0] * n
+        for e in range(1, n):
+            self.sums[page.parent[e]] += self.dense[e]
+        self.centre = max(range(n), key=lambda e: (not self.out[e], self.sums[e], self.dense[e], -e))
+
+
 def main_text(html: str | None) -> str:
-    """The article's text, one line for each block; empty for null, blank or textless pages.
-
-    Elements that are menus, forms, notices and the like by tag, role or name are
-    set aside with all they hold, unless they hold the centre that density finds
-    when names (but for those of comments) do not count. Of the rest the element
-    whose children's densities sum highest is the centre. An enclosing article or
-    main element is taken whole; else the centre, and along its path to the body
-    the headings and siblings that are at least as dense as the thinnest element
-    of that path. If nothing remains, nothing is set aside.
+    """The article's text, one line for each block; empty for null, blank or textless pages, and those of menus and the like alone.
+
+    Every element's density is its characters per tag, less the more of them are link
+    text. The element whose children's densities sum highest is the centre, and the
+    least density from it up to the body is the threshold. The centre is kept, and
+    along its path to the body what is as dense as the threshold, and headings before
+    the path. Inside an article or main element around the centre, and where the body
+    itself is the centre, everything is kept that is not mostly links.
+
+    Menus, notices, forms and the like, by tag, role or whole name, count as link text,
+    so that their density is zero and they go. But a name, or being a form, does not
+    count for an element that holds both the centre found without them and half of
+    the text.
     """
     if not html or html.isspace():
         return ""
     page = Page(html)
-    return _select(page, _set_aside(page)) or _select(page, [False] * len(page.aside))
+    return _select(page, Densities(page, _marked(page)))
 
 
-def _set_aside(page: Page) -> list[bool]:
-    """What is set aside: all that :class:`Page` names, but for what holds the centre of the page."""
+def _marked(page: Page) -> list[bool]:
+    """Which elements are menus, notices and the like: those that :class:`Page` marks, unless density overrules it."""
+    marked = [m > 0 for m in page.mark]
     n = len(page.tag)
     holds = [t in ("article", "main") for t in page.tag]
     for e in range(n - 1, 0, -1):
         holds[page.parent[e]] |= holds[e]
-    trial = [a == COMMENTS or a == HARD and not h for a, h in zip(page.aside, holds, strict=True)]
-    aside = [a > 0 for a in page.aside]
-    if trial != aside and (found := _densities(page, trial)):
-        e = found[0]
+    trial = [m == COMMENTS or m == HARD and not h for m, h in zip(page.mark, holds, strict=True)]
+    if trial != marked:
+        found = Densities(page, trial)
+        plain = found.chars[0] - sum(found.chars[e] for e in range(1, n) if trial[e] and not found.out[page.parent[e]])
+        e = found.centre
         while e > 0:
-            aside[e] = trial[e]
+            if marked[e] and 2 * found.chars[e] >= plain:
+                marked[e] = trial[e]
             e = page.parent[e]
-    return aside
+    return marked
 
 
-def _densities(page: Page, aside: list[bool]) -> tuple[int, list[float], list[bool]] | None:
-    """The centre, the density of every element and whether it is left out; None if no text remains."""
+def _select(page: Page, found: Densities) -> str:
     n = len(page.tag)
-    out, link = [False] * n, [False] * n
-    for e in range(1, n):
-        p = page.parent[e]
-        out[e], link[e] = out[p] or aside[e], link[p] or page.tag[e] == "a"
-    chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    for e, text in page.content:
-        if text and not out[e] and (size := len(text.strip())):
-            chars[e] += size
-            links[e] += size * link[e]
-    for e in range(n - 1, 0, -1):
-        if not out[e]:
-            p = page.parent[e]
-            chars[p] += chars[e]
-            links[p] += links[e]
-            tags[p] += tags[e] + 1
-            link_tags[p] += link_tags[e] + (page.tag[e] == "a")
-    if not chars[0]:
-        return None
-    ratio = links[0] / chars[0]
-    dense = [density(*x, ratio) for x in zip(chars, tags, links, link_tags, strict=True)]
-    sums = [0.0] * n
-    for e in range(1, n):
-        if not out[e]:
-            sums[page.parent[e]] += dense[e]
-    centre = max(range(n), key=lambda e: (sums[e], dense[e], -e))
-    return centre, dense, out
-
-
-def _select(page: Page, aside: list[bool]) -> str:
-    found = _densities(page, aside)
-    if not found:
-        return ""
-    n = len(page.tag)
-    centre, dense, out = found
-    path = [centre]
+    dense, out = found.dense, found.out
+    path = [found.centre]
     while path[-1]:
         path.append(page.parent[path[-1]])
-    whole = [e for e in path if page.tag[e] in ("article", "main")]
+    outer = ("#root", "html", "body")
+    threshold = min(dense[e] for e in [e for e in path if page.tag[e] not in outer[:2]] or path)
+    lenient = set(path[: max((k + 1 for k, e in enumerate(path) if page.tag[e] in ("article", "main")), default=0)])
+    whole = page.tag[found.centre] not in outer or not any(page.parent[e] == found.centre for e in range(1, n))
     kept = [False] * n
-    if whole:
-        kept[whole[0]] = True
-    else:
-        below = [e for e in path if page.tag[e] not in ("#root", "html")] or path
-        floor = min(dense[e] for e in below)
-        kept[centre] = True
-        near = set(path[1:])
-        for e in range(1, n):
-            if page.parent[e] in near and e not in near and not out[e]:
-                heading = page.tag[e] in ("h1", "h2", "h3", "h4", "h5", "h6")
-                kept[e] = kept[e] or heading or dense[e] >= floor > 0
+    kept[found.centre] = whole
+    if not whole:
+        lenient.add(found.centre)
+    towards = dict(zip(path[1:], path, strict=False))
+    on_path = set(path)
     for e in range(1, n):
-        kept[e] = (kept[e] or kept[page.parent[e]]) and not out[e]
+        p = page.parent[e]
+        if out[e]:
+            continue
+        if kept[p]:
+            kept[e] = True
+        elif p in on_path and e not in on_path:
+            if p in lenient:
+                kept[e] = 2 * found.links[e] <= found.chars[e]
+            else:
+                kept[e] = dense[e] >= threshold > 0 or page.tag[e] in HEADINGS and e < towards[p] and 2 * found.links[e] <= found.chars[e]
     blocks, now = [], []
     for e, text in page.content:
         if text is None:
             blocks.append(now)
             now = []
-        elif kept[e]:
+        elif kept[e] or e in lenient and not out[e]:
             now.append(text)
     blocks.append(now)
     lines = (" ".join(unescape("".join(b)).split()) for b in blocks if b)
@@ -240,10 +294,6 @@ def _select(page: Page, aside: list[bool]) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id_col, url_col, text, n_chars)`` for every row of ``pages``; see :func:`main_text`. Other columns are ignored."""
-
-    @F.pandas_udf("string")
-    def text(html):
-        return html.map(main_text, na_action=None)
-
-    found = pages.select(F.col(id_col), F.col(url_col), text(F.col(html_col)).alias("text"))
+    text = of_text("string", pa.string(), main_text, F.col(html_col))
+    found = pages.select(F.col(id_col), F.col(url_col), text.alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
