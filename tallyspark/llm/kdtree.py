@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,27 +14,54 @@ from . import vectors
 from .vectors import TopK
 
 LEAF = 128
-#: Rows from which the driver takes each query's first bound on its kth score.
+#: Rows from which each query takes a first bound on its kth score; the driver holds them.
 PILOT = 2048
+#: Queries of a task that advance together.
+TOGETHER = 512
 
 
-def build(points: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
-    """Leaves (row numbers) of a KD-tree: the widest side of each tight box is split at its median; equal points stay together."""
-    leaves, todo = [], [np.arange(len(points))]
-    while todo:
-        own = todo.pop()
+@dataclass
+class Tree:
+    """Nodes in the order they were split, the root first."""
+
+    #: The children's numbers, -1 in a leaf.
+    left: np.ndarray
+    right: np.ndarray
+    #: Tight boxes, nodes x dimensions.
+    low: np.ndarray
+    high: np.ndarray
+    #: The points of each leaf, None elsewhere.
+    rows: list[np.ndarray | None]
+
+
+def build(points: np.ndarray, leaf: int = LEAF) -> Tree:
+    """The widest side of each tight box is split at its median; equal points stay together."""
+    left, right, low, high, rows = [], [], [], [], []
+
+    def add(own: np.ndarray) -> int:
         box = points[own]
-        width = box.max(0) - box.min(0)
+        left.append(-1)
+        right.append(-1)
+        low.append(box.min(0))
+        high.append(box.max(0))
+        rows.append(own)
+        return len(rows) - 1
+
+    todo = [add(np.arange(len(points)))]
+    while todo:
+        node = todo.pop()
+        own, width = rows[node], high[node] - low[node]
         axis = int(width.argmax())
         if len(own) <= leaf or width[axis] == 0:
-            leaves.append(own)
             continue
-        values = box[:, axis]
-        left = values < np.median(values)
-        if not left.any():
-            left = values <= np.median(values)
-        todo += [own[left], own[~left]]
-    return leaves
+        values = points[own, axis]
+        lower = values < np.median(values)
+        if not lower.any():
+            lower = values <= np.median(values)
+        rows[node] = None
+        left[node], right[node] = add(own[lower]), add(own[~lower])
+        todo += [left[node], right[node]]
+    return Tree(np.array(left), np.array(right), np.array(low), np.array(high), rows)
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -39,39 +70,46 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T if largest < 2.0**53 else (a.astype(np.int64) @ b.astype(np.int64).T).astype(float)
 
 
-def search_tree(ids: np.ndarray, points: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray, leaf: int = LEAF):
-    """Best-first traversal for all queries together.
+def search_tree(ids, points, q_ids, queries, k: int, floor: np.ndarray, leaf: int = LEAF):
+    """(row of the query, id, score) by best-first traversal, every query with a queue of its own.
 
-    A box bounds a query's score by the sum over dimensions of the larger of
-    q*lo and q*hi. The boxes of children lie within their parent's, so taking
-    leaves from a best-first queue is taking them by falling bound. Round r gives
-    every query its r-th leaf, and a query stops when its next bound is below its kth
-    score; ``floor`` carries that score over from what was searched before.
+    A box bounds a query's score by the sum over dimensions of the larger of q*lo
+    and q*hi. Each round pops from every queue the node of the highest bound: of an
+    inner node the children are queued, a leaf's points are scored. A query stops
+    when its next bound is below its kth score; ``floor`` carries that score over
+    from what was searched before.
     """
-    leaves = build(points, leaf)
-    low = np.array([points[x].min(0) for x in leaves])
-    high = np.array([points[x].max(0) for x in leaves])
-    bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-    slack = 1e-9 * (1 + np.abs(bounds))
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    top = TopK(len(queries), k, floor)
-    active = np.arange(len(queries))
-    for step in range(len(leaves)):
-        at = order[active, step]
-        going = bounds[active, at] + slack[active, at] >= top.kth[active]
-        active, at = active[going], at[going]
-        if not len(active):
-            break
-        got = []
-        by = np.argsort(at, kind="stable")
-        for rows in np.split(active[by], np.flatnonzero(np.diff(at[by])) + 1):
-            members = leaves[order[rows[0], step]]
-            scores = dot(queries[rows], points[members])
-            ok = (scores >= top.kth[rows, None]) & (ids[members][None, :] != q_ids[rows, None])
-            r, c = np.nonzero(ok)
-            got.append((rows[r], ids[members[c]], scores[r, c]))
+    tree = build(points, leaf)
+    parts = [_traverse(tree, ids, points, q_ids[s], queries[s], k, floor[s], s.start) for s in (slice(a, a + TOGETHER) for a in range(0, len(queries), TOGETHER))]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _traverse(tree: Tree, ids, points, q_ids, queries, k: int, floor, first: int):
+    bounds = np.maximum(queries, 0) @ tree.high.T + np.minimum(queries, 0) @ tree.low.T
+    bounds += 1e-9 * (1 + np.abs(bounds))
+    queue = np.full(bounds.shape, -np.inf)
+    queue[:, 0] = bounds[:, 0]
+    top, active = TopK(len(queries), k, floor), np.arange(len(queries))
+    while len(active):
+        node = queue[active].argmax(1)
+        bound = queue[active, node]
+        going = (bound >= top.kth[active]) & (bound > -np.inf)
+        active, node = active[going], node[going]
+        queue[active, node] = -np.inf
+        inner = tree.left[node] >= 0
+        for child in (tree.left[node[inner]], tree.right[node[inner]]):
+            queue[active[inner], child] = bounds[active[inner], child]
+        asked, at = active[~inner], node[~inner]
+        if not len(asked):
+            continue
+        by, got = np.argsort(at, kind="stable"), []
+        for rows in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
+            members, own = tree.rows[at[rows[0]]], asked[rows]
+            scores = dot(queries[own], points[members])
+            r, c = np.nonzero((scores >= top.kth[own, None]) & (ids[members][None, :] != q_ids[own, None]))
+            got.append((own[r], ids[members[c]], scores[r, c]))
         top.offer(*(np.concatenate(x) for x in zip(*got, strict=True)))
-    return q_ids[top.rows], top.ids, top.scores.astype(np.int64)
+    return top.rows + first, top.ids, top.scores.astype(np.int64)
 
 
 def pilot_floor(q_ids: np.ndarray, queries: np.ndarray, p_ids: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
@@ -85,6 +123,17 @@ def pilot_floor(q_ids: np.ndarray, queries: np.ndarray, p_ids: np.ndarray, point
     return floor
 
 
+def with_floor(queries: DataFrame, pilot: pa.Table, k: int) -> DataFrame:
+    p_ids, points = pilot.column("vec_id").to_numpy().astype(np.int64), vectors.matrix(pilot.column("vec"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            floor = pilot_floor(batch.column("query_id").to_numpy().astype(np.int64), vectors.matrix(batch.column("vec")), p_ids, points, k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor)], names=["query_id", "vec", "floor"])
+
+    return queries.mapInArrow(run, "query_id long, vec array<double>, floor double")
+
+
 def top_k(
     rows: DataFrame,
     is_query: Column,
@@ -103,18 +152,13 @@ def top_k(
     take no part. An id that repeats among the queries is answered from one of its
     rows; among the candidates each row counts. Other columns are ignored.
     """
-    whole = F.transform("vec", lambda x: F.floor(x * scale).cast("double"))
-    used = vectors.usable(rows, id_col, vec_col, allow_zero=True).withColumn("vec", whole)
-    shards = vectors.sharded(used, shard)
-    pilot = used.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT).toArrow()
-    p_ids, points = pilot.column("vec_id").to_numpy().astype(np.int64), vectors.matrix(pilot.column("vec"))
-    found = []
-    for q_ids, queries in vectors.in_blocks(used.filter(is_query).dropDuplicates(["vec_id"]), query_block):
-        floor = pilot_floor(q_ids, queries, p_ids, points, k)
-        found.append(
-            vectors.search_shards(
-                shards, lambda i, x, q=q_ids, v=queries, f=floor: search_tree(i, x, q, v, k, f), "long"
-            )
-        )
-    empty = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    return vectors.best(found, k, empty)
+    used = vectors.usable(rows, id_col, vec_col, allow_zero=True, k=k)
+    used = used.withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("double")))
+    pilot = used.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec_id", "vec").limit(PILOT).toArrow()
+    queries = with_floor(vectors.queries_of(used, is_query), pilot, k)
+
+    def search(ids, points, asked):
+        q_ids = asked.column("query_id").to_numpy().astype(np.int64)
+        return search_tree(ids, points, q_ids, vectors.matrix(asked.column("vec")), k, asked.column("floor").to_numpy())
+
+    return vectors.best(vectors.search_all(used, queries, search, "long", shard, query_block), k)

@@ -1,108 +1,132 @@
 """Approximate nearest neighbours: a forest of random-projection trees on every shard.
 
 Each shard has trees of its own, so a query visits the same part of the index at
-any size. Inner products become angles by one more component that gives all
+any size. Inner products become distances by one more component that gives all
 indexed vectors the same length; only the trees see it.
 """
 
 from __future__ import annotations
 
+import heapq
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from . import vectors
 from .vectors import TopK
 
-TREES = 8
-LEAF = 64
-#: The part of a shard's rows that a query's leaves hold before it stops, an upper bound of what it scores.
-PART = 0.5
+TREES = 64
+LEAF = 16
+#: A query's leaves hold FACTOR * n ** POWER different rows of a shard of n before it stops; these are scored.
+FACTOR, POWER = 3.2, 0.72
+#: Queries whose distances to all cuts a task holds at a time.
+TOGETHER = 64
+#: Rows of a node from which the direction of its split is drawn, and how often it is turned towards their spread.
+SPREAD, TURNS = 256, 2
+
+
+@dataclass
+class Forest:
+    """The inner nodes of all trees, and their leaves."""
+
+    normals: np.ndarray
+    cuts: np.ndarray
+    #: What lies below and above each cut: an inner node's number, or -1 - a leaf's.
+    below: list[int]
+    above: list[int]
+    leaves: list[np.ndarray]
+    roots: list[int]
 
 
-def build_tree(points: np.ndarray, rng: np.random.Generator, leaf: int):
-    """Nodes (parent, side, normal, cut) in the order they were split, and the leaves' (parent, side, rows).
+def build_forest(points: np.ndarray, trees: int, leaf: int, seed: int) -> Forest:
+    """Trees whose nodes are split at the median along a random direction, turned towards where the node's rows spread.
 
-    A normal is the difference of two random rows, the cut is the median; a
-    node that no such normal splits, as of equal vectors, is a leaf.
+    A node that no direction splits, as of equal vectors, is a leaf.
     """
-    nodes, leaves, todo = [], [], [(-1, 0, np.arange(len(points)))]
-    while todo:
-        parent, side, own = todo.pop()
-        split = None
-        if len(own) > leaf:
-            for _ in range(8):
-                a, b = points[own[rng.integers(len(own), size=2)]]
-                along = points[own] @ (a - b)
-                cut = np.median(along)
-                left = along < cut
-                if left.any() and not left.all():
-                    split = (a - b, cut, left)
-                    break
-        if split is None:
-            leaves.append((parent, side, own))
-            continue
-        nodes.append((parent, side, split[0], split[1]))
-        todo += [(len(nodes) - 1, -1, own[split[2]]), (len(nodes) - 1, 1, own[~split[2]])]
-    return nodes, leaves
-
-
-def leaf_priorities(nodes, leaves, queries: np.ndarray) -> np.ndarray:
-    """Queries x leaves: the smallest signed margin on the way to the leaf, as a queue of nodes would carry it."""
-    reach = np.full((len(queries), len(nodes)), np.inf)
-    margins = np.empty((len(queries), len(nodes)))
-    for n, (parent, side, normal, cut) in enumerate(nodes):
-        margins[:, n] = (queries @ normal - cut) / (np.linalg.norm(normal) or 1.0)
-        if parent >= 0:
-            reach[:, n] = np.minimum(reach[:, parent], side * margins[:, parent])
-    out = np.full((len(queries), len(leaves)), np.inf)
-    for n, (parent, side, _) in enumerate(leaves):
-        if parent >= 0:
-            out[:, n] = np.minimum(reach[:, parent], side * margins[:, parent])
-    return out
-
-
-def search_forest(ids, points, q_ids, queries, k: int, trees: int = TREES, leaf: int = LEAF, part: float = PART, seed: int = 7):
-    """Leaves of all trees are popped from one queue by priority until they hold ``part`` of the rows, or 20 k of them; their union is scored exactly."""
     rng = np.random.default_rng(seed)
+    normals, cuts, below, above, leaves, roots = [], [], [], [], [], []
+
+    def grow(own: np.ndarray) -> int:
+        """The number of a new node or leaf; its own parts are put on the list."""
+        if len(own) > leaf:
+            some = points[own if len(own) <= SPREAD else own[rng.integers(len(own), size=SPREAD)]]
+            some = some - some.mean(0)
+            v = rng.standard_normal(points.shape[1])
+            for _ in range(TURNS):
+                v = some.T @ (some @ v)
+                v /= np.sqrt(v @ v) or 1.0
+            along = points[own] @ v
+            cut = np.median(along)
+            low = along < cut
+            if low.any() and not low.all():
+                normals.append(v)
+                cuts.append(cut)
+                below.append(0)
+                above.append(0)
+                todo.append((len(cuts) - 1, own[low], own[~low]))
+                return len(cuts) - 1
+        leaves.append(own)
+        return -len(leaves)
+
+    for _ in range(trees):
+        todo: list[tuple[int, np.ndarray, np.ndarray]] = []
+        roots.append(grow(np.arange(len(points))))
+        while todo:
+            node, low, high = todo.pop()
+            below[node], above[node] = grow(low), grow(high)
+    return Forest(np.array(normals).reshape(-1, points.shape[1]), np.array(cuts), below, above, leaves, roots)
+
+
+def candidates(forest: Forest, margins: np.ndarray, rows: int, want: float, leaf: int = LEAF) -> np.ndarray:
+    """The rows of the leaves that one queue over all trees gives first, until they hold ``want`` different ones.
+
+    A node's priority is the sum of squared distances to the cuts on the wrong side
+    of which it lies. ``margins`` are the query's signed distances to all cuts. A larger
+    leaf, of equal vectors, counts as ``leaf`` rows.
+    """
+    margin = margins.item
+    below, above, leaves = forest.below, forest.above, forest.leaves
+    queue = [(0.0, n, root) for n, root in enumerate(forest.roots)]
+    count, seen, found = len(queue), np.zeros(rows, bool), 0
+    while queue and found < want:
+        far, _, node = heapq.heappop(queue)
+        while node >= 0:
+            m = margin(node)
+            near, other = (below[node], above[node]) if m < 0 else (above[node], below[node])
+            heapq.heappush(queue, (far + m * m, count, other))
+            count += 1
+            node = near
+        own = leaves[-1 - node]
+        found += min(leaf, len(own) - int(np.count_nonzero(seen[own])))
+        seen[own] = True
+    return np.flatnonzero(seen)
+
+
+def search_forest(ids, points, q_ids, queries, k: int, trees=TREES, leaf=LEAF, factor=FACTOR, power=POWER, seed: int = 7):
+    """(row of the query, id, score): the best of each query's :func:`candidates`, by exact scores."""
     length = (points**2).sum(1)
     lifted = np.column_stack((points, np.sqrt(np.maximum(0, length.max() - length))))
     asked = np.column_stack((queries, np.zeros(len(queries))))
     asked *= np.sqrt(length.max()) / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
-    forest = [build_tree(lifted, rng, leaf) for _ in range(trees)]
-    place = np.empty((trees, len(points)), np.int64)
-    sizes, first = [], 0
-    for t, (_, leaves) in enumerate(forest):
-        for n, (_, _, own) in enumerate(leaves):
-            place[t, own] = first + n
-            sizes.append(len(own))
-        first += len(leaves)
-    sizes = np.array(sizes)
-    want = max(part * len(points), min(len(points), 20 * k)) * trees**0.5  # rows that trees share count once each
+    forest = build_forest(lifted, trees, leaf, seed)
+    want = factor * len(points) ** power
     top = TopK(len(queries), k)
-    for at in range(0, len(queries), 512):
-        q = slice(at, at + 512)
-        priority = np.concatenate([leaf_priorities(n, lv, asked[q]) for n, lv in forest], axis=1)
-        order = np.argsort(-priority, axis=1, kind="stable")
-        popped = sizes[order].cumsum(1) - sizes[order] < want
-        chosen = np.zeros(priority.shape, bool)
-        np.put_along_axis(chosen, order, popped, axis=1)
-        seen = np.zeros((len(priority), len(points)), bool)
-        for t in range(trees):
-            seen |= chosen[:, place[t]]
-        seen &= ids[None, :] != q_ids[q, None]
+    for at in range(0, len(queries), TOGETHER):
         rows, got, scores = [], [], []
-        for r in range(len(seen)):
-            own = np.flatnonzero(seen[r])
-            s = (points[own] * queries[at + r]).sum(1)
+        margins = asked[at : at + TOGETHER] @ forest.normals.T - forest.cuts
+        for r in range(at, min(at + TOGETHER, len(queries))):
+            own = candidates(forest, margins[r - at], len(points), want, leaf)
+            own = own[ids[own] != q_ids[r]]
+            s = (points[own] * queries[r]).sum(1)
             if len(own) > k:
                 near = s >= np.partition(s, -k)[-k]
                 own, s = own[near], s[near]
-            rows.append(np.full(len(own), at + r))
+            rows.append(np.full(len(own), r))
             got.append(ids[own])
             scores.append(s)
         top.offer(np.concatenate(rows), np.concatenate(got), np.concatenate(scores))
-    return q_ids[top.rows], top.ids, top.scores
+    return top.rows, top.ids, top.scores
 
 
 def nearest(
@@ -113,7 +137,8 @@ def nearest(
     vec_col: str = "embedding",
     shard: int = vectors.SHARD,
     query_block: int = vectors.QUERY_BLOCK,
-    part: float = PART,
+    factor: float = FACTOR,
+    power: float = POWER,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: ``k`` rows of large inner product for each query, by exact scores among the candidates.
 
@@ -123,11 +148,10 @@ def nearest(
     repeats among the queries is answered from one of its rows. Other columns are
     ignored.
     """
-    used = vectors.usable(rows, id_col, vec_col, allow_zero=False)
-    shards = vectors.sharded(used, shard)
-    found = [
-        vectors.search_shards(shards, lambda i, x, q=q, v=v: search_forest(i, x, q, v, k, part=part), "double")
-        for q, v in vectors.in_blocks(used.filter(is_query).dropDuplicates(["vec_id"]), query_block)
-    ]
-    empty = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    return vectors.best(found, k, empty)
+    used = vectors.usable(rows, id_col, vec_col, allow_zero=False, k=k)
+
+    def search(ids, points, asked):
+        q_ids, own = asked.column("query_id").to_numpy().astype(np.int64), vectors.matrix(asked.column("vec"))
+        return search_forest(ids, points, q_ids, own, k, factor=factor, power=power)
+
+    return vectors.best(vectors.search_all(used, vectors.queries_of(used, is_query), search, "double", shard, query_block), k)

@@ -3,37 +3,46 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a shard, on average; a task holds one shard.
+from .shared import materialise
+
+#: Rows of a shard, on average.
 SHARD = 8192
-#: Queries of a block, on average; the driver holds one block at a time and each task gets it.
-QUERY_BLOCK = 4096
+#: Queries of a block, on average. A task holds one shard and one block of queries.
+QUERY_BLOCK = 8192
 
-Search = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (ids, vectors, queries as a table of query_id, vec and what else they carry) -> (rows of the table, vec_id, score)
+Search = Callable[[np.ndarray, np.ndarray, pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def usable(rows: DataFrame, id_col: str, vec_col: str, allow_zero: bool) -> DataFrame:
-    """``(vec_id, vec)`` of the rows that take part.
+def usable(rows: DataFrame, id_col: str, vec_col: str, allow_zero: bool, k: int) -> DataFrame:
+    """``(vec_id, vec, copies)`` of the rows that take part, written once.
 
     Out are null ids, null or empty vectors, vectors with null or non-finite
     components, all-zero vectors unless allowed, and vectors whose length is not
-    the commonest one (the smaller on a tie).
+    the commonest one (the smaller on a tie). Rows equal in id and vector are one row
+    here, with how many there are, up to ``k``: no query returns more.
     """
     fine = lambda x: x.isNotNull() & (F.abs(x) < float("inf"))  # noqa: E731  NaN is above infinity
-    kept = rows.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).filter(
+    kept = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).filter(
         F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", fine)
     )
     if not allow_zero:
         kept = kept.filter(F.exists("vec", lambda x: x != 0))
-    lengths = kept.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return kept.filter(F.size("vec") == F.lit(lengths[0]["n"] if lengths else 1))
+    found = materialise(kept.groupBy("vec_id", "vec").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies")), "vectors")
+    lengths = found.groupBy(F.size("vec").alias("n")).agg(F.sum("copies").alias("count")).orderBy(F.desc("count"), "n").limit(1).collect()
+    return found.filter(F.size("vec") == F.lit(lengths[0]["n"] if lengths else 1))
+
+
+def queries_of(used: DataFrame, is_query) -> DataFrame:
+    """``(query_id, vec)``: one row, of the smallest vector, for each id that is a query."""
+    return used.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -42,38 +51,37 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(array), -1) if len(array) else np.empty((0, 1))
 
 
-def in_blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The query set, a block of about ``size`` at a time; repeated ids count once each."""
-    blocks = max(1, math.ceil(queries.count() / size))
-    for b in range(blocks):
-        got = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        if got.num_rows:
-            yield got.column("vec_id").to_numpy().astype(np.int64), matrix(got.column("vec"))
-
-
-def sharded(rows: DataFrame, shard: int) -> DataFrame:
-    return rows.repartition(max(1, math.ceil(rows.count() / shard)), "vec_id")
-
+def search_all(used: DataFrame, queries: DataFrame, search: Search, score_type: str, shard: int, block: int) -> DataFrame:
+    """``(query_id, vec_id, score)`` that ``search`` finds in every shard of ``used`` for every query.
 
-def search_shards(shards: DataFrame, search: Search, score_type: str) -> DataFrame:
-    """``search(ids, vectors) -> (query_id, vec_id, score)`` on every shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if parts:
-            table = pa.Table.from_batches(parts)
-            q, v, s = search(table.column("vec_id").to_numpy().astype(np.int64), matrix(table.column("vec")))
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    return shards.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
-
-
-def best(found: list[DataFrame], k: int, empty: DataFrame) -> DataFrame:
+    Rows are dealt into shards and queries into blocks by hash, and each pair of a
+    shard and a block is one group, so that a task holds about ``shard`` rows and
+    ``block`` queries whatever their numbers. No vector passes the driver.
+    """
+    queries = materialise(queries, "queries")
+    shards, blocks = (max(1, math.ceil(frame.count() / size)) for frame, size in ((used, shard), (queries, block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = used.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
+    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score"]
+        if not rows.num_rows or not asked.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64() if score_type == "long" else pa.float64())], names)
+        again = np.repeat(np.arange(rows.num_rows), rows.column("copies").to_numpy())
+        ids, vectors = rows.column("vec_id").to_numpy().astype(np.int64)[again], matrix(rows.column("vec"))[again]
+        at, found, scores = search(ids, vectors, asked)
+        return pa.table([pa.array(asked.column("query_id").to_numpy().astype(np.int64)[at]), pa.array(found), pa.array(scores)], names)
+
+    pairs = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
+    return pairs.applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` best of each query over all shards, ties to the smaller vec_id."""
-    both = reduce(DataFrame.union, found, empty)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        both.withColumn("rank", F.row_number().over(order))
+        found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int"), "vec_id", "score")
     )
@@ -108,4 +116,3 @@ class TopK:
         self.rows = np.concatenate((self.rows[~old], r[keep]))
         self.ids = np.concatenate((self.ids[~old], i[keep]))
         self.scores = np.concatenate((self.scores[~old], s[keep]))
-

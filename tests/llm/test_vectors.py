@@ -50,7 +50,12 @@ def test_exact_top_k(spark, seed):
 def test_tree_skips_boxes():
     rng = np.random.default_rng(3)
     points = np.floor(rng.normal(0, 300, (4000, 2)))
-    leaves = kdtree.build(points, 64)
+    tree = kdtree.build(points, 64)
+    leaves = [r for r in tree.rows if r is not None]
+    for node, rows in enumerate(tree.rows):  # tight boxes, within those of the node above
+        if rows is None:
+            below = [tree.left[node], tree.right[node]]
+            assert (tree.low[below].min(0) == tree.low[node]).all() and (tree.high[below].max(0) == tree.high[node]).all()
     assert sorted(np.concatenate(leaves)) == list(range(4000)) and max(map(len, leaves)) <= 64
     asked = []
     real = kdtree.dot
@@ -92,6 +97,30 @@ def test_recall_on_the_test_data(spark):
     assert right >= 0.9 * len(got)
 
 
+@pytest.mark.parametrize(("n", "most"), [(500, 0.6), (2000, 0.4), (8192, 0.3)])
+def test_recall_and_rows_scored(n, most):
+    """On a shard of directions without any structure, the hardest that there is."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = rpforest.build_forest(x, rpforest.TREES, rpforest.LEAF, 7)
+    right = scored = 0
+    for q in range(40):
+        own = rpforest.candidates(forest, forest.normals @ x[q] - forest.cuts, n, rpforest.FACTOR * n**rpforest.POWER)
+        s = x @ x[q]
+        s[q] = -9
+        right += len(set(np.argsort(-s)[:20].tolist()) & set(own.tolist()))
+        scored += len(own)
+    assert right >= 0.9 * 40 * 20 and scored <= most * 40 * n
+
+
+def test_repeated_rows(spark):
+    """Rows equal in id and vector count each, up to k; one id with two vectors is asked by the smaller."""
+    table = [(1, [1.0, 0.0], 1, None)] * 5 + [(2, [1.0, 1.0], 1, None), (2, [0.0, 1.0], 1, None), (3, [2.0, 2.0], 1, None)]
+    got = kdtree.top_k(spark.createDataFrame(table, KIND), F.col("vec_id") == 2, k=3, shard=2).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 3, 2 * 256**2), (2, 1, 0), (3, 1, 0)]
+
+
 @pytest.mark.parametrize("find", [kdtree.top_k, rpforest.nearest])
 def test_edges(spark, find):
     cond = F.col("vec_id") % 2 == 0
