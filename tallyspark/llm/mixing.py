@@ -22,8 +22,26 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("-"))
 
 
-def hash_of(id_: Column, seed: int) -> Column:
-    return F.xxhash64(id_, F.lit(seed))
+def hash_of(id_: Column, text: Column, source: Column, seed: int) -> Column:
+    return F.xxhash64(id_, text, source_key(source), F.lit(seed))
+
+
+def numbered(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows(h, at, …)`` whose ``h`` other rows have too, with ``h`` hashed again with the row's number among these.
+
+    ``at`` is unique and has the number of the partition it was given in above its
+    lowest 33 bits. Equal rows are numbered within each partition, after as many as
+    the partitions before have, so that no task gets all of a row that repeats often. Any
+    numbering gives the same hashes.
+    """
+    part = F.shiftright("at", 33)
+    counts = rows.groupBy("h", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("h", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("h", "part").orderBy("at"))
+    placed = rows.withColumn("part", part).withColumn("nth", within).join(first, ["h", "part"])
+    again = F.xxhash64("h", F.col("first") + F.col("nth"), F.lit(seed))
+    return placed.select(*[again.alias("h") if c == "h" else c for c in rows.columns])
 
 
 def ranked_sources(totals: DataFrame) -> DataFrame:
@@ -73,11 +91,12 @@ def mixing_plan(
     share: float = 1.5,
     max_epochs: float = 2.0,
     seed: int = 8,
-) -> tuple[DataFrame, DataFrame]:
-    """``(sized, plan)``: rows ``(id, key, size, h)``, and per source ``(key, source_size, target, whole, cut)``.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(sized, plan, ties)``: rows ``(id, key, size, h)``, per source ``(key, source_size, target, whole, cut)``, and hashes that repeat.
 
-    A document of a source is taken ``whole`` times, and once more if its seeded
-    hash ``h`` is at most ``cut``. The cut is where the running sum of sizes in
+    A document of a source is taken ``whole`` times, and once more if the seeded
+    hash ``h`` of its id, text and source is at most ``cut``. Rows equal in these are numbered and
+    hashed again with their number, so that the cut can fall between them (see :func:`numbered`). The cut is where the running sum of sizes in
     hash order comes nearest to the words still wanted. That sum is kept per hash
     range, about the square root of the number of rows of them for each source,
     and only the range that holds the cut is walked row by row, so that no task
@@ -89,10 +108,15 @@ def mixing_plan(
             F.col(source_col).alias("source"),
             source_key(F.col(source_col)).alias("key"),
             word_count(F.col(text_col)).alias("size"),
-            hash_of(F.col(id_col), seed).alias("h"),
+            hash_of(F.col(id_col), F.col(text_col), F.col(source_col), seed).alias("h"),
+            F.monotonically_increasing_id().alias("at"),
         ),
         "sized",
     )
+    ties = materialise(sized.groupBy("h").count().filter("count > 1").select("h"), "ties")
+    if not ties.isEmpty():
+        alone, tied = sized.join(ties, "h", "left_anti"), sized.join(ties, "h", "left_semi")
+        sized = materialise(alone.unionByName(numbered(tied, seed)), "sized")
     rows = sized.count()
     totals = sized.groupBy("source", "key").agg(F.sum("size").alias("source_size"))
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -136,7 +160,7 @@ def mixing_plan(
     plan = wanted.join(cuts, "key", "left").select(
         "key", "source_size", "target", "whole", F.coalesce("cut", least).alias("cut"), F.col("cut").isNotNull().alias("some")
     )
-    return sized, materialise(plan, "mixing-plan")
+    return sized, materialise(plan, "mixing-plan"), ties
 
 
 def repeats() -> Column:
@@ -148,10 +172,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``(id_col, size, source_size, target, taken)`` for every row of ``docs``.
 
     Null texts have size 0. A null source is a source, the last one. Rows that
-    repeat an id are taken alike. An empty table gives no rows. Other columns are
-    ignored. Options are those of :func:`mixing_plan`.
+    repeat an id are taken each by its own text, rows that repeat both as many as
+    the cut leaves. An empty table gives no rows. Other columns are ignored. Options
+    are those of :func:`mixing_plan`.
     """
-    sized, plan = mixing_plan(docs, id_col=id_col, **options)
+    sized, plan, _ = mixing_plan(docs, id_col=id_col, **options)
     return sized.join(plan, "key").select(
         F.col("id").alias(id_col), "size", "source_size", "target", (repeats() * F.col("size")).alias("taken")
     )
@@ -161,16 +186,15 @@ def mixed_rows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 8, **options
 ) -> DataFrame:
     """The mix itself: each row of ``docs``, with its own columns, as often as it is taken."""
-    _, plan = mixing_plan(docs, id_col, text_col, source_col, seed=seed, **options)
+    _, plan, ties = mixing_plan(docs, id_col, text_col, source_col, seed=seed, **options)
     plan = plan.select("key", "whole", "some", "cut")
-    columns = [F.col(f"row.{c}").alias(c) for c in docs.columns]
-    return (
-        docs.select(
-            F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-            source_key(docs[source_col]).alias("key"),
-            hash_of(docs[id_col], seed).alias("h"),
-        )
-        .join(plan, "key")
-        .withColumn("copy", F.explode(F.array_repeat(F.lit(1), repeats().cast("int"))))
-        .select(*columns)
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        source_key(docs[source_col]).alias("key"),
+        hash_of(docs[id_col], docs[text_col], docs[source_col], seed).alias("h"),
     )
+    if not ties.isEmpty():
+        tied = materialise(rows.join(ties, "h", "left_semi").withColumn("at", F.monotonically_increasing_id()), "tied")
+        rows = rows.join(ties, "h", "left_anti").unionByName(numbered(tied, seed).select(*rows.columns))
+    copies = F.explode(F.array_repeat(F.lit(1), repeats().cast("int")))
+    return rows.join(plan, "key").withColumn("copy", copies).select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])

@@ -63,6 +63,24 @@ def test_edges(spark):
     assert all(r.target == 6 and r.taken <= 4 for r in one)
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: None if i % 2 else i])
+def test_repeated_ids_and_rows(spark, ids):
+    """Rows that repeat, by id or whole, are taken one by one, and the mix is made of the same rows."""
+    rows = [(ids(i), "w " * 10 if i % 3 else f"v{i} " * 4, "a") for i in range(300)]
+    rows += [(1000 + i, "x " * 3, "b") for i in range(100)] + [(1500 + i, "y y", "c") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs).collect()
+    _, target = slow_targets(rows)
+    for s, n in (("a", 2400), ("b", 300), ("c", 3000)):
+        own = [r for r in got if r.source_size == n]
+        assert abs(sum(r.taken for r in own) - target[s]) <= 5.5 and all(r.taken <= 2 * r.size for r in own)
+    copies = Counter((r.doc_id, len(r.text.split())) for r in mixing.mixed_rows(docs).collect())
+    taken = Counter()
+    for r in got:
+        taken[r.doc_id, r.size] += r.taken // r.size
+    assert copies == +taken
+
+
 def test_water_fill_with_many_rounds(spark):
     caps = [(float(w), float(c)) for w, c in zip(range(1, 9), (1, 2, 3, 50, 60, 70, 800, 900), strict=True)]
     got = mixing.water_fill(spark.createDataFrame(caps, "weight double, cap double"), 1000.0).collect()
