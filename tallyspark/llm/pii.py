@@ -23,6 +23,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
 NAMES = (*KINDS, "term")
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
+#: What a disclosing term is generalised to if it is written as a name.
+NAME = "[NAME]"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -139,7 +141,10 @@ def bit_set(rows: DataFrame, bit):
 
 
 def pair_counts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFrame:
-    """``(entity, term, both)``: in how many whole documents a term stands with each of ``entities``; pairs of others may come along."""
+    """``(entity, term, both)``: in how many whole documents a term stands with each of ``entities``; pairs of others may come along.
+
+    With entity null, in how many of these documents a term stands at all.
+    """
     shared = bit_set(entities, F.col("entity").bitwiseAND(F.lit(BITS - 1)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +163,7 @@ def pair_counts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFram
                 spans = base_spans(text)
                 own = {e for x in spans if have[((e := entity_of(text, x)) & (BITS - 1)) >> 3] >> (e & 7) & 1}
                 terms = {w for w, _, _ in terms_of(text, spans)} if own else ()
-                for e in own:
+                for e in (None, *own) if own else ():
                     counts.update((e, w) for w in terms)
                     if len(counts) >= FLUSH:
                         yield out()
@@ -258,17 +263,25 @@ def disclosing_spans(
     information log(N / n(e)). N and all n count whole documents, over the whole
     table, and every occurrence in a text that holds the entity is a span.
     An entity that stands everywhere has no information to give away.
+
+    So n(t) is at most n(t,e) (N / n(e)) ** (1 - disclosure). Terms that stand in more
+    documents than that, of those with entities alone, are done with before n(t) is
+    counted over the whole table.
     """
     rows = found.count()
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     entities = materialise(entities.filter(F.col("n_entity") >= min_documents), "entities")  # no other has such a term
-    pairs = materialise(pair_counts(docs, text_col, entities).filter(F.col("both") >= min_documents), "term-pairs")
+    counted = materialise(pair_counts(docs, text_col, entities).filter(F.col("both") >= min_documents), "term-pairs")
+    least = counted.filter("entity IS NULL").select("term", F.col("both").alias("least"))
+    room = F.col("both") * F.pow(F.lit(float(rows)) / F.col("n_entity"), F.lit(1 - disclosure)) * F.lit(1 + 1e-9)
+    pairs = counted.join(entities, "entity").join(least, "term").filter(F.col("least") <= room)
+    pairs = materialise(pairs.select("entity", "term", "both", "n_entity"), "rare-pairs")
     terms = term_counts(docs, text_col, pairs.select("term").distinct()).withColumnRenamed("n", "n_term")
     whole = F.lit(float(rows))
     told = F.log(whole * F.col("both") / (F.col("n_term") * F.col("n_entity")))
     own = F.log(whole / F.col("n_entity"))
     flagged = materialise(
-        pairs.join(terms, "term").join(entities, "entity").filter((own > 0) & (told >= disclosure * own)).select("entity", "term"),
+        pairs.join(terms, "term").filter((own > 0) & (told >= disclosure * own)).select("entity", "term"),
         "disclosing",
     )
     texts = term_spots(docs, text_col, flagged).groupBy("tkey").agg(F.first("spots").alias("spots"))
@@ -319,7 +332,10 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 
 def clean(text: str | None, terms) -> str | None:
-    """``text`` with pattern spans replaced by their kind's mark, and disclosing terms by [TERM]; overlapping spans are one."""
+    """``text`` with pattern spans replaced by their kind's mark; overlapping spans are one.
+
+    Disclosing terms are generalised to what kind of word they are: [NAME] with a capital, else [TERM].
+    """
     if not text:
         return text
     spans = base_spans(text)
@@ -329,7 +345,7 @@ def clean(text: str | None, terms) -> str | None:
     out, at = [], 0
     for start, kind, end in spans:
         if start >= at:
-            out += [text[at:start], MARKS[kind]]
+            out += [text[at:start], NAME if kind == TERM and text[start].isupper() else MARKS[kind]]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
