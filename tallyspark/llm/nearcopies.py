@@ -7,6 +7,11 @@ MinHash bands are searched as well: texts share a band of ROWS minima with
 probability J**ROWS, and of pairs with J = 0.8 one in 9,000 shares none of the BANDS
 bands, of more similar ones fewer still. Whatever meets by either way is compared
 by its whole shingle set, unless links found before connect it already.
+
+No bucket is spelt out as pairs. First each member meets one other of its bucket, a
+different one in every band and round; in groups of many copies nearly all links
+come together so. What a bucket then still holds apart goes into one task as texts,
+which compares what is not connected and passes on a forest.
 """
 
 from __future__ import annotations
@@ -19,13 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import forget, materialise, slices
-from .simhash import fingerprint_links, of_hashes, shingle_hashes
+from .shared import forget, materialise, slices, tidy
+from .simhash import deal, fingerprint_links, of_hashes, shingle_hashes
 
 SHINGLE = 5
 #: The least similarity of near copies is SAME / OF.
 SAME, OF = 4, 5
 ROWS, BANDS = 6, 30
+#: Rounds in which members of a bucket meet one other of it.
+ROUNDS = 3
+#: The most texts of a bucket that a task compares at once; larger buckets are dealt out as pairs of blocks.
+BLOCK = 512
 #: Shingles whose minima are taken at once.
 PART = 2048
 _rng = np.random.default_rng(10)
@@ -57,15 +66,13 @@ def text_hash(text: Column) -> Column:
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        sizes, prints, keys = [], [], []
+        prints, keys = [], []
         for text in batch.column("text"):
             hashes = shingle_hashes(text.as_py(), SHINGLE)
-            own = distinct_of(hashes)
-            sizes.append(len(own))
             prints.append(of_hashes(hashes))
-            keys.append(band_keys(own))
-        columns = [batch.column("h"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["h", "n", "fp", "bands"])
+            keys.append(band_keys(distinct_of(hashes)))
+        columns = [batch.column("h"), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +97,73 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(same * OF >= (F.size("a") + F.size("b") - same) * SAME).select("u", "v")
 
 
+def stars(members: DataFrame, seed: int) -> DataFrame:
+    """``(u, v)``: each of ``members(band, h, label)`` and one other of its bucket, by a hash of ``seed``, where their labels differ."""
+    centre = F.min_by(F.struct("h", "label"), F.xxhash64("h", "band", F.lit(seed))).alias("centre")
+    both = members.join(members.groupBy("band").agg(centre), "band").filter(F.col("label") != F.col("centre.label"))
+    return ordered(both.select(F.col("centre.h").alias("u"), F.col("h").alias("v")))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """The pairs once each, the smaller first."""
+    return pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of the buckets that hold several labels, ``labels(node, label)`` being the components so far."""
+    apart = members.drop("label").join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
+    mixed = apart.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return apart.join(mixed.select("band"), "band", "left_semi").select("band", "h", "label")
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the similar pairs within each (band, a, b), for rows sorted by these; the last group of a batch waits for the next."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        key = np.column_stack([table.column(c).to_numpy() for c in ("band", "a", "b")])
+        starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)) if len(key) else np.zeros(1, np.int64)
+        for x, y in zip(starts[:-1], starts[1:], strict=True):
+            yield from _group_links(table.slice(x, y - x))
+        held = table.slice(starts[-1]).combine_chunks()
+        tidy()
+    if held is not None and held.num_rows:
+        yield from _group_links(held)
+
+
+def _group_links(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    h, sets = group.column("h").to_numpy(), group.column("set").combine_chunks()
+    sizes = sets.value_lengths().to_numpy().astype(np.int64)
+    starts = sizes.cumsum() - sizes
+    vocabulary, place = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    _, root = np.unique(group.column("label").to_numpy(), return_inverse=True)
+    marked = np.zeros(len(vocabulary), np.int64)
+    u, v = [], []
+    for i in range(len(h) - 1):
+        if (root[i + 1 :] == root[i]).all():
+            continue
+        own = place[starts[i] : starts[i] + sizes[i]]
+        marked[own] = 1
+        same = np.add.reduceat(marked[place[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        marked[own] = 0
+        alike = same * OF >= (sizes[i] + sizes[i + 1 :] - same) * SAME
+        for j in np.flatnonzero(alike & (root[i + 1 :] != root[i])) + i + 1:
+            if root[i] != root[j]:
+                u.append(h[i])
+                v.append(h[j])
+                root[root == root[j]] = root[i]
+    if u:
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def within_buckets(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` that connect all that is similar within the buckets of ``apart(band, h, label)``."""
+    order = ["band", "a", "b"]
+    texts = deal(apart, ["band"], "h", BLOCK).join(sets, "h").select(*order, "h", "label", "set")
+    return texts.repartition(*order).sortWithinPartitions(*order, "h").mapInArrow(_compared, "u long, v long")
+
+
 def components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(h, label)`` for the :func:`text_hash` of every text that has near copies other than itself.
 
@@ -98,29 +172,30 @@ def components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     columns take no part.
     """
     texts = docs.select(text_hash(F.col(text_col)).alias("h"), F.coalesce(text_col, F.lit("")).alias("text"))
-    marks = materialise(texts.mapInArrow(_marks, "h long, n long, fp long, bands array<bigint>").dropDuplicates(["h"]), "marks")
+    marks = materialise(texts.mapInArrow(_marks, "h long, fp long, bands array<bigint>").dropDuplicates(["h"]), "marks")
     prints = materialise(marks.groupBy("fp").agg(F.min("h").alias("rep")), "distinct-fingerprints")
-    rows = marks.select("h", "n", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("h").alias("rep"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = materialise(buckets.select("band", "rep"), "buckets")
-    members = materialise(rows.join(buckets, "band"), "bucket-members")
-    star = members.select(F.col("rep").alias("u"), F.col("h").alias("v"))
-    star = star.union(marks.join(prints, "fp").select("rep", "h")).union(covered(prints)).filter("u <> v")
-    star = materialise(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    named = materialise(members.select("h").union(star.select("u")).union(star.select("v")).distinct(), "named")
+    rows = marks.select("h", F.explode("bands").alias("band"))
+    buckets = materialise(rows.groupBy("band").count().filter("count > 1").select("band"), "buckets")
+    members = materialise(rows.join(buckets, "band", "left_semi").select("band", "h", F.col("h").alias("label")), "bucket-members")
+    same = marks.join(prints, "fp").select(F.col("rep").alias("u"), F.col("h").alias("v"))
+    pairs = materialise(ordered(stars(members, 0).union(same).union(covered(prints))), "pairs")
+    named = materialise(members.select("h").union(pairs.select("u")).union(pairs.select("v")).distinct(), "named")
     sets = texts.join(named, "h", "left_semi").dropDuplicates(["h"]).mapInArrow(_sets, "h long, set array<bigint>")
     sets = materialise(sets, "shingle-sets")
-    links = materialise(similar(star, sets), "links")
-    # What these pairs leave apart in a bucket is compared pair by pair.
-    labels = connected_components(links).withColumnRenamed("node", "h")
-    apart = members.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
-    mixed = apart.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    apart = materialise(apart.filter("h <> rep").join(mixed.select("band"), "band", "left_semi"), "apart")
-    a, b = apart.alias("a"), apart.alias("b")
-    near = (F.col("a.n") * OF >= F.col("b.n") * SAME) & (F.col("b.n") * OF >= F.col("a.n") * SAME)
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & near
-    rest = materialise(a.join(b, on).select(F.col("a.h").alias("u"), F.col("b.h").alias("v")).distinct(), "pairs")
-    more = materialise(links.union(similar(rest, sets)), "links")
-    found = connected_components(more).withColumnRenamed("node", "h")
-    forget(marks, prints, buckets, members, star, named, sets, links, apart, rest, more)
-    return found
+    links = materialise(similar(pairs, sets), "links")
+    labels = connected_components(links)
+    apart = materialise(still_mixed(members, labels), "apart")
+    forget(marks, prints, buckets, members, pairs, named)
+    for seed in range(1, ROUNDS):
+        if apart.isEmpty():
+            break
+        pairs = materialise(stars(apart, seed), "pairs")
+        more = materialise(links.union(similar(pairs, sets)), "links")
+        labels = connected_components(more)
+        left = materialise(still_mixed(apart, labels), "apart")
+        forget(pairs, links, apart)
+        links, apart = more, left
+    if not apart.isEmpty():
+        labels = connected_components(links.union(within_buckets(apart, sets)))
+    forget(apart, sets, links)
+    return labels.withColumnRenamed("node", "h")

@@ -135,6 +135,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), fingerprint_of(F.col(text_col), shingle).alias("fp"))
 
 
+def deal(members: DataFrame, bucket: list[str], item: str, most: int) -> DataFrame:
+    """``members`` with the numbers ``a`` and ``b`` of two blocks: zero in buckets of ``most`` members or fewer.
+
+    Larger buckets are cut into blocks by a hash of ``item``, and each member comes once for
+    every pair of its block with another, so that any two members meet in some (bucket, a, b).
+    """
+    large = members.groupBy(*bucket).count().filter(F.col("count") > most)
+    large = materialise(large.select(*bucket, F.ceil(F.col("count") / F.lit(most / 2)).alias("blocks")), "large-buckets")
+    zero = F.lit(0).cast("long")
+    if large.isEmpty():
+        return members.withColumns({"a": zero, "b": zero})
+    own = F.coalesce(F.pmod(F.xxhash64(item), F.col("blocks")), zero)
+    other = F.explode(F.sequence(zero, F.coalesce(F.col("blocks"), F.lit(1)) - 1))
+    dealt = members.join(large, bucket, "left").select(*members.columns, own.alias("own"), other.alias("other"))
+    return dealt.select(*members.columns, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``(u, v)`` that connect exactly the distinct fingerprints ``fp`` that chains of pairs within ``radius`` bits connect.
 
@@ -147,23 +164,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     members = distinct.select(
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key")
     )
-    large = materialise(
-        members.groupBy("t", "key").count().filter(F.col("count") > BLOCK).select(
-            "t", "key", F.ceil(F.col("count") / F.lit(BLOCK / 2)).alias("blocks")
-        ),
-        "large-buckets",
-    )
-    zero = F.lit(0).cast("long")
-    if large.isEmpty():
-        dealt = members.select("t", "key", zero.alias("a"), zero.alias("b"), "fp")
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-        other = F.explode(F.sequence(zero, F.coalesce(F.col("blocks"), F.lit(1)) - 1))
-        dealt = (
-            members.join(large, ["t", "key"], "left")
-            .select("t", "key", "fp", F.coalesce(own, zero).alias("own"), other.alias("other"))
-            .select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
-        )
+    dealt = deal(members, ["t", "key"], "fp", BLOCK)
     dealt = dealt.withColumn("t", F.col("t").cast("long"))
     order = ["t", "key", "a", "b"]
     return (
