@@ -6,8 +6,6 @@ cell that is no number is null and no error, in ANSI mode too.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +38,20 @@ BALANCE_LINE = (
     r"|opening\s+balance|closing\s+balance|previous\s+balance|sub[\s-]?total|grand\s+total)(?![A-Za-z0-9_])|^\s*total(?![A-Za-z0-9_])"
 )
 PURE_MONEY = r"^[-(]?\s?[$€£₹৳¥]?\s?-?\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?\)?$"
+MONEY_LIKE = r"\d\.\d{2}(?![A-Za-z0-9_])|\d,\d{3}|[$€£₹৳¥]\s?\d"
+NEGATIVE = (r"(?s)^\(.*\)$", r"(?i)(?<![A-Za-z0-9_])(?:dr|debit)\.?\s*\)?$")
+NEGATIVE_BARE = r"^\(?[-−]|[-−]\)?$"
+#: (pattern, groups of year, month and day; 0 where there is none); all-number days and months may be the other way round
+DATE_SPELLINGS = (
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", 1, 2, 3, "fixed"),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", 3, 2, 1, "numbers"),
+    (r"^(\d{1,2})[\s\-.]?([A-Za-z]{3,9})[\s\-.,]?\s?(\d{4}|\d{2})$", 3, 2, 1, "name"),
+    (r"^([A-Za-z]{3,9})[\s\-.]?(\d{1,2})(?:st|nd|rd|th)?[\s,.]+(\d{4}|\d{2})$", 3, 1, 2, "name"),
+    (r"^([A-Za-z]{3,9})[\s.]+(\d{1,2})$", 0, 1, 2, "name"),
+    (r"^(\d{1,2})[\s.]+([A-Za-z]{3,9})$", 0, 2, 1, "name"),
+    (r"^(\d{1,2})[/-](\d{1,2})$", 0, 2, 1, "numbers"),
+)
+CLIPPED = "\n…[clipped]"
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 DOCUMENT_TYPES = (
     "bank_statement",
@@ -53,6 +65,8 @@ DOCUMENT_TYPES = (
 STAGES = {"fetching": (0, 5), "reading": (5, 60), "analyzing": (60, 92), "reconciling": (92, 99), "done": (100, 100)}
 
 EMBEDDED_MIN = 200
+BLANK = r"\s"
+BLANK_ENDS = r"(?U)^\s+|\s+$"
 
 
 def let(value: Column, use) -> Column:
@@ -60,9 +74,32 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def let_sql(value: str, name: str, body: str) -> str:
+    """:func:`let` in SQL text: ``body``, in which the value goes by ``name``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def told(value: Column, body: str) -> Column:
+    """SQL of a value that it calls x.
+
+    The larger expressions are written as SQL, which is parsed in one go; put together
+    call by call, each of them takes the driver a good part of a second.
+    """
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {body}")), F.lit(0))
+
+
+def literal(text: str) -> str:
+    """A pattern as an SQL literal."""
+    return f"r'{text}'"
+
+
+def trimmed_sql(text: str) -> str:
+    return f"regexp_replace({text}, {literal(BLANK_ENDS)}, '')"
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end, non-breaking spaces included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, BLANK_ENDS, "")
 
 
 # Text
@@ -126,6 +163,28 @@ def tentative_type(description: Column) -> Column:
     return F.when(credit & ~debit, "credit").when(debit & ~credit, "debit").when(credit & last.rlike(CREDIT_WORDS), "credit")
 
 
+def clip(text: Column, n: int) -> Column:
+    """The first ``n`` characters and a mark, if there are more; null is empty."""
+    said = F.coalesce(text, F.lit(""))
+    return F.when(F.length(said) > n, F.concat(F.substring(said, 1, n), F.lit(CLIPPED))).otherwise(said)
+
+
+def clip_line(text: Column, n: int) -> Column:
+    """One line of ``n`` characters at most, the last one an ellipsis if there are more; null is empty."""
+    said = trimmed(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    return F.when(F.length(said) > n, F.concat(F.substring(said, 1, n - 1), F.lit("…"))).otherwise(said)
+
+
+def json_text(value: Column) -> Column:
+    """A struct as JSON in which nulls stay, as readers must send every property."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def is_pdf(mime: Column, name: Column) -> Column:
+    """An upload counts as PDF by its media type or by its file name."""
+    return F.coalesce(mime == "application/pdf", F.lit(False)) | F.coalesce(F.lower(name).endswith(".pdf"), F.lit(False))
+
+
 def is_uuid(text: Column) -> Column:
     return text.rlike(UUID)
 
@@ -133,28 +192,21 @@ def is_uuid(text: Column) -> Column:
 # Money
 
 
-def parse_amount(raw: Column) -> Column:
+def amount_sql(raw: str) -> str:
     """Money as a double: the last separator says which locale; brackets, a minus or a trailing dr make it negative."""
+    last = lambda mark: f"if(instr(k, '{mark}') = 0, -1, length(k) - instr(reverse(k), '{mark}'))"
+    european = f"{last(',')} > {last('.')} AND length(k) - {last(',')} - 1 BETWEEN 1 AND 2"
+    turned = f"if({european}, regexp_replace(translate(k, '.', ''), '^([^,]*),', '$1.'), translate(k, ',', ''))"
+    number = f"CASE WHEN k RLIKE '[0-9]' THEN try_cast({turned} AS DOUBLE) END"
+    bare = f"regexp_replace(s, {literal(f'(?U)[{CURRENCY}' + BLANK + ']')}, '')"
+    negative = " OR ".join([*[f"s RLIKE {literal(p)}" for p in NEGATIVE], f"{bare} RLIKE {literal(NEGATIVE_BARE)}"])
+    signed = let_sql(number, "n", f"CASE WHEN {negative} THEN -abs(n) ELSE n END")
+    return let_sql(trimmed_sql(raw), "s", let_sql("regexp_replace(s, '[^0-9.,]', '')", "k", signed))
 
-    def number(kept: Column) -> Column:
-        size = F.length(kept)
-        last_dot = F.when(F.instr(kept, ".") == 0, -1).otherwise(size - F.instr(F.reverse(kept), "."))
-        last_comma = F.when(F.instr(kept, ",") == 0, -1).otherwise(size - F.instr(F.reverse(kept), ","))
-        european = (last_comma > last_dot) & (size - last_comma - 1).between(1, 2)
-        turned = F.when(european, F.regexp_replace(F.translate(kept, ".", ""), "^([^,]*),", "$1.")).otherwise(F.translate(kept, ",", ""))
-        return F.when(kept.rlike("[0-9]"), turned.try_cast("double"))
-
-    def value(s: Column) -> Column:
-        bare = F.regexp_replace(s, r"(?U)[$€£₹৳¥\s]", "")
-        negative = s.rlike(r"(?s)^\(.*\)$") | bare.rlike(r"^\(?[-−]|[-−]\)?$") | s.rlike(r"(?i)(?<![A-Za-z0-9_])(?:dr|debit)\.?\s*\)?$")
-        return let(
-            number_of(s, number), lambda n: F.when(negative, -F.abs(n)).otherwise(n)
-        )
 
-    def number_of(s: Column, then) -> Column:
-        return let(F.regexp_replace(s, "[^0-9.,]", ""), then)
-
-    return let(trimmed(raw), value)
+def parse_amount(raw: Column) -> Column:
+    """See :func:`amount_sql`."""
+    return told(raw, amount_sql("x"))
 
 
 def cents_of(value: Column) -> Column:
@@ -192,100 +244,84 @@ def int_or_null(raw: Column) -> Column:
 
 def is_money_like(raw: Column) -> Column:
     """Decimals, thousand groups or a currency sign; bare integers are no money."""
-    return raw.rlike(r"\d\.\d{2}(?![A-Za-z0-9_])|\d,\d{3}|[$€£₹৳¥]\s?\d")
+    return raw.rlike(MONEY_LIKE)
 
 
 def is_pure_money(line: Column) -> Column:
     return line.rlike(PURE_MONEY) & is_money_like(line)
 
 
-def money_tokens(text: Column) -> Column:
+def money_tokens_sql(text: str) -> str:
     """array<struct<raw, value, rest>> of the money tokens of a text in order; ``rest`` is how much text follows the token's start.
 
     A token is what the pattern finds and is_money_like accepts. The text after
     each find is carried along, since the built-in finder gives no positions.
     """
-    found = F.regexp_extract_all(text, F.lit(f"({AMOUNT_TOKEN})"), F.lit(1))
-    start = F.struct(text.alias("left"), F.array().cast("array<struct<raw:string,value:double,rest:int>>").alias("out"))
-
-    def step(state: Column, raw: Column) -> Column:
-        def on(at: Column) -> Column:
-            rest = (F.length(state["left"]) - at + 1).cast("int")
-            token = lambda v: F.struct(raw.alias("raw"), v.alias("value"), rest.alias("rest"))
-            kept = F.when(is_money_like(raw), let(parse_amount(raw), lambda v: F.when(v.isNotNull(), F.array(token(v)))))
-            return F.struct(
-                F.substring(state["left"], at + F.length(raw), F.length(state["left"])).alias("left"),
-                F.concat(state["out"], F.coalesce(kept, F.slice(state["out"], 1, 0))).alias("out"),
-            )
+    kind = "array<struct<raw:string,value:double,rest:int>>"
+    token = "array(named_struct('raw', found, 'value', v, 'rest', CAST(length(st.tail) - at + 1 AS INT)))"
+    kept = f"CASE WHEN found RLIKE {literal(MONEY_LIKE)} THEN {let_sql(amount_sql('found'), 'v', f'CASE WHEN v IS NOT NULL THEN {token} END')} END"
+    step = (
+        "named_struct('tail', substring(st.tail, at + length(found), length(st.tail)),"
+        f" 'out', concat(st.out, coalesce({kept}, slice(st.out, 1, 0))))"
+    )
+    start = f"named_struct('tail', {text}, 'out', CAST(array() AS {kind}))"
+    finds = f"regexp_extract_all({text}, {literal(f'({AMOUNT_TOKEN})')}, 1)"
+    return f"aggregate({finds}, {start}, (st, found) -> {let_sql('instr(st.tail, found)', 'at', step)}, st -> st.out)"
 
-        return let(F.instr(state["left"], raw), on)
 
-    return F.aggregate(found, start, step, lambda s: s["out"])
+def money_tokens(text: Column) -> Column:
+    """See :func:`money_tokens_sql`."""
+    return told(text, money_tokens_sql("x"))
 
 
 # Dates
 
 
-def month_of(name: Column) -> Column:
-    table = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))])
-    return F.try_element_at(table, F.lower(F.substring(name, 1, 3)))
-
-
-def date_parts(raw: Column, order: Column | str = "DMY") -> Column:
+def date_parts_sql(raw: str, order: str) -> str:
     """struct<year, month, day> of a date in one of eight spellings; a null year where none is written; null if it is no date.
 
     All-number dates are read day first or, with order MDY, month first, and the
     other way round where only that gives a month.
     """
-    mdy = (F.lit(order) if isinstance(order, str) else order) == "MDY"
-    # (pattern, groups of year, month and day; 0 where there is none); all-number days and months may be the other way round
-    spellings = (
-        (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", 1, 2, 3, "fixed"),
-        (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", 3, 2, 1, "numbers"),
-        (r"^(\d{1,2})[\s\-.]?([A-Za-z]{3,9})[\s\-.,]?\s?(\d{4}|\d{2})$", 3, 2, 1, "name"),
-        (r"^([A-Za-z]{3,9})[\s\-.]?(\d{1,2})(?:st|nd|rd|th)?[\s,.]+(\d{4}|\d{2})$", 3, 1, 2, "name"),
-        (r"^([A-Za-z]{3,9})[\s.]+(\d{1,2})$", 0, 1, 2, "name"),
-        (r"^(\d{1,2})[\s.]+([A-Za-z]{3,9})$", 0, 2, 1, "name"),
-        (r"^(\d{1,2})[/-](\d{1,2})$", 0, 2, 1, "numbers"),
+
+    def spelt(pattern: str, y: int, m: int, d: int, kind: str) -> str:
+        got = lambda n: f"regexp_extract(s, {literal(pattern)}, {n})" if n else "''"
+        return f"WHEN s RLIKE {literal(pattern)} THEN named_struct('y', {got(y)}, 'm', {got(m)}, 'd', {got(d)}, 'kind', '{kind}')"
+
+    found = f"CASE {' '.join(spelt(*x) for x in DATE_SPELLINGS)} END"
+    months = "map(" + ", ".join(f"'{m}', {i + 1}" for i, m in enumerate(MONTHS)) + ")"
+    month = f"if(f.kind = 'name', try_element_at({months}, lower(substring(f.m, 1, 3))), try_cast(f.m AS INT))"
+    year, day = "try_cast(nullif(f.y, '') AS INT)", "try_cast(f.d AS INT)"
+    turned = f"f.kind = 'numbers' AND {order} = 'MDY'"
+    numbers = (
+        f"named_struct('year', if(length(f.y) = 2, {year} + 2000, {year}), 'month', if({turned}, {day}, {month}),"
+        f" 'day', if({turned}, {month}, {day}), 'free', f.kind = 'numbers')"
     )
+    swap = "q.free AND q.month > 12 AND q.day <= 12"
+    month, day = f"if({swap}, q.day, q.month)", f"if({swap}, q.month, q.day)"
+    fine = f"{month} BETWEEN 1 AND 12 AND {day} BETWEEN 1 AND 31 AND (q.year IS NULL OR q.year BETWEEN 1900 AND 2200)"
+    checked = f"CASE WHEN {fine} THEN named_struct('year', q.year, 'month', {month}, 'day', {day}) END"
+    known = f"CASE WHEN f IS NOT NULL THEN {let_sql(numbers, 'q', checked)} END"
+    one_space = f"regexp_replace({raw}, {literal('(?U)' + BLANK + '+')}, ' ')"
+    return let_sql(trimmed_sql(one_space), "s", let_sql(found, "f", known))
 
-    def spelt(s: Column) -> Column:
-        out = F.lit(None)
-        for pattern, y, m, d, kind in reversed(spellings):
-            got = lambda n, p=pattern: F.regexp_extract(s, p, n) if n else F.lit("")
-            found = F.struct(got(y).alias("y"), got(m).alias("m"), got(d).alias("d"), F.lit(kind).alias("kind"))
-            out = F.when(s.rlike(pattern), found).otherwise(out)
-        return let(out, lambda f: F.when(f.isNotNull(), let(numbers(f), checked)))
-
-    def numbers(f: Column) -> Column:
-        year = F.nullif(f["y"], F.lit("")).try_cast("int")
-        month = F.when(f["kind"] == "name", month_of(f["m"])).otherwise(f["m"].try_cast("int"))
-        day = f["d"].try_cast("int")
-        free, turned = f["kind"] == "numbers", (f["kind"] == "numbers") & mdy
-        return F.struct(
-            F.when(F.length(f["y"]) == 2, year + 2000).otherwise(year).alias("year"),
-            F.when(turned, day).otherwise(month).alias("month"),
-            F.when(turned, month).otherwise(day).alias("day"),
-            free.alias("free"),
-        )
-
-    def checked(p: Column) -> Column:
-        swap = p["free"] & (p["month"] > 12) & (p["day"] <= 12)
-        month, day = F.when(swap, p["day"]).otherwise(p["month"]), F.when(swap, p["month"]).otherwise(p["day"])
-        fine = month.between(1, 12) & day.between(1, 31) & (p["year"].isNull() | p["year"].between(1900, 2200))
-        return F.when(fine, F.struct(p["year"].alias("year"), month.alias("month"), day.alias("day")))
-
-    return let(trimmed(F.regexp_replace(raw, r"(?U)\s+", " ")), spelt)
 
+def _dated(raw: Column, order: Column | str, year_hint: Column | None = None) -> Column:
+    order = F.lit(order) if isinstance(order, str) else order
+    hint = F.lit(None).cast("int") if year_hint is None else year_hint
+    return F.struct(raw.alias("raw"), order.alias("ord"), hint.alias("hint"))
 
-def normalize_date(raw: Column, year_hint: Column | None = None, order: Column | str = "DMY") -> Column:
-    """``YYYY-MM-DD`` text; impossible days up to 31 pass, as printed."""
 
-    def shown(p: Column) -> Column:
-        year = p["year"] if year_hint is None else F.coalesce(p["year"], year_hint)
-        return F.when(p.isNotNull() & year.isNotNull(), F.format_string("%d-%02d-%02d", year, p["month"], p["day"]))
+def date_parts(raw: Column, order: Column | str = "DMY") -> Column:
+    """See :func:`date_parts_sql`."""
+    return told(_dated(raw, order), date_parts_sql("x.raw", "x.ord"))
+
 
-    return let(date_parts(raw, order), shown)
+def normalize_date(raw: Column, year_hint: Column | None = None, order: Column | str = "DMY") -> Column:
+    """``YYYY-MM-DD`` text; impossible days up to 31 pass, as printed."""
+    year = "coalesce(p.year, x.hint)"
+    shown = f"CASE WHEN p IS NOT NULL AND {year} IS NOT NULL THEN format_string('%d-%02d-%02d', {year}, p.month, p.day) END"
+    return told(_dated(raw, order, year_hint), let_sql(date_parts_sql("x.raw", "x.ord"), "p", shown))
 
 
 def date_token(text: Column) -> Column:
@@ -294,8 +330,10 @@ def date_token(text: Column) -> Column:
 
 
 def is_date_like(raw: Column) -> Column:
-    s = trimmed(F.coalesce(raw, F.lit("")))
-    return (F.length(s) <= 24) & F.coalesce(date_parts(date_token(s)).isNotNull(), F.lit(False))
+    day_first = "'DMY'"
+    token = f"nullif(regexp_extract(t, {literal(f'({DATE_TOKEN})')}, 1), '')"
+    short = let_sql(trimmed_sql("coalesce(x, '')"), "t", f"length(t) <= 24 AND {date_parts_sql(token, day_first)} IS NOT NULL")
+    return told(raw, short)
 
 
 def iso_day(raw: Column) -> Column:
@@ -337,5 +375,3 @@ def stage_percent(low: float, high: float, progress: Column) -> Column:
     return F.floor(F.lit(low) + (F.lit(high) - F.lit(low)) * inside + 0.5).cast("int")
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -90,11 +90,14 @@ def chain_verdict(prefix: str = "") -> list[Column]:
 
 
 def balance_chain(rows: DataFrame, shown: int = 20) -> DataFrame:
-    """``(doc, ok, checked, severed, break_count, breaks)``, the first ``shown`` breaks as structs (seq, expected, printed)."""
-    broken = F.when(F.col("broken"), F.struct("seq", "expected", F.col("printed").alias("printed")))
-    out = walk_balances(rows).groupBy("doc").agg(
-        *chain_counts(), F.slice(F.array_sort(F.collect_list(broken)), 1, shown).alias("breaks")
-    )
+    """``(doc, ok, checked, severed, break_count, breaks)``, the first ``shown`` breaks as structs (seq, expected, printed).
+
+    Breaks are numbered before they are gathered, so that no more than these leave the rows.
+    """
+    upto = by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = walk_balances(rows).withColumn("nth", F.sum(F.col("broken").cast("int")).over(upto))
+    broken = F.when(F.col("broken") & (F.col("nth") <= shown), F.struct("seq", "expected", "printed"))
+    out = numbered.groupBy("doc").agg(*chain_counts(), F.array_sort(F.collect_list(broken)).alias("breaks"))
     return out.select("doc", *chain_verdict(), F.when(F.col("printed") >= 2, F.col("breaks")).alias("breaks"))
 
 

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import (
     DATE_TOKEN,
-    is_pure_money,
-    money_tokens,
+    MONEY_LIKE,
+    PURE_MONEY,
+    amount_sql,
+    let_sql,
+    literal,
+    money_tokens_sql,
     normalize_date,
     parse_amount,
+    told,
     trimmed,
+    trimmed_sql,
 )
+from .spread import spread
 
 # The signals by which documents are classed, currencies counted and labels found.
 CLASS_SIGNALS = {
@@ -81,6 +88,12 @@ PERIOD = (
     r"(?i)(?:statement\s+period|period|statement\s+for|for\s+the\s+period)\s*[:\-]?\s*"
     rf"({DATE_TOKEN})\s*(?:to|through|till|until|[-–—])\s*({DATE_TOKEN})"
 )
+DATE_PAIR = r"\b(\d{1,2})[/.-](\d{1,2})(?:[/.-]\d{2,4})?\b"
+YEAR = r"\b((?:19|20)\d{2})\b"
+OPENED_AS_OF = rf"(?i)(?:beginning|opening)\s+balance\s+as\s+of\s+({DATE_TOKEN})"
+CLOSED_AS_OF = rf"(?i)(?:ending|closing)\s+balance\s+as\s+of\s+({DATE_TOKEN})"
+NO_COMPANY = r"(?i)statement|page\s+\d"
+NUMBER_LIKE = r"(?:[\dXx*][\s-]?){5,}"
 
 
 def ascii_bounds(pattern: str) -> str:
@@ -90,37 +103,35 @@ def ascii_bounds(pattern: str) -> str:
 
 def date_order(text: Column) -> Column:
     """MDY if more number pairs can only be month first than only day first; else DMY."""
-    pair = ascii_bounds(r"\b(\d{1,2})[/.-](\d{1,2})(?:[/.-]\d{2,4})?\b")
-    a, b = (F.transform(F.regexp_extract_all(text, F.lit(pair), F.lit(k)), lambda x: x.cast("int")) for k in (1, 2))
-    both = F.arrays_zip(a.alias("a"), b.alias("b"))
-    dmy = F.size(F.filter(both, lambda p: (p["a"] > 12) & (p["b"] <= 12)))
-    mdy = F.size(F.filter(both, lambda p: (p["b"] > 12) & (p["a"] <= 12)))
-    return F.when(mdy > dmy, "MDY").otherwise("DMY")
+    each = lambda k: f"transform(regexp_extract_all(x, {literal(ascii_bounds(DATE_PAIR))}, {k}), v -> CAST(v AS INT))"
+    both = f"arrays_zip({each(1)}, {each(2)})"
+    many = lambda a, b: f"size(filter(pairs, p -> p.`{a}` > 12 AND p.`{b}` <= 12))"
+    return told(text, let_sql(both, "pairs", f"if({many(1, 0)} > {many(0, 1)}, 'MDY', 'DMY')"))
 
 
 def year_hint(text: Column) -> Column:
     """The commonest year from 1900 to 2099, the first seen on a tie; null if none is written."""
-    years = F.transform(F.regexp_extract_all(text, F.lit(ascii_bounds(r"\b((?:19|20)\d{2})\b")), F.lit(1)), lambda y: y.cast("int"))
-    apart = F.array_distinct(years)
-    counts = F.transform(apart, lambda y: F.size(F.filter(years, lambda x: x == y)))
-    return F.try_element_at(apart, F.array_position(counts, F.array_max(counts)).cast("int"))
+    years = f"transform(regexp_extract_all(x, {literal(ascii_bounds(YEAR))}, 1), y -> CAST(y AS INT))"
+    counts = "transform(apart, y -> size(filter(years, z -> z = y)))"
+    first = "try_element_at(apart, CAST(array_position(counts, array_max(counts)) AS INT))"
+    return told(text, let_sql(years, "years", let_sql("array_distinct(years)", "apart", let_sql(counts, "counts", first))))
 
 
 def currency(text: Column) -> Column:
     """The currency written most often, the earlier of CURRENCY_SIGNALS on a tie; null if none is."""
-    counts = F.array(*[F.regexp_count(text, F.lit(ascii_bounds(p))) for p in CURRENCY_SIGNALS.values()])
-    most = F.array_max(counts)
-    return F.when(most > 0, F.element_at(F.array(*map(F.lit, CURRENCY_SIGNALS)), F.array_position(counts, most).cast("int")))
+    counts = ", ".join(f"regexp_count(x, {literal(ascii_bounds(p))})" for p in CURRENCY_SIGNALS.values())
+    names = ", ".join(f"'{c}'" for c in CURRENCY_SIGNALS)
+    most = f"CASE WHEN array_max(counts) > 0 THEN element_at(array({names}), CAST(array_position(counts, array_max(counts)) AS INT)) END"
+    return told(text, let_sql(f"array({counts})", "counts", most))
 
 
 def class_scores(text: Column) -> Column:
     """struct of each class's share of signals found."""
-    return F.struct(
-        *[
-            (sum((text.rlike("(?i)" + ascii_bounds(p)).cast("int") for p in found), F.lit(0)) / F.lit(len(found))).alias(name)
-            for name, found in CLASS_SIGNALS.items()
-        ]
-    )
+
+    def share(found: tuple[str, ...]) -> str:
+        return " + ".join(f"CAST(x RLIKE {literal('(?i)' + ascii_bounds(p))} AS INT)" for p in found)
+
+    return told(text, "named_struct(" + ", ".join(f"'{name}', ({share(found)}) / {len(found)}" for name, found in CLASS_SIGNALS.items()) + ")")
 
 
 def classify(scores: Column) -> Column:
@@ -175,18 +186,14 @@ def labelled_value(text: Column, label: str, valid=lambda v: F.lit(True)) -> Col
 
 def labelled_amount(text: Column, label: str) -> Column:
     """The last money on the first labelled line that has any, or a money line within the two after it."""
-    lines = F.split(text, r"\r?\n")
-
-    def of_line(i: Column) -> Column:
-        line = F.element_at(lines, i + 1)
-        own = money_tokens(F.regexp_replace(line, label, " "))
-        first, second = trimmed(F.coalesce(F.get(lines, i + 1), F.lit("x"))), trimmed(F.coalesce(F.get(lines, i + 2), F.lit("x")))
-        below = F.when(first != "", first).otherwise(second)
-        value = F.when(F.size(own) > 0, F.element_at(own, -1)["value"]).when(is_pure_money(below), parse_amount(below))
-        return F.when(line.rlike(label), value)
-
-    values = F.transform(F.sequence(F.lit(0), F.size(lines) - 1), of_line)
-    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
+    after = lambda n: trimmed_sql(f"coalesce(get(lines, i + {n}), 'x')")
+    below = f"if({after(1)} <> '', {after(1)}, {after(2)})"
+    pure = f"CASE WHEN below RLIKE {literal(PURE_MONEY)} AND below RLIKE {literal(MONEY_LIKE)} THEN {amount_sql('below')} END"
+    own = money_tokens_sql(f"regexp_replace(get(lines, i), {literal(label)}, ' ')")
+    value = let_sql(own, "own", f"CASE WHEN size(own) > 0 THEN element_at(own, -1).value ELSE {let_sql(below, 'below', pure)} END")
+    named = f"filter(sequence(0, size(lines) - 1), i -> get(lines, i) RLIKE {literal(label)})"
+    values = f"get(filter(transform({named}, i -> {value}), v -> v IS NOT NULL), 0)"
+    return told(text, let_sql(r"split(x, r'\r?\n')", "lines", values))
 
 
 def company_name(first_page: Column) -> Column:
@@ -197,8 +204,8 @@ def company_name(first_page: Column) -> Column:
     )
     top = F.slice(F.filter(tidy, lambda x: F.length(x) >= 3), 1, 12)
     short = lambda x: F.length(x) <= 70
-    named = F.filter(top, lambda x: x.rlike(f"{ORGANISATION}|{BRAND}") & short(x) & ~x.rlike(r"(?i)statement|page\s+\d"))
-    other = F.filter(top, lambda x: short(x) & ~x.rlike(r"(?i)statement|page\s+\d|date"))
+    named = F.filter(top, lambda x: x.rlike(f"{ORGANISATION}|{BRAND}") & short(x) & ~x.rlike(NO_COMPANY))
+    other = F.filter(top, lambda x: short(x) & ~x.rlike(f"{NO_COMPANY}|date"))
     return F.coalesce(F.get(named, F.lit(0)), F.get(other, F.lit(0)))
 
 
@@ -209,27 +216,39 @@ def statement_period(text: Column, hint: Column, order: Column) -> Column:
         raw = F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
         return F.coalesce(normalize_date(raw, hint, order), raw)
 
-    opened = rf"(?i)(?:beginning|opening)\s+balance\s+as\s+of\s+({DATE_TOKEN})"
-    closed = rf"(?i)(?:ending|closing)\s+balance\s+as\s+of\s+({DATE_TOKEN})"
+    opened, closed = OPENED_AS_OF, CLOSED_AS_OF
     return F.when(text.rlike(PERIOD), F.struct(day(PERIOD, 1).alias("from"), day(PERIOD, 2).alias("to"))).when(
         text.rlike(opened) | text.rlike(closed), F.struct(day(opened, 1).alias("from"), day(closed, 1).alias("to"))
     )
 
 
-def document_hints(pages: DataFrame) -> DataFrame:
-    """``pages(doc, page, text)`` -> one row per document: its text, first page, year hint and date order."""
+def document_texts(pages: DataFrame) -> DataFrame:
+    """``pages(doc, page, text)`` -> ``(doc, text, first_page)``, one row per document.
+
+    Documents are dealt out by an explicit exchange, which adaptive execution does not
+    shrink to a few tasks because the text is small: what is read off it is dear.
+    """
     pieces = F.array_sort(F.collect_list(F.struct("page", "text")))
-    docs = pages.groupBy("doc").agg(pieces.alias("pieces"))
+    docs = spread(pages.select("doc", "page", "text"), "doc").groupBy("doc").agg(pieces.alias("pieces"))
     text = F.array_join(F.transform("pieces", lambda p: F.coalesce(p["text"], F.lit(""))), "\n\n")
-    docs = docs.select("doc", text.alias("text"), F.coalesce(F.col("pieces")[0]["text"], F.lit("")).alias("first_page"))
-    found = F.struct(year_hint(F.col("text")).alias("year_hint"), date_order(F.col("text")).alias("date_order"))
-    return docs.select("*", F.explode(F.array(found)).alias("h")).select(*docs.columns, "h.year_hint", "h.date_order")
+    return docs.select("doc", text.alias("text"), F.coalesce(F.col("pieces")[0]["text"], F.lit("")).alias("first_page"))
+
+
+def document_hints(pages: DataFrame) -> DataFrame:
+    """``pages(doc, page, text)`` -> one row per document: its text, first page, year hint and date order."""
+    docs = document_texts(pages)
+    return docs.select("*", year_hint(F.col("text")).alias("year_hint"), date_order(F.col("text")).alias("date_order"))
+
+
+def with_hints(pages: DataFrame) -> DataFrame:
+    """``pages`` with their document's year hint and date order, as the parsers take them."""
+    return pages.join(document_hints(pages).select("doc", "year_hint", "date_order"), "doc")
 
 
 def document_metadata(hints: DataFrame) -> DataFrame:
     """Class, names, account, period, currency, balances and totals that a document prints."""
     text = F.col("text")
-    number_like = lambda v: v.rlike(r"(?:[\dXx*][\s-]?){5,}") & (F.length(F.regexp_replace(v, r"\D", "")) >= 4)
+    number_like = lambda v: v.rlike(NUMBER_LIKE) & (F.length(F.regexp_replace(v, r"\D", "")) >= 4)
     number = labelled_value(text, ACCOUNT_NUMBER_LABEL, number_like)
     number = F.element_at(F.split(F.trim(F.regexp_replace(number, r"[^A-Za-z0-9*\- ]", "")), r"\s{2,}"), 1)
     return hints.withColumn("scores", class_scores(text)).select(

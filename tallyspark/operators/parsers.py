@@ -28,6 +28,7 @@ from ..functions.scalars import (
     tentative_type,
     trimmed,
 )
+from .spread import spread
 
 # The roles of a table's columns by their headings, in the order in which they are claimed.
 COLUMN_ROLES = (
@@ -235,7 +236,11 @@ def from_tables(pages: DataFrame) -> DataFrame:
 
 
 def best_layout(pages: DataFrame) -> DataFrame:
-    """Every page's rows in the layout that reads most of it; ties to tables, then lines. ``mode`` says which."""
+    """Every page's rows in the layout that reads most of it; ties to tables, then lines. ``mode`` says which.
+
+    All layouts read the same exchange of the pages, which their windows need anyhow.
+    """
+    pages = spread(pages.select("doc", "page", "text", "year_hint", "date_order"), "doc", "page")
     modes = {"tables": from_tables, "lines": from_lines, "cells": from_cells_per_line}
     each = [f(pages).withColumns({"mode": F.lit(name), "place": F.lit(k)}) for k, (name, f) in enumerate(modes.items())]
     rows = reduce(DataFrame.unionByName, each)

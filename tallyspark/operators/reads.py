@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import document_type, int_or_null, is_balance_line, iso_day, to_cents, trimmed_or_null
 
+# What in a failure's message says that another try would not help.
+FINAL_FAILURES = r"(?i)cancelled|empty|API_KEY|not signed in|not on this machine's PATH"
+RETRIES = 1
 ROW = "struct<page:string,dateRaw:string,dateIso:string,description:string,reference:string,credit:string,debit:string,balance:string>"
 REPLY = (
     "documentType string,"
@@ -57,10 +60,14 @@ def loose_json(text: Column) -> Column:
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
-    """``replies(doc, reader, reader_ord, chunk, text)`` and ``ok``, ``reason`` and the reply's parts."""
-    found = replies.withColumn("body", json_object(F.col("text")))
+    """``replies(doc, reader, reader_ord, chunk, text)`` and ``ok``, ``reason`` and the reply's parts.
+
+    A call that itself failed has its message in ``error``, if there is such a column.
+    """
+    error = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
+    found = replies.withColumn("body", F.when(error.isNull(), json_object(F.col("text"))))
     blank = F.coalesce(F.trim("text"), F.lit("")) == ""
-    reason = F.when(blank, "empty reply").when(F.col("body").isNull(), "no complete JSON object")
+    reason = F.coalesce(error, F.when(blank, "the reply is empty").when(F.col("body").isNull(), "no complete JSON object"))
     return (
         found.withColumns({"ok": F.col("body").isNotNull(), "reason": reason, "reply": F.from_json("body", REPLY)})
         .select(*replies.columns, "ok", "reason", "reply")
@@ -161,17 +168,75 @@ def merged_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("idx", F.row_number().over(order)).drop("chunk")
 
 
+def is_retryable(reason: Column) -> Column:
+    """Whether a read that failed for this reason is tried again."""
+    return ~F.coalesce(reason, F.lit("")).rlike(FINAL_FAILURES)
+
+
+def final_attempts(replies: DataFrame, retries: int = RETRIES) -> DataFrame:
+    """``replies(doc, reader, chunk, attempt, ok, reason, …)`` -> the attempt that counts of each chunk, ``attempt`` from 1.
+
+    That is the first after which there is no other: it was read, failed for good, or
+    used up the retries; attempts beyond it do not count. If all that there are could go
+    on, it is the last of them.
+    """
+    ends = F.col("ok") | ~is_retryable(F.col("reason")) | (F.col("attempt") > retries)
+    row = F.struct(*[c for c in replies.columns if c not in ("doc", "reader", "chunk")])
+    best = F.coalesce(F.min_by(row, F.when(ends, F.col("attempt"))), F.max_by(row, "attempt")).alias("a")
+    return replies.groupBy("doc", "reader", "chunk").agg(best).select("doc", "reader", "chunk", "a.*")
+
+
 def voters(replies: DataFrame) -> DataFrame:
     """Readers of whom at least one chunk could be read; the others do not vote."""
     return replies.groupBy("doc", "reader", "reader_ord").agg(F.bool_or("ok").alias("ok")).filter("ok").drop("ok")
 
 
+def refused(replies: DataFrame, quorum: int = 2) -> DataFrame:
+    """``(doc, voted, needed)`` of the documents that fewer readers than the quorum could read: they get no verdict."""
+    by_reader = replies.groupBy("doc", "reader").agg(F.bool_or("ok").alias("ok"))
+    out = by_reader.groupBy("doc").agg(F.count_if("ok").alias("voted")).filter(F.col("voted") < quorum)
+    return out.withColumn("needed", F.lit(quorum).cast("bigint"))
+
+
+def reader_report(replies: DataFrame, rows: DataFrame, errors: int = 10) -> DataFrame:
+    """Of each document and reader: whether it voted, chunks read and failed, rows, the first ``errors`` failures, usage and time."""
+    failed = F.when(~F.col("ok"), F.struct((F.col("chunk") + 1).alias("chunk"), "reason"))
+    used = ("duration_ms", "input_tokens", "output_tokens", "cost_micros")
+    report = replies.groupBy("doc", "reader").agg(
+        F.bool_or("ok").alias("voted"),
+        F.count_if("ok").alias("chunks_read"),
+        F.count_if(~F.col("ok")).alias("chunks_failed"),
+        F.slice(F.array_sort(F.collect_list(failed)), 1, errors).alias("errors"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in used],
+    )
+    counts = rows.groupBy("doc", "reader").agg(F.count(F.lit(1)).alias("transactions"))
+    return report.join(counts, ["doc", "reader"], "left").na.fill(0, ["transactions"])
+
+
 def usage_totals(replies: DataFrame) -> DataFrame:
-    """Tokens, cost and failures per reader, and over all readers as reader null."""
+    """Tokens, cost and failures per reader, and over all readers as reader null; time too, where it was taken."""
+    timed = [F.sum("duration_ms").alias("duration_ms")] if "duration_ms" in replies.columns else []
     return replies.rollup("reader").agg(
         F.count(F.lit(1)).alias("chunks"),
         F.count_if(~F.col("ok")).alias("failed"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
         F.sum("cost_micros").alias("cost_micros"),
+        *timed,
     )
+
+
+STRUCTURED = (
+    "companyName string, accountName string, accountNumber string, currency string, periodFrom string, periodTo string,"
+    " openingBalance string, closingBalance string"
+)
+
+
+def structured_metadata(replies: DataFrame) -> DataFrame:
+    """A model's replies on first pages ``(doc, text)`` as the columns that :func:`selection.merge_metadata` takes; replies without JSON go."""
+    found = replies.select("doc", F.from_json(loose_json(F.col("text")), STRUCTURED).alias("s")).filter("s IS NOT NULL")
+    names = {
+        "company_name": "companyName", "account_name": "accountName", "account_number": "accountNumber", "currency": "currency",
+        "period_from": "periodFrom", "period_to": "periodTo", "opening": "openingBalance", "closing": "closingBalance",
+    }
+    return found.select("doc", *[F.col(f"s.{v}").alias(k) for k, v in names.items()])

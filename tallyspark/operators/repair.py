@@ -1,72 +1,96 @@
 """Repair of damaged rows from the balances around them.
 
 Each repair changes what later rows see, but all that it hands on is the last known
-balance; the row after is taken as it stands. So a document is one fold over its
-rows, with the row after brought alongside by a window.
+balance; the row after is taken as it stands. So a document is one fold with one
+number of state. Rows are dealt out by document, sorted, and streamed through the
+fold in Arrow batches: a document may be of any length, time is in proportion to
+its rows, and a task holds one batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import math
+from collections.abc import Iterator
 
-from ..functions.scalars import near, round2
-from .chain import next_complete
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-ROW = "seq bigint, amount double, balance double, type string, repaired string, inferred boolean"
+from .spread import spread
 
+COLUMNS = ("doc", "seq", "amount", "balance", "type", "alt_amounts", "desc_only")
+OUT = "seq bigint, amount double, balance double, type string, repaired string, inferred boolean"
+CENT = 0.015
 
-def _fixed(row: Column, amount: Column, balance: Column, how: str | None) -> Column:
-    return F.struct(
-        row["seq"].alias("seq"),
-        round2(amount).alias("amount"),
-        round2(balance).alias("balance"),
-        F.when(amount >= 0, "credit").otherwise("debit").alias("type"),
-        F.lit(how).cast("string").alias("repaired"),
-        F.lit(how is None).alias("inferred"),
-    )
 
+def _round(value: float) -> float:
+    return math.floor(value * 100 + 0.5) / 100 if math.isfinite(value) else value
 
-def _step(prev: Column, row: Column) -> Column:
-    """The row after repair, given the last balance before it.
 
-    Without amounts on a row of words only, the gap to the next balance is the
+def _fixed(amount: float, balance: float, how: str | None) -> tuple:
+    return _round(amount), _round(balance), "credit" if amount >= 0 else "debit", how, how is None
+
+
+def repaired_row(prev, amount, balance, kind, alt, desc_only, after) -> tuple:
+    """(amount, balance, type, repaired, inferred) of a row, given the last balance before it and (amount, balance) of a whole row after it.
+
+    Without an amount on a row of words only, the gap to the next balance is the
     amount. Without a balance, either amount and next row close the chain, or the one
     number was the balance. With more than two numbers, one of the others may be
     the amount, either sign, that makes the next row follow.
     """
-    after, amount, balance = row["after"], row["amount"], row["balance"]
-    size = F.abs(amount)
-    kept = F.struct(
-        row["seq"].alias("seq"), amount.alias("amount"), balance.alias("balance"), row["type"].alias("type"),
-        F.lit(None).cast("string").alias("repaired"), F.lit(False).alias("inferred"),
-    )
-    gap = after["balance"] - after["amount"] - prev
-    filled = F.struct(
-        row["seq"].alias("seq"), amount.alias("amount"), round2(prev + amount).alias("balance"), row["type"].alias("type"),
-        F.lit("balance-filled").alias("repaired"), F.lit(False).alias("inferred"),
-    )
-    signed = F.flatten(F.transform(F.coalesce(row["alt"], F.array().cast("array<double>")), lambda t: F.array(F.abs(t), -F.abs(t))))
-    fitting = F.get(F.filter(signed, lambda x: near(prev + x + after["amount"], after["balance"])), F.lit(0))
-    return (
-        F.when(prev.isNull() | after.isNull(), kept)
-        .when(row["desc_only"] & amount.isNull(), F.when(F.abs(gap) > 0.009, _fixed(row, gap, prev + gap, None)).otherwise(kept))
-        .when(amount.isNull(), kept)
-        .when(
-            balance.isNull(),
-            F.when(near(prev + amount + after["amount"], after["balance"]), filled)
-            .when(
-                near(size + after["amount"], after["balance"]) & (F.abs(size - prev) > 0.009),
-                _fixed(row, size - prev, size, "amount-balance-merge"),
-            )
-            .otherwise(kept),
-        )
-        .when(
-            fitting.isNotNull() & ~near(prev + amount, balance),
-            _fixed(row, fitting, prev + fitting, "multi-amount-disambiguated"),
-        )
-        .otherwise(kept)
-    )
+    kept = amount, balance, kind, None, False
+    if prev is None or after is None:
+        return kept
+    then, closing = after
+    if amount is None:
+        gap = closing - then - prev
+        return _fixed(gap, prev + gap, None) if desc_only and abs(gap) > 0.009 else kept
+    if balance is None:
+        if abs(prev + amount + then - closing) < CENT:
+            return amount, _round(prev + amount), kind, "balance-filled", False
+        size = abs(amount)
+        if abs(size + then - closing) < CENT and abs(size - prev) > 0.009:
+            return _fixed(size - prev, size, "amount-balance-merge")
+        return kept
+    if alt and not abs(prev + amount - balance) < CENT:
+        for x in (y for t in alt if t is not None for y in (abs(t), -abs(t))):
+            if abs(prev + x + then - closing) < CENT:
+                return _fixed(x, prev + x, "multi-amount-disambiguated")
+    return kept
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (doc, seq), each decided when the one after it is seen."""
+    held, prev, kind = None, None, None
+
+    def decide(after: tuple | None) -> tuple | None:
+        nonlocal prev
+        doc, seq, *row = held
+        done = repaired_row(prev, *row, after)
+        prev = done[1] if done[1] is not None else prev
+        return (doc, seq, *done) if done[0] is not None else None
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        names = ["doc", "seq", "amount", "balance", "type", "repaired", "inferred"]
+        kinds = [kind, pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    for batch in batches:
+        rows, kind = [], batch.schema.field("doc").type
+        for row in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
+            if held is not None:
+                same = held[0] == row[0]
+                done = decide((row[2], row[3]) if same and row[2] is not None and row[3] is not None else None)
+                if done:
+                    rows.append(done)
+                if not same:
+                    prev = None
+            held = row
+        yield out(rows)
+    if held is not None and (done := decide(None)):
+        yield out([done])
 
 
 def repair(rows: DataFrame) -> DataFrame:
@@ -74,20 +98,7 @@ def repair(rows: DataFrame) -> DataFrame:
 
     Rows that have no amount in the end are dropped.
     """
-    beside = rows.withColumn("after", next_complete())
-    row = F.struct("seq", "amount", "balance", "type", F.col("alt_amounts").alias("alt"), "desc_only", "after")
-    docs = beside.groupBy("doc").agg(F.array_sort(F.collect_list(row), lambda a, b: (a["seq"] - b["seq"]).cast("int")).alias("rows"))
-    start = F.struct(F.lit(None).cast("double").alias("prev"), F.array().cast(f"array<struct<{_typed(ROW)}>>").alias("out"))
-
-    def step(state: Column, r: Column) -> Column:
-        done = _step(state["prev"], r)
-        return F.struct(
-            F.coalesce(done["balance"], state["prev"]).alias("prev"), F.concat(state["out"], F.array(done)).alias("out")
-        )
-
-    out = docs.select("doc", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r"))
-    return out.select("doc", "r.*").filter("amount IS NOT NULL")
-
-
-def _typed(ddl: str) -> str:
-    return ",".join(":".join(part.split()) for part in ddl.split(","))
+    schema = T.StructType([rows.schema["doc"], *T.StructType.fromDDL(OUT).fields])
+    money = [rows[c].cast("double") for c in ("amount", "balance")]
+    picked = rows.select("doc", rows["seq"].cast("bigint"), *money, "type", rows["alt_amounts"].cast("array<double>"), "desc_only")
+    return spread(picked, "doc").sortWithinPartitions("doc", "seq").mapInArrow(_fold, schema)

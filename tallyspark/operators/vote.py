@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import let, row_key, row_key_loose
+from ..sources.folders import staged
+from .spread import spread
 
 TEXT_KEY = "nullif(trim(regexp_replace(upper(x), '[^A-Z0-9]+', ' ')), '')"
 DIGITS = "regexp_replace(x, '[^0-9]', '')"
@@ -165,16 +167,18 @@ def vote_rows(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> tuple[Dat
     has beyond it is a ``duplicate_row``. Rows of keys without such a count, or with
     zero, match again on day and amount alone; what still finds no quorum is an
     ``unmatched_row``, and an accepted row whose descriptions differ a
-    ``row_description``. Surplus of the second pass goes without a dispute.
+    ``row_description``. Surplus of the second pass goes without a dispute. What either
+    pass finds is written once, as accepted rows and disputes both read it.
     """
-    strict = with_quorum(with_voters(keyed(rows), readers), "key", ["idx"], quorum)
+    strict = with_quorum(spread(with_voters(keyed(rows), readers), "doc"), "key", ["idx"], quorum)
+    strict = staged(strict, "strict-matches")
     agreed = F.coalesce(F.col("agreed"), F.lit(0))
     exact = _accept(strict.filter(F.col("occurrence") <= agreed), "key", "exact", quorum)
     doubles = strict.filter((agreed > 0) & (F.col("occurrence") > agreed))
 
     first = F.min(F.struct("reader_ord", "idx")).over(Window.partitionBy("doc", "key"))
     left = strict.filter(agreed == 0).withColumn("first", first).drop("agreed", "seen_by", "occurrence")
-    left = with_quorum(left, "loose", ["first", "idx"], quorum)
+    left = staged(with_quorum(left, "loose", ["first", "idx"], quorum), "loose-matches")
     loose = _accept(left.filter(F.col("occurrence") <= agreed), "loose", "amount+date", quorum)
     alone = left.filter(agreed == 0)
 
@@ -186,13 +190,14 @@ def vote_rows(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> tuple[Dat
             F.coalesce("date_iso", "date_raw").alias("day"), "description", "credit", "debit", "balance",
         )
 
+    loose = staged(loose, "loosely-accepted")
     told = loose.filter(~F.col("description_agreed"))
     disputes = (
         dispute(doubles, "duplicate_row")
         .unionByName(dispute(alone.withColumn("key", F.col("loose")), "unmatched_row"))
         .unionByName(dispute(told, "row_description"))
     )
-    return exact.unionByName(loose), disputes
+    return staged(exact.unionByName(loose), "accepted"), disputes
 
 
 def in_printed_order(accepted: DataFrame, rows: DataFrame) -> DataFrame:

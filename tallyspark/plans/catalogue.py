@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chain_queries, scalar_queries, stream_queries
+from . import chain_queries, job_queries, scalar_queries, stream_queries
 
-MODULES = (chain_queries, scalar_queries, stream_queries)
+MODULES = (chain_queries, scalar_queries, job_queries, stream_queries)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 

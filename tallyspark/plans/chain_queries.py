@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import account_key, from_cents
 from ..operators import chain, repair, result, vote
+from ..sources.folders import staged
 from . import ledger as L
 from .sql import DAMAGED, LEDGER, READS, TOTALS, VOTE, WALK
 
@@ -45,8 +46,10 @@ def chain_walk(spark, sf_dir):
 
 
 def balance_chain(spark, sf_dir):
-    found = chain.balance_chain(L.damaged(ledger_of(spark, sf_dir)))
-    return found.select("doc", "ok", "checked", "severed", "break_count", F.coalesce(F.size("breaks"), F.lit(0)).cast("bigint").alias("shown"))
+    """Three breaks are shown, as seq:expected:printed."""
+    found = chain.balance_chain(L.damaged(ledger_of(spark, sf_dir)), 3)
+    shown = F.array_join(F.transform("breaks", lambda b: F.concat_ws(":", b["seq"], b["expected"], b["printed"])), " ")
+    return found.select("doc", "ok", "checked", "severed", "break_count", shown.alias("shown"))
 
 
 def repair_fold(spark, sf_dir):
@@ -68,9 +71,23 @@ def repair_fold(spark, sf_dir):
     return out.select("doc", "seq", cents("amount"), cents("balance"), "type", "repaired", "inferred")
 
 
+def repair_cases(spark, sf_dir):
+    """Damage of all kinds: lost balances and amounts, a balance read as the amount, and a wrong one of several numbers."""
+    rows = ledger_of(spark, sf_dir)
+    kind, size = F.col("id") % 7, from_cents(F.abs("cents"))
+    amount = F.when(kind == 1, from_cents(F.col("balance"))).when(kind == 6, 9.99).when(kind != 5, from_cents(F.col("cents")))
+    balance = F.when(kind == 6, from_cents(F.col("balance") + 12300)).when(~kind.isin(1, 3, 5), from_cents(F.col("balance")))
+    hurt = rows.select(
+        "doc", "seq", amount.alias("amount"), balance.alias("balance"), F.when(kind != 5, F.col("type")).alias("type"),
+        F.when(kind == 6, F.array(F.lit(9.99), size + 50, F.lit(None), size)).alias("alt_amounts"), (kind == 5).alias("desc_only"),
+    )
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint").alias(c)
+    return repair.repair(hurt).select("doc", "seq", cents("amount"), cents("balance"), "type", "repaired", "inferred")
+
+
 def reads_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = ledger_of(spark, sf_dir)
-    return L.reads(rows), L.readers(rows)
+    return staged(L.reads(rows), "reads"), L.readers(rows)
 
 
 def quorum_count(spark, sf_dir):
@@ -202,7 +219,7 @@ PLACED = """full_read AS (
 QUERIES = {
     f.__name__: f
     for f in (
-        ledger, ledger_summary, sign_resolution, chain_breaks, chain_walk, balance_chain, repair_fold, quorum_count, row_vote_accepted,
+        ledger, ledger_summary, sign_resolution, chain_breaks, chain_walk, balance_chain, repair_fold, repair_cases, quorum_count, row_vote_accepted,
         row_vote_disputes, agreement_ratio, printed_order, scalar_vote, field_vote, verdict, dispute_counts, result_sentence,
     )
 }
@@ -223,7 +240,8 @@ ORACLES = {
         count(*) FILTER (cents IS NULL AND printed IS NULL) AS v, count(*) FILTER (expected <> printed) AS b FROM walk GROUP BY doc)
       SELECT doc, CASE WHEN enough AND c > 0 THEN b = 0 END AS ok, CASE WHEN enough THEN c ELSE 0 END AS checked,
         CASE WHEN enough THEN v ELSE 0 END AS severed, CASE WHEN enough THEN b ELSE 0 END AS break_count,
-        CASE WHEN enough THEN least(b, 20) ELSE 0 END AS shown FROM s""",
+        CASE WHEN enough THEN coalesce((SELECT string_agg(seq || ':' || expected || ':' || printed, ' ' ORDER BY seq) FROM
+          (SELECT seq, expected, printed FROM walk w WHERE w.doc = s.doc AND expected <> printed ORDER BY seq LIMIT 3)), '') END AS shown FROM s""",
     # both damages are undone where a balance stands before and a whole row after; else a lost balance stays lost
     "repair_fold": f"""WITH {LEDGER.replace("ledger AS (", "RECURSIVE ledger AS (", 1)}, hurt AS (
       SELECT doc, seq, CASE WHEN id % 7 <> 5 THEN cents END AS cents, CASE WHEN id % 7 NOT IN (3, 5) THEN balance END AS balance, type, id % 7 = 5 AS words FROM ledger
@@ -242,6 +260,29 @@ ORACLES = {
         FROM fold f JOIN n ON n.doc = f.doc AND n.seq = f.seq + 1
       ) n
     ) SELECT doc, seq, amount, balance, type, repaired, inferred FROM fold WHERE amount IS NOT NULL""",
+    "repair_cases": f"""WITH {LEDGER.replace("ledger AS (", "RECURSIVE ledger AS (", 1)}, hurt AS (
+      SELECT doc, seq, id % 7 AS kind, cents AS meant, CASE id % 7 WHEN 1 THEN balance WHEN 5 THEN NULL WHEN 6 THEN 999 ELSE cents END AS cents,
+        CASE WHEN id % 7 = 6 THEN balance + 12300 WHEN id % 7 NOT IN (1, 3, 5) THEN balance END AS balance, CASE WHEN id % 7 <> 5 THEN type END AS type FROM ledger
+    ), n AS (
+      SELECT *, lead(cents) OVER w AS nc, lead(balance) OVER w AS nb FROM hurt WINDOW w AS (PARTITION BY doc ORDER BY seq)
+    ), fold AS (
+      SELECT doc, seq, cents AS amount, balance, type, CAST(NULL AS VARCHAR) AS repaired, false AS inferred, balance AS prev FROM n WHERE seq = 1
+      UNION ALL
+      SELECT doc, seq, a, b, CASE WHEN how IN ('gap', 'amount-balance-merge', 'multi-amount-disambiguated') THEN CASE WHEN a >= 0 THEN 'credit' ELSE 'debit' END ELSE type END,
+        nullif(how, 'gap'), coalesce(how = 'gap', false), coalesce(b, prev)
+      FROM (
+        SELECT *, CASE how WHEN 'gap' THEN nb - nc - prev WHEN 'amount-balance-merge' THEN abs(cents) - prev WHEN 'multi-amount-disambiguated' THEN meant ELSE cents END AS a,
+          CASE how WHEN 'gap' THEN nb - nc WHEN 'balance-filled' THEN prev + cents WHEN 'amount-balance-merge' THEN abs(cents) WHEN 'multi-amount-disambiguated' THEN prev + meant ELSE balance END AS b
+        FROM (
+          SELECT n.*, f.prev, CASE WHEN f.prev IS NULL OR nc IS NULL OR nb IS NULL THEN NULL
+            WHEN kind = 5 THEN CASE WHEN nb - nc <> f.prev THEN 'gap' END
+            WHEN n.balance IS NULL AND f.prev + cents + nc = nb THEN 'balance-filled'
+            WHEN n.balance IS NULL AND abs(cents) + nc = nb AND abs(cents) <> f.prev THEN 'amount-balance-merge'
+            WHEN kind = 6 AND f.prev + meant + nc = nb AND f.prev + cents <> n.balance THEN 'multi-amount-disambiguated' END AS how
+          FROM fold f JOIN n ON n.doc = f.doc AND n.seq = f.seq + 1
+        )
+      )
+    ) SELECT doc, seq, amount, balance, type, repaired, inferred FROM fold WHERE amount IS NOT NULL""",
     "quorum_count": f"""WITH {VOTE} SELECT doc, key, agreed, (SELECT count(*) FROM grid g WHERE g.doc = s.doc AND g.key = s.key AND n > 0) AS seen_by FROM strict s""",
     "row_vote_accepted": f"WITH {VOTE} SELECT doc, k AS key, occ AS occurrence, matched_by, readers, page, date_iso, amount, description FROM accepted",
     "row_vote_disputes": f"""WITH {VOTE}, d AS (

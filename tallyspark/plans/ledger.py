@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cents_of
+from ..functions.scalars import cents_of, json_text
 
 READERS = ("r1", "r2", "r3")
 ROWS_PER_PAGE = 25
@@ -185,3 +185,85 @@ def event_log(events: DataFrame) -> DataFrame:
         F.when(F.col("event_id") % 10 == 0, 2).otherwise(1).alias("sent"),
     )
     return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("sent")))).drop("sent", "copy")
+
+
+def analysis_pages(rows: DataFrame) -> DataFrame:
+    """``(doc, page, text)``: statements with heading, period, opening balance, typed lines and totals; some balances, totals and counts are off.
+
+    A closing balance is printed for every third document. Every 31st row prints a
+    balance a unit too high, every fourth document's credits are a unit too high, every fifth's count is.
+    """
+    credit = F.col("cents") >= 0
+    line = F.concat_ws(
+        " ", F.date_format(F.to_date("day"), "MM/dd/yyyy"), F.when(credit, "DEPOSIT").otherwise("PAYMENT"), F.col("id").cast("string"),
+        money_text(F.abs("cents")), money_text(F.col("balance") + F.when(F.col("id") % 31 == 0, 100).otherwise(0)),
+    )
+    pages = rows.groupBy("doc", (F.floor((F.col("seq") - 1) / ROWS_PER_PAGE) + 1).cast("int").alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("seq", line.alias("t")))).alias("r")
+    )
+    totals = ledger_totals(rows).join(
+        rows.groupBy("doc").agg(F.min("day").alias("from"), F.max("day").alias("to"), F.count_if(credit).alias("credits_n")), "doc"
+    )
+    both = pages.join(totals, "doc")
+    number = F.lpad(F.col("doc").cast("string"), 8, "0")
+    head = F.concat(
+        F.lit("ACME BANK PLC\nACCOUNT STATEMENT\nAccount Name: Customer "), F.col("doc").cast("string"), F.lit("\nAccount No: 00"), number,
+        F.lit("\nStatement period: "), F.col("from"), F.lit(" to "), F.col("to"), F.lit("\nOpening balance\n\n"), money_text(F.col("opening")),
+    )
+    foot = F.concat(
+        F.lit("Deposits and credits ("), (F.col("credits_n") + F.when(F.col("doc") % 5 == 0, 1).otherwise(0)).cast("string"), F.lit(") USD\nTotal credits ("),
+        (F.col("credits_n") + F.when(F.col("doc") % 5 == 0, 1).otherwise(0)).cast("string"), F.lit(") $"),
+        money_text(F.col("credits") + F.when(F.col("doc") % 4 == 0, 100).otherwise(0)),
+        F.lit("\nWithdrawals and debits ("), (F.col("n") - F.col("credits_n")).cast("string"), F.lit(") -$"), money_text(F.col("debits")),
+        F.when(F.col("doc") % 3 == 0, F.concat(F.lit("\nClosing balance: "), money_text(F.col("closing")))).otherwise(""),
+    )
+    last = F.col("page") * ROWS_PER_PAGE >= F.col("n")
+    text = F.concat_ws("\n", F.when(F.col("page") == 1, head), F.array_join(F.transform("r", lambda x: x["t"]), "\n"), F.when(last, foot))
+    return both.select("doc", "page", text.alias("text"))
+
+
+#: Rows of a page and pages of a chunk where readers' replies are made.
+REPLY_ROWS, CHUNK_PAGES = 3, 4
+
+
+def replies(rows: DataFrame) -> DataFrame:
+    """Attempts of three readers at every chunk of every document, as JSON text of what :func:`reads` has.
+
+    A first attempt breaks off for every fourth (document, chunk, reader). Of every fifth
+    document the third reader is not signed in, of every tenth the second times out.
+    """
+    page = (F.floor((F.col("seq") - 1) / REPLY_ROWS) + 1).cast("int")
+    chunk = F.floor((F.col("page") - 1) / CHUNK_PAGES).cast("bigint")
+    paged = rows.withColumn("page", page).withColumn("chunk", chunk)
+    seq = paged.select("doc", "seq", "page", "chunk")
+    said = reads(rows).drop("page").withColumn("seq", F.floor(F.col("idx") / 2).cast("bigint")).join(seq, ["doc", "seq"])
+    text = lambda c: F.when(F.col(c).isNotNull(), money_text(F.col(c)))
+    row = F.struct(
+        "idx", F.col("page").cast("string").alias("page"), F.col("date_raw").alias("dateRaw"), F.col("date_iso").alias("dateIso"), "description",
+        "reference", text("credit").alias("credit"), text("debit").alias("debit"), text("balance").alias("balance"),
+    )
+    said = said.groupBy("doc", "reader_ord", "chunk").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    chunks = seq.groupBy("doc", "chunk").agg(F.min("page").cast("bigint").alias("page_floor"), F.max("page").cast("bigint").alias("page_ceil"))
+    every = chunks.withColumn("reader_ord", F.explode(F.sequence(F.lit(1), F.lit(3)))).join(said, ["doc", "reader_ord", "chunk"], "left")
+    every = every.join(ledger_totals(rows).select("doc", "opening", "closing"), "doc")
+    none = F.lit(None).cast("string")
+    number = F.concat(F.lit("00"), F.lpad(F.col("doc").cast("string"), 8, "0"))
+    body = json_text(
+        F.struct(
+            F.when(F.col("doc") % 7 == 0, "ledger").otherwise("bank_statement").alias("documentType"),
+            F.struct(F.lit("Acme Bank").alias("companyName"), none.alias("branch"), number.alias("accountNumber"), F.lit("usd").alias("currency"), F.lit("1992-01-01").alias("statementPeriodFrom"), F.lit("1998-12-31").alias("statementPeriodTo")).alias("metadata"),
+            F.struct(F.when(F.col("chunk") == 0, money_text(F.col("opening"))).alias("opening"), money_text(F.col("closing")).alias("closing")).alias("balances"),
+            F.transform(F.coalesce("r", F.array().cast("array<struct<idx:bigint,page:string,dateRaw:string,dateIso:string,description:string,reference:string,credit:string,debit:string,balance:string>>")), lambda t: t.dropFields("idx")).alias("transactions"),
+        )
+    )
+    k = F.col("reader_ord")
+    tries = every.withColumn("body", body).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    first = F.col("attempt") == 1
+    error = F.when((k == 3) & (F.col("doc") % 5 == 0) & first, "not signed in").when((k == 2) & (F.col("doc") % 10 == 0), "timed out")
+    cut = first & ((F.col("doc") + F.col("chunk") + k) % 4 == 0)
+    return tries.select(
+        "doc", F.concat(F.lit("r"), k.cast("string")).alias("reader"), "reader_ord", "chunk", "attempt", error.alias("error"),
+        F.when(error.isNull(), F.when(cut, F.substring("body", F.lit(1), F.length("body") - 1)).otherwise(F.col("body"))).alias("text"),
+        "page_floor", "page_ceil", (F.col("attempt") * 100 + k).cast("bigint").alias("duration_ms"), (k * 10).cast("bigint").alias("input_tokens"),
+        F.col("attempt").cast("bigint").alias("output_tokens"), F.lit(7).cast("bigint").alias("cost_micros"),
+    )

@@ -120,12 +120,6 @@ def stated_totals(spark, sf_dir):
     return found.select("doc", "s.credit_count", S.cents_of(F.col("s.total_credits")).alias("credits"), "s.debit_count", S.cents_of(F.col("s.total_debits")).alias("debits"))
 
 
-def metadata(spark, sf_dir):
-    pages = L.statement_pages(L.ledger(L.table(spark, sf_dir, "orders")))
-    found = hints.document_metadata(hints.document_hints(pages))
-    return found.select("doc", "company_name", "account_name", "account_number", "currency", F.col("class.document_type").alias("document_type"))
-
-
 def html_strip(spark, sf_dir):
     return L.table(spark, sf_dir, "pages").select("page_id", S.strip_html(F.col("html")).alias("text"))
 
@@ -193,7 +187,7 @@ def merge_chunks(spark, sf_dir):
     size, turn = F.length("text").cast("bigint"), F.col("turn")
     chunks = turns(spark, sf_dir).select(
         F.col("conv_id").alias("doc"), F.col("role").alias("reader"), F.lit(1).alias("reader_ord"), turn.alias("chunk"), (size % 7 != 0).alias("ok"),
-        *[F.when(size % 3 != 0, F.substring("text", 1, 9)).alias(c) for c in reads.FIRST],
+        *[F.when(size % 3 != 0, F.sha2("text", 256)).alias(c) for c in reads.FIRST],
         *[F.when(size % 4 != 0, size).alias(c) for c in reads.LAST],
         F.when(size % 2 == 0, turn).alias("opening_cents"),
     )
@@ -251,8 +245,7 @@ def statement_roundtrip(spark, sf_dir):
     from ..operators import chain
 
     pages = L.statement_pages(L.ledger(L.table(spark, sf_dir, "orders")))
-    hinted = pages.join(hints.document_hints(pages).select("doc", "year_hint", "date_order"), "doc")
-    rows = chain.resolve_signs(parsers.parse_documents(hinted))
+    rows = chain.resolve_signs(parsers.parse_documents(hints.with_hints(pages)))
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     return rows.select("doc", "seq", cents("amount").alias("cents"), cents("balance").alias("balance"), "type")
 
@@ -289,7 +282,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         amount_parse, text_keys, row_keys, date_parts, normalize_date, iso_days, int_or_null, date_order, year_hint, currency, classify,
-        money_coverage, stated_totals, metadata, html_strip, page_source, best_attempt, metadata_merge, canonical_rows, page_chunks,
+        money_coverage, stated_totals, html_strip, page_source, best_attempt, metadata_merge, canonical_rows, page_chunks,
         merge_chunks, json_replies, usage_totals, best_layout, parsed_rows, statement_roundtrip, html_tables, header_mapping, tentative_types,
     )
 }
@@ -321,8 +314,6 @@ ORACLES = {
     "money_coverage": """SELECT o_custkey AS doc, count(*) AS rows, count(*) FILTER (o_orderkey % 5 <> 0) AS money_rows, round(count(*) FILTER (o_orderkey % 5 <> 0) / count(*), 9) AS coverage FROM orders GROUP BY o_custkey""",
     "stated_totals": f"""WITH {LEDGER}, {TOTALS} SELECT doc, CASE WHEN doc % 4 <> 0 THEN n END AS credit_count, CASE WHEN doc % 4 <> 0 THEN credits END AS credits,
       CAST(CASE WHEN doc % 4 <> 0 THEN 3 END AS BIGINT) AS debit_count, CASE WHEN doc % 4 <> 0 THEN debits END AS debits FROM totals""",
-    "metadata": """SELECT DISTINCT o_custkey AS doc, 'ACME BANK PLC' AS company_name, 'Customer ' || o_custkey AS account_name, '00' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS account_number,
-      'USD' AS currency, 'document' AS document_type FROM orders""",
     "html_strip": """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '\\s+', ' ', 'g')) AS text FROM pages""",
     "page_source": """WITH p AS (SELECT o_custkey AS doc, o_orderkey AS page, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 400 END AS e,
         CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 0 END END AS o FROM orders)
@@ -342,7 +333,7 @@ ORACLES = {
     "page_chunks": """SELECT doc, page, chunk, chunk = 0 AS is_first, chunk = max(chunk) OVER (PARTITION BY doc) AS is_last
       FROM (SELECT conv_id AS doc, turn + 1 AS page, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS chunk FROM conversations)""",
     "merge_chunks": """WITH t AS (SELECT conv_id AS doc, role AS reader, turn, text, length(text) AS n FROM conversations WHERE length(text) % 7 <> 0)
-      SELECT doc, reader, min_by(substr(text, 1, 9), turn) FILTER (n % 3 <> 0) AS company_name, max_by(n, turn) FILTER (n % 4 <> 0) AS closing_cents,
+      SELECT doc, reader, min_by(sha256(text), turn) FILTER (n % 3 <> 0) AS company_name, max_by(n, turn) FILTER (n % 4 <> 0) AS closing_cents,
         (SELECT CASE WHEN u.n % 2 = 0 THEN u.turn END FROM t u WHERE u.doc = t.doc AND u.reader = t.reader ORDER BY u.turn LIMIT 1) AS opening_cents
       FROM t GROUP BY doc, reader""",
     "json_replies": """SELECT conv_id AS doc, turn AS chunk, (conv_id + turn) % 5 < 3 AS ok, CASE WHEN (conv_id + turn) % 5 < 3 THEN 'bank_statement' END AS document_type,

@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of this machine only where that is unset, as on a laptop."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyspark-")
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one of this machine in local mode, and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallyspark.scratch", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
+        spark.conf.set("tallyspark.scratch", folder)
+    return folder
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """Rows that several branches of a job read: written once to the shared folder, in the order of their partitions, and read back."""
+    spark = rows.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -32,6 +32,47 @@ def readiness(records: DataFrame) -> DataFrame:
     return records.withColumn("readiness", ready)
 
 
+def summaries(records: DataFrame) -> DataFrame:
+    """What a list shows of ``records(id, status, file, progress, raw, processed, error)``: no read page or row is touched."""
+    return records.select(
+        "id",
+        "status",
+        F.struct(*[F.col(f"file.{c}").alias(c) for c in ("original_name", "size_bytes", "uploaded_at")]).alias("file"),
+        "progress",
+        F.col("processed.document_type").alias("document_type"),
+        F.col("processed.summary.transactions").alias("transactions"),
+        "error",
+    )
+
+
+def part(records: DataFrame, name: str) -> DataFrame:
+    """``raw`` or ``processed`` of the records that are ready."""
+    return readiness(records).filter("readiness = 'ready'").select("id", "file", name)
+
+
+def to_analyse_again(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the stored pages of records that have any, the ids of records that have none and cannot be analysed again)."""
+    pages = records.filter("raw IS NOT NULL").select(F.col("id").alias("doc"), F.explode("raw.pages").alias("p"))
+    return pages.select("doc", "p.page", "p.text"), records.filter("raw IS NULL").select("id")
+
+
+def duplicate_urls(backends: DataFrame) -> DataFrame:
+    """``(url, ids)`` of the addresses that more than one of ``backends(id, url)`` has, a last slash aside."""
+    url = F.regexp_replace(F.trim("url"), "/+$", "")
+    found = backends.groupBy(url.alias("url")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return found.filter(F.size("ids") > 1)
+
+
+def deliver(outcomes: DataFrame, folder: str) -> None:
+    """What a job sends back, ``(job, kind, body)``, appended by kind: raw, resolved, failed or progress."""
+    outcomes.write.mode("append").partitionBy("kind").json(folder)
+
+
+def delivered(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """``(job, body)`` of one kind, each once, however often it was sent."""
+    return spark.read.schema("job long, body string, kind string").json(folder).filter(F.col("kind") == kind).select("job", "body").distinct()
+
+
 def without(records: DataFrame, ids: DataFrame) -> DataFrame:
     """Records but those of ``ids``, of which none in work may go."""
     return records.join(ids.select("id"), "id", "left_anti").unionByName(

@@ -16,6 +16,7 @@ from ..functions.scalars import STAGES, stage_percent
 
 TERMINAL = ("ocr:done",)
 BATCH_EVENTS = 50
+WINDOW_MS = 400
 
 
 def once(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -105,9 +106,23 @@ def read_log(spark: SparkSession, folder: str, schema: str, per_trigger: int | N
     return reader.json(folder)
 
 
-def relay(events: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str):
-    """Hands each micro-batch of new events to ``send(batch, batch_id)``, at least once, until none is left."""
-    return once(events).writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def relay(events: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, live: bool = False):
+    """Hands each micro-batch of new events to ``send(batch, batch_id)``, at least once.
+
+    Until none is left, or ``live``, every WINDOW_MS. ``send`` gets a batch in the order
+    (job, seq); one that fails is sent again when the query is started again, under the same id.
+    """
+
+    def in_order(batch: DataFrame, batch_id: int) -> None:
+        send(batch.repartition("job").sortWithinPartitions("job", "seq"), batch_id)
+
+    trigger = {"processingTime": f"{WINDOW_MS} milliseconds"} if live else {"availableNow": True}
+    return once(events).writeStream.foreachBatch(in_order).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def waits(attempts: Column, first: int = 1, most: int = 15) -> Column:
+    """Seconds to wait after so many failures in a row: ``first``, doubling up to ``most``."""
+    return F.least(F.lit(float(most)), F.lit(float(first)) * F.pow(F.lit(2.0), attempts - 1)).cast("int")
 
 
 def drop_refused(batch: DataFrame, refused: DataFrame) -> DataFrame:

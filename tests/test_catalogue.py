@@ -41,5 +41,5 @@ def test_flagship(spark):
 
 def test_sentence(spark, sf_dir):
     notes = [r.note for r in catalogue.QUERIES["result_sentence"](spark, sf_dir).collect()]
-    assert len(notes) == 150 and all(" in and " in n and n.endswith(".") for n in notes)
-    assert any("All three readings agree" in n for n in notes) and any("Needs a look" in n for n in notes)
+    assert len(notes) == 150 and all(" received, " in n and n.endswith(".") for n in notes)
+    assert any("Every read agrees" in n for n in notes) and any("To be checked" in n for n in notes)

@@ -3,11 +3,14 @@ import os
 import shutil
 import subprocess
 import sys
+import time
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.sources import records
+from tallyspark.operators import jobs, repair
+from tallyspark.sources import folders, records
 from tallyspark.streaming import events as E
 
 REPO = Path(__file__).resolve().parents[1]
@@ -75,12 +78,92 @@ def test_refused_jobs(spark):
     assert [r.job for r in E.drop_refused(batch, spark.createDataFrame([(2,)], "job long")).collect()] == [1]
 
 
+def test_live_relay_and_order(spark, tmp_path):
+    schema = "job long, seq long, type string, at timestamp"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text("\n".join(json.dumps({"job": j, "seq": s, "type": "t", "at": "2024-01-01T00:00:00Z"}) for s in (3, 1, 2) for j in (1, 2)))
+    got = []
+    query = E.relay(E.read_log(spark, str(tmp_path / "in"), schema), lambda b, n: got.extend((r.job, r.seq) for r in b.collect()), str(tmp_path / "state"), live=True)
+    query.processAllAvailable()
+    query.stop()
+    assert [s for j, s in got if j == 1] == [1, 2, 3] and sorted(got) == [(j, s) for j in (1, 2) for s in (1, 2, 3)]
+
+
+def test_a_failed_batch_is_sent_again(spark, tmp_path):
+    schema = "job long, seq long, type string, at timestamp"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text(json.dumps({"job": 1, "seq": 1, "type": "t", "at": "2024-01-01T00:00:00Z"}))
+    got, calls = [], []
+
+    def send(batch, n):
+        calls.append(n)
+        if len(calls) == 1:
+            raise OSError("the receiver is away")
+        got.extend(r.seq for r in batch.collect())
+
+    for _ in range(2):
+        try:
+            E.relay(E.read_log(spark, str(tmp_path / "in"), schema), send, str(tmp_path / "state")).awaitTermination()
+        except Exception as e:  # the first run's
+            assert "the receiver is away" in str(e)
+    assert got == [1] and calls[:2] == [0, 0]
+
+
+def test_waits(spark):
+    rows = spark.range(1, 8).select(E.waits(F.col("id")).alias("s")).collect()
+    assert [r.s for r in rows] == [1, 2, 4, 8, 15, 15, 15]
+
+
+def test_delivery(spark, tmp_path):
+    sent = spark.createDataFrame([(1, "raw", "a"), (1, "resolved", "b"), (2, "failed", "c"), (1, "progress", "50")], "job long, kind string, body string")
+    for _ in range(2):  # at least once
+        records.deliver(sent, str(tmp_path / "out"))
+    assert records.delivered(spark, str(tmp_path / "out"), "resolved").collect() == [(1, "b")]
+    assert records.delivered(spark, str(tmp_path / "out"), "failed").collect() == [(2, "c")]
+
+
+def test_pages_to_json_files(spark, tmp_path):
+    text = "Bank Ltd\nOpening balance 10.00\n2024-01-02 SALARY 5.00 15.00\n2024-01-03 RENT PAYMENT 4.00 11.00"
+    pages = spark.createDataFrame([(1, 1, text), (2, 1, " \n"), (3, 1, "Nothing is paid here.")], "doc long, page int, text string")
+    jobs.extract(pages, str(tmp_path / "out"))
+    rows = sorted((json.loads(x) for p in (tmp_path / "out").glob("*.json") for x in p.read_text().splitlines()), key=lambda r: r["doc"])
+    assert [r["doc"] for r in rows] == [1, 3] and [t["amount"] for t in rows[0]["rows"]] == [5.0, -4.0]
+    assert (rows[0]["opening"], rows[0]["closing"], rows[0]["closes"], rows[0]["net"]) == (10.0, 11.0, True, 1.0)
+    assert rows[1]["rows"] is None and rows[1]["total_credits"] == 0
+    assert jobs.run("statement", pages).summary.count() == 2
+    with pytest.raises(ValueError, match="no job of kind"):
+        jobs.run("other", pages)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "yarn"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        folders.scratch(Elsewhere)
+
+
+def test_a_long_document_is_repaired_in_linear_time(spark):
+    """Half a million rows of one document, every third balance lost, and the last for good."""
+    rows = spark.range(500_000).select(
+        F.lit(1).alias("doc"), F.col("id").alias("seq"), F.lit(1.0).alias("amount"), F.when(F.col("id") % 3 != 1, F.col("id") + 1.0).alias("balance"),
+        F.lit("credit").alias("type"), F.lit(None).cast("array<double>").alias("alt_amounts"), F.lit(False).alias("desc_only"),
+    )
+    start = time.time()
+    out = repair.repair(rows).agg(F.count("balance").alias("n"), F.count_if(F.col("balance") != F.col("seq") + 1).alias("wrong")).first()
+    assert (out.n, out.wrong) == (499_999, 0) and time.time() - start < 60
+
+
 def test_stands_without_the_training_data_operators(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+    some = [sys.executable, "-m", "pytest", "-q", "-x", "tests/test_cases.py", "tests/test_catalogue.py", "-k", "money or ledger_summary or header_mapping"]
+    done = subprocess.run(some, cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stdout
 
 
 def test_nothing_else_imports_them():
