@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import mixing, nearcopies, pii, quality, sentencepieces
-from tallyspark.llm.shared import materialise
+from tallyspark.llm.shared import forget, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,12 +21,21 @@ def with_sizes(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null, empty and blank texts score 0 and go; rows that repeat are judged alike; an
+    empty table gives none.
+    """
     return quality.classify(docs).filter("quality_keep").select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (see :mod:`nearcopies`) one row: that of the smallest id, then of the smallest text hash."""
+    """Of each group of near copies (see :mod:`nearcopies`) one row: that of the smallest id, then of the smallest text hash.
+
+    Null ids come last. Null, empty and blank texts are one group. Rows equal in id and
+    text are one; of an id with several texts each text is a row of its own. Texts move
+    once, to meet the names of the rows that stay.
+    """
     h, own = nearcopies.text_hash(F.col("text")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     labels = nearcopies.components(docs)
     names = docs.select(F.col("doc_id").isNull().alias("bare"), "doc_id", h.alias("h"), own.alias("own"))
@@ -45,11 +54,20 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, its text with marks for personal data and for terms that disclose it, and ``n_chars`` of that text.
+
+    Null texts stay null with ``n_chars`` 0; rows that repeat stay, and count as documents.
+    """
     return with_sizes(pii.sanitise(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every row as often as the mix takes it: not at all, once or twice.
+
+    A null source is a source. Rows with texts without words have size 0 and are taken
+    as often as their source's whole repeats. Of rows equal in id, text and source as
+    many are taken twice as the cut leaves.
+    """
     return mixing.mixed_rows(docs).select(*COLUMNS)
 
 
@@ -72,7 +90,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
