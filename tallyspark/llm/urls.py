@@ -14,6 +14,8 @@ from .shared import materialise
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0/.-_?=&#:%~+"
 ALPHABET = len(SYMBOLS) + 2  # and the class of other characters, and the edge of a URL
 ORDER = 3
+#: A URL on more than one of so many rows counts as frequent.
+OFTEN = 1000
 KINDS = {"accepted": "allow", "rejected": "block"}
 
 Rule = tuple[str, str, str]
@@ -134,10 +136,15 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
         )
         .collect()
     }
-    judged = judged.select("url", "host", "path", "rule", F.coalesce("by_rule", method_verdict(moments)).alias("verdict"))
-    return kept.join(materialise(judged, "url-verdicts"), "url").select(
-        F.col("id").alias(id_col), "host", "path", "rule", "verdict"
+    verdict = F.coalesce("by_rule", method_verdict(moments)).alias("verdict")
+    judged = materialise(judged.select("url", "host", "path", "rule", "n", verdict), "url-verdicts")
+    # Fewer than OFTEN URLs stand on one of OFTEN rows each; their verdicts go to the rows, not the rows to one task.
+    often = F.col("n") * OFTEN > F.lit(judged.agg(F.sum("n")).first()[0] or 0)
+    hot, rest = judged.filter(often).drop("n"), judged.filter(~often).drop("n")
+    told = kept.join(F.broadcast(hot), "url").unionByName(
+        kept.join(F.broadcast(hot.select("url")), "url", "left_anti").join(rest, "url")
     )
+    return told.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")
 
 
 def method_verdict(moments: dict) -> Column:
