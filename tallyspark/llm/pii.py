@@ -120,6 +120,11 @@ def text_key(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def spread_key(may_match):
+    """Zero for rows that may have a partner in a join by text, else one of many numbers, so that texts that repeat and have none do not meet."""
+    return F.when(may_match, F.lit(0)).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 14))).cast("int")
+
+
 def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kept = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
     kind = dict(kept.dtypes)["id"]
@@ -141,10 +146,7 @@ def bit_set(rows: DataFrame, bit):
 
 
 def pair_counts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFrame:
-    """``(entity, term, both)``: in how many whole documents a term stands with each of ``entities``; pairs of others may come along.
-
-    With entity null, in how many of these documents a term stands at all.
-    """
+    """``(entity, term, both)``: in how many whole documents a term stands with each of ``entities``; pairs of others may come along."""
     shared = bit_set(entities, F.col("entity").bitwiseAND(F.lit(BITS - 1)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +165,7 @@ def pair_counts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFram
                 spans = base_spans(text)
                 own = {e for x in spans if have[((e := entity_of(text, x)) & (BITS - 1)) >> 3] >> (e & 7) & 1}
                 terms = {w for w, _, _ in terms_of(text, spans)} if own else ()
-                for e in (None, *own) if own else ():
+                for e in own:
                     counts.update((e, w) for w in terms)
                     if len(counts) >= FLUSH:
                         yield out()
@@ -210,23 +212,11 @@ def term_spots(docs: DataFrame, text_col: str, flagged: DataFrame) -> DataFrame:
     return docs.select(text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")).mapInArrow(look, SPOTS)
 
 
-def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """``(term, n)``: in how many documents each of ``terms`` stands; the counts of other terms may come along.
-
-    Tasks get the terms as a bit set of fixed size and count what hits it, so a
-    full set costs time and no counts.
-    """
-    shared = bit_set(terms, F.crc32("term").bitwiseAND(F.lit(BITS - 1)))
+def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(term, n)``: in how many documents each term stands. Tasks pass on sums, at most FLUSH terms at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zlib import crc32
-
-        have, counts = shared.value, Counter()
-        known: dict[str, bool] = {}
-
-        def wanted(word: str) -> bool:
-            at = crc32(word.encode("utf-8", "surrogatepass")) & (BITS - 1)
-            return bool(have[at >> 3] >> (at & 7) & 1)
+        counts = Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -235,14 +225,7 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
 
         for batch in slices(batches, text_col):
             for text in batch.column(0):
-                for w in set(WORD.findall((text.as_py() or "").lower())):
-                    ok = known.get(w)
-                    if ok is None:
-                        if len(known) >= FLUSH:
-                            known.clear()
-                        ok = known[w] = wanted(w)
-                    if ok:
-                        counts[w] += 1
+                counts.update(set(WORD.findall((text.as_py() or "").lower())))
             if len(counts) >= FLUSH:
                 yield out()
                 counts.clear()
@@ -263,25 +246,17 @@ def disclosing_spans(
     information log(N / n(e)). N and all n count whole documents, over the whole
     table, and every occurrence in a text that holds the entity is a span.
     An entity that stands everywhere has no information to give away.
-
-    So n(t) is at most n(t,e) (N / n(e)) ** (1 - disclosure). Terms that stand in more
-    documents than that, of those with entities alone, are done with before n(t) is
-    counted over the whole table.
     """
     rows = found.count()
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     entities = materialise(entities.filter(F.col("n_entity") >= min_documents), "entities")  # no other has such a term
-    counted = materialise(pair_counts(docs, text_col, entities).filter(F.col("both") >= min_documents), "term-pairs")
-    least = counted.filter("entity IS NULL").select("term", F.col("both").alias("least"))
-    room = F.col("both") * F.pow(F.lit(float(rows)) / F.col("n_entity"), F.lit(1 - disclosure)) * F.lit(1 + 1e-9)
-    pairs = counted.join(entities, "entity").join(least, "term").filter(F.col("least") <= room)
-    pairs = materialise(pairs.select("entity", "term", "both", "n_entity"), "rare-pairs")
-    terms = term_counts(docs, text_col, pairs.select("term").distinct()).withColumnRenamed("n", "n_term")
+    pairs = materialise(pair_counts(docs, text_col, entities).filter(F.col("both") >= min_documents), "term-pairs")
+    terms = term_counts(docs, text_col).withColumnRenamed("n", "n_term")
     whole = F.lit(float(rows))
     told = F.log(whole * F.col("both") / (F.col("n_term") * F.col("n_entity")))
     own = F.log(whole / F.col("n_entity"))
     flagged = materialise(
-        pairs.join(terms, "term").filter((own > 0) & (told >= disclosure * own)).select("entity", "term"),
+        pairs.join(terms, "term").join(entities, "entity").filter((own > 0) & (told >= disclosure * own)).select("entity", "term"),
         "disclosing",
     )
     texts = term_spots(docs, text_col, flagged).groupBy("tkey").agg(F.first("spots").alias("spots"))
@@ -305,7 +280,8 @@ def detect(
     found = materialise(find(docs, id_col, text_col), "pii")
     terms = disclosing_spans(docs, found, text_col, disclosure, min_documents)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return found.join(terms, "tkey", "left").select(
+    both = found.withColumn("salt", spread_key(F.size("entities") > 0)).join(terms.withColumn("salt", F.lit(0)), ["tkey", "salt"], "left")
+    return both.select(
         F.col("id").alias(id_col),
         "spans",
         F.array_sort(F.concat("spans", F.coalesce("terms", none))).alias("all_spans"),
@@ -358,7 +334,9 @@ def sanitise(
     terms = disclosing_spans(docs, found, text_col, disclosure, min_documents)
 
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    both = docs.select(row, text_key(docs[text_col]).alias("tkey")).join(terms, "tkey", "left")
+    # every entity has an @ or a digit
+    salt = spread_key(F.coalesce(docs[text_col].rlike("[@0-9]"), F.lit(False))).alias("salt")
+    both = docs.select(row, text_key(docs[text_col]).alias("tkey"), salt).join(terms.withColumn("salt", F.lit(0)), ["tkey", "salt"], "left")
     columns = [
         of_text("string", pa.string(), clean, F.col(f"row.{c}"), F.col("terms")).alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns
     ]
