@@ -98,9 +98,16 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def stars(members: DataFrame, seed: int) -> DataFrame:
-    """``(u, v)``: each of ``members(band, h, label)`` and one other of its bucket, by a hash of ``seed``, where their labels differ."""
-    centre = F.min_by(F.struct("h", "label"), F.xxhash64("h", "band", F.lit(seed))).alias("centre")
-    both = members.join(members.groupBy("band").agg(centre), "band").filter(F.col("label") != F.col("centre.label"))
+    """``(u, v)``: each of ``members(band, h, label)`` and one other of its bucket, where their labels differ.
+
+    The other is one of the bucket's commonest label, by a hash of ``seed`` that few
+    bands share, so that what is left of a large group meets the group and not the
+    other way round.
+    """
+    order = F.xxhash64("h", F.col("band").bitwiseAND(F.lit(1)), F.lit(seed))
+    by_label = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("order"), "h")).alias("rep"))
+    commonest = F.max_by(F.struct("rep.h", "label"), F.struct("n", "rep.order")).alias("centre")
+    both = members.join(by_label.groupBy("band").agg(commonest), "band").filter(F.col("label") != F.col("centre.label"))
     return ordered(both.select(F.col("centre.h").alias("u"), F.col("h").alias("v")))
 
 

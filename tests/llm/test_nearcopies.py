@@ -1,6 +1,8 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
+from tallyspark.llm import nearcopies
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,3 +48,24 @@ def test_one_row_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], KIND)
     got = corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter([rows[0], (7, other), (None, "alone"), (8, None)])
+
+
+def test_buckets_that_stay_mixed(spark, monkeypatch):
+    """With one round and blocks of six texts, links come from the tasks that compare what a bucket holds apart."""
+    rng = random.Random(8)
+    monkeypatch.setattr(nearcopies, "ROUNDS", 1)
+    monkeypatch.setattr(nearcopies, "BLOCK", 6)
+    texts = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(500)}" for _ in range(90)]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(rng.randint(1, 3)):
+                own[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    want, asked = groups(texts), []
+    real = nearcopies.within_buckets
+    monkeypatch.setattr(nearcopies, "within_buckets", lambda apart, sets: asked.append(apart.count()) or real(apart, sets))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], KIND)
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()}
+    assert kept == {g for g in want} and asked and 4 < len(kept) < 100
