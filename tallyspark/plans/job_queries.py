@@ -175,6 +175,30 @@ def structured_metadata(spark, sf_dir):
     return selection.merge_metadata(guess, reads.structured_metadata(customers.select(k.alias("doc"), text.alias("text"))))
 
 
+def classify_others(spark, sf_dir):
+    """The classes that :func:`classify` of the scalar queries does not meet."""
+    said = [
+        "Credit card\nMinimum payment due\nPayment due date\nCredit limit", "RECEIPT\nCash tendered\nCashier: Jo\nThank you for coming",
+        "Pay slip\nGross pay\nNet pay\nDeductions", "Payslip\nNet pay",
+    ]
+    k = F.col("c_custkey")
+    text = F.element_at(F.array(*map(F.lit, said)), (k % 4 + 1).cast("int"))
+    rows = L.table(spark, sf_dir, "customer").select(k.alias("id"), hints.classify(hints.class_scores(text)).alias("c"))
+    return rows.select("id", "c.document_type", F.round("c.confidence", 6).alias("confidence"))
+
+
+def mixed_tables(spark, sf_dir):
+    """Pipe and HTML tables on one page, and lines that go on under the last date."""
+    k = F.col("c_custkey").cast("string")
+    pipe = F.concat(F.lit("| Date | Details | Debit | Credit | Balance |\n|---|---|---|---|---|\n| 1995-02-03 | Fee "), k, F.lit(" | 5.00 | | 95.00 |\n"))
+    html = F.concat(F.lit("<table><tr><th>Date</th><th>Narration</th><th>Amount</th><th>Type</th></tr><tr><td>1995-02-04</td><td>Pay "), k, F.lit("</td><td>6.00</td><td>CR</td></tr></table>"))
+    lines = F.concat(F.lit("1995-02-05 Bread "), k, F.lit(" 7.00 88.00\nand a Cake 8.00 80.00\n1995-02-06 only words here"))
+    pages = L.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.posexplode(F.array(F.concat(html, F.lit("\n"), pipe), lines)).alias("p", "text"))
+    pages = pages.select("doc", (F.col("p") + 1).alias("page"), "text", F.lit(None).cast("int").alias("year_hint"), F.lit("DMY").alias("date_order"))
+    rows = parsers.parse_documents(pages)
+    return rows.select("doc", "seq", "mode", "date_iso", "description", F.round("amount", 2).alias("amount"), "type", "desc_only", "continuation")
+
+
 def layout_contest(spark, sf_dir):
     """Pages that two layouts can read: the fuller reading wins, on a tie the table."""
     k = F.col("c_custkey").cast("string")
@@ -194,7 +218,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         analysis, metadata, consensus_rows, consensus_verdict, refused_documents, reader_report, chunk_attempts, blank_pages, record_summaries,
-        record_parts, analysed_again, clipped, json_rows, duplicate_urls, first_disputes, display_rows, upload_filter, structured_metadata, layout_contest,
+        record_parts, analysed_again, clipped, json_rows, duplicate_urls, first_disputes, display_rows, upload_filter, structured_metadata, classify_others, mixed_tables, layout_contest,
     )
 }
 
@@ -263,6 +287,12 @@ ORACLES = {
     "structured_metadata": """WITH c AS (SELECT *, c_custkey AS k, c_custkey % 5 <> 0 AS s FROM customer)
       SELECT k AS doc, CASE WHEN s THEN c_name ELSE 'Guess' END AS company_name, CAST(NULL AS VARCHAR) AS account_name, CASE WHEN s AND k % 2 = 1 THEN '77' ELSE '55' END AS account_number,
         'EUR' AS currency, CASE WHEN s THEN '1993-02-01' END AS period_from, CAST(NULL AS VARCHAR) AS period_to, CASE WHEN k % 3 = 0 THEN 5.0::DOUBLE WHEN s THEN 1000.5::DOUBLE END AS opening, CAST(NULL AS DOUBLE) AS closing FROM c""",
+    "classify_others": """SELECT c_custkey AS id, ['credit_card_statement', 'receipt', 'payslip', 'payslip'][c_custkey % 4 + 1] AS document_type,
+      CASE WHEN c_custkey % 4 = 3 THEN 0.6 ELSE 1.0 END::DOUBLE AS confidence FROM customer""",
+    "mixed_tables": """SELECT c_custkey AS doc, m.seq, m.mode, m.date_iso, replace(m.said, '#', CAST(c_custkey AS VARCHAR)) AS description, m.amount, m.type, m.words AS desc_only, m.goes_on AS continuation
+      FROM customer, (VALUES (1::BIGINT, 'tables', '1995-02-03', 'Fee #', -5.0::DOUBLE, 'debit', false, false), (2, 'tables', '1995-02-04', 'Pay #', 6.0, 'credit', false, false),
+        (3, 'lines', '1995-02-05', 'Bread #', 7.0, NULL, false, false), (4, 'lines', '1995-02-05', 'and a Cake', 8.0, NULL, false, true),
+        (5, 'lines', '1995-02-06', 'only words here', NULL, NULL, true, false)) AS m(seq, mode, date_iso, said, amount, type, words, goes_on)""",
     "layout_contest": """SELECT c_custkey AS doc, page, mode, n FROM customer, (VALUES (1, 'tables', 2), (2, 'lines', 3), (3, 'cells', 3)) AS m(page, mode, n)""",
 }
 _VERDICT = CHAIN_ORACLES["verdict"]

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.scalars import STAGES, stage_percent
 
@@ -120,6 +121,26 @@ def relay(events: DataFrame, send: Callable[[DataFrame, int], None], checkpoint:
     return once(events).writeStream.foreachBatch(in_order).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+class Progress(StreamingQueryListener):
+    """Tells ``told(query name, rows, batch)`` of every micro-batch that had rows, and ``ended(query id, error)`` of a query's end."""
+
+    def __init__(self, told: Callable[[str | None, int, int], None], ended: Callable[[str, str | None], None] = lambda q, e: None):
+        self.told, self.ended = told, ended
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        if event.progress.numInputRows:
+            self.told(event.progress.name, event.progress.numInputRows, event.progress.batchId)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended(str(event.id), event.exception)
+
+
 def waits(attempts: Column, first: int = 1, most: int = 15) -> Column:
     """Seconds to wait after so many failures in a row: ``first``, doubling up to ``most``."""
     return F.least(F.lit(float(most)), F.lit(float(first)) * F.pow(F.lit(2.0), attempts - 1)).cast("int")

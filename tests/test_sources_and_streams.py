@@ -82,10 +82,17 @@ def test_live_relay_and_order(spark, tmp_path):
     schema = "job long, seq long, type string, at timestamp"
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text("\n".join(json.dumps({"job": j, "seq": s, "type": "t", "at": "2024-01-01T00:00:00Z"}) for s in (3, 1, 2) for j in (1, 2)))
-    got = []
+    got, told, ended = [], [], []
+    listener = E.Progress(lambda *x: told.append(x), lambda *x: ended.append(x))
+    spark.streams.addListener(listener)
     query = E.relay(E.read_log(spark, str(tmp_path / "in"), schema), lambda b, n: got.extend((r.job, r.seq) for r in b.collect()), str(tmp_path / "state"), live=True)
     query.processAllAvailable()
     query.stop()
+    deadline = time.time() + 20
+    while not (told and ended) and time.time() < deadline:
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert [n for _, n, _ in told] == [6] and [e for _, e in ended] == [None]
     assert [s for j, s in got if j == 1] == [1, 2, 3] and sorted(got) == [(j, s) for j in (1, 2) for s in (1, 2, 3)]
 
 
