@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, kdtree, langid, mixing, pii, quality, rpforest, sentencepieces, simhash, urls
+from . import htmltext, kdtree, langid, merkle, mixing, pii, quality, rpforest, sentencepieces, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.manifest(table(spark, sf_dir, "documents"))
+    proof = merkle.digest(merkle.siblings(F.col("proof"))).alias("proof_sha256")
+    return made.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 QUERIES = {
     "op1_htmltext": op1_htmltext,
     "op2_quality": op2_quality,
@@ -76,6 +82,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_langid": op9_langid,
     "op10_simhash": op10_simhash,
+    "op11_merkle": op11_merkle,
 }
 #: Exact, so any right method gives these rows.
 OP5_SQL = """
@@ -156,4 +163,55 @@ SELECT page_id, host, path, r.rule AS rule, coalesce(by_rule, CASE WHEN nb IS NU
   WHEN score < (ma * db + mb * da) / (da + db) THEN 'block' ELSE 'allow' END) AS verdict
 FROM r JOIN u USING (url) JOIN s USING (url), d
 """
-ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op6_urls": OP6_SQL}
+#: Two trees of hashes, each built upwards and folded by recursion; the CRC-32 is spelt out bit by bit.
+OP11_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS id, doc_id, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS tree, text,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS fields,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b:
+      list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc
+  FROM documents
+), l AS (
+  SELECT id, doc_id, tree, sha256(fields || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(fields || coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-'))
+      ELSE sha256(fields || coalesce(octet_length(encode(text)) || ':' || text, '-')) END AS found
+  FROM d
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size FROM l
+), up AS (
+  SELECT 0 AS level, tree, place, size, leaf AS node FROM n
+  UNION ALL
+  SELECT any_value(level) + 1, tree, place // 3, (any_value(size) + 2) // 3, sha256(string_agg(node, '' ORDER BY place)) FROM up WHERE size > 1 GROUP BY tree, place // 3
+), runs AS (
+  SELECT level, tree, place // 3 AS parent, list(node ORDER BY place) AS kids FROM up WHERE size > 1 GROUP BY ALL
+), fold AS (
+  SELECT 0 AS level, id, tree, place, found AS back, '' AS proof FROM n
+  UNION ALL
+  SELECT level + 1, id, tree, place // 3, sha256(array_to_string(kids[:place % 3], '') || back || array_to_string(kids[place % 3 + 2:], '')),
+    proof || array_to_string(kids[:place % 3], '') || array_to_string(kids[place % 3 + 2:], '')
+  FROM fold JOIN runs USING (level, tree) WHERE parent = place // 3
+), s AS (
+  SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM up WHERE size = 1
+), up2 AS (
+  SELECT 0 AS level, place, size, subroot AS node FROM s
+  UNION ALL
+  SELECT any_value(level) + 1, place // 3, (any_value(size) + 2) // 3, sha256(string_agg(node, '' ORDER BY place)) FROM up2 WHERE size > 1 GROUP BY place // 3
+), runs2 AS (
+  SELECT level, place // 3 AS parent, list(node ORDER BY place) AS kids FROM up2 WHERE size > 1 GROUP BY ALL
+), last AS (
+  SELECT id, tree, back, proof FROM fold QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1
+), fold2 AS (
+  SELECT 0 AS level, id, place, back, proof FROM last JOIN s USING (tree)
+  UNION ALL
+  SELECT level + 1, id, place // 3, sha256(array_to_string(kids[:place % 3], '') || back || array_to_string(kids[place % 3 + 2:], '')),
+    proof || array_to_string(kids[:place % 3], '') || array_to_string(kids[place % 3 + 2:], '')
+  FROM fold2 JOIN runs2 USING (level) WHERE parent = place // 3
+), done AS (
+  SELECT id, back, proof FROM fold2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1
+), r AS (SELECT node AS root FROM up2 WHERE size = 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, back AS folded_root, back = root AS verified
+FROM n JOIN done USING (id) JOIN s USING (tree), r
+"""
+ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op6_urls": OP6_SQL, "op11_merkle": OP11_SQL}
