@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, kdtree, langid, merkle, mixing, pii, quality, rpforest, sentencepieces, simhash, urls
+from . import htmltext, kdtree, langid, merkle, mixing, pii, quality, rpforest, sentencepieces, simhash, tokenalign, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
 
 
+def op12_tokenalign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_htmltext": op1_htmltext,
     "op2_quality": op2_quality,
@@ -83,6 +87,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
+    "op12_tokenalign": op12_tokenalign,
 }
 #: Exact, so any right method gives these rows.
 OP5_SQL = """
