@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, kdtree, langid, merkle, mixing, pii, quality, rpforest, sentencepieces, simhash, tokenalign, urls
+from . import htmltext, kdtree, langid, merkle, mixing, pii, quality, rpforest, sentencepieces, simhash, substrings, tokenalign, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op12_tokenalign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenalign.align(table(spark, sf_dir, "documents"))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_htmltext": op1_htmltext,
     "op2_quality": op2_quality,
@@ -88,6 +92,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
     "op12_tokenalign": op12_tokenalign,
+    "op13_substrings": op13_substrings,
 }
 #: Exact, so any right method gives these rows.
 OP5_SQL = """
