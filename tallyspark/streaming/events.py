@@ -1,28 +1,37 @@
 """Ordered event logs: de-duplication, progress, liveness and job claims, on streams and on tables alike.
 
 The log is at-least-once: a producer numbers a job's events and may send any of
-them again. State is bounded by a watermark on ``at``; events that come later than
-that count as lost, which a plain table has no notion of.
+them again. What needs state beyond a micro-batch is in :mod:`stateful`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.scalars import STAGES, stage_percent
+from .stateful import in_order
 
 TERMINAL = ("ocr:done",)
 BATCH_EVENTS = 50
 WINDOW_MS = 400
+#: After the first failure, and at most.
+WAIT_SECONDS = (1, 15)
 
 
-def once(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each (job, seq) once."""
+def once(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Each (job, seq) once; on a stream by a watermark ``late`` behind the latest event, and what comes later is left out.
+
+    :func:`stateful.in_order` leaves none out.
+    """
     if events.isStreaming:
+        if late is None:
+            raise ValueError("say how late an event of the stream may be")
         return events.withWatermark("at", late).dropDuplicatesWithinWatermark(["job", "seq"])
     return events.dropDuplicates(["job", "seq"])
 
@@ -108,17 +117,75 @@ def read_log(spark: SparkSession, folder: str, schema: str, per_trigger: int | N
 
 
 def relay(events: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, live: bool = False):
-    """Hands each micro-batch of new events to ``send(batch, batch_id)``, at least once.
+    """Hands each micro-batch of new events to ``send(batch, batch_id)``, each job's in order over all micro-batches, at least once.
 
     Until none is left, or ``live``, every WINDOW_MS. ``send`` gets a batch in the order
-    (job, seq); one that fails is sent again when the query is started again, under the same id.
+    (job, seq); one that fails is sent again when the query is started again, under the
+    same id. An event that comes before its turn waits for those before it.
     """
 
-    def in_order(batch: DataFrame, batch_id: int) -> None:
+    def sorted_batch(batch: DataFrame, batch_id: int) -> None:
         send(batch.repartition("job").sortWithinPartitions("job", "seq"), batch_id)
 
     trigger = {"processingTime": f"{WINDOW_MS} milliseconds"} if live else {"availableNow": True}
-    return once(events).writeStream.foreachBatch(in_order).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return in_order(events).writeStream.foreachBatch(sorted_batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def posted(events: DataFrame, post: Callable[[object, list[dict]], int], size: int = BATCH_EVENTS, tries: int = 8, pause: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Posts :func:`relay_batches` of a table and returns ``(job, batch, n, last, status, tried)`` of each, by the tasks that hold the jobs.
+
+    ``post(job, events)`` returns a status as HTTP has them. A job's batches go one after
+    the other, the oldest first. One that is not taken is posted again after a wait, that of
+    :func:`waits`; after ``tries`` the task fails, and no later batch of the job has gone. With
+    404 the receiver no longer knows the job, whose further batches are left out.
+    """
+    kind = events.schema["job"].dataType.simpleString()
+    columns = [c for c in events.columns if c != "job"]
+    first, most = WAIT_SECONDS
+
+    def deliver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refused = None  # the last job refused; rows are sorted by job
+        for rows in batches:
+            out = {name: [] for name in ("job", "batch", "n", "last", "status", "tried")}
+            for job, batch, own in zip(*[rows.column(c).to_pylist() for c in ("job", "batch", "events")], strict=True):
+                if job == refused:
+                    continue
+                for tried in range(1, tries + 1):
+                    try:
+                        status = post(job, own)
+                    except OSError as e:
+                        status, why = 0, str(e)
+                    else:
+                        why = f"the receiver answered {status}"
+                    if 200 <= status < 300 or status == 404:
+                        break
+                    if tried == tries:
+                        raise OSError(f"job {job}, batch {batch}: {why}")
+                    pause(min(most, first * 2 ** (tried - 1)))
+                refused = job if status == 404 else refused
+                for name, value in zip(out, (job, batch, len(own), own[-1]["seq"], status, tried), strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("job", rows.schema.field("job").type), *[(c, pa.int64()) for c in list(out)[1:]]]))
+
+    cut = relay_batches(events, size).groupBy("job", "batch").agg(F.array_sort(F.collect_list(F.struct("seq", *[c for c in columns if c != "seq"]))).alias("events"))
+    dealt = cut.select("job", F.col("batch").cast("long").alias("batch"), "events").repartition("job").sortWithinPartitions("job", "batch")
+    return dealt.mapInArrow(deliver, f"job {kind}, batch long, n long, last long, status long, tried long")
+
+
+def relay_posts(events: DataFrame, post: Callable[[object, list[dict]], int], folder: str, checkpoint: str, live: bool = False, **how):
+    """The whole relay of a stream: events in order, :func:`posted` in batches, refused jobs dropped for good; ``folder`` has what was posted.
+
+    A micro-batch whose posts fail ends the query; started again, it posts that
+    micro-batch's batches once more, and the receiver knows the events by (job, seq).
+    """
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        if batch_id:
+            done = batch.sparkSession.read.schema(f"job {batch.schema['job'].dataType.simpleString()}, status long, part long").parquet(folder)
+            batch = drop_refused(batch, done.filter(f"status = 404 AND part < {batch_id}"))
+        posted(batch, post, **how).write.mode("overwrite").parquet(f"{folder}/part={batch_id}")
+
+    return relay(events, send, checkpoint, live)
 
 
 class Progress(StreamingQueryListener):
@@ -141,7 +208,7 @@ class Progress(StreamingQueryListener):
         self.ended(str(event.id), event.exception)
 
 
-def waits(attempts: Column, first: int = 1, most: int = 15) -> Column:
+def waits(attempts: Column, first: int = WAIT_SECONDS[0], most: int = WAIT_SECONDS[1]) -> Column:
     """Seconds to wait after so many failures in a row: ``first``, doubling up to ``most``."""
     return F.least(F.lit(float(most)), F.lit(float(first)) * F.pow(F.lit(2.0), attempts - 1)).cast("int")
 
