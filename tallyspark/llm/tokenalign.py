@@ -31,7 +31,7 @@ from .shared import forget, materialise, slices, tidy
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of texts of a block, but for one longer text.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Words, and bytes of them, that a task remembers from one block to the next.
 WORDS, WORD_BYTES = 300_000, 32 << 20
 #: Bits of an id of B in an id pair.
@@ -217,6 +217,16 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (sizes.cumsum() - sizes), sizes) + np.arange(sizes.sum())
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers of 0 or more in as few bytes each as the largest takes, after a byte that says how many."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
 def _block(known: Known, batch: pa.RecordBatch) -> pa.RecordBatch:
     numbers, ends = _numbers(known, batch.column("text"))
     words, place = np.unique(numbers, return_inverse=True)
@@ -236,7 +246,7 @@ def _block(known: Known, batch: pa.RecordBatch) -> pa.RecordBatch:
         digests.append(sha256(b";".join([known.groups[i] for i in own])).hexdigest() if own else "")
         before = end
     as_row = lambda values, kind: pa.array([values], pa.list_(kind))
-    as_bytes = lambda values: pa.array([values.astype(np.int32).tobytes()], pa.binary())
+    as_bytes = lambda values: pa.array([_packed(values)], pa.binary())
     columns = {"ids": pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id"))}
     columns |= {name: as_row(x, pa.int64()) for name, x in zip(("n_a", "n_b", "n_groups", "n_links"), totals, strict=True)}
     columns |= {"digests": as_row(digests, pa.string()), "pairs": as_row(pairs, pa.int64()), "held": as_row(held, pa.int64())}
@@ -253,7 +263,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _documents(block: pa.RecordBatch) -> pa.RecordBatch:
-    get = lambda name: np.frombuffer(block.column(name)[0].as_py(), np.int32).astype(np.int64)
+    get = lambda name: _unpacked(block.column(name)[0].as_py())
     ends, words, sizes, links, times = map(get, ("ends", "words", "sizes", "links", "times"))
     found = block.column("found")[0].values  # of the pairs in order
     sums = []
