@@ -1,10 +1,12 @@
 """Repair of damaged rows from the balances around them.
 
-Each repair changes what later rows see, but all that it hands on is the last known
-balance; the row after is taken as it stands. So a document is one fold with one
-number of state. Rows are dealt out by document, sorted, and streamed through the
-fold in Arrow batches: a document may be of any length, time is in proportion to
-its rows, and a task holds one batch.
+Each repair looks at the last balance before a row and at the row after it, as it
+stands, which must be whole. Where that row is whole, a row without amount or without
+balance hands on nothing that the row after does not replace by its own balance. So the
+last balance before a row is the last one printed, which is a window, and the repair an
+expression; the exception is a run of rows with several numbers each, which may all be
+repaired, each upon the one before. Only such runs go, dealt out by run, through a
+fold in Arrow batches.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .spread import spread
@@ -61,36 +64,46 @@ def repaired_row(prev, amount, balance, kind, alt, desc_only, after) -> tuple:
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (doc, seq), each decided when the one after it is seen."""
-    held, prev, kind = None, None, None
-
-    def decide(after: tuple | None) -> tuple | None:
-        nonlocal prev
-        doc, seq, *row = held
-        done = repaired_row(prev, *row, after)
-        prev = done[1] if done[1] is not None else prev
-        return (doc, seq, *done) if done[0] is not None else None
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
+    """Runs sorted by (doc, run, seq), whose first rows have the last balance printed before."""
+    run, prev = None, None
+    for batch in batches:
+        rows = []
+        for doc, n, seq, first, after, *row in zip(*(batch.column(c).to_pylist() for c in ("doc", "run", "seq", "prev", "after", *COLUMNS[2:])), strict=True):
+            if (doc, n) != run:
+                run, prev = (doc, n), first
+            done = repaired_row(prev, *row, (after["amount"], after["balance"]))
+            prev = done[1] if done[1] is not None else prev
+            rows.append((doc, seq, *done))
+        kinds = [batch.schema.field("doc").type, pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
         names = ["doc", "seq", "amount", "balance", "type", "repaired", "inferred"]
-        kinds = [kind, pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _sql_round(value: str) -> str:
+    return f"if(abs({value}) < 1e15, floor(({value}) * 100 + 0.5) / 100, {value})"
 
-    for batch in batches:
-        rows, kind = [], batch.schema.field("doc").type
-        for row in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
-            if held is not None:
-                same = held[0] == row[0]
-                done = decide((row[2], row[3]) if same and row[2] is not None and row[3] is not None else None)
-                if done:
-                    rows.append(done)
-                if not same:
-                    prev = None
-            held = row
-        yield out(rows)
-    if held is not None and (done := decide(None)):
-        yield out([done])
+
+def _sql_fixed(amount: str, balance: str, how: str) -> str:
+    return (
+        f"named_struct('amount', {_sql_round(amount)}, 'balance', {_sql_round(balance)}, 'type', if({amount} >= 0, 'credit', 'debit'),"
+        f" 'repaired', CAST({how} AS STRING), 'inferred', {how} IS NULL)"
+    )
+
+
+def repaired_columns() -> str:
+    """:func:`repaired_row` in SQL: a struct of a row with ``prev`` and ``after``, null where it stays as it is."""
+    gap = "(after.balance - after.amount - prev)"
+    filled = f"named_struct('amount', amount, 'balance', {_sql_round('prev + amount')}, 'type', type, 'repaired', 'balance-filled', 'inferred', false)"
+    signed = "flatten(transform(filter(alt_amounts, t -> t IS NOT NULL), t -> array(abs(t), -abs(t))))"
+    fitting = f"filter({signed}, x -> abs(prev + x + after.amount - after.balance) < {CENT})"
+    chosen = f"get(transform(slice({fitting}, 1, 1), x -> {_sql_fixed('x', '(prev + x)', "'multi-amount-disambiguated'")}), 0)"
+    return f"""CASE WHEN prev IS NULL OR after IS NULL THEN NULL
+      WHEN amount IS NULL THEN if(desc_only AND abs{gap} > 0.009 AND NOT isnan{gap}, {_sql_fixed(gap, f"(prev + {gap})", "NULL")}, NULL)
+      WHEN balance IS NULL THEN CASE WHEN abs(prev + amount + after.amount - after.balance) < {CENT} THEN {filled}
+        WHEN abs(abs(amount) + after.amount - after.balance) < {CENT} AND abs(abs(amount) - prev) > 0.009
+          THEN {_sql_fixed("(abs(amount) - prev)", "abs(amount)", "'amount-balance-merge'")} END
+      WHEN NOT abs(prev + amount - balance) < {CENT} THEN {chosen} END"""
 
 
 def repair(rows: DataFrame) -> DataFrame:
@@ -98,7 +111,30 @@ def repair(rows: DataFrame) -> DataFrame:
 
     Rows that have no amount in the end are dropped.
     """
-    schema = T.StructType([rows.schema["doc"], *T.StructType.fromDDL(OUT).fields])
     money = [rows[c].cast("double") for c in ("amount", "balance")]
     picked = rows.select("doc", rows["seq"].cast("bigint"), *money, "type", rows["alt_amounts"].cast("array<double>"), "desc_only")
-    return spread(picked, "doc").sortWithinPartitions("doc", "seq").mapInArrow(_fold, schema)
+    by_doc = Window.partitionBy("doc").orderBy("seq")
+    after = F.lead(F.struct("amount", "balance")).over(by_doc)
+    whole = F.col("amount").isNotNull() & F.col("balance").isNotNull()
+    several = whole & (F.coalesce(F.size("alt_amounts"), F.lit(0)) > 0)
+    damaged = F.when(F.col("amount").isNull(), F.coalesce("desc_only", F.lit(False))).otherwise(F.col("balance").isNull() | several)
+    seen = spread(picked, "doc").withColumns(
+        {
+            "after": F.when(after["amount"].isNotNull() & after["balance"].isNotNull(), after),
+            "prev": F.last("balance", ignorenulls=True).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)),
+        }
+    )
+    seen = seen.withColumn("damaged", damaged & F.col("after").isNotNull())
+    seen = seen.withColumn("goes_on", several & F.col("damaged") & F.lag("damaged", 1, False).over(by_doc))
+    seen = seen.withColumn("in_run", F.col("goes_on") | F.lead("goes_on", 1, False).over(by_doc))
+    fixed = seen.filter("NOT in_run").withColumn("fixed", F.when(F.col("damaged"), F.expr(repaired_columns())))
+    out = ["amount", "balance", "type"]
+    alone = fixed.select(
+        "doc", "seq", *[F.when(F.col("fixed").isNull(), F.col(c)).otherwise(F.col(f"fixed.{c}")).alias(c) for c in out], "fixed.repaired",
+        F.coalesce("fixed.inferred", F.lit(False)).alias("inferred"),
+    )
+    run = F.count_if(~F.col("goes_on")).over(by_doc)
+    runs = seen.withColumn("run", run).filter("in_run").select("doc", "run", "seq", "prev", "after", *COLUMNS[2:])
+    schema = T.StructType([rows.schema["doc"], *T.StructType.fromDDL(OUT).fields])
+    folded = spread(runs, "doc", "run").sortWithinPartitions("doc", "run", "seq").mapInArrow(_fold, schema)
+    return alone.unionByName(folded).filter("amount IS NOT NULL")

@@ -46,3 +46,48 @@ def test_one_document_lies_in_all_tasks(spark):
 def test_empty(spark):
     rows = spark.createDataFrame([], "doc long, seq long, cents long, printed long")
     assert longdocs.walk_balances(rows).count() == 0
+
+
+def fold_row_by_row(rows):
+    """One carried balance over each document's rows, as a loop has it."""
+    out = []
+    for doc in {r[0] for r in rows}:
+        own, prev = sorted((r for r in rows if r[0] == doc), key=lambda r: r[1]), None
+        for n, (_, seq, *row) in enumerate(own):
+            nxt = own[n + 1][2:4] if n + 1 < len(own) else (None, None)
+            done = repair.repaired_row(prev, *row, None if None in nxt else nxt)
+            prev = done[1] if done[1] is not None else prev
+            if done[0] is not None:
+                out.append((doc, seq, *done))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repair_same_as_a_loop(spark, seed):
+    """Chains that close, with all kinds of damage, runs of rows with several numbers among them, and noise."""
+    rng = random.Random(seed)
+    rows = []
+    for doc in range(60):
+        balance = 100.0
+        for seq in range(rng.randint(1, 25)):
+            amount = float(rng.choice([-9.99, -3, -1, 0.01, 2, 5, 50.25]))
+            balance = round(balance + amount, 2)
+            row = [amount, balance, rng.choice(["credit", "debit", None]), None, False]
+            kind = rng.choice([0, 0, 1, 2, 3, 4, 4, 4, 5]) if doc % 3 else 4
+            if kind == 1:
+                row[:2], row[4] = [None, None], rng.random() < 0.9
+            elif kind == 2:
+                row[1] = None
+            elif kind == 3:
+                row[:2] = [balance, None]
+            elif kind == 4:
+                wrong = float(rng.choice([7.77, amount, 50.25]))
+                row[0], row[1], row[3] = wrong, round(balance + rng.choice([0, 0.01, 12]), 2), rng.choice([[wrong, abs(amount)], [None, amount], [], [1.0, 2.0]])
+            elif kind == 5:
+                row[rng.randrange(2)] = rng.choice([None, 1.005])
+            rows.append((doc, seq, *row))
+    frame = spark.createDataFrame(rows, "doc long, seq long, amount double, balance double, type string, alt_amounts array<double>, desc_only boolean")
+    got = sorted(map(tuple, repair.repair(frame.repartition(5)).collect()), key=str)
+    want = fold_row_by_row(rows)
+    assert got == want
+    assert {r[5] for r in want} >= {"balance-filled", "multi-amount-disambiguated", None} and any(r[6] for r in want)
