@@ -113,8 +113,8 @@ def with_quorum(rows: DataFrame, key: str, order: list[str], quorum: int = 2) ->
 
     ``occurrence`` numbers a reader's rows of one key. ``agreed`` is the smallest
     count of the key that ``quorum`` readers share, readers without it counting
-    zero; null if there is none. All windows partition by the document first, so
-    rows dealt out by document move no more.
+    zero; null if there is none. All windows partition by document and key, so rows
+    dealt out by these move no more, and a document of any length lies in many tasks.
     """
     place = Window.partitionBy("doc", key, "reader").orderBy(*order)
     count = F.count(F.lit(1)).over(Window.partitionBy("doc", key, "reader"))
@@ -170,14 +170,14 @@ def vote_rows(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> tuple[Dat
     ``row_description``. Surplus of the second pass goes without a dispute. What either
     pass finds is written once, as accepted rows and disputes both read it.
     """
-    strict = with_quorum(spread(with_voters(keyed(rows), readers), "doc"), "key", ["idx"], quorum)
-    strict = staged(strict, "strict-matches")
+    dealt = spread(with_voters(keyed(rows), readers), "doc", "key")
+    first = F.min(F.struct("reader_ord", "idx")).over(Window.partitionBy("doc", "key"))
+    strict = staged(with_quorum(dealt, "key", ["idx"], quorum).withColumn("first", first), "strict-matches")
     agreed = F.coalesce(F.col("agreed"), F.lit(0))
     exact = _accept(strict.filter(F.col("occurrence") <= agreed), "key", "exact", quorum)
     doubles = strict.filter((agreed > 0) & (F.col("occurrence") > agreed))
 
-    first = F.min(F.struct("reader_ord", "idx")).over(Window.partitionBy("doc", "key"))
-    left = strict.filter(agreed == 0).withColumn("first", first).drop("agreed", "seen_by", "occurrence")
+    left = strict.filter(agreed == 0).drop("agreed", "seen_by", "occurrence")
     left = staged(with_quorum(left, "loose", ["first", "idx"], quorum), "loose-matches")
     loose = _accept(left.filter(F.col("occurrence") <= agreed), "loose", "amount+date", quorum)
     alone = left.filter(agreed == 0)
@@ -190,7 +190,6 @@ def vote_rows(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> tuple[Dat
             F.coalesce("date_iso", "date_raw").alias("day"), "description", "credit", "debit", "balance",
         )
 
-    loose = staged(loose, "loosely-accepted")
     told = loose.filter(~F.col("description_agreed"))
     disputes = (
         dispute(doubles, "duplicate_row")

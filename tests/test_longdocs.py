@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import chain, longdocs, repair
+from tallyspark.operators import chain, longdocs, repair, vote
 
 
 def rows_of(seed):
@@ -91,3 +91,18 @@ def test_repair_same_as_a_loop(spark, seed):
     want = fold_row_by_row(rows)
     assert got == want
     assert {r[5] for r in want} >= {"balance-filled", "multi-amount-disambiguated", None} and any(r[6] for r in want)
+
+
+def test_a_long_document_is_voted_on_in_many_tasks(spark):
+    """Ten thousand rows of one document by three readers; no task of the vote holds more than its share."""
+    rows = spark.range(30_000).select(
+        F.lit(1).alias("doc"), F.concat(F.lit("r"), F.col("id") % 3).alias("reader"), (F.col("id") % 3).cast("int").alias("reader_ord"), (F.col("id") / 3).cast("long").alias("idx"),
+        F.lit(1).alias("page"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 3).cast("int") % 900), "yyyy-MM-dd").alias("date_iso"), F.lit(None).cast("string").alias("date_raw"),
+        F.concat(F.lit("payment "), (F.col("id") / 3).cast("int")).alias("description"), F.lit(None).cast("string").alias("reference"), F.lit(None).cast("long").alias("credit"),
+        F.lit(None).cast("long").alias("debit"), ((F.col("id") / 3).cast("long") * 7 + F.when((F.col("id") % 3 == 2) & (F.col("id") % 5 == 0), 1).otherwise(0)).alias("amount"), F.lit(None).cast("long").alias("balance"),
+    )
+    readers = rows.select("doc", "reader", "reader_ord").distinct()
+    accepted, disputes = vote.vote_rows(rows, readers)
+    assert accepted.count() == 10_000 and disputes.filter("kind = 'unmatched_row'").count() == 2_000
+    dealt = vote.spread(vote.keyed(rows), "doc", "key").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) == 4 and max(r["count"] for r in dealt) < 12_000
