@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import account_key, from_cents
-from ..operators import chain, repair, result, vote
+from ..operators import chain, longdocs, repair, result, vote
 from ..sources.folders import staged
 from . import ledger as L
 from .sql import DAMAGED, LEDGER, READS, TOTALS, VOTE, WALK
@@ -45,6 +45,25 @@ def chain_walk(spark, sf_dir):
     return rows.select("doc", "seq", F.when(F.col("cents").isNotNull(), F.col("expected")).alias("expected"), "checked", "severed", "broken")
 
 
+def as_one_document(rows):
+    """All documents one after the other as a single one."""
+    return rows.withColumns({"seq": F.col("doc") * 1_000_000 + F.col("seq"), "doc": F.lit(0).cast("bigint")})
+
+
+def one_document_walk(spark, sf_dir):
+    """The walk over all ledgers as one document, in ranges over all tasks."""
+    rows = longdocs.walk_balances(as_one_document(L.damaged(ledger_of(spark, sf_dir))))
+    return rows.select("seq", F.when(F.col("cents").isNotNull(), F.col("expected")).alias("expected"), "checked", "severed", "broken")
+
+
+def one_document_signs(spark, sf_dir):
+    rows = ledger_of(spark, sf_dir).select(
+        "doc", "seq", F.abs(from_cents(F.col("cents"))).alias("amount"), from_cents(F.col("balance")).alias("balance"), F.lit(None).cast("string").alias("type")
+    )
+    out = longdocs.resolve_signs(as_one_document(rows))
+    return out.select("seq", F.round(F.col("amount") * 100).cast("bigint").alias("cents"), "type")
+
+
 def balance_chain(spark, sf_dir):
     """Three breaks are shown, as seq:expected:printed."""
     found = chain.balance_chain(L.damaged(ledger_of(spark, sf_dir)), 3)
@@ -219,7 +238,7 @@ PLACED = """full_read AS (
 QUERIES = {
     f.__name__: f
     for f in (
-        ledger, ledger_summary, sign_resolution, chain_breaks, chain_walk, balance_chain, repair_fold, repair_cases, quorum_count, row_vote_accepted,
+        ledger, ledger_summary, sign_resolution, chain_breaks, chain_walk, one_document_walk, one_document_signs, balance_chain, repair_fold, repair_cases, quorum_count, row_vote_accepted,
         row_vote_disputes, agreement_ratio, printed_order, scalar_vote, field_vote, verdict, dispute_counts, result_sentence,
     )
 }
@@ -235,6 +254,13 @@ ORACLES = {
       SELECT doc, count(*) FILTER (before IS NOT NULL AND printed IS NOT NULL AND before + cents <> printed) AS breaks FROM p GROUP BY doc""",
     "chain_walk": f"""WITH {WALK} SELECT doc, seq, expected, expected IS NOT NULL AND printed IS NOT NULL AS checked,
       cents IS NULL AND printed IS NULL AS severed, coalesce(expected <> printed, false) AS broken FROM walk""",
+    "one_document_walk": f"""WITH {DAMAGED}, d AS (SELECT doc * 1000000 + seq AS seq, cents, printed, printed IS NOT NULL OR cents IS NULL AS opens FROM damaged),
+      s AS (SELECT *, count(*) FILTER (opens) OVER (ORDER BY seq) AS stretch FROM d),
+      r AS (SELECT *, first_value(printed) OVER w + sum(CASE WHEN opens THEN 0 ELSE cents END) OVER w AS running FROM s WINDOW w AS (PARTITION BY stretch ORDER BY seq)),
+      e AS (SELECT seq, cents, printed, CAST(lag(CASE WHEN stretch > 0 THEN running END) OVER (ORDER BY seq) + cents AS BIGINT) AS expected FROM r)
+      SELECT seq, expected, expected IS NOT NULL AND printed IS NOT NULL AS checked, cents IS NULL AND printed IS NULL AS severed, coalesce(expected <> printed, false) AS broken FROM e""",
+    "one_document_signs": f"""WITH {LEDGER}, o AS (SELECT doc * 1000000 + seq AS seq, abs(cents) AS size, balance, lag(balance) OVER (ORDER BY doc, seq) AS before FROM ledger)
+      SELECT seq, CASE WHEN coalesce(before + size = balance, false) THEN size ELSE -size END AS cents, CASE WHEN coalesce(before + size = balance, false) THEN 'credit' ELSE 'debit' END AS type FROM o""",
     "balance_chain": f"""WITH {WALK}, s AS (
       SELECT doc, count(printed) >= 2 AS enough, count(*) FILTER (expected IS NOT NULL AND printed IS NOT NULL) AS c,
         count(*) FILTER (cents IS NULL AND printed IS NULL) AS v, count(*) FILTER (expected <> printed) AS b FROM walk GROUP BY doc)
