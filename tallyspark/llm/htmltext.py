@@ -33,6 +33,9 @@ _NAME = (
     r"|newsletter|subscri(?:be|ption)|signup|log-?in|search|widgets?|pagination|pager|tags?-?list|skip-?link|hidden|{})"
 )
 _COMMENT = r"comment-?list|comments|respond|disqus|replies"
+#: Names made of these words alone, one of the first among them, are names of readers' comments.
+COMMENT_WORDS = set("comment comments commentlist discussion discussions replies responses disqus".split())
+BESIDE_COMMENT = set("reader readers user users visitor section list area thread threads wrap wrapper container item body text content box block the single post posts node stream feed reply".split())
 _WHOLE = r"(?:(?:site|page|main|top|bottom|global|primary|secondary|post|entry)[-_])?{0}(?:[-_]{0})*(?:[-_](?:box|bar|list|links?|buttons?|wrap|wrapper|container|form|area|section|block|posts|inner))?"
 #: Whole names (of class or id) of what is no article, and those of them that hold prose as dense as one.
 ASIDE_NAME = re.compile(_WHOLE.format(_NAME.format(_COMMENT)), re.I)
@@ -43,8 +46,15 @@ UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 #: Why an element is marked: its tag, role or being hidden; a form; its name; the name of a list of comments.
 HARD, FORM, NAMED, COMMENTS = 1, 2, 3, 4
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-#: A start tag that closes another looks for it among so many open elements.
-REACH = 256
+#: What can be a menu without being named one.
+MENUS = set("div ul ol dl section span center".split())
+INLINE = set("a b i em strong".split())
+#: Links that make a menu of what holds little else.
+LINKS = 3
+#: The most characters of a comment's first line, and of a comment that is known by its shape alone.
+BYLINE, COMMENT = 60, 2000
+#: When something was written, as comments have it.
+WHEN = re.compile(r"\b(?:\d+ (?:second|minute|hour|day|week|month|year)s? ago|yesterday|just now|\d{4}-\d\d-\d\d|\d{1,2}[./ ](?:\d{1,2}|[A-Z][a-z]{2,8})[./ ]\d{2,4}|[A-Z][a-z]{2,8} \d{1,2},? \d{4})\b")
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 #: The same where quotes do not pair.
 PLAIN = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
@@ -90,6 +100,11 @@ def tags_of(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
         at = end
 
 
+def _of_comments(name: str) -> bool:
+    words = re.split(r"[-_]+", name.lower())
+    return not COMMENT_WORDS.isdisjoint(words) and COMMENT_WORDS.union(BESIDE_COMMENT).issuperset(words)
+
+
 class Page:
     """The element tree as parallel lists; element 0 is the root, and parents come before their children."""
 
@@ -109,10 +124,10 @@ class Page:
                 elif tag in BLOCK:
                     self.content.append((stack[-1], None))
                 continue
-            if tag in BLOCK and open_.get("p"):
-                self._close_within(stack, open_, ("p",), tag)
+            if tag in BLOCK and tag != "br" and open_.get("p"):
+                self._close_within(stack, open_, ("p",))
             if tag in CLOSES:
-                self._close_within(stack, open_, CLOSES[tag], tag)
+                self._close_within(stack, open_, CLOSES[tag])
             if tag in ("body", "html") and open_.get(tag):
                 continue
             if tag in BLOCK:
@@ -122,29 +137,24 @@ class Page:
             self.mark.append(self._mark(tag, attrs, open_))
             if tag not in VOID and not attrs.endswith("/"):
                 stack.append(len(self.tag) - 1)
-                open_[tag] = open_.get(tag, 0) + 1
+                open_.setdefault(tag, []).append(len(stack) - 1)
         if at < len(html):
             self.content.append((stack[-1], html[at:]))
 
     def _close(self, stack, open_, tag) -> None:
         while True:
             name = self.tag[stack.pop()]
-            open_[name] -= 1
+            open_[name].pop()
             if name in BLOCK:
                 self.content.append((stack[-1], None))
             if name == tag:
                 return
 
-    def _close_within(self, stack, open_, tags, tag) -> None:
-        if not any(open_.get(t) for t in tags) or (tag == "br"):
-            return
-        for e in stack[: -REACH - 1 : -1]:
-            name = self.tag[e]
-            if name in tags:
-                self._close(stack, open_, name)
-                return
-            if name in FENCE:
-                return
+    def _close_within(self, stack, open_, tags) -> None:
+        """End the innermost of ``tags``, unless an element that implied end tags do not reach past is further in."""
+        innermost = lambda names: max((open_[t][-1] for t in names if open_.get(t)), default=-1)
+        if (at := innermost(tags)) > innermost(FENCE):
+            self._close(stack, open_, self.tag[stack[at]])
 
     @staticmethod
     def _mark(tag, attrs, open_) -> int:
@@ -160,11 +170,11 @@ class Page:
         role = have.get("role", "").lower().split()
         if role and role[0] in ASIDE_ROLE or "hidden" in have or have.get("aria-hidden", "").strip().lower() == "true" or UNSEEN.search(have.get("style", "")):
             return HARD
-        if tag in ("article", "main", "p", "a", "b", "i", "em", "strong"):
-            return 0
+        if tag in ("article", "main") or tag in INLINE and open_.get("p"):
+            return COMMENTS if tag == "article" and any(map(_of_comments, have.get("class", "").split())) else 0
         inside = open_.get("article") or open_.get("main")
         names = [x for key in ("class", "id") for x in have.get(key, "").split()]
-        if any(map(COMMENT_NAME.fullmatch, names)):
+        if any(COMMENT_NAME.fullmatch(x) or _of_comments(x) for x in names):
             return COMMENTS
         return NAMED if any(ASIDE_NAME.fullmatch(x) or not inside and x.lower() in HEADER_NAME for x in names) else 0
 
@@ -194,6 +204,7 @@ class Densities:
             self.out[e] = self.out[e] or self.out[p]
             link[e] = self.out[e] or link[p] or page.tag[e] == "a"
         self.chars, self.links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        self.link_tags = link_tags
         for e, text in page.content:
             if text and (size := len(text.strip())):
                 self.chars[e] += size
@@ -218,15 +229,16 @@ def main_text(html: str | None) -> str:
 
     Every element's density is its characters per tag, less the more of them are link
     text. The element whose children's densities sum highest is the centre, and the
-    least density from it up to the body is the threshold. The centre is kept, and
-    along its path to the body what is as dense as the threshold, and headings before
-    the path. Inside an article or main element around the centre, and where the body
-    itself is the centre, everything is kept that is not mostly links.
-
-    Menus, notices, forms and the like, by tag, role or whole name, count as link text,
-    so that their density is zero and they go. But a name, or being a form, does not
-    count for an element that holds both the centre found without them and half of
-    the text.
+    least density from it up to the body is the threshold. Everything around the centre
+    is kept, short or long, up to the article or main element that holds it, or else up
+    to the child of the body that does, or the body where that is the centre itself; but for
+    menus, that is what holds mostly links, LINKS of them or more. Further out is kept what is
+    as dense as the threshold, and headings before the path.
+
+    Menus, notices, forms, comments and the like, by tag, role, whole name or, for comments,
+    by shape, count as link text, so that their density is zero and they go. But a name,
+    or being a form, does not count for an element that holds both the centre found
+    without them and half of the text.
     """
     if not html or html.isspace():
         return ""
@@ -236,8 +248,10 @@ def main_text(html: str | None) -> str:
 
 def _marked(page: Page) -> list[bool]:
     """Which elements are menus, notices and the like: those that :class:`Page` marks, unless density overrules it."""
-    marked = [m > 0 for m in page.mark]
     n = len(page.tag)
+    for e in _shaped_like_comments(page):
+        page.mark[e] = page.mark[e] or COMMENTS
+    marked = [m > 0 for m in page.mark]
     holds = [t in ("article", "main") for t in page.tag]
     for e in range(n - 1, 0, -1):
         holds[page.parent[e]] |= holds[e]
@@ -253,6 +267,53 @@ def _marked(page: Page) -> list[bool]:
     return marked
 
 
+def _shaped_like_comments(page: Page) -> list[int]:
+    """Elements that repeat side by side in one shape, each a short line that says who or when and then a text; and what holds nothing else.
+
+    The shape is the tags of an element's children, runs of one tag taken once. A line
+    before is a name, or holds a date, and each element has a time of its own.
+    """
+    n = len(page.tag)
+    children: list[list[int]] = [[] for _ in range(n)]
+    for e in range(1, n):
+        children[page.parent[e]].append(e)
+    texts: list[list[str]] = [[] for _ in range(n)]
+    size, timed = [0] * n, [t == "time" for t in page.tag]
+    for e, text in page.content:
+        if text and not text.isspace():
+            texts[e].append(text)
+            size[e] += len(text.strip())
+    for e in range(n - 1, 0, -1):
+        timed[e] = timed[e] or any(WHEN.search(t) for t in texts[e] if len(t) <= BYLINE)
+        size[page.parent[e]] += size[e]
+        timed[page.parent[e]] |= timed[e]
+    found, like = [], [False] * n
+    for p in range(n):
+        if not timed[p] or len(children[p]) < 2:
+            continue
+        groups: dict[tuple, list[int]] = {}
+        for e in children[p]:
+            own = children[e]
+            tags = tuple(page.tag[c] for k, c in enumerate(own) if not k or page.tag[c] != page.tag[own[k - 1]])
+            lead = own and size[own[0]] <= BYLINE and page.tag[own[0]] not in HEADINGS and len(own) > 1
+            if timed[e] and lead and size[e] <= COMMENT and page.tag[e] not in INLINE:
+                groups.setdefault((page.tag[e], tags), []).append(e)
+        for own in groups.values():
+            if len(own) > 1:
+                found += own
+                for e in own:
+                    like[e] = True
+    for p in {page.parent[e] for e in found}:
+        rest = [c for c in children[p] if not like[c] and size[c] and page.tag[c] not in HEADINGS and page.mark[c] == 0]
+        if not rest and page.tag[p] not in ("#root", "html", "body", "article", "main"):
+            found.append(p)
+        else:  # a heading right before the first of them is theirs
+            first = next(k for k, c in enumerate(children[p]) if like[c])
+            if first and page.tag[children[p][first - 1]] in HEADINGS:
+                found.append(children[p][first - 1])
+    return found
+
+
 def _select(page: Page, found: Densities) -> str:
     n = len(page.tag)
     dense, out = found.dense, found.out
@@ -261,7 +322,9 @@ def _select(page: Page, found: Densities) -> str:
         path.append(page.parent[path[-1]])
     outer = ("#root", "html", "body")
     threshold = min(dense[e] for e in [e for e in path if page.tag[e] not in outer[:2]] or path)
-    lenient = set(path[: max((k + 1 for k, e in enumerate(path) if page.tag[e] in ("article", "main")), default=0)])
+    around = [k + 1 for k, e in enumerate(path) if page.tag[e] in ("article", "main")] or [k + 1 for k, e in enumerate(path) if page.tag[e] not in outer]
+    lenient = set(path[: max(around, default=0)])
+    menu = lambda e: 2 * found.links[e] > found.chars[e] and found.link_tags[e] >= LINKS and page.tag[e] in MENUS
     whole = page.tag[found.centre] not in outer or not any(page.parent[e] == found.centre for e in range(1, n))
     kept = [False] * n
     kept[found.centre] = whole
@@ -274,10 +337,10 @@ def _select(page: Page, found: Densities) -> str:
         if out[e]:
             continue
         if kept[p]:
-            kept[e] = True
+            kept[e] = not menu(e)
         elif p in on_path and e not in on_path:
             if p in lenient:
-                kept[e] = 2 * found.links[e] <= found.chars[e]
+                kept[e] = not menu(e)
             else:
                 kept[e] = dense[e] >= threshold > 0 or page.tag[e] in HEADINGS and e < towards[p] and 2 * found.links[e] <= found.chars[e]
     blocks, now = [], []

@@ -191,7 +191,8 @@ def plain_extract(html):
     walk(root, [])
     path = best[3]
     threshold = min(composite(*counted(x), ratio) for x in [x for x in path if x[0] not in ("#root", "html")] or path)
-    semantic = [k for k, x in enumerate(path) if x[0] in ("article", "main")]
+    outer_tags = ("#root", "html", "body")
+    semantic = [k for k, x in enumerate(path) if x[0] in ("article", "main")] or [k for k, x in enumerate(path) if x[0] not in outer_tags]
     lines, now = [], []
 
     def cut():
@@ -202,6 +203,10 @@ def plain_extract(html):
         c, _, lc, _ = counted(node)
         return 2 * lc <= c
 
+    def is_menu(node):
+        c, _, lc, lt = counted(node)
+        return 2 * lc > c and lt >= 3 and node[0] in htmltext.MENUS
+
     def show(node, depth, keep):
         """depth: the node's place on the path, or None."""
         if node[1]:
@@ -221,8 +226,8 @@ def plain_extract(html):
             elif depth is not None and depth + 1 < len(path) and child is path[depth + 1]:
                 before = False
                 show(child, depth + 1, False)
-            elif keep or depth is not None and (
-                few_links(child)
+            elif not is_menu(child) if keep else depth is not None and (
+                not is_menu(child)
                 if lenient
                 else composite(*counted(child), ratio) >= threshold > 0 or child[0] in ("h1", "h2") and before and few_links(child)
             ):
@@ -264,3 +269,57 @@ def test_against_plain_recursion(monkeypatch):
     for _ in range(400):
         page = random_page(rng)
         assert main_text(page) == plain_extract(page)
+
+
+LONG = [f"Long paragraph {i} goes on and on about the story, with many words that make it dense and plain to read for everyone." for i in range(3)]
+PARTS = {
+    "second section": ("<section><p>{0}</p><p>{1}</p></section><section><h2>Second</h2><p>Short one.</p></section>", "{0}\n{1}\nSecond\nShort one."),
+    "list": ("<div><p>{0}</p><p>{1}</p></div><ul><li>one</li><li>two</li><li>three</li><li>four</li><li>five</li><li>six</li></ul>", "{0}\n{1}\none\ntwo\nthree\nfour\nfive\nsix"),
+    "table": ("<div><p>{0}</p><p>{1}</p></div><table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>", "{0}\n{1}\na\nb\nc\nd"),
+    "short closing": ("<div><p>{0}</p><p>{1}</p></div><div><p>Short closing part with <b>bold</b> words.</p></div>", "{0}\n{1}\nShort closing part with bold words."),
+    "link paragraph": ("<p>{0}</p><p>{1}</p><p><a href=x>Source document here</a></p>", "{0}\n{1}\nSource document here"),
+    "two links": ("<div><p>{0}</p><p>{1}</p></div><div><a href=x>One source</a> and <a href=y>another</a></div>", "{0}\n{1}\nOne source and another"),
+    "quote": ("<h2>Words</h2><div><p>{0}</p><p>{1}</p></div><blockquote>It is so.</blockquote>", "Words\n{0}\n{1}\nIt is so."),
+    "figure": ("<div><p>{0}</p><p>{1}</p></div><figure><img src=x><figcaption>A picture</figcaption></figure><p>End.</p>", "{0}\n{1}\nA picture\nEnd."),
+    "steps": ("<div><div><h3>Step 1</h3><p>{0}</p></div><div><h3>Step 2</h3><p>Do it.</p></div></div>", "Step 1\n{0}\nStep 2\nDo it."),
+    "words between": ("first words<div><p>{0}</p><p>{1}</p></div>last words", "first words\n{0}\n{1}\nlast words"),
+}
+GONE = {
+    "p.ad": "<p class='ad'>Buy now and buy a lot more of it</p>",
+    "reader comments": "<div class='reader-comments'><h3>What you say</h3><p>I like this story, it is good.</p></div>",
+    "comment section": "<div id=comment-section><p>I like this story, it is good.</p><p>So do I, and more than you do.</p></div>",
+    "discussion": "<section class=discussion><p>I like this story, it is good and it is long.</p></section>",
+    "comment": "<div class=comment><p>I like this story, it is good.</p></div><div class=comment><p>So do I.</p></div>",
+    "p.comment": "<p class=comment>I like this story, it is good.</p>",
+    "comments by shape": "<div class=xyz>" + "".join(f"<div><b>Reader {i}</b> <time>2 May 2024</time><p>I like this story, it is good.</p></div>" for i in range(3)) + "</div>",
+    "comments by date": "<h3>Your voice</h3>" + "".join(f"<div class=q><span>Ann, {i} hours ago</span><p>I like this story, it is good.</p></div>" for i in (2, 3)),
+    "menu": "<div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div>",
+}
+
+
+@pytest.mark.parametrize("shell", ["<div id=content>{}</div>", "<div id=page><div class=story>{}</div></div>", "<article>{}</article>", "<main><div>{}</div></main>"])
+@pytest.mark.parametrize("part", PARTS)
+def test_every_part_of_an_article_stays(part, shell):
+    html, want = PARTS[part]
+    page = f"<body>{EXTRA['nav']}{shell.format(html.format(*LONG))}{EXTRA['footer']}</body>"
+    assert main_text(page) == want.format(*LONG)
+
+
+@pytest.mark.parametrize("shell", ["<div id=content>{}</div>", "<article>{}</article>", "<main><div>{}</div></main>"])
+@pytest.mark.parametrize("name", GONE)
+def test_comments_and_adverts_of_any_name_go(name, shell):
+    page = f"<body>{EXTRA['nav']}{shell.format(BODY + GONE[name])}{EXTRA['footer']}</body>"
+    assert main_text(page) == CLEAN
+
+
+def test_an_article_that_is_one_link():
+    assert main_text("<article><p><a href=x>Read the whole document there</a></p></article>") == "Read the whole document there"
+
+
+def test_sections_with_dates_are_no_comments():
+    parts = "".join(f"<section><h2>Day {i}</h2><p>On 2024-05-0{i} they went on, {LONG[i]}</p></section>" for i in range(1, 3))
+    assert main_text(f"<body><div>{parts}</div></body>").count("Day") == 2
+
+
+def test_implied_end_tags_reach_any_depth():
+    assert main_text("<article><ul><li>" + "<i>" * 1000 + "one<li>two</ul></article>") == "one\ntwo"
