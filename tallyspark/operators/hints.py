@@ -10,6 +10,7 @@ from ..functions.scalars import (
     MONEY_LIKE,
     PURE_MONEY,
     amount_sql,
+    let,
     let_sql,
     literal,
     money_tokens_sql,
@@ -162,16 +163,24 @@ def money_coverage(text: Column) -> Column:
     )
 
 
+def first_match(text: Column, pattern: str) -> Column:
+    """What the pattern first matches, empty if nothing: the text is searched once, and groups are then read off the match."""
+    return F.regexp_extract(text, pattern, 0)
+
+
 def stated_totals(text: Column) -> Column:
     """struct(credit_count, total_credits, debit_count, total_debits) as the text prints them; null without either."""
 
-    def part(pattern: str) -> tuple[Column, Column]:
-        count = F.regexp_extract(text, pattern, 1)
-        return F.nullif(count, F.lit("")).try_cast("bigint"), parse_amount(F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")))
+    def part(found: Column, pattern: str) -> tuple[Column, Column]:
+        count = F.regexp_extract(found, pattern, 1)
+        return F.nullif(count, F.lit("")).try_cast("bigint"), parse_amount(F.nullif(F.regexp_extract(found, pattern, 2), F.lit("")))
+
+    def whole(both: Column) -> Column:
+        (cn, ct), (dn, dt) = part(both["c"], STATED_CREDITS), part(both["d"], STATED_DEBITS)
+        values = F.struct(cn.alias("credit_count"), ct.alias("total_credits"), dn.alias("debit_count"), dt.alias("total_debits"))
+        return F.when((both["c"] != "") | (both["d"] != ""), values)
 
-    (cn, ct), (dn, dt) = part(STATED_CREDITS), part(STATED_DEBITS)
-    whole = F.struct(cn.alias("credit_count"), ct.alias("total_credits"), dn.alias("debit_count"), dt.alias("total_debits"))
-    return F.when(text.rlike(STATED_CREDITS) | text.rlike(STATED_DEBITS), whole)
+    return let(F.struct(first_match(text, STATED_CREDITS).alias("c"), first_match(text, STATED_DEBITS).alias("d")), whole)
 
 
 def labelled_value(text: Column, label: str, valid=lambda v: F.lit(True)) -> Column:
@@ -212,14 +221,19 @@ def company_name(first_page: Column) -> Column:
 def statement_period(text: Column, hint: Column, order: Column) -> Column:
     """struct(from, to) of the printed period, or of the balances' as-of dates; null without any."""
 
-    def day(pattern: str, n: int) -> Column:
-        raw = F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
-        return F.coalesce(normalize_date(raw, hint, order), raw)
+    def day(found: Column, pattern: str, n: int) -> Column:
+        raw = F.nullif(F.regexp_extract(found, pattern, n), F.lit(""))
+        return let(raw, lambda x: F.coalesce(normalize_date(x, hint, order), x))
 
-    opened, closed = OPENED_AS_OF, CLOSED_AS_OF
-    return F.when(text.rlike(PERIOD), F.struct(day(PERIOD, 1).alias("from"), day(PERIOD, 2).alias("to"))).when(
-        text.rlike(opened) | text.rlike(closed), F.struct(day(opened, 1).alias("from"), day(closed, 1).alias("to"))
-    )
+    def printed(found: Column) -> Column:
+        return F.when(found != "", F.struct(day(found, PERIOD, 1).alias("from"), day(found, PERIOD, 2).alias("to"))).otherwise(as_of)
+
+    def balances(both: Column) -> Column:
+        ends = F.struct(day(both["o"], OPENED_AS_OF, 1).alias("from"), day(both["c"], CLOSED_AS_OF, 1).alias("to"))
+        return F.when((both["o"] != "") | (both["c"] != ""), ends)
+
+    as_of = let(F.struct(first_match(text, OPENED_AS_OF).alias("o"), first_match(text, CLOSED_AS_OF).alias("c")), balances)
+    return let(first_match(text, PERIOD), printed)
 
 
 def document_texts(pages: DataFrame) -> DataFrame:

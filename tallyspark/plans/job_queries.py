@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import hints, jobs, parsers, reads, result, selection
 from ..sources import records
+from ..sources.folders import staged
 from . import ledger as L
 from .chain_queries import ORACLES as CHAIN_ORACLES
 from .chain_queries import SCALAR_SQL, outcome
@@ -30,7 +31,8 @@ def analysis(spark, sf_dir):
 
 def metadata(spark, sf_dir):
     """What a document's text says of itself, printed totals, balances and period included."""
-    found = hints.document_metadata(hints.document_hints(L.analysis_pages(ledger_of(spark, sf_dir))))
+    pages = staged(L.analysis_pages(ledger_of(spark, sf_dir)), "pages")
+    found = hints.document_metadata(hints.document_hints(pages))
     return found.select(
         "doc", "company_name", "account_name", "account_number", "currency", F.col("class.document_type").alias("document_type"),
         F.round("class.confidence", 6).alias("confidence"), F.col("period.from").alias("period_from"), F.col("period.to").alias("period_to"),
