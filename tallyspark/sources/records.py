@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_uuid, trimmed
@@ -80,6 +80,50 @@ def without(records: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
+def save(records: DataFrame, folder: str) -> None:
+    """Appends ``records(id, status, saved_at, ...)`` to a store that :func:`live` reads; a later one of an id takes an earlier one's place."""
+    records.write.mode("append").parquet(f"{folder}/records/generation={_generation(records.sparkSession, folder)}")
+
+
+def _generation(spark: SparkSession, folder: str) -> int:
+    """The latest generation that was written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/records/generation=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found), default=0)
+
+
+def _buried(spark: SparkSession, folder: str) -> DataFrame:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tombstones")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    rows = spark.read.schema("id string, at timestamp").parquet(f"{folder}/tombstones") if there else spark.createDataFrame([], "id string, at timestamp")
+    return rows.groupBy("id").agg(F.max("at").alias("at"))
+
+
+def live(spark: SparkSession, folder: str) -> DataFrame:
+    """The store's records, of each id the one saved last, but for those deleted since."""
+    rows = spark.read.parquet(f"{folder}/records/generation={_generation(spark, folder)}")
+    fields = [c for c in rows.columns if c != "id"]
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*fields), "saved_at").alias("r")).select("id", "r.*")
+    return last.join(_buried(spark, folder), "id", "left").filter("at IS NULL OR saved_at > at").drop("at")
+
+
+def delete(ids: DataFrame, folder: str, at: Column) -> None:
+    """Notes that the records of ``ids`` go, but for those in work; no record is written again."""
+    idle = live(ids.sparkSession, folder).filter("status <> 'processing'")
+    ids.select("id").distinct().join(idle.select("id"), "id", "left_semi").select("id", at.alias("at")).write.mode("append").parquet(f"{folder}/tombstones")
+
+
+def compact(spark: SparkSession, folder: str) -> int:
+    """Writes what is live as the next generation, whose number it returns; readers go over to it once it is whole.
+
+    Nothing may be saved meanwhile. Deletions may be noted at any time, as they hold for every
+    generation; an earlier generation may go when no reader has it open.
+    """
+    after = _generation(spark, folder) + 1
+    live(spark, folder).write.mode("overwrite").parquet(f"{folder}/records/generation={after}")
+    return after
+
+
 def with_links(records: DataFrame, base: str) -> DataFrame:
     """Adds ``links``: where a record and its parts are found."""
     self_ = F.concat(F.lit(base.rstrip("/") + "/"), F.col("id"))

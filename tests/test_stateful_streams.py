@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.sources import plugins, records
 from tallyspark.streaming import events as E
 from tallyspark.streaming import stateful as S
 
@@ -179,3 +180,55 @@ def test_a_stream_needs_its_lateness(spark, tmp_path):
     (tmp_path / "in").mkdir()
     with pytest.raises(ValueError, match="how late"):
         E.once(stream(spark, tmp_path / "in", LOG))
+
+
+def test_claims_are_read_by_name_and_offset(spark, tmp_path):
+    assert plugins.register(spark) == ["tally_claims", "tally_delivery"]
+    claims = tmp_path / "claims"
+    put(claims, "001", [{"job": 1, "board": "a", "worker": "w"}, {"job": 2, "board": "a"}])
+    (claims / "002.json").write_text('{"job": 3\n{"job": 4, "board": "b", "worker": null}\n7')
+    read = lambda: spark.readStream.format("tally_claims").option("path", str(claims)).load()
+    out = []
+    for _ in range(2):
+        query = read().writeStream.foreachBatch(lambda b, n: out.append(sorted(map(tuple, b.collect())))).option("checkpointLocation", str(tmp_path / "state")).start()
+        query.processAllAvailable()
+        query.stop()
+        put(claims, "003", [{"job": 5, "board": "b", "worker": "x"}])
+    assert [b for b in out if b] == [[(1, "a", "w"), (2, "a", None), (4, "b", None)], [(5, "b", "x")]]
+
+
+def test_delivery_commits_each_batch_once(spark, tmp_path):
+    plugins.register(spark)
+    kind, folder = "job long, kind string, body string", str(tmp_path / "out")
+    for n in range(2):
+        put(tmp_path / "in", n, [{"job": n, "kind": "raw", "body": "é"}, {"job": n, "kind": "resolved", "body": None}])
+        rows = stream(spark, tmp_path / "in", kind)
+        rows.writeStream.format("tally_delivery").option("path", folder).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    want = [(n, k, b) for n in range(2) for k, b in (("raw", "é"), ("resolved", None))]
+    assert sorted(map(tuple, plugins.delivered_once(spark, folder, kind).collect())) == want
+    # a batch that runs again after its commit, and a run that ends before one
+    writer = plugins.DeliveryWriter(spark.read.schema(kind).json(str(tmp_path / "in")).schema, {"path": folder})
+    writer.commit([writer.write(iter([(0, "raw", "again")]))], 0)
+    writer.write(iter([(9, "raw", "lost")]))
+    assert sorted(map(tuple, plugins.delivered_once(spark, folder, kind).collect())) == want
+    writer.abort([lost := writer.write(iter([(9, "raw", "lost")]))], 7)
+    assert not (tmp_path / "out/data" / lost.file).exists()
+
+
+def test_records_are_deleted_without_being_written_again(spark, tmp_path):
+    kind, folder = "id string, status string, n int, saved_at timestamp", str(tmp_path / "store")
+    rows = lambda *r: spark.createDataFrame(r, "id string, status string, n int, second long").select("id", "status", "n", F.timestamp_seconds("second").alias("saved_at"))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    now = lambda s: F.timestamp_seconds(F.lit(s))
+    state = lambda: {r.id: r.n for r in records.live(spark, folder).collect()}
+    records.save(rows(("a", "completed", 1, 1), ("b", "processing", 2, 1), ("c", "failed", 3, 1)), folder)
+    records.save(rows(("c", "completed", 4, 2)), folder)
+    assert state() == {"a": 1, "b": 2, "c": 4}
+    before = sorted(p.name for p in (tmp_path / "store/records").rglob("*.parquet"))
+    records.delete(ids("a", "b", "zz"), folder, now(3))
+    assert state() == {"b": 2, "c": 4} and sorted(p.name for p in (tmp_path / "store/records").rglob("*.parquet")) == before
+    records.save(rows(("a", "queued", 5, 4)), folder)  # the id comes back
+    assert state() == {"a": 5, "b": 2, "c": 4} and records.compact(spark, folder) == 1
+    assert state() == {"a": 5, "b": 2, "c": 4}
+    records.delete(ids("c"), folder, now(6))
+    assert state() == {"a": 5, "b": 2} and records.live(spark, folder).schema.simpleString() == spark.createDataFrame([], kind).schema.simpleString()
