@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import records
+from ..sources import plugins, records
 from ..sources.folders import scratch
 from ..streaming import events as E
 from ..streaming import stateful as S
@@ -208,12 +208,42 @@ def record_store(spark, sf_dir):
     return kept.select("id", "status", "readiness", F.col("links.raw").alias("raw"))
 
 
+def record_log(spark, sf_dir):
+    """Customers as a store: every third is deleted, every sixth saved again, the store compacted, and every fifth deleted."""
+    place = place_of(spark)
+    rows = L.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        F.when(F.col("c_custkey") % 7 == 0, "processing").otherwise("completed").alias("status"),
+        F.lit(1).cast("bigint").alias("version"),
+        F.timestamp_seconds(F.lit(1)).alias("saved_at"),
+    )
+    every = lambda n: F.col("id").cast("bigint") % n == 0
+    records.save(rows, place)
+    records.delete(rows.filter(every(3)), place, F.timestamp_seconds(F.lit(2)))
+    records.save(rows.filter(every(6)).withColumns({"version": F.lit(2).cast("bigint"), "saved_at": F.timestamp_seconds(F.lit(3))}), place)
+    records.compact(spark, place)
+    records.delete(rows.filter(every(5)), place, F.timestamp_seconds(F.lit(4)))
+    return records.live(spark, place).select("id", "status", "version")
+
+
+def delivery_stream(spark, sf_dir):
+    """The log delivered by the named sink, in micro-batches that are committed once each."""
+    place = place_of(spark)
+    plugins.register(spark)
+    sent = log(spark, sf_dir).select("job", F.col("type").alias("kind"), F.col("seq").cast("string").alias("body"))
+    stream = as_stream(sent, place, [F.col("job") % 3 == n for n in range(3)])
+    folder = f"{place}/out"
+    stream.writeStream.format("tally_delivery").option("path", folder).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = plugins.delivered_once(spark, folder, "job long, kind string, body string")
+    return got.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("body").cast("bigint")).alias("last"), F.count_if(F.col("kind") == "error").alias("errors"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         event_dedupe, latest_progress, merged_progress, tail_after, liveness, stale_claims, next_claims, idempotent_jobs, state_changes,
         relay_batches, progress_percent, stream_dedupe, record_store, ordered_events, ordered_stream, liveness_changes, liveness_stream,
-        progress_stream, went_stale, uploads_stream,
+        progress_stream, went_stale, uploads_stream, record_log, delivery_stream,
     )
 }
 
@@ -242,6 +272,10 @@ ORACLES = {
       SELECT DISTINCT claim, worker, t AS touched FROM o WHERE k % 2 = 0
         AND NOT EXISTS (SELECT 1 FROM o a WHERE a.k % 2 = 0 AND a.claim = o.claim AND a.t > o.t AND a.t <= o.t + 60 * 86400)
         AND NOT EXISTS (SELECT 1 FROM o b WHERE b.k % 50 = 1 AND b.worker = o.worker AND b.t > o.t + 30 * 86400 AND b.t <= o.t + 60 * 86400)""",
+    "record_log": """SELECT CAST(k AS VARCHAR) AS id, status, CASE WHEN k % 6 = 0 THEN 2::BIGINT ELSE 1::BIGINT END AS version
+      FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'processing' ELSE 'completed' END AS status FROM customer)
+      WHERE status = 'processing' OR k % 5 <> 0 AND (k % 3 <> 0 OR k % 6 = 0)""",
+    "delivery_stream": f"WITH {EVENTS} SELECT job, count(*) AS n, max(seq) AS last, count(*) FILTER (type = 'error') AS errors FROM sent GROUP BY job",
     "event_dedupe": COUNTS,
     "stream_dedupe": COUNTS,
     "latest_progress": f"WITH {EVENTS} SELECT job, seq, type FROM log l WHERE seq = (SELECT max(seq) FROM log m WHERE m.job = l.job)",
