@@ -216,11 +216,27 @@ def layout_contest(spark, sf_dir):
     return parsers.best_layout(pages).groupBy("doc", "page", "mode").agg(F.count(F.lit(1)).alias("n"))
 
 
+def layouts_of_ledgers(spark, sf_dir):
+    """Ledgers printed 25 rows to a page, even documents as tables, others as lines among table rows: which layout reads each page, and what it reads."""
+    rows = ledger_of(spark, sf_dir).withColumn("page", F.floor((F.col("seq") - 1) / 25).cast("int") + 1)
+    size, balance = (F.format_number(F.abs(c) / 100, 2) for c in (F.col("cents"), F.col("balance")))
+    said = F.concat(F.lit("Order "), F.col("id").cast("string"))
+    table_row = F.concat(F.lit("| "), F.col("day"), F.lit(" | "), said, F.lit(" | "), size, F.lit(" | "), balance, F.lit(" |"))
+    as_table = (F.col("doc") % 2 == 0) | (F.col("seq") % 3 == 0)
+    line = F.when(as_table, table_row).otherwise(F.concat_ws(" ", "day", said, size, balance))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda r: r["line"])
+    pages = rows.groupBy("doc", "page").agg(F.array_join(lines, "\n").alias("body"))
+    text = F.concat(F.lit("| Date | Details | Amount | Balance |\n|---|---|---|---|\n"), F.col("body"))
+    pages = pages.select("doc", "page", text.alias("text"), F.lit(None).cast("int").alias("year_hint"), F.lit("DMY").alias("date_order"))
+    found = parsers.best_layout(staged(pages, "ledger-pages"))
+    return found.groupBy("doc", "page", "mode").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.abs("amount") * 100)).cast("bigint").alias("cents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         analysis, metadata, consensus_rows, consensus_verdict, refused_documents, reader_report, chunk_attempts, blank_pages, record_summaries,
-        record_parts, analysed_again, clipped, json_rows, duplicate_urls, first_disputes, display_rows, upload_filter, structured_metadata, classify_others, mixed_tables, layout_contest,
+        record_parts, analysed_again, clipped, json_rows, duplicate_urls, first_disputes, display_rows, upload_filter, structured_metadata, classify_others, mixed_tables, layout_contest, layouts_of_ledgers,
     )
 }
 
@@ -295,6 +311,8 @@ ORACLES = {
       FROM customer, (VALUES (1::BIGINT, 'tables', '1995-02-03', 'Fee #', -5.0::DOUBLE, 'debit', false, false), (2, 'tables', '1995-02-04', 'Pay #', 6.0, 'credit', false, false),
         (3, 'lines', '1995-02-05', 'Bread #', 7.0, NULL, false, false), (4, 'lines', '1995-02-05', 'and a Cake', 8.0, NULL, false, true),
         (5, 'lines', '1995-02-06', 'only words here', NULL, NULL, true, false)) AS m(seq, mode, date_iso, said, amount, type, words, goes_on)""",
+    "layouts_of_ledgers": f"""WITH {LEDGER} SELECT doc, CAST((seq - 1) // 25 + 1 AS INTEGER) AS page,
+      CASE WHEN count(*) FILTER (doc % 2 <> 0 AND seq % 3 <> 0) > 0 THEN 'lines' ELSE 'tables' END AS mode, count(*) AS n, CAST(sum(abs(cents)) AS BIGINT) AS cents FROM ledger GROUP BY ALL""",
     "layout_contest": """SELECT c_custkey AS doc, page, mode, n FROM customer, (VALUES (1, 'tables', 2), (2, 'lines', 3), (3, 'cells', 3)) AS m(page, mode, n)""",
 }
 _VERDICT = CHAIN_ORACLES["verdict"]

@@ -194,6 +194,18 @@ def merge_chunks(spark, sf_dir):
     return reads.merge_chunks(chunks).select("doc", "reader", "company_name", "closing_cents", "opening_cents")
 
 
+def merged_fields(spark, sf_dir):
+    """All fields of merged chunks, each missing from other chunks than the rest."""
+    size, turn = F.length("text").cast("bigint"), F.col("turn")
+    chunks = turns(spark, sf_dir).select(
+        F.col("conv_id").alias("doc"), F.col("role").alias("reader"), F.lit(1).alias("reader_ord"), turn.alias("chunk"), (size % 7 != 0).alias("ok"),
+        *[F.when((size + turn) % (k + 2) != 0, F.concat_ws("-", F.lit(k), turn, size)).alias(c) for k, c in enumerate(reads.FIRST)],
+        *[F.when((size + turn) % (k + 2) != 1, size * 100 + k).alias(c) for k, c in enumerate(reads.LAST)],
+        F.when(size % 2 == 0, turn).alias("opening_cents"),
+    )
+    return reads.merge_chunks(chunks).select("doc", "reader", *reads.FIRST, *reads.LAST, "opening_cents")
+
+
 def json_replies(spark, sf_dir):
     """Plain, fenced, surrounded, broken off and blank replies."""
     t = turns(spark, sf_dir)
@@ -283,7 +295,7 @@ QUERIES = {
     for f in (
         amount_parse, text_keys, row_keys, date_parts, normalize_date, iso_days, int_or_null, date_order, year_hint, currency, classify,
         money_coverage, stated_totals, html_strip, page_source, best_attempt, metadata_merge, canonical_rows, page_chunks,
-        merge_chunks, json_replies, usage_totals, best_layout, parsed_rows, statement_roundtrip, html_tables, header_mapping, tentative_types,
+        merge_chunks, merged_fields, json_replies, usage_totals, best_layout, parsed_rows, statement_roundtrip, html_tables, header_mapping, tentative_types,
     )
 }
 
@@ -336,6 +348,11 @@ ORACLES = {
       SELECT doc, reader, min_by(sha256(text), turn) FILTER (n % 3 <> 0) AS company_name, max_by(n, turn) FILTER (n % 4 <> 0) AS closing_cents,
         (SELECT CASE WHEN u.n % 2 = 0 THEN u.turn END FROM t u WHERE u.doc = t.doc AND u.reader = t.reader ORDER BY u.turn LIMIT 1) AS opening_cents
       FROM t GROUP BY doc, reader""",
+    "merged_fields": "WITH t AS (SELECT conv_id AS doc, role AS reader, turn, length(text) AS n FROM conversations WHERE length(text) % 7 <> 0) SELECT doc, reader, "
+    + ", ".join(f"min_by('{k}-' || turn || '-' || n, turn) FILTER ((n + turn) % {k + 2} <> 0) AS {c}" for k, c in enumerate(reads.FIRST))
+    + ", " + ", ".join(f"max_by(n * 100 + {k}, turn) FILTER ((n + turn) % {k + 2} <> 1) AS {c}" for k, c in enumerate(reads.LAST))
+    + """, (SELECT CASE WHEN u.n % 2 = 0 THEN u.turn END FROM t u WHERE u.doc = t.doc AND u.reader = t.reader ORDER BY u.turn LIMIT 1) AS opening_cents
+      FROM t GROUP BY doc, reader""",
     "json_replies": """SELECT conv_id AS doc, turn AS chunk, (conv_id + turn) % 5 < 3 AS ok, CASE WHEN (conv_id + turn) % 5 < 3 THEN 'bank_statement' END AS document_type,
       CASE WHEN (conv_id + turn) % 5 < 3 THEN turn * 100 + 50 END AS opening_cents, CASE WHEN (conv_id + turn) % 5 < 3 THEN 'a } " {' END AS branch FROM conversations""",
     "usage_totals": """SELECT role AS reader, count(*) AS chunks, count(*) FILTER (length(text) % 7 = 0) AS failed, CAST(sum(length(text)) AS BIGINT) AS input_tokens,
