@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.folders import staged
+from ..sources.folders import staged, staging
 from . import chain, hints, parsers, reads, repair, result, vote
 
 
@@ -106,8 +106,15 @@ def run(kind: str, rows: DataFrame) -> Analysis | Consensus:
 
 
 def extract(pages: DataFrame, folder: str) -> None:
-    """Pages to JSON files: one object per document, with its summary, metadata and ``rows``; nulls stay."""
-    done = analyze(pages)
-    rows = done.rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("seq", "page", "date_iso", "description", "amount", "balance", "type"))).alias("rows"))
-    whole = done.summary.join(done.metadata.select("doc", F.struct("company_name", "account_name", "account_number", "period", "class").alias("metadata")), "doc").join(rows, "doc", "left")
-    whole.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+    """Pages to JSON files: one object per document, with its summary, metadata and ``rows``; nulls stay.
+
+    A document's rows are one object, as a reader of the file has them. What the job stages is
+    deleted once the files are written.
+    """
+    with staging(pages.sparkSession):
+        done = analyze(pages)
+        row = F.struct("seq", "page", "date_iso", "description", "amount", "balance", "type")
+        rows = done.rows.groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+        about = F.struct("company_name", "account_name", "account_number", "period", "class").alias("metadata")
+        whole = done.summary.join(done.metadata.select("doc", about), "doc").join(rows, "doc", "left")
+        whole.write.mode("overwrite").option("ignoreNullFields", False).json(folder)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +23,28 @@ def scratch(spark: SparkSession) -> str:
     return folder
 
 
+_staging: ContextVar[list[str] | None] = ContextVar("staging", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """What is :func:`staged` within is deleted at the end, when the job that reads it has written its result."""
+    paths: list[str] = []
+    token = _staging.set(paths)
+    try:
+        yield
+    finally:
+        _staging.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(rows: DataFrame, name: str) -> DataFrame:
     """Rows that several branches of a job read: written once to the shared folder, in the order of their partitions, and read back."""
     spark = rows.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _staging.get()) is not None:
+        paths.append(path)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

@@ -132,7 +132,10 @@ def test_delivery(spark, tmp_path):
 def test_pages_to_json_files(spark, tmp_path):
     text = "Bank Ltd\nOpening balance 10.00\n2024-01-02 SALARY 5.00 15.00\n2024-01-03 RENT PAYMENT 4.00 11.00"
     pages = spark.createDataFrame([(1, 1, text), (2, 1, " \n"), (3, 1, "Nothing is paid here.")], "doc long, page int, text string")
+    place = Path(folders.scratch(spark).removeprefix("file://"))
+    before = set(place.iterdir())
     jobs.extract(pages, str(tmp_path / "out"))
+    assert set(place.iterdir()) == before  # what it staged is gone
     rows = sorted((json.loads(x) for p in (tmp_path / "out").glob("*.json") for x in p.read_text().splitlines()), key=lambda r: r["doc"])
     assert [r["doc"] for r in rows] == [1, 3] and [t["amount"] for t in rows[0]["rows"]] == [5.0, -4.0]
     assert (rows[0]["opening"], rows[0]["closing"], rows[0]["closes"], rows[0]["net"]) == (10.0, 11.0, True, 1.0)
