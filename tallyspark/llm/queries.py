@@ -224,4 +224,22 @@ WITH RECURSIVE d AS (
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, back AS folded_root, back = root AS verified
 FROM n JOIN done USING (id) JOIN s USING (tree), r
 """
-ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op6_urls": OP6_SQL, "op11_merkle": OP11_SQL}
+#: Every window spelt out and counted.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), win AS (
+  SELECT r, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)
+), again AS (
+  SELECT h FROM win GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM win SEMI JOIN again USING (h)
+), each AS (
+  SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM d
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM each ANTI JOIN gone USING (r, j) GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op6_urls": OP6_SQL, "op11_merkle": OP11_SQL, "op13_substrings": OP13_SQL}
