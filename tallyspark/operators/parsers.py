@@ -20,13 +20,17 @@ from ..functions.scalars import (
     is_non_transaction,
     is_pure_money,
     is_separator,
+    let_sql,
+    literal,
     markdown_cells,
     money_tokens,
     normalize_date,
     parse_amount,
     strip_html,
     tentative_type,
+    told,
     trimmed,
+    trimmed_sql,
 )
 from .spread import spread
 
@@ -175,17 +179,15 @@ def header_roles(cells: Column) -> Column:
     """array<int> in the order of ROLES: the place of the column that has each role, or -1.
 
     Cells claim in turn; a cell takes the first role that its heading fits and no earlier cell has taken.
+    Every heading meets every pattern once, before the claims.
     """
-    heads = F.transform(cells, lambda c: F.lower(trimmed(c)))
     bound = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-
-    def claim(taken: Column, i: Column) -> Column:
-        head = F.element_at(heads, i + 1)
-        fits = F.array(*[(head != "") & head.rlike(p.replace(r"\b", bound)) & (taken[k] < 0) for k, (_, p) in enumerate(COLUMN_ROLES)])
-        role = F.array_position(fits, True) - 1
-        return F.transform(taken, lambda old, k: F.when(k == role, i).otherwise(old))
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(heads) - 1), F.array_repeat(F.lit(-1), len(ROLES)), claim)
+    each = ", ".join(f"h <> '' AND h RLIKE {literal(p.replace(chr(92) + 'b', bound))}" for _, p in COLUMN_ROLES)
+    fits = f"transform(x, c -> {let_sql(f'lower({trimmed_sql("c")})', 'h', f'array({each})')})"
+    free = "array_position(zip_with(fit, st.taken, (f, t) -> f AND t < 0), true) - 1"
+    claim = let_sql(free, "role", "named_struct('i', st.i + 1, 'taken', transform(st.taken, (old, k) -> if(k = role, st.i, old)))")
+    start = f"named_struct('i', 0, 'taken', array_repeat(-1, {len(ROLES)}))"
+    return told(cells, f"aggregate({fits}, {start}, (st, fit) -> {claim}, st -> st.taken)")
 
 
 def is_transaction_header(roles: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import hints, parsers, reads, selection
+from ..operators.spread import spread
 from . import ledger as L
 from .sql import LEDGER, READS, TOTALS
 
@@ -278,7 +279,8 @@ def header_mapping(spark, sf_dir):
         ["", "Txn ID", "Narration", "DR", "CR."], ["Transaction", "Transaction Date", "Cheque No", "Withdrawals", "Paid In", "Balance", "Balance"],
     ]
     cells = pick(F.col("c_custkey") % 4, [F.array(*map(F.lit, h)) for h in heads])
-    roles = L.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), parsers.header_roles(cells).alias("r"))
+    customers = spread(L.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    roles = customers.select(F.col("c_custkey").alias("id"), parsers.header_roles(cells).alias("r"))
     return roles.select("id", F.array_join(F.transform("r", lambda x: x.cast("string")), ",").alias("roles"), parsers.is_transaction_header(F.col("r")).alias("transactions"))
 
 
