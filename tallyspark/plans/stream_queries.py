@@ -105,12 +105,16 @@ def stream_dedupe(spark, sf_dir):
     return sent.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
 
 
-def as_stream(rows: DataFrame, place: str, parts: list[Column] | None = None) -> DataFrame:
-    """The rows as a stream of files, those of each of ``parts`` in files of their own and one after the other."""
+def as_stream(rows: DataFrame, place: str, parts: list[Column] | None = None, files: int | None = 4) -> DataFrame:
+    """The rows as a stream of files, those of each of ``parts`` in files of their own and one after the other.
+
+    A micro-batch has ``files`` of them, all that there are if null: files of a part are in no order of time.
+    """
     spark = rows.sparkSession
     for part in parts or [F.lit(True)]:
         rows.filter(part).write.mode("append").parquet(f"{place}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in")
+    reader = spark.readStream.schema(rows.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{place}/in")
 
 
 def place_of(spark) -> str:
@@ -191,8 +195,8 @@ def uploads_stream(spark, sf_dir):
     orders = L.table(spark, sf_dir, "orders")
     uploads = orders.select(F.col("o_custkey").alias("business"), F.col("o_orderpriority").alias("content"), F.col("o_orderkey").alias("job"), F.col("o_orderdate").cast("timestamp").alias("at"))
     years = [(F.col("at") >= F.lit(a).cast("timestamp")) & (F.col("at") < F.lit(b).cast("timestamp")) for a, b in (("1900-01-01", "1994-01-01"), ("1994-01-01", "1996-01-01"), ("1996-01-01", "2100-01-01"))]
-    for year in years:  # each time the stream goes on where it ended
-        stream = as_stream(uploads, place, [year])
+    for year in years:  # each time the stream goes on where it ended, with all of the next years at once
+        stream = as_stream(uploads, place, [year], files=None)
         S.accept_uploads(stream, f"{place}/jobs", f"{place}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{place}/jobs").select("key", "job")
 
