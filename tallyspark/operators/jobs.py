@@ -73,16 +73,15 @@ def consensus(replies: DataFrame, quorum: int = 2) -> Consensus:
     """All attempts of all readers at all chunks, to accepted rows, voted fields, verdicts and a report.
 
     ``replies(doc, reader, reader_ord, chunk, attempt, error, text, page_floor, page_ceil,
-    duration_ms, input_tokens, output_tokens, cost_micros)``. Replies are parsed once.
+    duration_ms, input_tokens, output_tokens, cost_micros)``. Replies are parsed once, and
+    of each chunk the attempt that counts is written once, without its text.
     A reader that failed at every chunk does not vote, and a document that fewer readers
     than the quorum could read gets no verdict.
     """
-    parsed = staged(reads.parse_replies(replies), "parsed-replies")
-    final = staged(reads.final_attempts(parsed), "final-attempts")
+    final = staged(reads.final_attempts(reads.parse_replies(replies).drop("text")), "final-attempts")
     refused = reads.refused(final, quorum)
     readers = reads.voters(final).join(refused, "doc", "left_anti")
-    every = staged(reads.merged_rows(reads.chunk_rows(final)), "read-rows")
-    rows = every.join(refused, "doc", "left_anti")
+    rows = staged(reads.merged_rows(reads.chunk_rows(final)), "read-rows")  # those of refused documents have no readers, and so no vote
     fields = reads.merge_chunks(reads.chunk_scalars(final)).join(refused, "doc", "left_anti")
     accepted, row_disputes = vote.vote_rows(rows, readers, quorum)
     scalars = staged(vote.vote_scalars(fields, quorum), "voted-fields")
@@ -91,7 +90,7 @@ def consensus(replies: DataFrame, quorum: int = 2) -> Consensus:
     disputes = row_disputes.select("doc", "kind", none("field", "string"), "key", "reader").unionByName(
         result.field_disputes(scalars).select("doc", "kind", "field", none("key", "string"), none("reader", "string"))
     )
-    return Consensus(placed, disputes, scalars, result.results(placed, scalars, rows), refused, reads.reader_report(final, every))
+    return Consensus(placed, disputes, scalars, result.results(placed, scalars, rows), refused, reads.reader_report(final, rows))
 
 
 #: What kinds of job there are, by name.

@@ -41,7 +41,8 @@ def vote(values: str, compare: str = "x", quorum: str = "2") -> Column:
 
     Values of one comparison key are one candidate, shown as first said; the most
     votes win, ties to what was said first. Null is a vote. A null that wins over
-    some candidate's first value is no agreement. The arguments are SQL, for one
+    some candidate's first value is no agreement. Where all said the same, there is
+    nothing to count. The arguments are SQL, for one
     expression of this size takes seconds to put together call by call; ``get`` of a
     one-element ``transform`` names what is used more than once.
     """
@@ -55,7 +56,10 @@ def vote(values: str, compare: str = "x", quorum: str = "2") -> Column:
     first = "transform(keys, (k, i) -> size(filter(slice(keys, 1, i), y -> y <=> k)) = 0)"
     most = f"get(transform(array(coalesce(array_max(c.counts), 0)), n -> {decided}), 0)"
     counted = f"get(transform(array(named_struct('counts', {counts}, 'first', {first})), c -> {most}), 0)"
-    return F.expr(f"get(transform(array(transform({values}, x -> {compare})), keys -> {counted}), 0)")
+    voted = f"get(transform(array(transform({values}, x -> {compare})), keys -> {counted}), 0)"
+    n = f"size({values})"
+    same = f"named_struct('value', if({n} >= {quorum}, get({values}, 0), NULL), 'agreed', {n} >= {quorum}, 'votes', {n}, 'of', {n}, 'unanimous', {n} > 1)"
+    return F.expr(f"if(size(array_distinct({values})) = 1, {same}, {voted})")
 
 
 def votes_of(fields: tuple[str, ...], said: str, quorum: str = "2") -> dict[str, Column]:
@@ -121,13 +125,17 @@ def with_quorum(rows: DataFrame, key: str, order: list[str], quorum: int = 2) ->
     out = rows.withColumns({"occurrence": F.row_number().over(place), "n": count})
     one = F.when(F.col("occurrence") == 1, F.struct("reader_ord", "reader", "n"))
     out = out.withColumn("seen", F.array_sort(F.collect_list(one).over(Window.partitionBy("doc", key))))
+    return out.withColumns({"agreed": shared_count(quorum), "seen_by": F.transform("seen", lambda s: s["reader"])}).drop("n", "seen")
+
+
+def shared_count(quorum: int) -> Column:
+    """The smallest count in ``seen``, of structs with a reader's count ``n``, that ``quorum`` of ``voters`` share; those not seen count zero."""
 
     def smallest(counts: Column) -> Column:
         return F.array_min(F.filter(counts, lambda n: F.size(F.filter(counts, lambda x: x == n)) >= quorum))
 
     missing = F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.col("voters") - F.size("seen")).cast("int"))
-    agreed = let(F.concat(F.transform("seen", lambda s: s["n"]), missing), smallest)
-    return out.withColumns({"agreed": agreed, "seen_by": F.transform("seen", lambda s: s["reader"])}).drop("n", "seen")
+    return let(F.concat(F.transform("seen", lambda s: s["n"]), missing), smallest)
 
 
 def with_voters(rows: DataFrame, readers: DataFrame) -> DataFrame:
@@ -135,9 +143,11 @@ def with_voters(rows: DataFrame, readers: DataFrame) -> DataFrame:
 
 
 def quorum_counts(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> DataFrame:
-    """``(doc, key, agreed, seen_by)`` of the rows' strict keys; see :func:`with_quorum`."""
-    out = with_quorum(with_voters(keyed(rows), readers), "key", ["idx"], quorum)
-    return out.groupBy("doc", "key").agg(F.first("agreed").alias("agreed"), F.first("seen_by").alias("seen_by"))
+    """``(doc, key, agreed, seen_by)`` of the rows' strict keys, as :func:`with_quorum` has them: counts by reader, then one row for each key."""
+    dealt = spread(keyed(rows).select("doc", "key", "reader_ord", "reader"), "doc", "key")
+    counts = dealt.groupBy("doc", "key", "reader_ord", "reader").agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("reader_ord", "reader", "n"))).alias("seen"))
+    return with_voters(seen, readers).select("doc", "key", shared_count(quorum).alias("agreed"), F.transform("seen", lambda s: s["reader"]).alias("seen_by"))
 
 
 def _accept(rows: DataFrame, key: str, matched_by: str, quorum: int) -> DataFrame:
@@ -167,17 +177,19 @@ def vote_rows(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> tuple[Dat
     has beyond it is a ``duplicate_row``. Rows of keys without such a count, or with
     zero, match again on day and amount alone; what still finds no quorum is an
     ``unmatched_row``, and an accepted row whose descriptions differ a
-    ``row_description``. Surplus of the second pass goes without a dispute. What either
-    pass finds is written once, as accepted rows and disputes both read it.
+    ``row_description``. Surplus of the second pass goes without a dispute. What the first
+    pass does not accept is written once, as accepted rows and disputes both read it; what it
+    accepts is put together where its windows leave it, without another exchange.
     """
-    dealt = spread(with_voters(keyed(rows), readers), "doc", "key")
-    first = F.min(F.struct("reader_ord", "idx")).over(Window.partitionBy("doc", "key"))
-    strict = staged(with_quorum(dealt, "key", ["idx"], quorum).withColumn("first", first), "strict-matches")
+    dealt = spread(with_voters(keyed(rows).drop("loose"), readers), "doc", "key")
+    strict = with_quorum(dealt, "key", ["idx"], quorum)
     agreed = F.coalesce(F.col("agreed"), F.lit(0))
     exact = _accept(strict.filter(F.col("occurrence") <= agreed), "key", "exact", quorum)
-    doubles = strict.filter((agreed > 0) & (F.col("occurrence") > agreed))
+    first = F.min(F.struct("reader_ord", "idx")).over(Window.partitionBy("doc", "key"))
+    other = staged(keyed(strict.withColumn("first", first).filter(F.col("occurrence") > agreed)), "strict-matches")
+    doubles = other.filter(agreed > 0)
 
-    left = strict.filter(agreed == 0).drop("agreed", "seen_by", "occurrence")
+    left = other.filter(agreed == 0).drop("agreed", "seen_by", "occurrence")
     left = staged(with_quorum(left, "loose", ["first", "idx"], quorum), "loose-matches")
     loose = _accept(left.filter(F.col("occurrence") <= agreed), "loose", "amount+date", quorum)
     alone = left.filter(agreed == 0)
@@ -196,7 +208,7 @@ def vote_rows(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> tuple[Dat
         .unionByName(dispute(alone.withColumn("key", F.col("loose")), "unmatched_row"))
         .unionByName(dispute(told, "row_description"))
     )
-    return staged(exact.unionByName(loose), "accepted"), disputes
+    return exact.unionByName(loose), disputes
 
 
 def in_printed_order(accepted: DataFrame, rows: DataFrame) -> DataFrame:
@@ -204,11 +216,15 @@ def in_printed_order(accepted: DataFrame, rows: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc", "reader")
     keys = keyed(rows).withColumn("n", F.count(F.lit(1)).over(own))
     fullest = F.max_by("reader", F.struct("n", -F.col("reader_ord"))).over(Window.partitionBy("doc"))
-    first = keys.withColumn("fullest", fullest).filter("reader = fullest").groupBy("doc", "key").agg(F.min("idx").alias("at"))
+    first = keys.withColumn("fullest", fullest).filter("reader = fullest").groupBy("doc", "key").agg(F.min("idx").cast("bigint").alias("at"))
+    both = accepted.withColumn("at", F.lit(None).cast("bigint")).unionByName(first, allowMissingColumns=True)
+    at = F.max("at").over(Window.partitionBy("doc", "key"))
+    # one exchange by document for the keys' places and the order; a row of an accepted key has an occurrence, a place has none
+    dealt = spread(both, "doc").withColumn("at", at).filter("occurrence IS NOT NULL")
     order = Window.partitionBy("doc").orderBy(
         F.coalesce("page", F.lit(0)), F.coalesce("at", F.lit(2**31 - 1)), F.collate("key", "UNICODE"), "occurrence"
     )
-    return accepted.join(first, ["doc", "key"], "left").withColumn("position", F.row_number().over(order)).drop("at")
+    return dealt.withColumn("position", F.row_number().over(order)).drop("at")
 
 
 def most_rows(rows: DataFrame) -> DataFrame:

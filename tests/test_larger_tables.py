@@ -1,11 +1,13 @@
 """What went wrong, or cost too much, only on larger tables."""
 
+import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
 
-from tallyspark.operators import parsers
+from tallyspark.operators import parsers, reads, vote
 from tallyspark.plans import catalogue
 
 
@@ -41,3 +43,46 @@ def test_uploads_of_many_files(many_files, spark, sf_dir, tmp_path):
         spark.createDataFrame(rows[n : n + 100], orders.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "orders.parquet"))
     got = Counter(map(tuple, catalogue.QUERIES["uploads_stream"](spark, str(tmp_path)).collect()))
     assert got == by_sql(sf_dir, "uploads_stream", "orders")
+
+
+def written(spark, run) -> list[str]:
+    """What a query stages, by name."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    run()
+    return sorted(re.sub("-[0-9a-f]{32}$", "", p.name) for p in folder.iterdir() if p.name not in before)
+
+
+@pytest.mark.parametrize(
+    ("name", "staged"),
+    [
+        ("refused_documents", []),
+        ("consensus_rows", ["final-attempts", "loose-matches", "read-rows", "strict-matches", "voted-fields"]),
+        ("row_vote_accepted", ["loose-matches", "reads", "strict-matches"]),
+    ],
+)
+def test_only_what_is_read_twice_is_written(spark, sf_dir, name, staged):
+    assert written(spark, lambda: catalogue.QUERIES[name](spark, sf_dir)) == staged
+
+
+def test_one_attempt_is_carried_along(spark):
+    """Not one by each of the two rules."""
+    tries = spark.createDataFrame(
+        [("d", "r", 0, 1, False, "timed out"), ("d", "r", 0, 2, True, None), ("d", "r", 1, 1, False, "cancelled"), ("d", "r", 1, 2, True, None), ("d", "r", 2, 1, False, "timed out")],
+        "doc string, reader string, chunk int, attempt int, ok boolean, reason string",
+    )
+    final = reads.final_attempts(tries)
+    assert sorted((r.chunk, r.attempt) for r in final.collect()) == [(0, 2), (1, 1), (2, 1)]
+    assert len(re.findall(r"aggregate\.(?:MinBy|MaxBy)", final._jdf.queryExecution().analyzed().toJSON())) == 1
+
+
+def test_quorum_counts_hold_no_rows(spark):
+    """Counts by reader, without a window over a task's rows."""
+    rows = spark.createDataFrame(
+        [("d", f"r{k}", k, n, "2024-01-01", None, 5, 5, None, "x") for k, m in ((1, 2), (2, 2), (3, 1)) for n in range(m)],
+        "doc string, reader string, reader_ord int, idx int, date_iso string, date_raw string, amount long, credit long, debit long, description string",
+    )
+    readers = rows.select("doc", "reader", "reader_ord").distinct()
+    got = vote.quorum_counts(rows, readers)
+    assert [(r.agreed, r.seen_by) for r in got.collect()] == [(2, ["r1", "r2", "r3"])]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
