@@ -167,7 +167,8 @@ def liveness_changes(spark, sf_dir):
 def liveness_stream(spark, sf_dir):
     """The same replayed as a stream, with timers, up to an hour before the log's last event."""
     place = place_of(spark)
-    return changes_of(replayed(S.liveness_changes(as_stream(worker_beats(spark, sf_dir), place), 21_600, "1 hour"), place))
+    stream = as_stream(worker_beats(spark, sf_dir), place, files=None)  # files in no order of time would be late for one another
+    return changes_of(replayed(S.liveness_changes(stream, 21_600, "1 hour"), place))
 
 
 def progress_stream(spark, sf_dir):

@@ -44,9 +44,13 @@ class _InOrder(StatefulProcessor):
         while wanted in held or wanted in new:
             values = new.pop(wanted) if wanted in new else held[wanted]
             yield Row(**{"job": key[0], "seq": wanted} | dict(zip(self.columns, values, strict=True)))
-            if wanted in stored:
-                self.early.removeKey((wanted,))
             wanted += 1
+        if stored and max(stored) < wanted:
+            self.early.clear()
+        else:
+            for seq in stored:
+                if seq < wanted:
+                    self.early.removeKey((seq,))
         for seq, values in new.items():
             self.early.updateValue((seq,), values)
         self.wanted.update((wanted,))
@@ -81,7 +85,10 @@ def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 class _Liveness(StatefulProcessor):
-    """Beats in the order of their time, as the watermark passes them; a timer for the next beat or the end of the silence allowed."""
+    """Beats in the order of their time, as the watermark passes them; a timer for the next beat or the end of the silence allowed.
+
+    State is read and written a worker at a time, not a beat at a time.
+    """
 
     def __init__(self, seconds: int):
         self.allowed = seconds * 1000
@@ -89,21 +96,26 @@ class _Liveness(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "ms long, alive boolean")
-        self.beats = handle.getMapState("beats", "ms long", "n int")
+        self.beats = handle.getListState("beats", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        for ms in {row.ms for row in rows}:
-            self.beats.updateValue((ms,), (1,))
-            self.handle.registerTimer(ms)
+        new = {row.ms for row in rows}
+        self.beats.appendList([(ms,) for ms in new])
+        self.handle.registerTimer(min(new))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         """All that the watermark has passed at once; later timers of the same key find nothing left."""
         passed = timerValues.getCurrentWatermarkInMs()
         last, alive = self.last.get() if self.last.exists() else (None, False)
-        due = sorted(k[0] for k, _ in self.beats.iterator() if k[0] <= passed) if self.beats.exists() else []
+        held = sorted({ms for (ms,) in self.beats.get()}) if self.beats.exists() else []
+        due, early = [ms for ms in held if ms <= passed], [ms for ms in held if ms > passed]
+        if due and early:
+            self.beats.put([(ms,) for ms in early])
+            self.handle.registerTimer(early[0])
+        elif due:
+            self.beats.clear()
         for now in due:
-            self.beats.removeKey((now,))
             if alive and now - last > self.allowed:
                 yield Row(worker=key[0], ms=last + self.allowed, alive=False)
                 alive = False

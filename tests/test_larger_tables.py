@@ -86,3 +86,18 @@ def test_quorum_counts_hold_no_rows(spark):
     got = vote.quorum_counts(rows, readers)
     assert [(r.agreed, r.seen_by) for r in got.collect()] == [(2, ["r1", "r2", "r3"])]
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_beats_of_many_files(spark, sf_dir, tmp_path):
+    """The whole log is one micro-batch, however many files it lies in: none of its beats is late for another."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(12)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = Counter(map(tuple, catalogue.QUERIES["liveness_stream"](spark, str(tmp_path)).select("worker", "ms", "alive").collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert got == by_sql(sf_dir, "liveness_stream", "events")
