@@ -39,6 +39,8 @@ BALANCE_LINE = (
 )
 PURE_MONEY = r"^[-(]?\s?[$€£₹৳¥]?\s?-?\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?\)?$"
 MONEY_LIKE = r"\d\.\d{2}(?![A-Za-z0-9_])|\d,\d{3}|[$€£₹৳¥]\s?\d"
+#: What a text has that holds anything like money, wherever its tokens end.
+MAYBE_MONEY = r"\d\.\d{2}|\d,\d{3}|[$€£₹৳¥]\s?\d"
 NEGATIVE = (r"(?s)^\(.*\)$", r"(?i)(?<![A-Za-z0-9_])(?:dr|debit)\.?\s*\)?$")
 NEGATIVE_BARE = r"^\(?[-−]|[-−]\)?$"
 #: (pattern, groups of year, month and day; 0 where there is none); all-number days and months may be the other way round
@@ -66,7 +68,14 @@ STAGES = {"fetching": (0, 5), "reading": (5, 60), "analyzing": (60, 92), "reconc
 
 EMBEDDED_MIN = 200
 BLANK = r"\s"
-BLANK_ENDS = r"(?U)^\s+|\s+$"
+#: What (?U)\s matches: the white space of Unicode.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Most figures and days are spelt so, and are read without what the other spellings take.
+PLAIN_AMOUNT = r"^ ?-?[$€£₹৳¥]? ?(?:[0-9]{1,3}(?:,[0-9]{3})*|[0-9]+)(?:\.[0-9]+)?\z"
+#: Words and, last, two amounts with cents, in a table's row between bars: no more tokens of money than these two.
+PLAIN_PAIR = r"^(?:[A-Za-z0-9 |]* )?-?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2} (?:\| )?-?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2}(?: \|)?\z"
+PLAIN_ISO = r"^(?:19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\z"
+PLAIN_NUMBERS = r"^(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20|21)[0-9]{2}\z"
 
 
 def let(value: Column, use) -> Column:
@@ -94,12 +103,12 @@ def literal(text: str) -> str:
 
 
 def trimmed_sql(text: str) -> str:
-    return f"regexp_replace({text}, {literal(BLANK_ENDS)}, '')"
+    return f"btrim({text}, '{WHITE_SPACE}')"
 
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end, non-breaking spaces included."""
-    return F.regexp_replace(text, BLANK_ENDS, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 # Text
@@ -138,13 +147,15 @@ def strip_html(text: Column) -> Column:
 def markdown_cells(line: Column) -> Column:
     """The cells of a pipe-table line."""
     inner = F.regexp_replace(F.regexp_replace(line, r"^\s*\|", ""), r"\|\s*$", "")
-    return F.transform(F.split(inner, r"\|"), lambda c: trimmed(F.regexp_replace(c, r"(?i)<br\s*/?\s*>", " ")))
+    unbroken = lambda c: F.when(c.contains("<"), F.regexp_replace(c, r"(?i)<br\s*/?\s*>", " ")).otherwise(c)
+    return F.transform(F.split(inner, r"\|"), lambda c: trimmed(unbroken(c)))
 
 
 def is_separator(cells: Column) -> Column:
     """A row of dashes, as under a pipe table's header."""
-    bare = F.transform(cells, lambda c: F.regexp_replace(c, r"\s", ""))
-    return F.forall(bare, lambda c: (c == "") | c.rlike(r"^:?-{2,}:?$")) & F.exists(bare, lambda c: c.contains("-"))
+    bare = lambda c: F.regexp_replace(c, r"\s", "")
+    drawn = lambda c: (c == "") | F.when(c.contains("-"), bare(c).rlike(r"^:?-{2,}:?$")).otherwise(bare(c) == "")
+    return F.forall(cells, drawn) & F.exists(cells, lambda c: c.contains("-"))
 
 
 def is_non_transaction(text: Column) -> Column:
@@ -201,12 +212,15 @@ def amount_sql(raw: str) -> str:
     bare = f"regexp_replace(s, {literal(f'(?U)[{CURRENCY}' + BLANK + ']')}, '')"
     negative = " OR ".join([*[f"s RLIKE {literal(p)}" for p in NEGATIVE], f"{bare} RLIKE {literal(NEGATIVE_BARE)}"])
     signed = let_sql(number, "n", f"CASE WHEN {negative} THEN -abs(n) ELSE n END")
-    return let_sql(trimmed_sql(raw), "s", let_sql("regexp_replace(s, '[^0-9.,]', '')", "k", signed))
+    other = let_sql(trimmed_sql(raw), "s", let_sql("regexp_replace(s, '[^0-9.,]', '')", "k", signed))
+    plain = f"try_cast(translate({raw}, ', {CURRENCY}', '') AS DOUBLE)"
+    return f"CASE WHEN {raw} RLIKE {literal(PLAIN_AMOUNT)} THEN {plain} WHEN {raw} RLIKE '[0-9]' THEN {other} END"
 
 
 def parse_amount(raw: Column) -> Column:
-    """See :func:`amount_sql`."""
-    return told(raw, amount_sql("x"))
+    """See :func:`amount_sql`; what is plain is read before the lambda."""
+    plain = F.translate(raw, f", {CURRENCY}", "").try_cast("double")
+    return F.when(raw.rlike(PLAIN_AMOUNT), plain).when(raw.rlike("[0-9]"), told(raw, amount_sql("x")))
 
 
 def cents_of(value: Column) -> Column:
@@ -262,11 +276,27 @@ def money_tokens_sql(text: str) -> str:
     kept = f"CASE WHEN found RLIKE {literal(MONEY_LIKE)} THEN {let_sql(amount_sql('found'), 'v', f'CASE WHEN v IS NOT NULL THEN {token} END')} END"
     step = (
         "named_struct('tail', substring(st.tail, at + length(found), length(st.tail)),"
-        f" 'out', concat(st.out, coalesce({kept}, slice(st.out, 1, 0))))"
+        f" 'out', {let_sql(kept, 'one', 'if(one IS NULL, st.out, concat(st.out, one))')})"
     )
     start = f"named_struct('tail', {text}, 'out', CAST(array() AS {kind}))"
     finds = f"regexp_extract_all({text}, {literal(f'({AMOUNT_TOKEN})')}, 1)"
-    return f"aggregate({finds}, {start}, (st, found) -> {let_sql('instr(st.tail, found)', 'at', step)}, st -> st.out)"
+    tokens = f"aggregate({finds}, {start}, (st, found) -> {let_sql('instr(st.tail, found)', 'at', step)}, st -> st.out)"
+    none = f"WHEN NOT {text} RLIKE {literal(MAYBE_MONEY)} THEN CAST(array() AS {kind})"
+    return f"CASE WHEN {text} RLIKE {literal(PLAIN_PAIR)} THEN CAST({_last_two(text)} AS {kind}) {none} ELSE {tokens} END"
+
+
+def _last_two(text: str) -> str:
+    """The tokens of a text that is spelt as PLAIN_PAIR has it; a space before a token without sign belongs to it."""
+
+    def token(upto: str, word: str) -> str:
+        space = f"if(startswith({word}, '-') OR length({word}) = length({upto}), '', ' ')"
+        value = f"try_cast(translate({word}, ',', '') AS DOUBLE)"
+        return let_sql(f"concat({space}, {word})", "raw", f"named_struct('raw', raw, 'value', {value}, 'rest', length({text}) - length({upto}) + length(raw))")
+
+    pair = f"array({token('before', 'first')}, {token('upto', 'last')})"
+    before = "rtrim(' |', substring(upto, 1, length(upto) - length(last)))"
+    words = let_sql(before, "before", let_sql("substring_index(before, ' ', -1)", "first", pair))
+    return let_sql(f"rtrim(' |', {text})", "upto", let_sql("substring_index(upto, ' ', -1)", "last", words))
 
 
 def money_tokens(text: Column) -> Column:
@@ -317,11 +347,26 @@ def date_parts(raw: Column, order: Column | str = "DMY") -> Column:
     return told(_dated(raw, order), date_parts_sql("x.raw", "x.ord"))
 
 
+def is_plain_day(raw: Column) -> Column:
+    """Whether it is a day in one of the two usual spellings, which :func:`date_parts` takes for one in either order."""
+    return raw.rlike(PLAIN_ISO) | raw.rlike(PLAIN_NUMBERS)
+
+
+def is_date(raw: Column, order: Column | str = "DMY") -> Column:
+    """Whether :func:`date_parts` are found."""
+    return F.when(is_plain_day(raw), True).otherwise(date_parts(raw, order).isNotNull())
+
+
 def normalize_date(raw: Column, year_hint: Column | None = None, order: Column | str = "DMY") -> Column:
     """``YYYY-MM-DD`` text; impossible days up to 31 pass, as printed."""
     year = "coalesce(p.year, x.hint)"
-    shown = f"CASE WHEN p IS NOT NULL AND {year} IS NOT NULL THEN format_string('%d-%02d-%02d', {year}, p.month, p.day) END"
-    return told(_dated(raw, order, year_hint), let_sql(date_parts_sql("x.raw", "x.ord"), "p", shown))
+    two = lambda n: f"lpad(CAST({n} AS STRING), 2, '0')"
+    shown = f"CASE WHEN p IS NOT NULL AND {year} IS NOT NULL THEN concat_ws('-', CAST({year} AS STRING), {two('p.month')}, {two('p.day')}) END"
+    other = told(_dated(raw, order, year_hint), let_sql(date_parts_sql("x.raw", "x.ord"), "p", shown))
+    part = lambda start, n: F.substring(raw, start, n)
+    month_first = ((F.lit(order) if isinstance(order, str) else order) == "MDY") | (part(4, 2) > "12")
+    month, day = (F.when(month_first, part(a, 2)).otherwise(part(b, 2)) for a, b in ((1, 4), (4, 1)))
+    return F.when(raw.rlike(PLAIN_ISO), raw).when(raw.rlike(PLAIN_NUMBERS), F.concat_ws("-", part(7, 4), month, day)).otherwise(other)
 
 
 def date_token(text: Column) -> Column:
@@ -333,7 +378,7 @@ def is_date_like(raw: Column) -> Column:
     day_first = "'DMY'"
     token = f"nullif(regexp_extract(t, {literal(f'({DATE_TOKEN})')}, 1), '')"
     short = let_sql(trimmed_sql("coalesce(x, '')"), "t", f"length(t) <= 24 AND {date_parts_sql(token, day_first)} IS NOT NULL")
-    return told(raw, short)
+    return F.when(is_plain_day(raw), True).otherwise(told(raw, short))
 
 
 def iso_day(raw: Column) -> Column:

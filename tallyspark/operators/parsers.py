@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import (
     DATE_TOKEN,
-    date_parts,
     date_token,
+    is_date,
     is_date_like,
     is_non_transaction,
+    is_plain_day,
     is_pure_money,
     is_separator,
     let_sql,
@@ -46,6 +47,8 @@ COLUMN_ROLES = (
     ("amount", r"amount|value$"),
 )
 ROLES = tuple(name for name, _ in COLUMN_ROLES)
+#: A line that can be led by a date: its first token, or one spelt like it, stands at one of the first three places.
+MAYBE_LED = r"(?s)^.{0,2}?(?:" + DATE_TOKEN.replace(r"\b", "") + ")"
 COLUMNS = (
     "doc", "page", "line_no", "date", "date_iso", "description", "reference", "amount", "type", "balance", "alt_amounts",
     "desc_only", "continuation",
@@ -72,11 +75,11 @@ def from_lines(pages: DataFrame) -> DataFrame:
     A line without a date goes on under the last date, if it has an amount, a balance
     and words.
     """
-    lines = page_lines(pages).withColumn("line", F.regexp_replace(trimmed(F.col("line")), r"(?U)\s{2,}", " "))
-    lines = once(lines.filter(F.length("line") >= 8), "token", date_token(F.col("line")))
+    lines = page_lines(pages).withColumnRenamed("line", "printed")
+    lines = once(lines, "line", F.regexp_replace(trimmed(F.col("printed")), r"(?U)\s{2,}", " ")).drop("printed").filter(F.length("line") >= 8)
+    lines = once(lines, "token", F.when(F.col("line").rlike(MAYBE_LED), date_token(F.col("line"))))
     at = F.instr("line", F.col("token"))
-    led = F.coalesce((at <= 3) & date_parts(F.col("token")).isNotNull(), F.lit(False))
-    lines = once(lines, "led", led)
+    lines = once(lines, "led", F.coalesce((at <= 3) & is_date(F.col("token")), F.lit(False)))
     upto = Window.partitionBy("doc", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("date", F.last(F.when(F.col("led"), F.col("token")), ignorenulls=True).over(upto))
     rest = F.when(F.col("led"), trimmed(F.substring(F.col("line"), at + F.length("token"), F.length("line")))).otherwise(F.col("line"))
@@ -85,10 +88,10 @@ def from_lines(pages: DataFrame) -> DataFrame:
     pick = F.when(F.col("n") >= 2, F.element_at("money", -2)).when(F.col("n") == 1, F.element_at("money", 1))
     lines = lines.withColumn("pick", pick)
     before = squeezed(F.substring(F.col("rest"), F.lit(1), F.length("rest") - F.col("pick")["rest"]))
-    lines = lines.withColumn("said", F.when(F.col("n") == 0, squeezed(F.col("rest"))).otherwise(before))
+    lines = lines.filter(F.when(F.col("led"), (F.col("n") > 0) | (F.length("rest") >= 6)).otherwise(F.col("n") >= 2))
+    lines = once(lines, "said", F.when(F.col("n") == 0, squeezed(F.col("rest"))).otherwise(before))
     worded = (F.col("said") != "") & ~F.col("said").rlike(r"^[\d\s$.,-]*$")
-    kept = F.when(F.col("led"), (F.col("n") > 0) | (F.length("rest") >= 6)).otherwise((F.col("n") >= 2) & worded)
-    lines = lines.filter(kept)
+    lines = lines.filter(F.col("led") | worded)
     some = F.col("n") > 0
     return lines.select(
         "doc",
@@ -110,8 +113,8 @@ def from_lines(pages: DataFrame) -> DataFrame:
 def from_cells_per_line(pages: DataFrame) -> DataFrame:
     """One cell per line: a date opens a record of up to four lines of text and two of money, signed as printed."""
     lines = page_lines(pages).withColumn("line", trimmed(F.col("line"))).filter("line <> ''")
-    dated = (F.length("line") <= 14) & F.col("line").rlike(f"^(?:{DATE_TOKEN})$")
-    dated = F.coalesce(dated & date_parts(F.col("line"), F.col("date_order")).isNotNull(), F.lit(False))
+    spelt = F.col("line").rlike(f"^(?:{DATE_TOKEN})$") & is_date(F.col("line"), F.col("date_order"))
+    dated = F.coalesce((F.length("line") <= 14) & spelt, F.lit(False))
     lines = once(lines, "dated", dated).withColumn("money", is_pure_money(F.col("line")))
     upto = Window.partitionBy("doc", "page").orderBy("line_no")
     lines = lines.withColumn("record", F.sum(F.col("dated").cast("int")).over(upto)).filter("record > 0")
@@ -152,10 +155,9 @@ def from_cells_per_line(pages: DataFrame) -> DataFrame:
 def pipe_tables(pages: DataFrame) -> DataFrame:
     """``(doc, page, table_no, row_no, cells)`` of tables drawn with bars; lines of dashes are left out, and tables of one row."""
     lines = page_lines(pages).withColumn("line", trimmed(F.col("line")))
-    piped = F.col("line").rlike(r"^\|.*\|$") & (F.length("line") > 2)
-    lines = lines.withColumn("piped", piped)
+    piped = lines.filter(F.col("line").startswith("|") & F.col("line").rlike(r"^\|.*\|$") & (F.length("line") > 2))
     upto = Window.partitionBy("doc", "page").orderBy("line_no")
-    lines = lines.withColumn("table_no", F.sum((~F.col("piped")).cast("int")).over(upto)).filter("piped")
+    lines = piped.withColumn("table_no", (F.col("line_no") + 1 - F.row_number().over(upto)).cast("bigint"))  # lines without bars up to here
     rows = lines.withColumn("cells", markdown_cells(F.col("line"))).filter(~is_separator(F.col("cells")))
     return _numbered(rows.select("doc", "page", "year_hint", "date_order", "table_no", "line_no", "cells"))
 
@@ -179,15 +181,14 @@ def header_roles(cells: Column) -> Column:
     """array<int> in the order of ROLES: the place of the column that has each role, or -1.
 
     Cells claim in turn; a cell takes the first role that its heading fits and no earlier cell has taken.
-    Every heading meets every pattern once, before the claims.
+    A heading meets the patterns of the roles in turn, and none after the first that it takes.
     """
     bound = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-    each = ", ".join(f"h <> '' AND h RLIKE {literal(p.replace(chr(92) + 'b', bound))}" for _, p in COLUMN_ROLES)
-    fits = f"transform(x, c -> {let_sql(f'lower({trimmed_sql("c")})', 'h', f'array({each})')})"
-    free = "array_position(zip_with(fit, st.taken, (f, t) -> f AND t < 0), true) - 1"
-    claim = let_sql(free, "role", "named_struct('i', st.i + 1, 'taken', transform(st.taken, (old, k) -> if(k = role, st.i, old)))")
+    fits = " ".join(f"WHEN st.taken[{k}] < 0 AND h RLIKE {literal(p.replace(chr(92) + 'b', bound))} THEN {k}" for k, (_, p) in enumerate(COLUMN_ROLES))
+    role = let_sql(f"lower({trimmed_sql('c')})", "h", f"CASE WHEN h = '' THEN -1 {fits} ELSE -1 END")
+    claim = let_sql(role, "role", "named_struct('i', st.i + 1, 'taken', if(role < 0, st.taken, transform(st.taken, (old, k) -> if(k = role, st.i, old))))")
     start = f"named_struct('i', 0, 'taken', array_repeat(-1, {len(ROLES)}))"
-    return told(cells, f"aggregate({fits}, {start}, (st, fit) -> {claim}, st -> st.taken)")
+    return told(cells, f"aggregate(x, {start}, (st, c) -> {claim}, st -> st.taken)")
 
 
 def is_transaction_header(roles: Column) -> Column:
@@ -197,10 +198,14 @@ def is_transaction_header(roles: Column) -> Column:
 
 def from_tables(pages: DataFrame) -> DataFrame:
     """Tables under a heading with a date and money: the credit column counts before debit, and both before a single amount."""
-    both = pipe_tables(pages).withColumn("kind", F.lit(0)).unionByName(html_tables(pages).withColumn("kind", F.lit(1)))
     head = F.when(F.col("row_no") == 1, header_roles(F.col("cells")))
-    roles = F.max(head).over(Window.partitionBy("doc", "page", "kind", "table_no"))
-    rows = both.withColumn("roles", roles).filter((F.col("row_no") > 1) & is_transaction_header(F.col("roles")))
+    roles = F.max(head).over(Window.partitionBy("doc", "page", "table_no"))
+
+    def headed(tables: DataFrame, kind: int) -> DataFrame:
+        rows = tables.withColumn("roles", roles).filter((F.col("row_no") > 1) & is_transaction_header(F.col("roles")))
+        return rows.withColumn("kind", F.lit(kind))
+
+    rows = headed(pipe_tables(pages), 0).unionByName(headed(html_tables(pages), 1))
 
     def cell(name: str) -> Column:
         return F.coalesce(F.get("cells", F.get("roles", F.lit(ROLES.index(name)))), F.lit(""))
@@ -208,6 +213,7 @@ def from_tables(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns({name: cell(name) for name in ROLES})
     date, said = trimmed(F.col("date")), trimmed(F.col("description"))
     rows = rows.filter(~is_non_transaction(said) & ~is_non_transaction(date) & is_date_like(date))
+    rows = once(rows, "token", F.when(is_plain_day(date), date).otherwise(F.coalesce(date_token(date), date)))
     credit, debit, generic = (parse_amount(F.col(c)) for c in ("credit", "debit", "amount"))
     rows = once(rows, "m", F.struct(credit.alias("c"), debit.alias("d"), generic.alias("g"))).withColumns({k: F.col(f"m.{k}") for k in "cdg"})
     credited = (F.col("c") != 0) & (F.col("d").isNull() | (F.col("d") == 0))
@@ -225,7 +231,7 @@ def from_tables(pages: DataFrame) -> DataFrame:
         "page",
         line_no.alias("line_no"),
         date.alias("date"),
-        normalize_date(F.coalesce(date_token(date), date), F.col("year_hint"), F.col("date_order")).alias("date_iso"),
+        normalize_date(F.col("token"), F.col("year_hint"), F.col("date_order")).alias("date_iso"),
         F.nullif(said, F.lit("")).alias("description"),
         F.nullif(trimmed(F.col("reference")), F.lit("")).alias("reference"),
         amount.alias("amount"),

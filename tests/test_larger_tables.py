@@ -7,6 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from tallyspark.functions import scalars
 from tallyspark.operators import parsers, reads, vote
 from tallyspark.plans import catalogue
 
@@ -101,3 +104,29 @@ def test_beats_of_many_files(spark, sf_dir, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", shuffles)
     assert got == by_sql(sf_dir, "liveness_stream", "events")
+
+
+def test_tables_sort_lines_with_bars_only(spark):
+    """Lines without bars are left out before a table's lines are put in order."""
+    text = "word\n| Date | Amount |\n|---|---|\n| 1995-02-03 | 5.00 |\nword\nword\n| a |\n| b |"
+    page = spark.createDataFrame([(1, 1, text, None, "DMY")], "doc long, page int, text string, year_hint int, date_order string")
+    tables = parsers.pipe_tables(page)
+    assert sorted((r.table_no, r.row_no, r.cells) for r in tables.collect()) == [(1, 1, ["Date", "Amount"]), (1, 2, ["1995-02-03", "5.00"]), (3, 1, ["a"]), (3, 2, ["b"])]
+    plan = tables._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" in plan.split("Window")[-1]
+
+
+def test_headings_end_at_the_role_they_take(spark):
+    roles = spark.sql("SELECT array('Date', 'Value Date', 'Details', 'Amount') AS cells").select(parsers.header_roles("cells").alias("r"))
+    assert roles.first().r == [0, 2, -1, -1, -1, -1, -1, 3]
+    assert "ZipWith" not in roles._jdf.queryExecution().analyzed().toJSON()
+
+
+def test_plain_pairs_are_read_as_all_tokens_are(spark):
+    """A row that ends with two plain amounts takes no walk along its tokens, and gives the same."""
+    lines = ["POS 1234 1,234.00 -5.00", "| Row 7 | 6.00 | 1,101.00 |", "5.00 6.00", "-5.00 6.00", "a  7.00 8.00"]
+    rows = spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "n int, t string")
+    plain = rows.select("n", scalars.money_tokens(F.col("t")).alias("m")).orderBy("n").collect()
+    walked = rows.select("n", scalars.money_tokens(F.concat("t", F.lit(" #"))).alias("m")).orderBy("n").collect()
+    assert [[(t.raw, t.value, t.rest + 2) for t in r.m] for r in plain] == [[tuple(t) for t in r.m] for r in walked]
+    assert all(x for (x,) in rows.select(F.col("t").rlike(scalars.PLAIN_PAIR)).collect())
