@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars
-from tallyspark.operators import parsers, reads, vote
+from tallyspark.operators import hints, parsers, reads, vote
 from tallyspark.plans import catalogue
+from tallyspark.plans.job_queries import SAID
 
 
 @pytest.fixture
@@ -130,3 +131,14 @@ def test_plain_pairs_are_read_as_all_tokens_are(spark):
     walked = rows.select("n", scalars.money_tokens(F.concat("t", F.lit(" #"))).alias("m")).orderBy("n").collect()
     assert [[(t.raw, t.value, t.rest + 2) for t in r.m] for r in plain] == [[tuple(t) for t in r.m] for r in walked]
     assert all(x for (x,) in rows.select(F.col("t").rlike(scalars.PLAIN_PAIR)).collect())
+
+
+def test_signals_are_searched_where_their_words_stand(spark):
+    """A phrase of each signal holds a word without which its pattern is not tried; a text without any tries none."""
+    for name, phrases in SAID.items():
+        for pattern, phrase in zip(hints.CLASS_SIGNALS[name], phrases, strict=True):
+            assert any(word in phrase for word in hints.needed(pattern))
+    rows = spark.createDataFrame([("INVOICE Tk. 5 and 7 EUR, 8 EUR",), ("nothing",), (None,)], "t string")
+    found = rows.select(hints.currency(F.col("t")).alias("c"), hints.class_scores(F.col("t")).alias("s"))
+    assert [(r.c, r.s and r.s.invoice) for r in found.collect()][:2] == [("EUR", 0.2), (None, 0.0)]
+    assert found._jdf.queryExecution().analyzed().toJSON().count("expressions.Contains") > len(hints.CURRENCY_SIGNALS)
