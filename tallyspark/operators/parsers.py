@@ -8,12 +8,16 @@ alt_amounts, desc_only, continuation)``; ``line_no`` orders the rows of a page.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
     DATE_TOKEN,
+    MAYBE_MONEY,
+    PLAIN_LINE,
+    WHITE_SPACE,
     date_token,
     is_date,
     is_date_like,
@@ -27,7 +31,9 @@ from ..functions.scalars import (
     money_tokens,
     normalize_date,
     parse_amount,
+    plain_pair,
     strip_html,
+    stripped,
     tentative_type,
     told,
     trimmed,
@@ -49,6 +55,10 @@ COLUMN_ROLES = (
 ROLES = tuple(name for name, _ in COLUMN_ROLES)
 #: A line that can be led by a date: its first token, or one spelt like it, stands at one of the first three places.
 MAYBE_LED = r"(?s)^.{0,2}?(?:" + DATE_TOKEN.replace(r"\b", "") + ")"
+#: A line that can go on under a date: two things like money.
+MAYBE_TWO = rf"(?s)(?:{MAYBE_MONEY}).*(?:{MAYBE_MONEY})"
+#: A page that can have one cell per line: a line that is spelt like a date and nothing else.
+MAYBE_CELLS = rf"(?:\A|\n)[{WHITE_SPACE}]*+(?:{DATE_TOKEN})[{WHITE_SPACE.replace(chr(10), '')}]*+(?:\n|\z)"
 COLUMNS = (
     "doc", "page", "line_no", "date", "date_iso", "description", "reference", "amount", "type", "balance", "alt_amounts",
     "desc_only", "continuation",
@@ -60,8 +70,16 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 
 def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """``withColumn`` for a dear value: as a generated row it is not worked out again where filters and later columns use it."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
+    """``withColumn`` for a dear value: as a generated row it is not worked out again where filters and later columns use it.
+
+    The value is a column first: a lambda inside the generator would have its type worked out for every row.
+    """
+    return rows.withColumn("value", value).select("*", F.explode(F.array("value")).alias(name)).drop("value")
+
+
+def likely(pages: DataFrame, worth: Column) -> DataFrame:
+    """The pages worth a closer look, told behind the exchange that the layouts share: pushed before it, it would be one for each."""
+    return once(pages, "likely", worth).filter("likely").drop("likely")
 
 
 def squeezed(text: Column) -> Column:
@@ -75,21 +93,30 @@ def from_lines(pages: DataFrame) -> DataFrame:
     A line without a date goes on under the last date, if it has an amount, a balance
     and words.
     """
-    lines = page_lines(pages).withColumnRenamed("line", "printed")
-    lines = once(lines, "line", F.regexp_replace(trimmed(F.col("printed")), r"(?U)\s{2,}", " ")).drop("printed").filter(F.length("line") >= 8)
-    lines = once(lines, "token", F.when(F.col("line").rlike(MAYBE_LED), date_token(F.col("line"))))
+    plain = F.col("plain")
+    lines = once(page_lines(pages).withColumnRenamed("line", "printed"), "plain", F.col("printed").rlike(PLAIN_LINE))
+    tidy = F.regexp_replace(stripped(F.col("printed")), r"(?U)\s{2,}", " ")
+    lines = once(lines, "line", F.when(plain, F.col("printed")).otherwise(tidy)).drop("printed").filter(F.length("line") >= 8)
+    start = F.when(F.col("line").startswith("|"), F.lit(3)).otherwise(F.lit(1))
+    token = F.when(plain, F.substring(F.col("line"), start, F.lit(10))).when(F.col("line").rlike(MAYBE_LED), date_token(F.col("line")))
+    lines = once(lines, "token", token)
     at = F.instr("line", F.col("token"))
-    lines = once(lines, "led", F.coalesce((at <= 3) & is_date(F.col("token")), F.lit(False)))
+    led = F.when(plain, True).otherwise(F.coalesce((at <= 3) & is_date(F.col("token")), F.lit(False)))
+    lines = once(lines, "led", led).filter(F.col("led") | F.col("line").rlike(MAYBE_TWO))
+    lines = once(lines.withColumnRenamed("plain", "spelt"), "plain", F.col("spelt") | (F.col("led") & F.col("line").rlike(PLAIN_LINE))).drop("spelt")
     upto = Window.partitionBy("doc", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("date", F.last(F.when(F.col("led"), F.col("token")), ignorenulls=True).over(upto))
-    rest = F.when(F.col("led"), trimmed(F.substring(F.col("line"), at + F.length("token"), F.length("line")))).otherwise(F.col("line"))
-    lines = lines.filter("date IS NOT NULL").withColumn("rest", rest).filter(~is_non_transaction(F.col("rest")))
-    lines = once(lines, "money", money_tokens(F.col("rest"))).withColumn("n", F.size("money"))
+    after = F.substring(F.col("line"), at + F.length("token"), F.length("line"))
+    rest = F.when(plain, F.ltrim(after)).when(F.col("led"), trimmed(after)).otherwise(F.col("line"))
+    lines = once(lines.filter("date IS NOT NULL"), "rest", rest).filter(~is_non_transaction(F.col("rest")))
+    lines = once(lines, "pair", F.when(plain, plain_pair(F.col("rest"))))
+    lines = once(lines, "money", F.when(~plain, money_tokens(F.col("rest")))).withColumn("n", F.when(plain, 2).otherwise(F.size("money")))
     pick = F.when(F.col("n") >= 2, F.element_at("money", -2)).when(F.col("n") == 1, F.element_at("money", 1))
-    lines = lines.withColumn("pick", pick)
+    lines = lines.withColumn("pick", F.when(~plain, pick))
     before = squeezed(F.substring(F.col("rest"), F.lit(1), F.length("rest") - F.col("pick")["rest"]))
     lines = lines.filter(F.when(F.col("led"), (F.col("n") > 0) | (F.length("rest") >= 6)).otherwise(F.col("n") >= 2))
-    lines = once(lines, "said", F.when(F.col("n") == 0, squeezed(F.col("rest"))).otherwise(before))
+    said = F.when(plain, F.col("pair.said")).when(F.col("n") == 0, squeezed(F.col("rest"))).otherwise(before)
+    lines = once(lines, "said", said)
     worded = (F.col("said") != "") & ~F.col("said").rlike(r"^[\d\s$.,-]*$")
     lines = lines.filter(F.col("led") | worded)
     some = F.col("n") > 0
@@ -101,9 +128,9 @@ def from_lines(pages: DataFrame) -> DataFrame:
         normalize_date(F.col("date"), F.col("year_hint"), F.col("date_order")).alias("date_iso"),
         F.nullif("said", F.lit("")).alias("description"),
         F.lit(None).cast("string").alias("reference"),
-        F.abs(F.col("pick")["value"]).alias("amount"),
+        F.abs(F.when(plain, F.col("pair.first")).otherwise(F.col("pick")["value"])).alias("amount"),
         F.when(some, tentative_type(F.col("said"))).alias("type"),
-        F.when(F.col("n") >= 2, F.element_at("money", -1)["value"]).alias("balance"),
+        F.when(plain, F.col("pair.last")).when(F.col("n") >= 2, F.element_at("money", -1)["value"]).alias("balance"),
         F.when(F.col("led") & (F.col("n") > 2), F.transform("money", lambda m: m["value"])).alias("alt_amounts"),
         (~some).alias("desc_only"),
         (~F.col("led")).alias("continuation"),
@@ -112,7 +139,8 @@ def from_lines(pages: DataFrame) -> DataFrame:
 
 def from_cells_per_line(pages: DataFrame) -> DataFrame:
     """One cell per line: a date opens a record of up to four lines of text and two of money, signed as printed."""
-    lines = page_lines(pages).withColumn("line", trimmed(F.col("line"))).filter("line <> ''")
+    lines = page_lines(likely(pages, F.col("text").rlike(MAYBE_CELLS)))
+    lines = once(lines.withColumnRenamed("line", "printed"), "line", stripped(F.col("printed"))).drop("printed").filter("line <> ''")
     spelt = F.col("line").rlike(f"^(?:{DATE_TOKEN})$") & is_date(F.col("line"), F.col("date_order"))
     dated = F.coalesce((F.length("line") <= 14) & spelt, F.lit(False))
     lines = once(lines, "dated", dated).withColumn("money", is_pure_money(F.col("line")))
@@ -154,17 +182,21 @@ def from_cells_per_line(pages: DataFrame) -> DataFrame:
 
 def pipe_tables(pages: DataFrame) -> DataFrame:
     """``(doc, page, table_no, row_no, cells)`` of tables drawn with bars; lines of dashes are left out, and tables of one row."""
-    lines = page_lines(pages).withColumn("line", trimmed(F.col("line")))
-    piped = lines.filter(F.col("line").startswith("|") & F.col("line").rlike(r"^\|.*\|$") & (F.length("line") > 2))
+    lines = page_lines(likely(pages, F.col("text").contains("|"))).withColumnRenamed("line", "printed")
+    lines = once(lines, "line", stripped(F.col("printed"))).drop("printed")
+    broken = reduce(or_, [F.col("line").contains(c) for c in "\n\r\x85\u2028\u2029"])
+    piped = lines.filter(F.col("line").startswith("|") & F.col("line").endswith("|") & (F.length("line") > 2) & ~broken)
     upto = Window.partitionBy("doc", "page").orderBy("line_no")
     lines = piped.withColumn("table_no", (F.col("line_no") + 1 - F.row_number().over(upto)).cast("bigint"))  # lines without bars up to here
-    rows = lines.withColumn("cells", markdown_cells(F.col("line"))).filter(~is_separator(F.col("cells")))
+    maybe_drawn = F.col("line").rlike(r"(?U)^[-:|\s]*\z") | F.col("line").contains("<")
+    rows = lines.withColumn("cells", markdown_cells(F.col("line"))).filter(~(maybe_drawn & is_separator(F.col("cells"))))
     return _numbered(rows.select("doc", "page", "year_hint", "date_order", "table_no", "line_no", "cells"))
 
 
 def html_tables(pages: DataFrame) -> DataFrame:
     """``(doc, page, table_no, row_no, cells)`` of HTML tables of two rows or more."""
     every = lambda text, tag: F.regexp_extract_all(text, F.lit(rf"(?is)(<{tag}.*?</{tag}>)"), F.lit(1))
+    pages = likely(pages, F.col("text").contains("<") & F.col("text").rlike("(?i)</table>"))
     tables = pages.select("doc", "page", "year_hint", "date_order", F.posexplode(every(F.col("text"), "table")).alias("table_no", "table"))
     rows = tables.select("doc", "page", "year_hint", "date_order", "table_no", F.posexplode(every(F.col("table"), "tr")).alias("line_no", "row"))
     cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), strip_html)
@@ -211,7 +243,7 @@ def from_tables(pages: DataFrame) -> DataFrame:
         return F.coalesce(F.get("cells", F.get("roles", F.lit(ROLES.index(name)))), F.lit(""))
 
     rows = rows.withColumns({name: cell(name) for name in ROLES})
-    date, said = trimmed(F.col("date")), trimmed(F.col("description"))
+    date, said = stripped(F.col("date")), stripped(F.col("description"))
     rows = rows.filter(~is_non_transaction(said) & ~is_non_transaction(date) & is_date_like(date))
     rows = once(rows, "token", F.when(is_plain_day(date), date).otherwise(F.coalesce(date_token(date), date)))
     credit, debit, generic = (parse_amount(F.col(c)) for c in ("credit", "debit", "amount"))
