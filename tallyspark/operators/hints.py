@@ -278,8 +278,8 @@ def with_hints(pages: DataFrame) -> DataFrame:
     return pages.join(document_hints(pages).select("doc", "year_hint", "date_order"), "doc")
 
 
-def document_metadata(hints: DataFrame) -> DataFrame:
-    """Class, names, account, period, currency, balances and totals that a document prints."""
+def document_metadata(hints: DataFrame, *more: str) -> DataFrame:
+    """Class, names, account, period, currency, balances and totals that a document prints, and ``more`` of the hints' columns."""
     text = F.col("text")
     number_like = lambda v: v.rlike(NUMBER_LIKE) & (F.length(F.regexp_replace(v, r"\D", "")) >= 4)
     number = labelled_value(text, ACCOUNT_NUMBER_LABEL, number_like)
@@ -296,4 +296,5 @@ def document_metadata(hints: DataFrame) -> DataFrame:
         labelled_amount(text, OPENING_LABEL).alias("opening"),
         labelled_amount(text, CLOSING_LABEL).alias("closing"),
         stated_totals(text).alias("stated"),
+        *more,
     )

@@ -42,8 +42,10 @@ def analyze(pages: DataFrame) -> Analysis:
     a readable page are left out; one without transactions has a summary of zeros.
     """
     pages = staged(readable(pages), "pages")
-    metadata = staged(hints.document_metadata(hints.document_hints(pages)), "metadata")
-    parsed = parsers.parse_documents(hints.with_hints(pages))
+    hinted = staged(hints.document_metadata(hints.document_hints(pages), "year_hint", "date_order"), "metadata")
+    metadata = hinted.drop("year_hint", "date_order")
+    # read by the repair and by the join with what it hands on
+    parsed = staged(parsers.parse_documents(pages.join(hinted.select("doc", "year_hint", "date_order"), "doc")), "parsed")
     signed = chain.resolve_signs(parsed)
     fixed = repair.repair(signed)
     kept = parsed.select("doc", "seq", "page", "date", "date_iso", "description", "reference")

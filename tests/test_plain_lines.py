@@ -1,9 +1,9 @@
-"""Lines in the plain spelling are read without lambdas, to the same rows."""
+"""Lines in the plain spelling are read without lambdas, to the same rows; a document's pages are parsed once."""
 
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import markdown_cells, stripped, trimmed
-from tallyspark.operators import parsers
+from tallyspark.operators import jobs, parsers
 
 PAGE = "doc bigint, page int, text string, year_hint int, date_order string"
 
@@ -30,3 +30,12 @@ def test_cells_and_ends_with_any_white_space(spark):
     lines = ["| a | | b |", "|  a |\t|b|", "|a<br/> |  | b |", "||||", " x ", ""]
     got = spark.createDataFrame([(x,) for x in lines], "x string").select(markdown_cells(F.col("x")), stripped(F.col("x")) == trimmed(F.col("x"))).collect()
     assert [r[0] for r in got] == [["a", "", "b"]] * 3 + [["", "", ""], ["x"], [""]] and all(r[1] for r in got)
+
+
+def test_pages_are_parsed_once(spark, monkeypatch):
+    names, kept = [], jobs.staged
+    monkeypatch.setattr(jobs, "staged", lambda rows, name: names.append(name) or kept(rows, name))
+    pages = spark.createDataFrame([(1, 1, "1995-02-03 Order 5 4.50 4.50\n1995-02-04 Order 6 5.00 9.50")], "doc bigint, page int, text string")
+    done = jobs.analyze(pages)
+    assert names.count("parsed") == 1 and "year_hint" not in done.metadata.columns
+    assert [(r.seq, r.date_iso) for r in done.rows.orderBy("seq").collect()] == [(1, "1995-02-03"), (2, "1995-02-04")]
