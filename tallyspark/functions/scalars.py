@@ -82,8 +82,8 @@ PLAIN_AMOUNT = r"^ ?-?[$€£₹৳¥]? ?(?:[0-9]{1,3}(?:,[0-9]{3})*|[0-9]+)(?:\
 PLAIN_PAIR = r"^(?:[A-Za-z0-9 |]* )?-?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2} (?:\| )*-?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2}(?: \|)*\z"
 PLAIN_ISO = r"^(?:19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\z"
 PLAIN_NUMBERS = r"^(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20|21)[0-9]{2}\z"
-#: A day in one of these two spellings, words and such a pair, single spaces between them: a line of a statement, or a table's row between bars.
-PLAIN_LINE = rf"^(?:\| )?(?:{PLAIN_ISO[1:-2]}|{PLAIN_NUMBERS[1:-2]})(?: (?:[A-Za-z0-9]++|\|))+{PLAIN_PAIR[PLAIN_PAIR.index(')?') + 2 :].replace('-?', ' -?', 1)}"
+#: Stands before each part of a line that :func:`mark_plain_lines` has taken apart.
+MARK = "\x01"
 
 
 def let(value: Column, use) -> Column:
@@ -171,8 +171,12 @@ def markdown_cells(line: Column) -> Column:
     """The cells of a pipe-table line."""
     inner = F.regexp_replace(F.regexp_replace(line, r"^\s*\|", ""), r"\|\s*$", "")
     unbroken = lambda c: F.when(c.contains("<"), F.regexp_replace(c, r"(?i)<br\s*/?\s*>", " ")).otherwise(c)
-    plain = ~line.contains("<") & ~line.contains("  ") & line.rlike(r"^[ -~]*+\z")
-    return F.when(plain, F.split(F.trim(inner), r" ?\| ?")).otherwise(F.transform(F.split(inner, r"\|"), lambda c: trimmed(unbroken(c))))
+    # between bars at both ends, without two spaces in a row: no more than one is next to a bar
+    plain = line.startswith("|") & line.endswith("|") & (F.length(line) > 1) & ~line.contains("<") & ~line.contains("  ") & line.rlike(r"^[ -~]*+\z")
+    tight = F.trim(F.substring(line, F.lit(2), F.length(line) - 2))
+    for loose in (" |", "| "):
+        tight = F.replace(tight, F.lit(loose), F.lit("|"))
+    return F.when(plain, F.split(tight, r"\|")).otherwise(F.transform(F.split(inner, r"\|"), lambda c: trimmed(unbroken(c))))
 
 
 def is_separator(cells: Column) -> Column:
@@ -323,15 +327,25 @@ def _last_two(text: str) -> str:
     return let_sql(f"rtrim(' |', {text})", "upto", let_sql("substring_index(upto, ' ', -1)", "last", words))
 
 
-def plain_pair(text: Column) -> Column:
-    """struct(said, first, last) of a text that is spelt as PLAIN_PAIR has it: the words and the two amounts, without a lambda."""
-    cut = lambda whole, end: F.rtrim(F.substring(whole, F.lit(1), F.length(whole) - F.length(end)), F.lit(" |"))
-    word = lambda whole: F.substring_index(whole, " ", -1)
-    upto = F.rtrim(text, F.lit(" |"))
-    before = cut(upto, word(upto))
-    value = lambda amount: F.translate(amount, ",", "").try_cast("double")
-    said = F.trim(F.substring(before, F.lit(1), F.length(before) - F.length(word(before))))
-    return F.struct(said.alias("said"), value(word(before)).alias("first"), value(word(upto)).alias("last"))
+def _words_sought() -> str:
+    """Any of the words without which a line is neither left out nor typed, by first letter, so that most places meet one class."""
+    words = sorted({*NON_TRANSACTION_MARKS, *CREDIT_MARKS, *DEBIT_MARKS})
+    rest = {c: "|".join(w[1:] for w in words if w[0] == c) for c in sorted({w[0] for w in words})}
+    return f"(?=[{''.join(rest)}])(?:" + "|".join(f"{c}(?:{r})" for c, r in rest.items()) + ")"
+
+
+#: A day in one of these two spellings, words and such a pair, single spaces between them: a line of a statement, or a table's row between bars,
+#: anywhere in a text. Its parts are the day, a word of the kinds sought if it has one, its words and its two amounts.
+PLAIN_FIGURE = r"(-?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2})"
+PLAIN_PARTS = (
+    rf"(?dm)^(?:\| )?({PLAIN_ISO[1:-2]}|{PLAIN_NUMBERS[1:-2]})(?>(?=[^\n.]*?((?i){_words_sought()}))|)"
+    rf"((?: (?:[A-Za-z0-9]++(?![.,])|\|))++) {PLAIN_FIGURE} (?:\| )*{PLAIN_FIGURE}(?: \|)*(?=\r?\n|\z)"
+)
+
+
+def mark_plain_lines(text: Column) -> Column:
+    """The text with each plain line taken apart, all in one search: day, words, two amounts and a word sought (empty without one), a MARK before each."""
+    return F.regexp_replace(text, PLAIN_PARTS, "".join(f"{MARK}${k}" for k in (1, 3, 4, 5, 2)))
 
 
 def money_tokens(text: Column) -> Column:
@@ -398,10 +412,15 @@ def normalize_date(raw: Column, year_hint: Column | None = None, order: Column |
     two = lambda n: f"lpad(CAST({n} AS STRING), 2, '0')"
     shown = f"CASE WHEN p IS NOT NULL AND {year} IS NOT NULL THEN concat_ws('-', CAST({year} AS STRING), {two('p.month')}, {two('p.day')}) END"
     other = told(_dated(raw, order, year_hint), let_sql(date_parts_sql("x.raw", "x.ord"), "p", shown))
+    return F.when(is_plain_day(raw), plain_day(raw, order)).otherwise(other)
+
+
+def plain_day(raw: Column, order: Column | str = "DMY") -> Column:
+    """:func:`normalize_date` of a day that :func:`is_plain_day` accepts."""
     part = lambda start, n: F.substring(raw, start, n)
     month_first = ((F.lit(order) if isinstance(order, str) else order) == "MDY") | (part(4, 2) > "12")
     month, day = (F.when(month_first, part(a, 2)).otherwise(part(b, 2)) for a, b in ((1, 4), (4, 1)))
-    return F.when(raw.rlike(PLAIN_ISO), raw).when(raw.rlike(PLAIN_NUMBERS), F.concat_ws("-", part(7, 4), month, day)).otherwise(other)
+    return F.when(part(5, 1) == "-", raw).otherwise(F.concat_ws("-", part(7, 4), month, day))
 
 
 def date_token(text: Column) -> Column:

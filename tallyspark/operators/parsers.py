@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import (
     DATE_TOKEN,
+    MARK,
     MAYBE_MONEY,
-    PLAIN_LINE,
     WHITE_SPACE,
     date_token,
     is_date,
@@ -27,11 +27,12 @@ from ..functions.scalars import (
     is_separator,
     let_sql,
     literal,
+    mark_plain_lines,
     markdown_cells,
     money_tokens,
     normalize_date,
     parse_amount,
-    plain_pair,
+    plain_day,
     strip_html,
     stripped,
     tentative_type,
@@ -57,16 +58,16 @@ ROLES = tuple(name for name, _ in COLUMN_ROLES)
 MAYBE_LED = r"(?s)^.{0,2}?(?:" + DATE_TOKEN.replace(r"\b", "") + ")"
 #: A line that can go on under a date: two things like money.
 MAYBE_TWO = rf"(?s)(?:{MAYBE_MONEY}).*(?:{MAYBE_MONEY})"
-#: A page that can have one cell per line: a line that is spelt like a date and nothing else.
-MAYBE_CELLS = rf"(?:\A|\n)[{WHITE_SPACE}]*+(?:{DATE_TOKEN})[{WHITE_SPACE.replace(chr(10), '')}]*+(?:\n|\z)"
+#: A page that can have one cell per line: a line that is spelt like a date and nothing else, of no more than 14 characters.
+MAYBE_CELLS = rf"(?:\A|\n)[{WHITE_SPACE}]*+(?=[^\n]{{0,14}}+(?:[{WHITE_SPACE}]|\z))(?:{DATE_TOKEN})[{WHITE_SPACE.replace(chr(10), '')}]*+(?:\n|\z)"
 COLUMNS = (
     "doc", "page", "line_no", "date", "date_iso", "description", "reference", "amount", "type", "balance", "alt_amounts",
     "desc_only", "continuation",
 )
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    return pages.select("doc", "page", "year_hint", "date_order", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
+def page_lines(pages: DataFrame, *more: str) -> DataFrame:
+    return pages.select("doc", "page", "year_hint", "date_order", *more, F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
 
 
 def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -91,46 +92,56 @@ def from_lines(pages: DataFrame) -> DataFrame:
 
     A date-led line without money is a candidate whose amount the repair may find.
     A line without a date goes on under the last date, if it has an amount, a balance
-    and words.
+    and words. Plain lines are found and taken apart in one search of the page; the
+    others are looked at one by one.
     """
-    plain = F.col("plain")
-    lines = once(page_lines(pages).withColumnRenamed("line", "printed"), "plain", F.col("printed").rlike(PLAIN_LINE))
+    fresh = ~F.col("text").contains(MARK)
+    texts = pages.withColumns({"fresh": fresh, "text": F.when(fresh, mark_plain_lines(F.col("text"))).otherwise(F.col("text"))})
+    # a date or money has a digit
+    lines = page_lines(texts, "fresh").withColumnRenamed("line", "printed").filter(F.col("printed").rlike("[0-9]"))
+    taken = lambda line: F.col("fresh") & F.col(line).startswith(MARK)
     tidy = F.regexp_replace(stripped(F.col("printed")), r"(?U)\s{2,}", " ")
-    lines = once(lines, "line", F.when(plain, F.col("printed")).otherwise(tidy)).drop("printed").filter(F.length("line") >= 8)
-    start = F.when(F.col("line").startswith("|"), F.lit(3)).otherwise(F.lit(1))
-    token = F.when(plain, F.substring(F.col("line"), start, F.lit(10))).when(F.col("line").rlike(MAYBE_LED), date_token(F.col("line")))
+    line = F.when(taken("printed"), F.col("printed")).when(F.col("fresh"), mark_plain_lines(tidy)).otherwise(tidy)
+    lines = once(lines, "line", line).drop("printed").filter(F.length("line") >= 8)
+    lines = lines.withColumn("plain", taken("line")).drop("fresh")
+    plain = F.col("plain")
+    token = F.when(plain, F.substring(F.col("line"), 2, 10)).when(F.col("line").rlike(MAYBE_LED), date_token(F.col("line")))
     lines = once(lines, "token", token)
     at = F.instr("line", F.col("token"))
     led = F.when(plain, True).otherwise(F.coalesce((at <= 3) & is_date(F.col("token")), F.lit(False)))
     lines = once(lines, "led", led).filter(F.col("led") | F.col("line").rlike(MAYBE_TWO))
-    lines = once(lines.withColumnRenamed("plain", "spelt"), "plain", F.col("spelt") | (F.col("led") & F.col("line").rlike(PLAIN_LINE))).drop("spelt")
     upto = Window.partitionBy("doc", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("date", F.last(F.when(F.col("led"), F.col("token")), ignorenulls=True).over(upto))
+    lines = lines.withColumn("date", F.last(F.when(F.col("led"), F.col("token")), ignorenulls=True).over(upto)).filter("date IS NOT NULL")
+    lines = once(lines, "parts", F.when(plain, F.split("line", MARK)))
+    words, first, last, sought = (F.get("parts", F.lit(k)) for k in range(2, 6))
     after = F.substring(F.col("line"), at + F.length("token"), F.length("line"))
-    rest = F.when(plain, F.ltrim(after)).when(F.col("led"), trimmed(after)).otherwise(F.col("line"))
-    lines = once(lines.filter("date IS NOT NULL"), "rest", rest).filter(~is_non_transaction(F.col("rest")))
-    lines = once(lines, "pair", F.when(plain, plain_pair(F.col("rest"))))
+    # of a plain line without any of the words sought there is nothing more to look for
+    rest = F.when(plain, F.when(sought != "", F.concat(F.ltrim(words), F.lit(" "), first))).when(F.col("led"), trimmed(after)).otherwise(F.col("line"))
+    lines = once(lines, "rest", rest).filter(F.col("rest").isNull() | ~is_non_transaction(F.col("rest")))
     lines = once(lines, "money", F.when(~plain, money_tokens(F.col("rest")))).withColumn("n", F.when(plain, 2).otherwise(F.size("money")))
     pick = F.when(F.col("n") >= 2, F.element_at("money", -2)).when(F.col("n") == 1, F.element_at("money", 1))
     lines = lines.withColumn("pick", F.when(~plain, pick))
     before = squeezed(F.substring(F.col("rest"), F.lit(1), F.length("rest") - F.col("pick")["rest"]))
     lines = lines.filter(F.when(F.col("led"), (F.col("n") > 0) | (F.length("rest") >= 6)).otherwise(F.col("n") >= 2))
-    said = F.when(plain, F.col("pair.said")).when(F.col("n") == 0, squeezed(F.col("rest"))).otherwise(before)
+    said = F.when(plain, F.ltrim(words)).when(F.col("n") == 0, squeezed(F.col("rest"))).otherwise(before)
     lines = once(lines, "said", said)
     worded = (F.col("said") != "") & ~F.col("said").rlike(r"^[\d\s$.,-]*$")
     lines = lines.filter(F.col("led") | worded)
     some = F.col("n") > 0
+    figure = lambda amount: F.translate(amount, ",", "").try_cast("double")
     return lines.select(
         "doc",
         "page",
         "line_no",
         "date",
-        normalize_date(F.col("date"), F.col("year_hint"), F.col("date_order")).alias("date_iso"),
+        F.when(plain, plain_day(F.col("date"), F.col("date_order")))
+        .otherwise(normalize_date(F.col("date"), F.col("year_hint"), F.col("date_order")))
+        .alias("date_iso"),
         F.nullif("said", F.lit("")).alias("description"),
         F.lit(None).cast("string").alias("reference"),
-        F.abs(F.when(plain, F.col("pair.first")).otherwise(F.col("pick")["value"])).alias("amount"),
-        F.when(some, tentative_type(F.col("said"))).alias("type"),
-        F.when(plain, F.col("pair.last")).when(F.col("n") >= 2, F.element_at("money", -1)["value"]).alias("balance"),
+        F.abs(F.when(plain, figure(first)).otherwise(F.col("pick")["value"])).alias("amount"),
+        F.when(some & F.col("rest").isNotNull(), tentative_type(F.col("said"))).alias("type"),
+        F.when(plain, figure(last)).when(F.col("n") >= 2, F.element_at("money", -1)["value"]).alias("balance"),
         F.when(F.col("led") & (F.col("n") > 2), F.transform("money", lambda m: m["value"])).alias("alt_amounts"),
         (~some).alias("desc_only"),
         (~F.col("led")).alias("continuation"),
@@ -243,7 +254,8 @@ def from_tables(pages: DataFrame) -> DataFrame:
         return F.coalesce(F.get("cells", F.get("roles", F.lit(ROLES.index(name)))), F.lit(""))
 
     rows = rows.withColumns({name: cell(name) for name in ROLES})
-    date, said = stripped(F.col("date")), stripped(F.col("description"))
+    rows = once(rows, "texts", F.struct(stripped(F.col("date")).alias("date"), stripped(F.col("description")).alias("said")))
+    date, said = F.col("texts.date"), F.col("texts.said")
     rows = rows.filter(~is_non_transaction(said) & ~is_non_transaction(date) & is_date_like(date))
     rows = once(rows, "token", F.when(is_plain_day(date), date).otherwise(F.coalesce(date_token(date), date)))
     credit, debit, generic = (parse_amount(F.col(c)) for c in ("credit", "debit", "amount"))
@@ -282,12 +294,18 @@ def best_layout(pages: DataFrame) -> DataFrame:
     """
     pages = spread(pages.select("doc", "page", "text", "year_hint", "date_order"), "doc", "page")
     modes = {"tables": from_tables, "lines": from_lines, "cells": from_cells_per_line}
-    each = [f(pages).withColumns({"mode": F.lit(name), "place": F.lit(k)}) for k, (name, f) in enumerate(modes.items())]
+    each = [f(pages).withColumn("mode", F.lit(name)) for name, f in modes.items()]
     rows = reduce(DataFrame.unionByName, each)
-    n = F.count_if(~F.col("desc_only")).over(Window.partitionBy("doc", "page", "mode"))
-    rows = rows.withColumn("rank", F.struct(n.alias("n"), (-F.col("place")).alias("place")))
-    best = F.max("rank").over(Window.partitionBy("doc", "page"))
-    return rows.withColumn("best", best).filter("rank = best").drop("place", "rank", "best")
+    page = Window.partitionBy("doc", "page")
+    read = {name: F.count_if((F.col("mode") == name) & ~F.col("desc_only")).over(page) for name in modes}
+    tables, lines, cells = (F.col("read")[name] for name in modes)
+    # lines alone can have rows of which none counts
+    best = (
+        F.when(F.col("mode") == "tables", (tables >= lines) & (tables >= cells))
+        .when(F.col("mode") == "lines", ((lines > tables) | (tables == 0)) & (lines >= cells))
+        .otherwise((cells > tables) & (cells > lines))
+    )
+    return rows.withColumn("read", F.struct(*[n.alias(name) for name, n in read.items()])).filter(best).drop("read")
 
 
 def parse_documents(pages: DataFrame) -> DataFrame:

@@ -262,7 +262,7 @@ def layouts_of_ledgers(spark, sf_dir):
     table_row = F.concat(F.lit("| "), F.col("day"), F.lit(" | "), said, F.lit(" | "), size, F.lit(" | "), balance, F.lit(" |"))
     as_table = (F.col("doc") % 2 == 0) | (F.col("seq") % 3 == 0)
     line = F.when(as_table, table_row).otherwise(F.concat_ws(" ", "day", said, size, balance))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda r: r["line"])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))), lambda r: r["line"])
     pages = rows.groupBy("doc", "page").agg(F.array_join(lines, "\n").alias("body"))
     text = F.concat(F.lit("| Date | Details | Amount | Balance |\n|---|---|---|---|\n"), F.col("body"))
     pages = pages.select("doc", "page", text.alias("text"), F.lit(None).cast("int").alias("year_hint"), F.lit("DMY").alias("date_order"))

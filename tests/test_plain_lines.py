@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions import scalars
 from tallyspark.functions.scalars import markdown_cells, stripped, trimmed
 from tallyspark.operators import jobs, parsers
 
@@ -39,3 +40,26 @@ def test_pages_are_parsed_once(spark, monkeypatch):
     done = jobs.analyze(pages)
     assert names.count("parsed") == 1 and "year_hint" not in done.metadata.columns
     assert [(r.seq, r.date_iso) for r in done.rows.orderBy("seq").collect()] == [(1, "1995-02-03"), (2, "1995-02-04")]
+
+
+def test_plain_lines_are_taken_apart_in_one_search_of_the_page(spark):
+    """Ends of lines, words that count and a page that holds the mark itself make no difference to the rows."""
+    lines = ["| 1995-02-03 | Order 5 | 1,234.50 | | 95.00 |", "02/13/1995 Salary 7 -5.00 90.00", "1995-02-04 Page 5.00 6.00", "1995-02-05 a 1,5.00 6.00", "1995-02-06 " + "w " * 20_000 + "5.00 6.00"]
+    shown = spark.createDataFrame([("\r\n".join(lines[:4]),)], "x string").select(scalars.mark_plain_lines(F.col("x"))).first()[0].split("\r\n")
+    assert [x.split("\x01")[1:] for x in shown[:3]] == [["1995-02-03", " | Order 5 |", "1,234.50", "95.00", ""], ["02/13/1995", " Salary 7", "-5.00", "90.00", "Salary"], ["1995-02-04", " Page", "5.00", "6.00", "Page"]]
+    assert shown[3] == lines[3]
+    pages = spark.createDataFrame([(1, 1, "\n".join(lines[:4]), None, "DMY"), (2, 1, "\n".join([*lines[:4], "\x01"]), None, "DMY"), (3, 1, "\r\n".join(lines[4:]), None, "DMY")], PAGE)
+    rows = parsers.from_lines(pages).orderBy("doc", "line_no").collect()
+    own = [[tuple(r)[2:] for r in rows if r.doc == d] for d in (1, 2, 3)]
+    assert own[0] == own[1] and [r[2] for r in own[0]] == ["1995-02-03", "1995-02-13", "1995-02-05"] and own[0][1][6] == "credit"
+    assert len(own[2]) == 1 and own[2][0][5:8] == (5.0, None, 6.0)
+
+
+def test_layouts_are_chosen_in_one_window(spark):
+    """A page with words only under its dates is one of lines; ties go to tables, then lines."""
+    head = "| Date | Details | Amount | Balance |\n|---|---|---|---|\n| 1995-02-03 | a | 5.00 | 6.00 |"
+    texts = ["1995-02-03 words alone", head, head + "\n1995-02-03 b 5.00 6.00", "1995-02-03\nc\n5.00\n6.00", "1995-02-03\nc\n5.00\n6.00\n1995-02-03 d 5.00 6.00"]
+    best = parsers.best_layout(spark.createDataFrame([(1, k, x, None, "DMY") for k, x in enumerate(texts)], PAGE))
+    assert sorted({(r.page, r.mode) for r in best.collect()}) == [(0, "lines"), (1, "tables"), (2, "lines"), (3, "cells"), (4, "lines")]
+    above = best._jdf.queryExecution().optimizedPlan().toString().split("Union")[0].splitlines()
+    assert len([line for line in above if "+- Window" in line]) == 1
