@@ -93,8 +93,10 @@ PERIOD = (
     r"(?i)(?:statement\s+period|period|statement\s+for|for\s+the\s+period)\s*[:\-]?\s*"
     rf"({DATE_TOKEN})\s*(?:to|through|till|until|[-–—])\s*({DATE_TOKEN})"
 )
-DATE_PAIR = r"\b(\d{1,2})[/.-](\d{1,2})(?:[/.-]\d{2,4})?\b"
-YEAR = r"\b((?:19|20)\d{2})\b"
+#: Two numbers of one or two digits, a third one behind them or not, within ASCII word bounds.
+DATE_PAIR = r"\d(?<![A-Za-z0-9_]\d)\d?SEPARATOR\d{1,2}(?:[/.-]\d{2,4})?(?![A-Za-z0-9_])"
+#: 19 or 20 and two digits within ASCII word bounds; its first digit is looked for before the bound.
+YEAR = r"([12](?<![A-Za-z0-9_][12])(?:(?<=1)9|(?<=2)0)\d{2})(?![A-Za-z0-9_])"
 OPENED_AS_OF = rf"(?i)(?:beginning|opening)\s+balance\s+as\s+of\s+({DATE_TOKEN})"
 CLOSED_AS_OF = rf"(?i)(?:ending|closing)\s+balance\s+as\s+of\s+({DATE_TOKEN})"
 NO_COMPANY = r"(?i)statement|page\s+\d"
@@ -122,18 +124,22 @@ def needed(pattern: str) -> tuple[str, ...]:
 
 def date_order(text: Column) -> Column:
     """MDY if more number pairs can only be month first than only day first; else DMY."""
-    each = lambda k: f"transform(regexp_extract_all(x, {literal(ascii_bounds(DATE_PAIR))}, {k}), v -> CAST(v AS INT))"
-    both = f"arrays_zip({each(1)}, {each(2)})"
-    many = lambda a, b: f"size(filter(pairs, p -> p.`{a}` > 12 AND p.`{b}` <= 12))"
-    return told(text, let_sql(both, "pairs", f"if({many(1, 0)} > {many(0, 1)}, 'MDY', 'DMY')"))
+    late = r"(?:1[3-9]|[2-9]\d)"
+
+    def many(before: str, after: str) -> Column:
+        """How many pairs are so; a place without a digit is passed at once, and their order is told at the separator."""
+        pair = DATE_PAIR.replace("SEPARATOR", f"(?:{before}([/.-]){after}|[/.-])")
+        return F.size(F.array_remove(F.regexp_extract_all(text, F.lit(pair), F.lit(1)), F.lit("")))
+
+    return F.when(many(f"(?<!{late})", f"(?={late})") > many(f"(?<={late})", f"(?!{late})"), "MDY").otherwise("DMY")
 
 
 def year_hint(text: Column) -> Column:
     """The commonest year from 1900 to 2099, the first seen on a tie; null if none is written."""
-    years = f"transform(regexp_extract_all(x, {literal(ascii_bounds(YEAR))}, 1), y -> CAST(y AS INT))"
-    counts = "transform(apart, y -> size(filter(years, z -> z = y)))"
-    first = "try_element_at(apart, CAST(array_position(counts, array_max(counts)) AS INT))"
-    return told(text, let_sql(years, "years", let_sql("array_distinct(years)", "apart", let_sql(counts, "counts", first))))
+    years = f"regexp_extract_all(x, {literal(YEAR)}, 1)"
+    left = "transform(apart, y -> size(array_remove(years, y)))"
+    first = "CAST(try_element_at(apart, CAST(array_position(left, array_min(left)) AS INT)) AS INT)"
+    return told(text, let_sql(years, "years", let_sql("array_distinct(years)", "apart", let_sql(left, "left", first))))
 
 
 def currency(text: Column) -> Column:
@@ -255,16 +261,21 @@ def statement_period(text: Column, hint: Column, order: Column) -> Column:
     return let(first_match(text, PERIOD), printed)
 
 
-def document_texts(pages: DataFrame) -> DataFrame:
-    """``pages(doc, page, text)`` -> ``(doc, text, first_page)``, one row per document.
+def gathered(pages: DataFrame, *columns: str) -> DataFrame:
+    """``(doc, kept, text, first_page)``, one row per document; ``kept`` has the pages' columns.
 
     Documents are dealt out by an explicit exchange, which adaptive execution does not
     shrink to a few tasks because the text is small: what is read off it is dear.
     """
-    pieces = F.array_sort(F.collect_list(F.struct("page", "text")))
-    docs = spread(pages.select("doc", "page", "text"), "doc").groupBy("doc").agg(pieces.alias("pieces"))
+    docs = spread(pages.select("doc", *columns), "doc").groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("kept"))
+    docs = docs.withColumn("pieces", F.sort_array(F.transform("kept", lambda p: F.struct(p["page"].alias("page"), p["text"].alias("text")))))
     text = F.array_join(F.transform("pieces", lambda p: F.coalesce(p["text"], F.lit(""))), "\n\n")
-    return docs.select("doc", text.alias("text"), F.coalesce(F.col("pieces")[0]["text"], F.lit("")).alias("first_page"))
+    return docs.select("doc", "kept", text.alias("text"), F.coalesce(F.col("pieces")[0]["text"], F.lit("")).alias("first_page"))
+
+
+def document_texts(pages: DataFrame) -> DataFrame:
+    """``pages(doc, page, text)`` -> ``(doc, text, first_page)``, one row per document."""
+    return gathered(pages, "page", "text").drop("kept")
 
 
 def document_hints(pages: DataFrame) -> DataFrame:
@@ -274,8 +285,14 @@ def document_hints(pages: DataFrame) -> DataFrame:
 
 
 def with_hints(pages: DataFrame) -> DataFrame:
-    """``pages`` with their document's year hint and date order, as the parsers take them."""
-    return pages.join(document_hints(pages).select("doc", "year_hint", "date_order"), "doc")
+    """``pages`` with their document's year hint and date order, as the parsers take them; pages of no document are left out.
+
+    A document's pages are gathered for its text anyhow and handed on from there, so that what gives the pages runs once.
+    """
+    others = [c for c in pages.columns if c != "doc"]
+    docs = gathered(pages.filter("doc IS NOT NULL"), *others)
+    hinted = docs.select("doc", "kept", year_hint(F.col("text")).alias("year_hint"), date_order(F.col("text")).alias("date_order"))
+    return hinted.select("doc", "year_hint", "date_order", F.explode("kept").alias("p")).select("doc", *[F.col("p")[c].alias(c) for c in others], "year_hint", "date_order")
 
 
 def document_metadata(hints: DataFrame, *more: str) -> DataFrame:

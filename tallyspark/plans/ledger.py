@@ -77,7 +77,7 @@ def statement_lines(rows: DataFrame) -> DataFrame:
 
 def statement_pages(rows: DataFrame) -> DataFrame:
     """``(doc, page, text)``: the lines of a page under its heading, and stated totals on every page's foot."""
-    lines = statement_lines(rows).groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("lines"))
+    lines = statement_lines(rows).groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("lines"))
     head = F.concat(F.lit("ACME BANK PLC\nACCOUNT STATEMENT\nAccount Name: Customer "), F.col("doc").cast("string"), F.lit("\nAccount No: 00"), F.lpad(F.col("doc").cast("string"), 8, "0"))
     body = F.array_join(F.transform("lines", lambda x: x["text"]), "\n")
     return lines.select("doc", "page", F.concat_ws("\n", head, F.lit("Date Particulars Amount Balance USD"), body).alias("text"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars
 from tallyspark.functions.scalars import markdown_cells, stripped, trimmed
-from tallyspark.operators import jobs, parsers
+from tallyspark.operators import hints, jobs, parsers
 
 PAGE = "doc bigint, page int, text string, year_hint int, date_order string"
 
@@ -63,3 +63,12 @@ def test_layouts_are_chosen_in_one_window(spark):
     assert sorted({(r.page, r.mode) for r in best.collect()}) == [(0, "lines"), (1, "tables"), (2, "lines"), (3, "cells"), (4, "lines")]
     above = best._jdf.queryExecution().optimizedPlan().toString().split("Union")[0].splitlines()
     assert len([line for line in above if "+- Window" in line]) == 1
+
+
+def test_hints_take_the_pages_once(spark):
+    """A document's pages come back with its hints from where they were gathered: no join, so that what gives them runs once."""
+    rows = [(1, 1, "03/14/1995 a 5.00 6.00", "x"), (1, 2, "in 1996, 1996 and 1995", "y"), (1, 2, None, None), (None, 1, "1997", "z"), (2, 1, "13.02.1998, 14.2. 5/13, 100/13/5 1/134", "w")]
+    got = hints.with_hints(spark.createDataFrame(rows, "doc bigint, page int, text string, more string"))
+    assert got.columns == ["doc", "page", "text", "more", "year_hint", "date_order"]
+    assert {tuple(r) for r in got.collect()} == {(*r, *((1995, "MDY") if r[0] == 1 else (1998, "DMY"))) for r in rows if r[0]}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
