@@ -57,7 +57,7 @@ def money_text(cents: Column) -> Column:
 
 
 def statement_lines(rows: DataFrame) -> DataFrame:
-    """``(doc, page, line_no, seq, text)``: one date-led line for each row, 25 to a page."""
+    """``(doc, page, line_no, seq, cents, text)``: one date-led line for each row, 25 to a page."""
     line = F.concat_ws(
         " ",
         F.date_format(F.to_date("day"), "MM/dd/yyyy"),
@@ -71,16 +71,28 @@ def statement_lines(rows: DataFrame) -> DataFrame:
         (F.floor((F.col("seq") - 1) / ROWS_PER_PAGE) + 1).cast("int").alias("page"),
         ((F.col("seq") - 1) % ROWS_PER_PAGE + 1).alias("line_no"),
         "seq",
+        "cents",
         line.alias("text"),
     )
 
 
 def statement_pages(rows: DataFrame) -> DataFrame:
-    """``(doc, page, text)``: the lines of a page under its heading, and stated totals on every page's foot."""
-    lines = statement_lines(rows).groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("lines"))
+    """``(doc, page, text)``: the lines of a page under its heading, and on every page's foot the stated totals of its own lines."""
+    credit, debit = F.col("cents") >= 0, F.col("cents") < 0
+    lines = statement_lines(rows).groupBy("doc", "page").agg(
+        F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("lines"),
+        F.count_if(credit).alias("credits_n"),
+        F.sum(F.when(credit, F.col("cents")).otherwise(0)).alias("credits"),
+        F.count_if(debit).alias("debits_n"),
+        F.sum(F.when(debit, -F.col("cents")).otherwise(0)).alias("debits"),
+    )
     head = F.concat(F.lit("ACME BANK PLC\nACCOUNT STATEMENT\nAccount Name: Customer "), F.col("doc").cast("string"), F.lit("\nAccount No: 00"), F.lpad(F.col("doc").cast("string"), 8, "0"))
     body = F.array_join(F.transform("lines", lambda x: x["text"]), "\n")
-    return lines.select("doc", "page", F.concat_ws("\n", head, F.lit("Date Particulars Amount Balance USD"), body).alias("text"))
+    foot = F.concat(
+        F.lit("Total credits ("), F.col("credits_n").cast("string"), F.lit(") $"), money_text(F.col("credits")),
+        F.lit("\nTotal debits ("), F.col("debits_n").cast("string"), F.lit(") -$"), money_text(F.col("debits")),
+    )
+    return lines.select("doc", "page", F.concat_ws("\n", head, F.lit("Date Particulars Amount Balance USD"), body, foot).alias("text"))
 
 
 def missed() -> Column:
