@@ -81,6 +81,8 @@ PLAIN_AMOUNT = r"^ ?-?[$€£₹৳¥]? ?(?:[0-9]{1,3}(?:,[0-9]{3})*|[0-9]+)(?:\
 #: Words and, last, two amounts with cents, in a table's row between bars: no more tokens of money than these two.
 PLAIN_PAIR = r"^(?:[A-Za-z0-9 |]* )?-?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2} (?:\| )*-?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2}(?: \|)*\z"
 PLAIN_ISO = r"^(?:19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\z"
+EARLY_DAY = r"^(?:19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|1[0-9]|2[0-8])\z"
+PLAIN_INT = r"^[0-9]{1,9}\z"
 PLAIN_NUMBERS = r"^(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20|21)[0-9]{2}\z"
 #: Stands before each part of a line that :func:`mark_plain_lines` has taken apart.
 MARK = "\x01"
@@ -149,8 +151,9 @@ def account_key(text: Column) -> Column:
 
 
 def trimmed_or_null(text: Column) -> Column:
-    kept = trimmed(text)
-    return F.when(~F.lower(kept).isin("", "null", "n/a"), kept)
+    kept = stripped(text)
+    # no text of more than four bytes is one of these in lower case
+    return F.when((F.octet_length(kept) > 4) | ~F.lower(kept).isin("", "null", "n/a"), kept)
 
 
 def document_type(text: Column) -> Column:
@@ -248,7 +251,8 @@ def amount_sql(raw: str) -> str:
 def parse_amount(raw: Column) -> Column:
     """See :func:`amount_sql`; what is plain is read before the lambda."""
     plain = F.translate(raw, f", {CURRENCY}", "").try_cast("double")
-    return F.when(raw.rlike(PLAIN_AMOUNT), plain).when(raw.rlike("[0-9]"), told(raw, amount_sql("x")))
+    figure = F.replace(raw, F.lit(","), F.lit("")).try_cast("double")
+    return F.when(raw.rlike(f"^{PLAIN_FIGURE}\\z"), figure).when(raw.rlike(PLAIN_AMOUNT), plain).when(raw.rlike("[0-9]"), told(raw, amount_sql("x")))
 
 
 def cents_of(value: Column) -> Column:
@@ -280,8 +284,9 @@ def near(a: Column, b: Column, within: float = 0.015) -> Column:
 def int_or_null(raw: Column) -> Column:
     """A number's whole part; null for anything that is no number, the empty text included."""
     value = trimmed(raw)
+    plain = F.when(raw.rlike(PLAIN_INT), raw.try_cast("bigint"))
     number = F.when(value.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"), value.try_cast("double"))
-    return F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("bigint")
+    return F.coalesce(plain, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("bigint"))
 
 
 def is_money_like(raw: Column) -> Column:
@@ -438,7 +443,8 @@ def is_date_like(raw: Column) -> Column:
 def iso_day(raw: Column) -> Column:
     """The leading ``YYYY-MM-DD``, if it is a day of the calendar."""
     day = F.regexp_extract(trimmed(raw), r"^(\d{4}-\d{2}-\d{2})", 1)
-    return F.when((day != "") & F.try_to_date(F.nullif(day, F.lit("")), "yyyy-MM-dd").isNotNull(), day)
+    # every month has 28 days
+    return F.when(raw.rlike(EARLY_DAY), raw).when((day != "") & F.try_to_date(F.nullif(day, F.lit("")), "yyyy-MM-dd").isNotNull(), day)
 
 
 # Keys and choices

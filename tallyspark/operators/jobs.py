@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.folders import staged, staging
 from . import chain, hints, parsers, reads, repair, result, vote
+from .spread import spread
 
 
 def blank_pages(pages: DataFrame) -> DataFrame:
@@ -75,18 +76,22 @@ def consensus(replies: DataFrame, quorum: int = 2) -> Consensus:
     """All attempts of all readers at all chunks, to accepted rows, voted fields, verdicts and a report.
 
     ``replies(doc, reader, reader_ord, chunk, attempt, error, text, page_floor, page_ceil,
-    duration_ms, input_tokens, output_tokens, cost_micros)``. Replies are parsed once, and
-    of each chunk the attempt that counts is written once, without its text.
+    duration_ms, input_tokens, output_tokens, cost_micros)``. Of each chunk the attempt that
+    counts is parsed and written once, without its text.
     A reader that failed at every chunk does not vote, and a document that fewer readers
     than the quorum could read gets no verdict.
     """
-    final = staged(reads.final_attempts(reads.parse_replies(replies).drop("text")), "final-attempts")
+    # dealt out by document once: which attempt counts, who votes and the reply's parts are told where these lie
+    tried = spread(reads.recovered(replies).drop("text"), "doc")
+    parsed = reads.with_voters(reads.final_attempts(tried)).withColumn("reply", F.from_json("body", reads.REPLY)).drop("body")
+    report = ("reason", "page_floor", "page_ceil", "duration_ms", "input_tokens", "output_tokens", "cost_micros", "voters")
+    final = staged(reads.chunk_scalars(parsed, *report, F.struct("reply.transactions").alias("reply")), "final-attempts")
     refused = reads.refused(final, quorum)
     readers = reads.voters(final).join(refused, "doc", "left_anti")
-    rows = staged(reads.merged_rows(reads.chunk_rows(final)), "read-rows")  # those of refused documents have no readers, and so no vote
-    fields = reads.merge_chunks(reads.chunk_scalars(final)).join(refused, "doc", "left_anti")
-    accepted, row_disputes = vote.vote_rows(rows, readers, quorum)
-    scalars = staged(vote.vote_scalars(fields, quorum), "voted-fields")
+    rows = staged(reads.merged_rows(reads.chunk_rows(final, "voters")), "read-rows")
+    heard = F.col("voters") >= quorum
+    accepted, row_disputes = vote.vote_rows(rows.filter(heard), readers, quorum)
+    scalars = staged(vote.vote_scalars(reads.merge_chunks(final.filter(heard)), quorum), "voted-fields")
     placed = vote.in_printed_order(accepted, rows)
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
     disputes = row_disputes.select("doc", "kind", none("field", "string"), "key", "reader").unionByName(

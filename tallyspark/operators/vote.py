@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import let, row_key, row_key_loose
 from ..sources.folders import staged
+from .parsers import once
 from .spread import spread
 
 TEXT_KEY = "nullif(trim(regexp_replace(upper(x), '[^A-Z0-9]+', ' ')), '')"
@@ -69,7 +70,7 @@ def votes_of(fields: tuple[str, ...], said: str, quorum: str = "2") -> dict[str,
 
 def in_reader_order(*columns: str) -> Column:
     """The rows of a group as an array of structs, by reader."""
-    return F.array_sort(F.collect_list(F.struct("reader_ord", "reader", *columns)))
+    return F.sort_array(F.collect_list(F.struct("reader_ord", "reader", *columns)))
 
 
 def vote_scalars(reads: DataFrame, quorum: int = 2) -> DataFrame:
@@ -112,30 +113,47 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"key": row_key(*money, F.col("description")), "loose": row_key_loose(*money)})
 
 
-def with_quorum(rows: DataFrame, key: str, order: list[str], quorum: int = 2) -> DataFrame:
-    """Adds ``occurrence``, ``agreed`` and ``seen_by`` to rows that carry ``voters``, how many read the document.
+def with_counts(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds ``occurrence``, which numbers a reader's rows of one key, and ``seen``, structs (reader_ord, reader, n) of how many each reader has.
 
-    ``occurrence`` numbers a reader's rows of one key. ``agreed`` is the smallest
-    count of the key that ``quorum`` readers share, readers without it counting
-    zero; null if there is none. All windows partition by document and key, so rows
-    dealt out by these move no more, and a document of any length lies in many tasks.
+    All windows partition by document and key, so rows dealt out by these move no more,
+    and a document of any length lies in many tasks.
     """
-    place = Window.partitionBy("doc", key, "reader").orderBy(*order)
-    count = F.count(F.lit(1)).over(Window.partitionBy("doc", key, "reader"))
-    out = rows.withColumns({"occurrence": F.row_number().over(place), "n": count})
+    own = Window.partitionBy("doc", key, "reader").orderBy(*order)
+    count = F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    out = rows.withColumns({"occurrence": F.row_number().over(own), "n": count})
     one = F.when(F.col("occurrence") == 1, F.struct("reader_ord", "reader", "n"))
-    out = out.withColumn("seen", F.array_sort(F.collect_list(one).over(Window.partitionBy("doc", key))))
-    return out.withColumns({"agreed": shared_count(quorum), "seen_by": F.transform("seen", lambda s: s["reader"])}).drop("n", "seen")
+    return out.withColumn("seen", F.collect_list(one).over(Window.partitionBy("doc", key))).drop("n")
+
+
+def told_quorum(rows: DataFrame, quorum: int = 2) -> DataFrame:
+    """``agreed`` and ``seen_by`` for ``seen``, in rows that carry ``voters``, how many read the document.
+
+    ``agreed`` is the smallest count of the key that ``quorum`` readers share, readers
+    without it counting zero; null if there is none.
+    """
+    return rows.withColumns({"agreed": shared_count(quorum), "seen_by": F.sort_array("seen")["reader"]}).drop("seen")
+
+
+def with_quorum(rows: DataFrame, key: str, order: list[str], quorum: int = 2) -> DataFrame:
+    """:func:`with_counts` and :func:`told_quorum`, row by row."""
+    return told_quorum(with_counts(rows, key, order), quorum)
 
 
 def shared_count(quorum: int) -> Column:
-    """The smallest count in ``seen``, of structs with a reader's count ``n``, that ``quorum`` of ``voters`` share; those not seen count zero."""
+    """The smallest count in ``seen``, of structs with a reader's count ``n``, that ``quorum`` of ``voters`` share; those not seen count zero.
+
+    Where all that are seen have the same count there is nothing to compare.
+    """
 
     def smallest(counts: Column) -> Column:
         return F.array_min(F.filter(counts, lambda n: F.size(F.filter(counts, lambda x: x == n)) >= quorum))
 
-    missing = F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.col("voters") - F.size("seen")).cast("int"))
-    return let(F.concat(F.transform("seen", lambda s: s["n"]), missing), smallest)
+    seen, absent = F.size("seen"), F.greatest(F.lit(0), F.col("voters") - F.size("seen")).cast("int")
+    missing = F.array_repeat(F.lit(0).cast("bigint"), absent)
+    other = let(F.concat(F.transform("seen", lambda s: s["n"]), missing), smallest)
+    same = F.when(absent >= quorum, F.lit(0).cast("bigint")).when(seen >= quorum, F.col("seen.n")[0])
+    return F.when(F.size(F.array_distinct("seen.n")) == 1, same).otherwise(other)
 
 
 def with_voters(rows: DataFrame, readers: DataFrame) -> DataFrame:
@@ -150,11 +168,15 @@ def quorum_counts(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> DataF
     return with_voters(seen, readers).select("doc", "key", shared_count(quorum).alias("agreed"), F.transform("seen", lambda s: s["reader"]).alias("seen_by"))
 
 
-def _accept(rows: DataFrame, key: str, matched_by: str, quorum: int) -> DataFrame:
-    """One row for each (doc, key, occurrence), its fields voted among the readers that have it."""
-    groups = rows.groupBy("doc", F.col(key).alias("key"), "occurrence").agg(
-        in_reader_order(*ROW_FIELDS).alias("said"), F.first("seen_by").alias("seen_by")
-    )
+def _grouped(rows: DataFrame, key: str, *shared: str) -> DataFrame:
+    """One row for each (doc, key, occurrence): what its readers ``said``, and what all rows of the key share."""
+    one = F.struct("reader_ord", "reader", "idx", *ROW_FIELDS)
+    each = once(rows, "one", one).select("doc", F.col(key).alias("key"), "occurrence", *shared, "one")
+    return each.groupBy("doc", "key", "occurrence").agg(F.sort_array(F.collect_list("one")).alias("said"), *[F.first(c).alias(c) for c in shared])
+
+
+def _accept(groups: DataFrame, matched_by: str, quorum: int) -> DataFrame:
+    """The groups as accepted rows, their fields voted among the readers that have them."""
     voted = votes_of(ROW_FIELDS, "said", f"least({quorum}, size(said))")
     out = groups.withColumns({f"v_{f}": v for f, v in voted.items()})
     return out.select(
@@ -162,7 +184,7 @@ def _accept(rows: DataFrame, key: str, matched_by: str, quorum: int) -> DataFram
         "key",
         "occurrence",
         F.lit(matched_by).alias("matched_by"),
-        F.transform("said", lambda s: s["reader"]).alias("readers"),
+        F.col("said.reader").alias("readers"),
         "seen_by",
         *[F.col(f"v_{f}")["value"].alias(f) for f in ROW_FIELDS],
         F.col("v_description")["agreed"].alias("description_agreed"),
@@ -177,21 +199,25 @@ def vote_rows(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> tuple[Dat
     has beyond it is a ``duplicate_row``. Rows of keys without such a count, or with
     zero, match again on day and amount alone; what still finds no quorum is an
     ``unmatched_row``, and an accepted row whose descriptions differ a
-    ``row_description``. Surplus of the second pass goes without a dispute. What the first
-    pass does not accept is written once, as accepted rows and disputes both read it; what it
-    accepts is put together where its windows leave it, without another exchange.
+    ``row_description``. Surplus of the second pass goes without a dispute. The first pass runs
+    once: its groups are written, what readers said of an occurrence side by side, and both what it
+    accepts and what goes on to the second read them. ``rows`` that carry ``voters``, how many
+    read the document, need no ``readers``.
     """
-    dealt = spread(with_voters(keyed(rows).drop("loose"), readers), "doc", "key")
-    strict = with_quorum(dealt, "key", ["idx"], quorum)
-    agreed = F.coalesce(F.col("agreed"), F.lit(0))
-    exact = _accept(strict.filter(F.col("occurrence") <= agreed), "key", "exact", quorum)
+    counted = rows.filter("doc IS NOT NULL") if "voters" in rows.columns else with_voters(rows, readers)
+    dealt = spread(keyed(counted.select("doc", "reader", "reader_ord", "idx", *ROW_FIELDS, "voters")).drop("loose"), "doc", "key")
     first = F.min(F.struct("reader_ord", "idx")).over(Window.partitionBy("doc", "key"))
-    other = staged(keyed(strict.withColumn("first", first).filter(F.col("occurrence") > agreed)), "strict-matches")
+    strict = _grouped(with_counts(dealt, "key", ["idx"]).withColumn("first", first), "key", "seen", "first", "voters")
+    strict = staged(told_quorum(strict, quorum), "strict-matches")
+    agreed = F.coalesce(F.col("agreed"), F.lit(0))
+    exact = _accept(strict.filter(F.col("occurrence") <= agreed), "exact", quorum)
+    other = strict.filter(F.col("occurrence") > agreed).withColumn("r", F.explode("said")).select("doc", "agreed", "first", "voters", "r.*")
+    other = keyed(other)
     doubles = other.filter(agreed > 0)
 
-    left = other.filter(agreed == 0).drop("agreed", "seen_by", "occurrence")
+    left = other.filter(agreed == 0).drop("agreed")
     left = staged(with_quorum(left, "loose", ["first", "idx"], quorum), "loose-matches")
-    loose = _accept(left.filter(F.col("occurrence") <= agreed), "loose", "amount+date", quorum)
+    loose = _accept(_grouped(left.filter(F.col("occurrence") <= agreed), "loose", "seen_by"), "amount+date", quorum)
     alone = left.filter(agreed == 0)
 
     def dispute(frame: DataFrame, kind: str) -> DataFrame:
@@ -216,13 +242,13 @@ def in_printed_order(accepted: DataFrame, rows: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc", "reader")
     keys = keyed(rows).withColumn("n", F.count(F.lit(1)).over(own))
     fullest = F.max_by("reader", F.struct("n", -F.col("reader_ord"))).over(Window.partitionBy("doc"))
-    first = keys.withColumn("fullest", fullest).filter("reader = fullest").groupBy("doc", "key").agg(F.min("idx").cast("bigint").alias("at"))
-    both = accepted.withColumn("at", F.lit(None).cast("bigint")).unionByName(first, allowMissingColumns=True)
+    first = keys.withColumn("fullest", fullest).filter("reader = fullest").groupBy("doc", "key").agg(F.min("idx").alias("at"))
+    both = accepted.withColumn("at", F.lit(None).cast(first.schema["at"].dataType)).unionByName(first, allowMissingColumns=True)
     at = F.max("at").over(Window.partitionBy("doc", "key"))
     # one exchange by document for the keys' places and the order; a row of an accepted key has an occurrence, a place has none
     dealt = spread(both, "doc").withColumn("at", at).filter("occurrence IS NOT NULL")
     order = Window.partitionBy("doc").orderBy(
-        F.coalesce("page", F.lit(0)), F.coalesce("at", F.lit(2**31 - 1)), F.collate("key", "UNICODE"), "occurrence"
+        F.coalesce("page", F.lit(0)), F.col("at").asc_nulls_last(), F.collate("key", "UNICODE"), "occurrence"
     )
     return dealt.withColumn("position", F.row_number().over(order)).drop("at")
 

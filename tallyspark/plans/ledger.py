@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cents_of, json_text
+from ..operators.parsers import once
 
 READERS = ("r1", "r2", "r3")
 ROWS_PER_PAGE = 25
@@ -267,8 +268,8 @@ def replies(rows: DataFrame) -> DataFrame:
         "reference", text("credit").alias("credit"), text("debit").alias("debit"), text("balance").alias("balance"),
     )
     # all of it by document: one exchange, that of the ledger; a chunk of which a reader missed every row stays, empty
-    every = said.groupBy("doc", "reader_ord", "chunk").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("missed"), row))).alias("r"),
+    every = once(said, "row", F.when(~F.col("missed"), row)).groupBy("doc", "reader_ord", "chunk").agg(
+        F.sort_array(F.collect_list("row")).alias("r"),
         F.min("page_no").cast("bigint").alias("page_floor"), F.max("page_no").cast("bigint").alias("page_ceil"),
         F.first("opening").alias("opening"), F.first("closing").alias("closing"),
     )
