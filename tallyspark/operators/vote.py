@@ -113,15 +113,20 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"key": row_key(*money, F.col("description")), "loose": row_key_loose(*money)})
 
 
+def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds ``occurrence``, which numbers a reader's rows of one key, and ``n``, how many these are."""
+    own = Window.partitionBy("doc", key, "reader").orderBy(*order)
+    count = F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.withColumns({"occurrence": F.row_number().over(own), "n": count})
+
+
 def with_counts(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds ``occurrence``, which numbers a reader's rows of one key, and ``seen``, structs (reader_ord, reader, n) of how many each reader has.
 
     All windows partition by document and key, so rows dealt out by these move no more,
     and a document of any length lies in many tasks.
     """
-    own = Window.partitionBy("doc", key, "reader").orderBy(*order)
-    count = F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = rows.withColumns({"occurrence": F.row_number().over(own), "n": count})
+    out = numbered(rows, key, order)
     one = F.when(F.col("occurrence") == 1, F.struct("reader_ord", "reader", "n"))
     return out.withColumn("seen", F.collect_list(one).over(Window.partitionBy("doc", key))).drop("n")
 
@@ -175,6 +180,26 @@ def _grouped(rows: DataFrame, key: str, *shared: str) -> DataFrame:
     return each.groupBy("doc", "key", "occurrence").agg(F.sort_array(F.collect_list("one")).alias("said"), *[F.first(c).alias(c) for c in shared])
 
 
+def _side_by_side(rows: DataFrame) -> DataFrame:
+    """:func:`numbered` rows of dealt keys as :func:`_grouped` has them, with ``seen`` as in :func:`with_counts` and ``first``, the least (reader_ord, idx) of the key.
+
+    One more sort puts the rows of an occurrence side by side, where windows gather them. An
+    aggregate would hold all rows of its task a second time, with what their key shares on each. The
+    first occurrence has every reader of the key, so what is shared is told from there, once rows are gathered.
+    """
+    one = F.struct("reader_ord", "reader", "idx", *ROW_FIELDS, "n")
+    heard = F.collect_list("one").over(Window.partitionBy("doc", "key", "occurrence"))
+    each = rows.select("doc", "key", "occurrence", "voters", one.alias("one")).withColumn("heard", heard)
+    # a reader has one row of an occurrence: that of the reader who comes first in the array stays for all
+    groups = each.filter(F.col("one.reader").eqNullSafe(F.col("heard")[0]["reader"]))
+    from_first = lambda c: F.first(c).over(Window.partitionBy("doc", "key").orderBy("occurrence"))
+    seen = F.transform("heard", lambda s: F.struct(s["reader_ord"], s["reader"], s["n"]))
+    least = F.array_min(F.transform("heard", lambda s: F.struct(s["reader_ord"], s["idx"])))
+    return groups.select(
+        "doc", "key", "occurrence", F.sort_array("heard").alias("said"), from_first(seen).alias("seen"), from_first(least).alias("first"), "voters"
+    )
+
+
 def _accept(groups: DataFrame, matched_by: str, quorum: int) -> DataFrame:
     """The groups as accepted rows, their fields voted among the readers that have them."""
     voted = votes_of(ROW_FIELDS, "said", f"least({quorum}, size(said))")
@@ -206,13 +231,11 @@ def vote_rows(rows: DataFrame, readers: DataFrame, quorum: int = 2) -> tuple[Dat
     """
     counted = rows.filter("doc IS NOT NULL") if "voters" in rows.columns else with_voters(rows, readers)
     dealt = spread(keyed(counted.select("doc", "reader", "reader_ord", "idx", *ROW_FIELDS, "voters")).drop("loose"), "doc", "key")
-    first = F.min(F.struct("reader_ord", "idx")).over(Window.partitionBy("doc", "key"))
-    strict = _grouped(with_counts(dealt, "key", ["idx"]).withColumn("first", first), "key", "seen", "first", "voters")
-    strict = staged(told_quorum(strict, quorum), "strict-matches")
+    strict = staged(told_quorum(_side_by_side(numbered(dealt, "key", ["idx"])), quorum), "strict-matches")
     agreed = F.coalesce(F.col("agreed"), F.lit(0))
     exact = _accept(strict.filter(F.col("occurrence") <= agreed), "exact", quorum)
     other = strict.filter(F.col("occurrence") > agreed).withColumn("r", F.explode("said")).select("doc", "agreed", "first", "voters", "r.*")
-    other = keyed(other)
+    other = keyed(other.drop("n"))
     doubles = other.filter(agreed > 0)
 
     left = other.filter(agreed == 0).drop("agreed")
