@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +77,8 @@ ORGANISATION = (
     r"(?i)(?<![A-Za-z0-9_])(?:bank|plc|ltd|limited|inc\.?|llc|corp(?:oration)?|company|financial|finance|n\.a\.|gmbh)(?![A-Za-z0-9_])"
 )
 BRAND = r"(?i)bkash|nagad|rocket|paypal|stripe|wise|payoneer"
+#: What a line has, in lower case, in which one of these can be found.
+COMPANY_MARKS = ("bank", "plc", "ltd", "limited", "inc", "llc", "corp", "company", "financ", "n.a.", "gmbh", *BRAND.removeprefix("(?i)").split("|"))
 ACCOUNT_NUMBER_LABEL = (
     r"account\s*(?:no|number|#)|a/c\s*(?:no|number)?|acct\.?\s*(?:no|number)?|\biban\b|wallet\s*(?:no|number)"
 )
@@ -104,14 +108,15 @@ NUMBER_LIKE = r"(?:[\dXx*][\s-]?){5,}"
 
 
 def ascii_bounds(pattern: str) -> str:
-    """Word bounds that only ASCII letters, digits and _ make; before a letter or digit it is enough to look back."""
+    """Word bounds that only ASCII letters, digits and _ make; before a letter or digit it is enough to look back, from behind a letter that is there."""
+    pattern = re.sub(r"\\b([A-Za-z])(?![?*+{])", r"\1(?<![A-Za-z0-9_]\1)", pattern)
     pattern = re.sub(r"\\b(?=(?:\((?:\?:)?)*(?:\\d|[A-Za-z0-9]))", lambda _: "(?<![A-Za-z0-9_])", pattern)
     return pattern.replace(r"\b", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
 
 
 def holds_sql(marks: tuple[str, ...]) -> str:
     """Whether a text whose lower case goes by l holds one of the marks: far cheaper than a search by pattern."""
-    return "(" + " OR ".join(f"contains(l, '{m}')" for m in marks) + ")"
+    return "(" + " OR ".join(f"contains(l, '{m}')" for m in dict.fromkeys(marks)) + ")"
 
 
 def needed(pattern: str) -> tuple[str, ...]:
@@ -122,6 +127,24 @@ def needed(pattern: str) -> tuple[str, ...]:
     return tuple(max(re.findall("[a-z]+", alternative.replace(r"\s", "\0")), key=len) for alternative in flat.split("|"))
 
 
+def spellings(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """The words of each way to spell a signal or label, its groups told apart; what may be left out is no word of any."""
+    ways, words = [re.sub(r"\(\?i\)|\\b", "", pattern).replace(r"\s", "\0")], []
+    for way in ways:
+        if group := re.search(r"\((?:\?:)?([^()]*)\)(\??)", way):
+            options = ["\0"] if group[2] else group[1].split("|")
+            ways += [way[: group.start()] + option + way[group.end() :] for option in options]
+        else:
+            words += [tuple(dict.fromkeys(re.findall("[a-z]+", re.sub("[a-z][?*]", "\0", x)))) for x in way.split("|")]
+    return tuple(dict.fromkeys(words))
+
+
+def likely_sql(pattern: str) -> str:
+    """Whether a text whose lower case goes by l has all words of some way to spell the pattern, which finds nothing else."""
+    every = " OR ".join("(" + " AND ".join(f"contains(l, '{word}')" for word in way) + ")" for way in spellings(pattern))
+    return f"({holds_sql(needed(pattern))} AND ({every}))"
+
+
 def date_order(text: Column) -> Column:
     """MDY if more number pairs can only be month first than only day first; else DMY."""
     late = r"(?:1[3-9]|[2-9]\d)"
@@ -154,7 +177,7 @@ def class_scores(text: Column) -> Column:
     """struct of each class's share of signals found."""
 
     def share(found: tuple[str, ...]) -> str:
-        return " + ".join(f"CAST(if({holds_sql(needed(p))}, x RLIKE {literal('(?i)' + ascii_bounds(p))}, x IS NULL AND NULL) AS INT)" for p in found)
+        return " + ".join(f"CAST(if({likely_sql(p)}, x RLIKE {literal('(?i)' + ascii_bounds(p))}, x IS NULL AND NULL) AS INT)" for p in found)
 
     shares = ", ".join(f"'{name}', ({share(found)}) / {len(found)}" for name, found in CLASS_SIGNALS.items())
     return told(text, let_sql("lower(x)", "l", f"named_struct({shares})"))
@@ -225,20 +248,22 @@ def labelled_amount(text: Column, label: str) -> Column:
     pure = f"CASE WHEN below RLIKE {literal(PURE_MONEY)} AND below RLIKE {literal(MONEY_LIKE)} THEN {amount_sql('below')} END"
     own = let_sql(f"regexp_replace(get(lines, i), {literal(label)}, ' ')", "said", money_tokens_sql("said"))
     value = let_sql(own, "own", f"CASE WHEN size(own) > 0 THEN element_at(own, -1).value ELSE {let_sql(below, 'below', pure)} END")
-    named = f"filter(sequence(0, size(lines) - 1), i -> get(lines, i) RLIKE {literal(label)})"
+    worth = holds_sql(needed(label)).replace("(l,", "(lower(get(lines, i)),")
+    named = f"filter(sequence(0, size(lines) - 1), i -> {worth} AND get(lines, i) RLIKE {literal(label)})"
     values = f"get(filter(transform({named}, i -> {value}), v -> v IS NOT NULL), 0)"
-    return told(text, let_sql(r"split(x, r'\r?\n')", "lines", values))
+    found = let_sql(r"split(x, r'\r?\n')", "lines", values)
+    return told(text, let_sql("lower(x)", "l", f"CASE WHEN {likely_sql(label)} THEN {found} END"))
 
 
 def company_name(first_page: Column) -> Column:
     """Of the first twelve lines the first with an organisation's or brand's word; else the first that is no heading."""
-    tidy = F.transform(
-        F.split(first_page, r"\r?\n"),
-        lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^#+\s*", ""), r"[|*_`]", " "), r"(?U)\s+", " ")),
-    )
+    # marks and white space of all lines at once
+    spaced = F.regexp_replace(F.translate(first_page, "|*_`", "    "), r"(?U)[\s&&[^\n]]+", " ")
+    tidy = F.transform(F.split(spaced, "\n"), lambda x: F.trim(F.when(x.startswith("#"), F.regexp_replace(x, r"^#+\s*", "")).otherwise(x)))
     top = F.slice(F.filter(tidy, lambda x: F.length(x) >= 3), 1, 12)
     short = lambda x: F.length(x) <= 70
-    named = F.filter(top, lambda x: x.rlike(f"{ORGANISATION}|{BRAND}") & short(x) & ~x.rlike(NO_COMPANY))
+    marked = lambda x: let(F.lower(x), lambda l: reduce(or_, [l.contains(m) for m in COMPANY_MARKS]))
+    named = F.filter(top, lambda x: marked(x) & x.rlike(f"{ORGANISATION}|{BRAND}") & short(x) & ~x.rlike(NO_COMPANY))
     other = F.filter(top, lambda x: short(x) & ~x.rlike(f"{NO_COMPANY}|date"))
     return F.coalesce(F.get(named, F.lit(0)), F.get(other, F.lit(0)))
 

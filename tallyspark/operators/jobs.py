@@ -15,7 +15,7 @@ from .spread import spread
 
 def blank_pages(pages: DataFrame) -> DataFrame:
     """``(doc, pages, blank, all_blank)``: how many of a document's pages have no text."""
-    empty = F.coalesce(F.length(F.regexp_replace("text", r"(?U)\s", "")), F.lit(0)) == 0
+    empty = ~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
     out = pages.groupBy("doc").agg(F.count(F.lit(1)).alias("pages"), F.count_if(empty).alias("blank"))
     return out.withColumn("all_blank", F.col("blank") == F.col("pages"))
 
@@ -42,7 +42,8 @@ def analyze(pages: DataFrame) -> Analysis:
     balance goes before the first and last balance of the rows. Documents without
     a readable page are left out; one without transactions has a summary of zeros.
     """
-    pages = staged(readable(pages), "pages")
+    # given pages are read twice, for blank documents and without them, and what gives them runs once
+    pages = staged(readable(staged(pages, "given-pages")), "pages")
     hinted = staged(hints.document_metadata(hints.document_hints(pages), "year_hint", "date_order"), "metadata")
     metadata = hinted.drop("year_hint", "date_order")
     # read by the repair and by the join with what it hands on
